@@ -91,6 +91,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper IS NOT NULL AN
 FROM k LEFT JOIN c USING (key) GROUP BY doc_id
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), t AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[k:k + size - 1], ' ') AS g
+  FROM (SELECT item_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM (SELECT *, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0))
+), z AS (
+  SELECT DISTINCT size FROM t
+), o AS (
+  SELECT doc_id, p, size, array_to_string(ws[p:p + size - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, z WHERE len(ws) >= size)
+), m AS (
+  SELECT o.doc_id, o.p, o.size, t.item_id FROM o JOIN t ON o.size = t.size AND o.g = t.g
+), h AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS w FROM m) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4}
+    return {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_decontaminate": OP9}
