@@ -42,6 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and nothing will read again, and let Spark drop shuffle files of finished steps."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    jvm.System.gc()
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z only; letters outside ASCII keep their case."""
     return F.translate(column, UPPER, LOWER)
