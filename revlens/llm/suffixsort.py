@@ -42,6 +42,9 @@ class BlindTrie:
             node = down
         other = self._any_leaf(node)
         depth = common_prefix(self.strings[number], self.strings[other])
+        if len(self.strings[number]) == len(self.strings[other]) == depth:
+            node.append(number)  # equal: the descent ended at its leaf
+            return
         parent, edge, node = None, 0, self.root
         while isinstance(node, tuple) and node[0] < depth:
             parent, edge = node, self._byte(number, node[0])
@@ -53,9 +56,6 @@ class BlindTrie:
         if isinstance(node, tuple) and node[0] == depth:
             node[1][self._byte(number, depth)] = [number]
             return
-        if not isinstance(node, tuple) and len(self.strings[number]) == len(self.strings[node[0]]) == depth:
-            node.append(number)
-            return
         split = (depth, {self._byte(self._any_leaf(node), depth): node, self._byte(number, depth): [number]})
         if parent is None:
             self.root = split
