@@ -126,3 +126,24 @@ def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5)
     failed = F.expr(" OR ".join(f"({RULES[r]})" for r in BASE))
     joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("of"))).drop("of").withColumn("base_failed", failed)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
+def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
+    """docs, all columns, without documents that fail a base rule or whose host is rejected. Only the table of rejected hosts is joined, so the
+    texts stay where they are."""
+    place = docs.columns.index("text")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x in batch.column(place).cast(pa.binary()):
+                words = (x.as_py() or b"").split()
+                good.append(len(words) >= 10 and 100 * repeated_words(words) <= 20 * len(words))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    schema = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), as_bytes().alias("text"))
+    measured = materialize(slim.mapInArrow(_measured, schema), "measured")
+    rejected = materialize(host_rates(measured).filter(F.col("base_rate") > host_limit).select(F.col("host").alias("_rejected")), "rejected-hosts")
+    good = docs.mapInArrow(passing, docs.schema)
+    return good.join(rejected, good[host].cast("string").eqNullSafe(rejected["_rejected"]), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, quality, simhash, suffixdedup, toxicity, warc
+from . import decontam, html, langid, linededup, mixing, quality, simhash, suffixdedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
@@ -68,4 +72,4 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_simhash_dedup, op4_line_dedup, op6_language_id, op7_toxicity, op8_suffix_dedup, op9_decontaminate, op10_warc_archive)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_simhash_dedup, op4_line_dedup, op5_html_extract, op6_language_id, op7_toxicity, op8_suffix_dedup, op9_decontaminate, op10_warc_archive)}
