@@ -206,13 +206,14 @@ def node_features(page: Page) -> list[tuple[str, ...]]:
         below[page.parents[k]] += below[k]
         below_linked[page.parents[k]] += below_linked[k]
     total = below[0] or 1
+    core = any(t in ("article", "main") for t in page.tags)
     out, depth = [], [0] * n
     for k in range(n):
         parent = page.parents[k]
         depth[k] = depth[parent] + 1 if parent >= 0 else 0
         dense = 0 if below[k] == 0 else 1 + int(3 * below_linked[k] / (below[k] + 1))
         share = int(4 * below[k] / (total + 1))
-        out.append((f"t:{page.tags[k]}", f"o:{_bucket(own[k])}{min(stops[k], 2)}", f"l:{dense}", f"s:{share}{_bucket(below[k])}", "bias", f"d:{min(depth[k], 4)}", *_mark_words(page.marks[k])))
+        out.append((f"t:{page.tags[k]}", f"o:{_bucket(own[k])}{min(stops[k], 2)}", f"l:{dense}", f"s:{share}{_bucket(below[k])}", "bias", f"u:{page.tags[parent] if parent >= 0 else None}{page.tags[k]}", f"c:{core}{_KIND.get(page.tags[k])}", *_mark_words(page.marks[k])))
     return out
 
 
@@ -220,6 +221,7 @@ def node_features(page: Page) -> list[tuple[str, ...]]:
 class TreeModel:
     unary: dict[str, float] = field(default_factory=dict)
     pair: dict[str, list[float]] = field(default_factory=lambda: {k: [0.5, -0.5, -0.5, 0.5] for k in (*KINDS, "other")})
+    _steps: dict = field(default_factory=dict, repr=False)  # sums of squared slopes: each parameter has its own rate
 
     def messages(self, page: Page, features: list[tuple[str, ...]]) -> tuple[list[float], list[float], list[float], list[list[float]]]:
         """Sum-product: log-odds of each node from below, the message to its parent, its full log-odds, and its pair table."""
@@ -237,22 +239,33 @@ class TreeModel:
             full[k] = below[k] + _log_sum(t01, t11 + rest) - _log_sum(t00, t10 + rest)
         return below, up, full, tables
 
+    def _moved(self, name, value: float, slope: float, rate: float) -> float:
+        sums = self._steps[name] = self._steps.get(name, 1e-2) + slope * slope
+        return value + rate * (slope - 1e-3 * value) / math.sqrt(sums)
+
     def step(self, page: Page, features: list[tuple[str, ...]], labels: list[int], rate: float) -> None:
-        """One gradient step on the page's log-likelihood."""
+        """One gradient step on the page's log-likelihood: what the labels show less what the marginals expect."""
         below, up, full, tables = self.messages(page, features)
+        slopes: dict = {}
         for k, fs in enumerate(features):
-            slope = rate * (labels[k] - _probability(full[k]))
+            miss = labels[k] - _probability(full[k])
             for f in fs:
-                self.unary[f] = self.unary.get(f, 0.0) * (1 - 1e-4) + slope
+                slopes[f] = slopes.get(f, 0.0) + miss
             if k:
                 p, t = page.parents[k], tables[k]
                 rest = full[p] - up[k]
                 joint = [t[0], t[1] + below[k], t[2] + rest, t[3] + rest + below[k]]
                 top = max(joint)
                 joint = [math.exp(j - top) for j in joint]
-                z = sum(joint)
+                z, kind = sum(joint), _KIND.get(page.tags[k], "other")
                 for j in range(4):
-                    t[j] += rate * 0.3 * ((j == 2 * labels[p] + labels[k]) - joint[j] / z)
+                    slopes[kind, j] = slopes.get((kind, j), 0.0) + (j == 2 * labels[p] + labels[k]) - joint[j] / z
+        for name, slope in slopes.items():
+            if isinstance(name, tuple):
+                table = self.pair[name[0]]
+                table[name[1]] = self._moved(name, table[name[1]], slope, rate)
+            else:
+                self.unary[name] = self._moved(name, self.unary.get(name, 0.0), slope, rate)
 
 
 def _log_sum(a: float, b: float) -> float:
@@ -356,7 +369,7 @@ class _Layouts:
         if body and r.random() < 0.25:
             body = self.el("header", 1, body)
         parts = [self.prose(1, 1, 4) for _ in range(r.randint(1, 4))]
-        if r.random() < 0.5:
+        for _ in range(r.choice((0, 0, 1, 1, 2, 3, 4))):
             parts.insert(r.randint(0, len(parts)), self.extra())
         body += "".join(parts)
         if r.random() < 0.15:
@@ -365,7 +378,7 @@ class _Layouts:
         names = self.CONTENT if tag in ("div", "section") or r.random() < 0.3 else None
         core = self.el(tag, 1, body, names)
         if tag == "article" and r.random() < 0.3:
-            core = self.el("main", r.choice((0, 1)), core)
+            core = self.el("main", 1, core + (self.talk() if r.random() < 0.3 else ""))
         if r.random() < 0.15:
             core = body  # paragraphs straight in the page
         before = [f() for f in (lambda: self.el("header", 0, self.el("h1", 0, self.words(1, 3)) + self.menu(), r.choice((None, self.HEAD))), self.menu, lambda: self.small(self.AD), lambda: self.small(self.NOTICE), self.aside, self.form) if r.random() < 0.4]
@@ -380,7 +393,7 @@ class _Layouts:
 
 
 @lru_cache(maxsize=1)
-def trained_model(pages: int = 500, passes: int = 8, seed: int = 5) -> TreeModel:
+def trained_model(pages: int = 600, passes: int = 10, seed: int = 5) -> TreeModel:
     layouts, model = _Layouts(seed), TreeModel()
     examples = []
     for _ in range(pages):
@@ -391,7 +404,8 @@ def trained_model(pages: int = 500, passes: int = 8, seed: int = 5) -> TreeModel
     for k in range(passes):
         order.shuffle(examples)
         for e in examples:
-            model.step(*e, rate=0.15 / (1 + k))
+            model.step(*e, rate=0.3)
+    model._steps.clear()
     return model
 
 
