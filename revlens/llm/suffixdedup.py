@@ -240,10 +240,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, spans: array<struct<start, stop>> (they may overlap), for documents that hold repeated windows."""
-    rows = materialize(_numbered(docs).mapInArrow(_anchor_rows, "doc_id long, place long, gram long, context long"), "anchors")
+    """doc_id, tag, spans: array<struct<start, stop>> (they may overlap), for documents that hold repeated windows. Written when this returns;
+    the tables on the way there are gone again."""
+    found = materialize(_numbered(docs).mapInArrow(_anchor_rows, "doc_id long, place long, gram long, context long"), "anchors")
+    again = found.groupBy("gram").agg(F.count("*").alias("all")).filter("all > 1").select("gram")
+    rows = materialize(found.join(again, "gram", "left_semi"), "repeated-anchors")
+    drop_table(found)
     counted = rows.groupBy("gram", "context").agg(F.count("*").alias("times"))
-    grams = counted.groupBy("gram").agg(F.sum("times").alias("all"), F.count("*").alias("contexts")).filter("all > 1").drop("all")
+    grams = counted.groupBy("gram").agg(F.count("*").alias("contexts"))
     doubtful = counted.join(grams, "gram").filter("times > 1 OR contexts > 1")
     marked = materialize(rows.join(doubtful, ["gram", "context"]), "doubtful")
     drop_table(rows)
@@ -271,12 +275,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "doc_id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("place", 24).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
     )
     spans = settled.union(compared).union(edge)
-    return spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    result = materialize(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    for table in (marked, contexts, windows):
+        drop_table(table)
+    return result
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal runs: array<struct<start, stop>>), kept_sha256: a row for each of docs."""
-    spans = materialize(repeated_spans(docs), "spans").withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
+    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
     joined = _numbered(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, removed array<struct<start: long, stop: long>>, kept_sha256 string"
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, schema)
