@@ -1,6 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
-A page is parsed into its elements; block elements and marked ones are the model's nodes, each content or not. A node has a unary
+A page is parsed into its elements; block elements and marked ones are the model's nodes, each content or not. Unmarked paragraphs and
+headings of one parent are one node, and so are its unmarked list items, rows or cells, so that a long run of them is one witness. A node has a unary
 potential (its tag, words of its class, id and role, lengths, link density) and one with its parent (a 2 x 2 table for each
 kind of child). Sum-product messages go up from the leaves and down from the root, which gives every node's exact content marginal; the
 text of nodes at one half or more is kept, in page order. The parameters are fitted by maximum likelihood (the gradient
@@ -53,6 +54,8 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Unmarked siblings of these tags share a node.
+_SHARED = {t: "p" for t in "p h1 h2 h3 h4 h5 h6 pre blockquote".split()} | {t: t for t in "li dt dd tr td th tbody".split()}
 KINDS = {"text": "p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption td th", "list": "ul ol li dl tr tbody table", "part": "article main section div body figure", "frame": "nav aside footer header form menu fieldset dialog"}
 _KIND = {tag: kind for kind, tags in KINDS.items() for tag in tags.split()}
 
@@ -66,6 +69,17 @@ class Page:
     labels: list[str | None] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     texts: list[tuple[int, str, bool]] = field(default_factory=list)
+    shared: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def block(self, tag: str, mark: str, parent: int, label: str | None) -> int:
+        """The node of a block element: its own, or one with its unmarked siblings."""
+        common = None if mark else _SHARED.get(tag)
+        if common is None:
+            return self.add(tag, mark, parent, label)
+        node = self.shared.get((parent, common))
+        if node is None:
+            node = self.shared[parent, common] = self.add(common, mark, parent, label)
+        return node
 
     def add(self, tag: str, mark: str, parent: int, label: str | None = None) -> int:
         self.tags.append(tag)
@@ -169,7 +183,7 @@ def parse(html: str) -> Page:
         node = stack[-1][1]
         if tag in _BLOCK:
             texts.append((-1, " ", False))
-            node = page.add(tag, mark, node, label)
+            node = page.block(tag, mark, node, label)
         elif mark:
             node = page.add(tag, mark, node, label)
         links += tag == "a"
@@ -369,6 +383,9 @@ class _Layouts:
         if body and r.random() < 0.25:
             body = self.el("header", 1, body)
         parts = [self.prose(1, 1, 4) for _ in range(r.randint(1, 4))]
+        if r.random() < 0.3:  # chapters of many short or tiny paragraphs
+            high = r.choice((2, 5, 12))
+            parts.append("".join(self.el("p", 1, self.words(1, high)) for _ in range(r.randint(8, 60))))
         for _ in range(r.choice((0, 0, 1, 1, 2, 3, 4))):
             parts.insert(r.randint(0, len(parts)), self.extra())
         body += "".join(parts)
@@ -381,7 +398,7 @@ class _Layouts:
             core = self.el("main", 1, core + (self.talk() if r.random() < 0.3 else ""))
         if r.random() < 0.15:
             core = body  # paragraphs straight in the page
-        before = [f() for f in (lambda: self.el("header", 0, self.el("h1", 0, self.words(1, 3)) + self.menu(), r.choice((None, self.HEAD))), self.menu, lambda: self.small(self.AD), lambda: self.small(self.NOTICE), self.aside, self.form) if r.random() < 0.4]
+        before = [f() for f in (lambda: self.el("header", 0, self.el(r.choice(("h1", "h1", "p", "div")), 0, self.words(1, 6)) + (self.menu() if r.random() < 0.5 else ""), r.choice((None, self.HEAD))), self.menu, lambda: self.small(self.AD), lambda: self.small(self.NOTICE), self.aside, self.form) if r.random() < 0.4]
         after = [f() for f in (self.aside, self.talk, lambda: self.small(self.AD), self.form, lambda: self.small(self.NOTICE), self.menu) if r.random() < 0.35]
         foot = self.el("footer", 0, f"&copy; {self.words(2, 15)}", r.choice((None, self.FOOT))) if r.random() < 0.6 else self.small(self.FOOT, ("div",))
         r.shuffle(before)
