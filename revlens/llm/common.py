@@ -42,6 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_back(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with what was aggregated from them by `keys`. The hash as one more key has both sides dealt afresh: an aggregate that kept its own dealing would
+    bind the join to it, and adaptive execution could not split a hot key's rows."""
+    left, right = (df.withColumn("_key_hash", F.hash(*keys)) for df in (rows, totals))
+    return left.join(right, ["_key_hash", *keys], how).drop("_key_hash")
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing will read again, and let Spark drop shuffle files of finished steps."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, join_back, materialize
 from .graph import components
 
 RADIUS = 2
@@ -96,7 +96,7 @@ def _links(distinct: DataFrame) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     dealt = distinct.select("fp", "rep", F.inline(tables))
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("members")).filter("members > 1")
-    members = materialize(dealt.join(sizes, ["t", "key"]), "buckets")
+    members = materialize(join_back(dealt, sizes, ["t", "key"]), "buckets")
     small = members.filter(F.col("members") <= BUCKET).groupBy("t", "key").agg(
         F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")
     )
@@ -106,7 +106,7 @@ def _links(distinct: DataFrame) -> DataFrame:
         "fp", "rep", F.explode(F.element_at(free, F.col("t") + 1)).alias("flip")
     ).select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     least = around.groupBy("value").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").drop("most")
-    return pairs.union(around.join(least, "value").filter("rep <> least").select("rep", "least"))
+    return pairs.union(join_back(around, least, ["value"]).filter("rep <> least").select("rep", "least"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_table, materialize
+from .common import as_bytes, drop_table, join_back, materialize
 from .suffixsort import deep_shallow_order
 
 LENGTH, GRAM = 200, 32
@@ -244,11 +244,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     the tables on the way there are gone again."""
     found = materialize(_numbered(docs).mapInArrow(_anchor_rows, "doc_id long, place long, gram long, context long"), "anchors")
     again = found.groupBy("gram").agg(F.count("*").alias("all")).filter("all > 1").select("gram")
-    rows = materialize(found.join(again, "gram", "left_semi"), "repeated-anchors")
+    rows = materialize(join_back(found, again, ["gram"], "left_semi"), "repeated-anchors")
     drop_table(found)
     counted = rows.groupBy("gram", "context").agg(F.count("*").alias("times"))
     grams = counted.groupBy("gram").agg(F.count("*").alias("contexts"))
-    doubtful = counted.join(grams, "gram").filter("times > 1 OR contexts > 1")
+    doubtful = join_back(counted, grams, ["gram"]).filter("times > 1 OR contexts > 1")
     marked = materialize(rows.join(doubtful, ["gram", "context"]), "doubtful")
     drop_table(rows)
     open_rows = marked.filter("contexts > 1")
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         contexts.filter("large").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
     )
     twice = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
-    edge = windows.join(twice, ["h1", "h2"]).select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
+    edge = join_back(windows, twice, ["h1", "h2"]).select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
     first = F.shiftright("place", 32)
     settled = marked.filter("times > 1").select(
         "doc_id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("place", 24).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
