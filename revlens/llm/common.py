@@ -42,6 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, so that names that an operator adds can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unpacked(struct: str, columns: list[str]) -> list[Column]:
+    return [F.col(struct)[c].alias(c) for c in columns]
+
+
 def join_back(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows with what was aggregated from them by `keys`. The hash as one more key has both sides dealt afresh: an aggregate that kept its own dealing would
     bind the join to it, and adaptive execution could not split a hot key's rows."""

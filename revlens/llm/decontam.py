@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 WINDOW = 13
 HEAD = 3
 BLOCK_WORDS = 1_000_000
@@ -131,13 +133,13 @@ def _verdict(n_words: int, matches: list[dict]) -> dict:
     return {"n_words": n_words, "n_hit": hit, "items": sorted({m["item"] for m in matches}), "matches": matches, "contaminated": hit > 0 and 20 * hit >= n_words}
 
 
-def _matcher(block, first: bool, keep: Sequence[str]):
-    """block: a broadcast of TestSuffixes."""
+def _matcher(block, first: bool, keep: Sequence[str], texts_in: str):
+    """block: a broadcast of TestSuffixes; texts_in: the column of texts."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = block.value
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column("_text")]
+            texts = [x.as_py() or b"" for x in batch.column(texts_in)]
             numbers = [_numbers(t, tests.vocabulary) for t in texts]
             sizes = np.array([len(x) for x in numbers], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -178,16 +180,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str
     """The columns `keep` of docs and `decon`: n_words, n_hit, items, matches (longest verbatim, with places), contaminated."""
     spark = docs.sparkSession
     keep = [c for c in keep if c != "decon"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    now = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    text = "text_"
+    while text in keep:
+        text += "_"
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
+    now = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias(text))
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
     for k, block in enumerate(blocks):
-        more = [] if k == len(blocks) - 1 else ["_text"]
-        schema = kept + ", " * bool(kept) + ("_text binary, " if more else "") + f"decon {DECON}"
-        now = now.mapInArrow(_matcher(block, k == 0, [*keep, *more]), schema)
+        more = [] if k == len(blocks) - 1 else [text]
+        schema = kept + ", " * bool(kept) + (f"{text} binary, " if more else "") + f"decon {DECON}"
+        now = now.mapInArrow(_matcher(block, k == 0, [*keep, *more], text), schema)
     return now
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without contaminated documents."""
-    return find_contamination(docs, benchmark, docs.columns).filter(~F.col("decon.contaminated")).select(*docs.columns)
+    rows = docs.select(packed(docs).alias("d"), "text")
+    return find_contamination(rows, benchmark, ["d"]).filter(~F.col("decon.contaminated")).select(*unpacked("d", docs.columns))

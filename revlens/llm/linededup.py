@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, ascii_lower, materialize
+from .common import WHITE, ascii_lower, materialize, packed
 
 #: Into so many tasks the documents of one line are dealt before they are counted.
 SLOTS = 64
@@ -88,22 +88,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with text replaced by its kept lines, and a struct `line_dedup` of n_lines and n_dropped."""
-    right = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
-    joined = (
-        docs.withColumn("_this", _row_hash())
-        .join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_this") == F.col("_row")), "left")
-        .withColumn("_lines", _lines())
-    )
-    kept = F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(
-        F.expr("filter(_lines, (x, i) -> (shiftright(coalesce(try_element_at(_dropped, shiftright(i, 6)), 0L), i % 64) & 1L) = 0L)")
-    )
-    counted = joined.withColumn("_kept", kept).withColumn(
-        "line_dedup",
-        F.struct(F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped")),
-    )
-    return counted.withColumn("text", F.array_join("_kept", "\n")).select(
-        *[c for c in docs.columns if c != "line_dedup"], "line_dedup"
+    left = docs.select(packed(docs).alias("d"), F.col("doc_id").alias("l_doc"), _row_hash().alias("l_row"))
+    right = bitmaps.select(F.col("doc_id").alias("r_doc"), F.col("row").alias("r_row"), "dropped")
+    joined = left.join(right, F.col("l_doc").eqNullSafe(F.col("r_doc")) & (F.col("l_row") == F.col("r_row")), "left")
+    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(
+        F.expr("filter(lines, (x, i) -> (shiftright(coalesce(try_element_at(dropped, shiftright(i, 6)), 0L), i % 64) & 1L) = 0L)")
     )
+    cut = joined.select("d", "dropped", _lines("d.text").alias("lines")).withColumn("kept", kept)
+    counts = F.struct(F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
+    text = F.array_join("kept", "\n").alias("text")
+    columns = [text if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c != "line_dedup"]
+    return cut.select(*columns, counts.alias("line_dedup"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

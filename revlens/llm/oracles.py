@@ -64,7 +64,7 @@ WITH w AS (
   SELECT sum(x) / sum(n) AS m, greatest(sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2, 0) AS spread,
          (sum(x) / sum(n)) * (1 - sum(x) / sum(n)) AS noise, count(*) / sum(n) AS share FROM h
 ), k AS (
-  SELECT m, least(greatest(CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 1000 END, 1), 1000) AS weight
+  SELECT m, least(greatest(CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 1000 END, 10), 1000) AS weight
   FROM p
 ), v AS (
   SELECT source, (x + greatest(m, 0.001) * weight) / (n + greatest(m, 0.001) * weight + greatest(1 - m, 0.001) * weight) > 0.5 AS rejected

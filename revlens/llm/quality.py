@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, materialize, packed, unpacked
 
 SYMBOLS = b"#*$%&|<>"
 _WHITE, _CONTINUATION = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0))
@@ -101,7 +101,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 def beta_prior(hosts: int, docs: int, inverse: float, failures: int, square: float) -> tuple[float, float]:
     """alpha, beta by moments of the rates over hosts; square is the sum of failures^2 / docs, inverse that of 1 / docs.
-    The prior weighs between 1 and 1000 documents."""
+    The prior weighs as much as 10 to 1000
+    documents, so a host of a few documents is never condemned by them alone."""
     if not docs:
         return 0.5, 0.5
     mean = failures / docs
@@ -109,7 +110,7 @@ def beta_prior(hosts: int, docs: int, inverse: float, failures: int, square: flo
     noise = mean * (1 - mean)
     between = spread - noise * hosts / docs
     weight = (noise - spread) / between if between > 0 else 1000.0
-    weight = min(max(weight, 1.0), 1000.0)
+    weight = min(max(weight, 10.0), 1000.0)
     floor = 1e-3
     return max(mean, floor) * weight, max(1 - mean, floor) * weight
 
@@ -144,6 +145,7 @@ def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5) ->
     schema = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), as_bytes().alias("text"))
     measured = materialize(slim.mapInArrow(_measured, schema), "measured")
-    rejected = materialize(host_rates(measured).filter(F.col("base_rate") > host_limit).select(F.col("host").alias("_rejected")), "rejected-hosts")
+    rejected = materialize(host_rates(measured).filter(F.col("base_rate") > host_limit).select(F.col("host").alias("rejected")), "rejected-hosts")
     good = docs.mapInArrow(passing, docs.schema)
-    return good.join(rejected, good[host].cast("string").eqNullSafe(rejected["_rejected"]), "left_anti")
+    left = good.select(packed(good).alias("d"), F.col(host).cast("string").alias("of"))
+    return left.join(rejected, F.col("of").eqNullSafe(F.col("rejected")), "left_anti").select(*unpacked("d", docs.columns))

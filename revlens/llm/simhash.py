@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_back, materialize
+from .common import as_bytes, join_back, materialize, packed, unpacked
 from .graph import components
 
 RADIUS = 2
@@ -70,11 +70,12 @@ def _signed(x: int) -> int:
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row is a bucket: fingerprints and the ids that stand for them. Out: a forest of links within the radius."""
+    """A row is a bucket of fingerprints. Out: a forest of links within the radius."""
     for batch in batches:
         left, right = [], []
-        for fps, reps in zip(batch.column(0), batch.column(1), strict=True):
-            f, ids = np.array(fps.as_py(), np.int64).view(np.uint64), reps.as_py()
+        for fps in batch.column(0):
+            ids = fps.as_py()
+            f = np.array(ids, np.int64).view(np.uint64)
             reached = np.zeros(len(f), bool)
             for root in range(len(f)):
                 if reached[root]:
@@ -91,44 +92,37 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(distinct: DataFrame) -> DataFrame:
-    """distinct (fp, rep) -> a, b: reps of fingerprints within the radius; enough of them to span every component."""
+    """distinct (fp) -> a, b: fingerprints within the radius; enough of them to span every component."""
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    dealt = distinct.select("fp", "rep", F.inline(tables))
+    dealt = distinct.select("fp", F.inline(tables))
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialize(join_back(dealt, sizes, ["t", "key"]), "buckets")
-    small = members.filter(F.col("members") <= BUCKET).groupBy("t", "key").agg(
-        F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")
-    )
-    pairs = small.select("fps", "reps").mapInArrow(_close_pairs, "a long, b long")
+    small = members.filter(F.col("members") <= BUCKET).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
+    pairs = small.select("fps").mapInArrow(_close_pairs, "a long, b long")
     free = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
-    around = members.filter(F.col("members") > BUCKET).select(
-        "fp", "rep", F.explode(F.element_at(free, F.col("t") + 1)).alias("flip")
-    ).select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    least = around.groupBy("value").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").drop("most")
-    return pairs.union(join_back(around, least, ["value"]).filter("rep <> least").select("rep", "least"))
+    around = members.filter(F.col("members") > BUCKET).select("fp", F.explode(F.element_at(free, F.col("t") + 1)).alias("flip"))
+    around = around.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
+    least = around.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").drop("most")
+    return pairs.union(join_back(around, least, ["value"]).filter("fp <> least").select("fp", "least"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, row (hash of the text), fp (long), component_id (smallest doc_id reachable)."""
+    """docs (doc_id, text) -> doc_id, row (hash of the text), fp (long), group (least fingerprint reachable), component_id (smallest doc_id reachable)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes()).alias("row"), as_bytes().alias("text"))
     prints = materialize(slim.mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    found = components(_links(distinct.filter("rep IS NOT NULL")))
-    # Reached only through rows without a doc_id: such fingerprints are not bridges, as they have no name to report.
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "row", "fp", "component_id")
+    found = components(_links(distinct.select("fp")))
+    groups = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("least"))
+    names = groups.groupBy("least").agg(F.min("rep").alias("component_id"))
+    named = join_back(groups.select("fp", "least"), names, ["least"]).select("fp", F.col("least").alias("group"), "component_id")
+    return prints.join(named, "fp").select("doc_id", "row", "fp", "group", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns: of each group of near duplicates the row with the smallest doc_id, once."""
-    marked = near_duplicates(docs)
-    first = marked.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("row"))
-    nameless = marked.filter("component_id IS NULL").groupBy("fp").agg(F.min("row").alias("row")).select(F.lit(None).cast("long").alias("doc_id"), "row")
-    kept = materialize(first.union(nameless).distinct(), "kept").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-    return (
-        docs.withColumn("_this", F.xxhash64(as_bytes()))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_this") == F.col("_row")), "left_semi")
-        .dropDuplicates(["doc_id", "_this"])
-        .select(*docs.columns)
-    )
+    first = near_duplicates(docs).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("one"))
+    kept = materialize(first.select(F.col("one.doc_id").alias("r_doc"), F.col("one.row").alias("r_row")), "kept")
+    left = docs.select(packed(docs).alias("d"), F.col("doc_id").cast("long").alias("l_doc"), F.xxhash64(as_bytes()).alias("l_row"))
+    same = F.col("l_doc").eqNullSafe(F.col("r_doc")) & (F.col("l_row") == F.col("r_row"))
+    return left.join(kept, same, "left_semi").dropDuplicates(["l_doc", "l_row"]).select(*unpacked("d", docs.columns))
