@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cell, lines_of, location, short
+from ..functions.text import cell, lines_of, location, short, strip
 from ..kinds import LEVELS, level_rank, with_kind
 from ..operators import matching
 
@@ -105,9 +105,12 @@ def comments(cases: DataFrame, findings: DataFrame, run: str, model: str | None
     line = F.struct("level", "file", "line", "ord", "severity", F.concat(F.lit("| "), "severity", F.lit(" | `"), cell(F.col("type")), F.lit("` | `"), cell(location(F.col("file"), F.col("line"), F.col("end_line"))), F.lit("` | "), cell(F.col("message")), F.lit(" |")).alias("row"))
     by_case = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     out = cases.select("case_id", "pull_request", "head_commit", F.exists(F.map_keys("head_files"), lambda k: k.endswith(".py")).alias("source")).join(by_case, "case_id", "left")
-    counts = F.array_join(
-        F.array_compact(F.array(*[F.when(F.size(F.filter("lines", lambda x, v=v: x["severity"] == v)) > 0, F.concat(F.size(F.filter("lines", lambda x, v=v: x["severity"] == v)).cast("string"), F.lit(f" {v}"))) for v in LEVELS])), ", "
-    )
+
+    def tally(level: str):
+        found = F.size(F.filter("lines", lambda x: x["severity"] == level))
+        return F.when(found > 0, F.concat(found.cast("string"), F.lit(f" {level}")))
+
+    counts = F.array_join(F.array_compact(F.array(*[tally(level) for level in LEVELS])), ", ")
     n = F.coalesce(F.size("lines"), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
     table = F.flatten(
@@ -132,7 +135,7 @@ def comment_plan(wanted: DataFrame, existing: DataFrame, heads: DataFrame | None
     ours = existing.filter(~F.coalesce("inline", F.lit(False)) & ~F.coalesce("deleted", F.lit(False)) & F.col("raw").startswith(HEADING))
     first = ours.groupBy("pull_id").agg(F.min("id").alias("comment_id"), F.min_by("raw", "id").alias("raw"))
     out = wanted.join(first, "pull_id", "left")
-    action = F.when(F.col("comment_id").isNull(), "create").when(F.trim("raw") == F.trim("body"), "unchanged").otherwise("update")
+    action = F.when(F.col("comment_id").isNull(), "create").when(strip(F.col("raw")) == strip(F.col("body")), "unchanged").otherwise("update")
     if heads is not None:
         out = out.join(heads.select("pull_id", "current"), "pull_id", "left")
         same = F.startswith("current", F.col("head_commit")) | F.startswith("head_commit", F.col("current"))

@@ -11,16 +11,12 @@ from ..functions.answers import parse_answers, parse_verdicts, response_schema,
 from ..functions.text import clamp
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
 from ..sources.model import complete_packs
+from ..sources.scratch import kept
 
 CLAIM = ["case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote"]
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def _in_memory(rows: DataFrame, name: str) -> DataFrame:
-    """The default way to hold model answers; give `keep` a function that writes a table to survive lost executors."""
-    return rows.persist()
-
-
 def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame) -> DataFrame:
     """pulls, diffs (pull_id, diff), trees (commit, path, text), keys (pull_id, ...) -> cases. Fails if a key was written for another commit, or a changed file is in no tree."""
     source = F.col("source.commit.hash")
@@ -78,11 +74,11 @@ def held_to_change(claims: DataFrame, cases: DataFrame, with_deletions: bool = T
     """(claims in scope and anchored, scope decisions, anchor decisions)"""
     scoped = anchoring.scope(claims, cases)
     decided = anchoring.anchor(scoped.filter("kept").drop("kept", "detail"), cases, with_deletions=with_deletions)
-    kept = anchoring.anchored_only(decided).withColumn("end_line", F.col("line")).select(*CLAIM)
-    return kept, scoped, decided
+    held = anchoring.anchored_only(decided).withColumn("end_line", F.col("line")).select(*CLAIM)
+    return held, scoped, decided
 
 
-def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = _in_memory, detector: str = "model", case_ids: list[str] | None = None) -> dict[str, DataFrame]:
+def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None) -> dict[str, DataFrame]:
     """packs -> answers (only those that `stored` lacks) -> claims. The order is fixed: one a line, then the strongest, then scope, then anchor, so claims out of scope use
     up places."""
     if case_ids:
@@ -94,11 +90,11 @@ def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: in
         answers = answers.unionByName(stored.filter(F.coalesce("error", F.lit("")) == "").join(cases.select("case_id"), "case_id", "left_semi"))
     parsed, rejects = parse_answers(answers)
     strongest = reduce.cap(reduce.best_per_line(_as_claims(parsed, detector, "detect")), max_findings)
-    kept, scoped, decided = held_to_change(strongest, cases)
-    return {"packs": asked, "responses": answers, "rejects": rejects, "claims": strongest, "scope": scoped, "anchors": decided, "predictions": kept}
+    held, scoped, decided = held_to_change(keep(strongest, "claims"), cases)
+    return {"packs": asked, "responses": answers, "rejects": rejects, "claims": strongest, "scope": scoped, "anchors": decided, "predictions": keep(held, "predictions")}
 
 
-def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = _in_memory, detector: str = "model") -> dict[str, DataFrame]:
+def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model") -> dict[str, DataFrame]:
     """Asks again about changed code files that a first read left without a claim, and adds what is new as far as there is room."""
     remaining = reduce.targets(diff.files_of(cases), claims)
     asked = texts.continuation_packs(texts.packs(cases, with_facts=True, with_deletions=True), claims, remaining)
@@ -110,8 +106,9 @@ def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[
         counts = claims.groupBy("case_id").agg(F.count("*").alias("_have"))
         order = F.row_number().over(_by_strength())
         new = new.join(counts, "case_id", "left").withColumn("_nth", order).filter(F.col("_nth") + F.coalesce("_have", F.lit(0)) <= max_findings).drop("_nth", "_have")
-    kept, scoped, decided = held_to_change(new, cases)
-    return {"packs": asked, "responses": answers, "rejects": rejects, "added": kept, "scope": scoped, "anchors": decided, "predictions": reduce.appended(claims.select(*CLAIM), kept)}
+    held, scoped, decided = held_to_change(keep(new, "new-claims"), cases)
+    added = keep(held, "added")
+    return {"packs": asked, "responses": answers, "rejects": rejects, "added": added, "scope": scoped, "anchors": decided, "predictions": keep(reduce.appended(claims.select(*CLAIM), added), "predictions")}
 
 
 def _by_strength():
@@ -120,7 +117,7 @@ def _by_strength():
     return Window.partitionBy("case_id").orderBy(F.col("confidence").desc(), "ord")
 
 
-def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, keep: Keep = _in_memory) -> dict[str, DataFrame]:
+def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, keep: Keep = kept) -> dict[str, DataFrame]:
     """Each claim by itself, with tools; a decisive verdict needs evidence that exists. Stored verdicts are reused unless they failed."""
     known = claims.join(cases.select("case_id"), "case_id", "left_semi")
     if stored is not None:
@@ -131,7 +128,7 @@ def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable
     asked = texts.questions(rows.join(said, "type", "left"), named)
     answers = keep(workspace.ask_verdicts(asked, diff.files_of(cases), diff.base_revision(cases), diff.added_of(cases), make_chat, verdict_schema(), max_calls), "verdicts")
     joined = known.select("case_id", "ord", "file", "line", "type", F.col("message").alias("title")).join(answers, ["case_id", "ord"])
-    verdicts = anchoring.settle(parse_verdicts(joined), cases).drop("text")
+    verdicts = keep(anchoring.settle(parse_verdicts(joined), cases).drop("text"), "settled")
     if stored is not None:
         verdicts = verdicts.unionByName(stored.filter(F.coalesce("error", F.lit("")) == ""), allowMissingColumns=True)
     established = claims.join(reduce.last_verdicts(verdicts).filter("verdict = 'established'").select(*reduce.KEY), reduce.KEY, "left_semi")

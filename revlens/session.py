@@ -15,6 +15,7 @@ def session(app: str = "revlens", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.maxPlanStringLength": "200000",
     }
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)

@@ -30,7 +30,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def check_jsonl(spark: SparkSession, path: str, limit: int = 5) -> list[tuple[str, int]]:
     """(file, line number) of the first malformed lines, found by a scan that numbers lines within each file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     bad = text.filter(F.trim("line") != "").filter(F.try_parse_json("line").isNull())
     return [(r["file"], r["at"] + 1) for r in bad.orderBy("file", "at").limit(limit).collect()]
 

@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+os.environ |= {"FORGE_USER": "u", "FORGE_SECRET": "s"}  # before the workers' parent starts
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

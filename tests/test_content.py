@@ -3,7 +3,7 @@
 from revlens.functions import answers
 from revlens.operators import anchoring, packs, rules, symbols
 from revlens.operators.diff import files_of
-from revlens.operators.workspace import Workspace, review
+from revlens.operators.workspace import Interview, Workspace
 
 from .cases import claims, frame, make_case
 
@@ -124,9 +124,13 @@ def test_answers(spark):
 def test_tool_loop():
     space = Workspace({"a.py": "def f():\n    return g()\n", "b.py": "x = f()\n"}, {"a.py": "def f():\n    pass\n"}, {"a.py": [2]})
     assert space.find_definition("f") == "a.py:1: def f():" and space.find_usages("f") == "b.py:1: x = f()"
-    assert space.read_file("./a.py", 2, 2) == "a.py lines 2-2 of 3\n    2 + |     return g()\n... file continues to line 3"
-    assert "did you mean a.py" in space.read_file("zz/a.py") and "did not exist" in space.read_base("b.py")
-    assert space.search("") == "(nothing found)" and space.list_files("b") == "b.py" and "unknown tool" in space.call("rm", {}) and "bad arguments" in space.call("search", {"q": 1})
+    assert space.read_file("./a.py", 2, 2) == "a.py, 3 lines:\n    2 + |     return g()\n(1 further lines)"
+    assert "perhaps a.py" in space.read_file("zz/a.py") and "not there before" in space.read_base("b.py") and "| def f" in space.read_base("a.py")
+    assert space.search("") == "no hits" and space.list_files("b") == "b.py" and "unknown tool" in space.call("rm", {}) and "bad arguments" in space.call("search", {"q": 1})
     said = [{"error": "HTTPError 500"}, {"message": {"tool_calls": [{"function": {"name": "search", "arguments": '{"text": "x"}'}}] * 2}}, {"message": {"content": "done"}}, {"message": {"content": "{}"}}]
-    text, steps, calls = review(lambda *_, **k: said.pop(0), "q", space, {}, 4)
-    assert (text, calls) == ("{}", 2) and "resampled" in steps[0] and "made before" in steps[2]["result"]
+    talk = Interview(lambda *_, **k: said.pop(0), "q", space, 4)
+    talk.look()
+    assert (talk.answer({}), talk.calls) == ("{}", 2) and "resampled" in talk.steps[0] and "asked before" in talk.steps[2]["result"]
+    endless = Interview(lambda *_, **k: {"message": {"content": "c", "tool_calls": [{"function": {"name": "list_files", "arguments": {}}}] * 3}}, "q", space, 4)
+    endless.look()
+    assert endless.calls == 4
