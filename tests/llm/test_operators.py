@@ -164,7 +164,7 @@ def test_suffix_sort():
 def test_suffix_dedup(make_docs, corpus, edge_rows, monkeypatch):
     monkeypatch.setattr(suffixdedup, "_BLOCK", 700)  # long texts in several blocks
     rows = [r for r in edge_rows if r[0] not in (9, 10)] + corpus + [doc(900, "ab" * 900), doc(901, "ba" * 120 + "x"), doc(902, "é" * 150)]
-    for cap in (4096, 2):  # a small cap sends most edges through the count of windows
+    for cap in (1024, 2):  # a small cap sends most edges through the count of windows
         monkeypatch.setattr(suffixdedup, "GROUP", cap)
         got = suffixdedup.remove_repeats(make_docs(rows)).collect()
         same([(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in got], brute.repeats(rows))
