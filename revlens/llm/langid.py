@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, materialize
 
 ROWS_PER_LANGUAGE = 3000
 BINS = 1 << 15
+#: The sample is written once, in so many parts, and read by both training passes.
+SAMPLE_TASKS = 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 FOLDS = 5
@@ -128,9 +130,9 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang."""
     spark = docs.sparkSession
     rows = sampled(docs.filter(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text"), "lang", rows_per_language, 6)
-    rows = rows.select("lang", as_bytes().alias("text"))
+    rows = materialize(rows.select("lang", as_bytes().alias("text")).repartition(SAMPLE_TASKS), "language-sample")
     sums: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(_counted, "lang string, counts binary").toLocalIterator():  # tasks x languages rows, one at a time
+    for r in rows.mapInArrow(_counted, "lang string, counts binary").collect():  # as many rows as tasks times languages
         part = np.frombuffer(bytes(r["counts"]), np.int64)
         sums[r["lang"]] = sums.get(r["lang"], 0) + part
     languages = sorted(sums)
@@ -159,7 +161,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([right.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["right", "seen"])
 
     right, seen = np.zeros_like(code), np.zeros(len(languages))
-    for r in rows.mapInArrow(right_bits, "right binary, seen binary").toLocalIterator():
+    for r in rows.mapInArrow(right_bits, "right binary, seen binary").collect():
         right += np.frombuffer(bytes(r["right"])).reshape(code.shape)
         seen += np.frombuffer(bytes(r["seen"]))
     accuracy = (right + 1) / (seen[:, None] + 2)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize
-from .langid import FOLDS, held_out, sampled
+from .langid import FOLDS, SAMPLE_TASKS, held_out, sampled
 
 ROWS_PER_CLASS = 10_000
 #: Features kept for scoring, by significance.
@@ -178,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     chosen = sampled(known, "toxic", rows_per_class, 7)
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLDS - 1
     rows = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", part.alias("calibrate"))
+    rows = materialize(rows.repartition(SAMPLE_TASKS), "toxicity-sample")
     counted = rows.filter("NOT calibrate").select("toxic", "text").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
     counted = materialize(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "features")
     total = counted.agg(
