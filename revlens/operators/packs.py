@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..definitions import definitions
 from ..functions.text import estimated_tokens, strip
-from ..kinds import catalogue
 from .diff import files_of, printed_rows
 from .symbols import facts
 
@@ -20,7 +20,7 @@ LINE_FEED = "\n"
 
 
 def system_prompt() -> str:
-    return LINE_FEED.join([SYSTEM, "", "Kinds:", *(f"- `{kind}`" for kind in catalogue())])
+    return LINE_FEED.join([SYSTEM, "", "Kinds:", *(f"- `{kind}`: {text}" for kind, text in definitions().items())])
 
 
 def _joined(*parts: Column) -> Column:

@@ -74,6 +74,23 @@ def json_report(entry_rows: DataFrame, scores: DataFrame, manifest: dict, tolera
     return head.unionByName(body)
 
 
+def text_header(entry_rows: DataFrame, scores: DataFrame, manifest: dict, tolerance: int = 10) -> DataFrame:
+    """One row, text: what was reviewed, how much was found, and how well at each rung."""
+    card = F.format_string("  %-9s TP=%-4d FP=%-4d FN=%-4d P=%.3f R=%.3f F1=%.3f", "rung", "tp", "fp", "fn", "precision", "recall", "f1")
+    rungs = scores.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rung", card.alias("card")))), lambda x: x["card"]), "\n").alias("cards"))
+    labelled = entry_rows.agg(F.coalesce(F.bool_or("labelled"), F.lit(False)).alias("labelled"))
+    accuracy = F.when(F.col("labelled"), F.concat(F.lit(f"Accuracy: within {tolerance} lines\n"), F.col("cards"))).otherwise("Accuracy: no answer key")
+    lines = F.concat_ws(
+        "\n",
+        F.lit(f"Repository: {manifest.get('repository') or '-'}"),
+        F.lit(f"Model: {manifest.get('model') or '-'}"),
+        F.format_string("Pull requests: %d (%d with findings)", "pull_requests", "pull_requests_with_findings"),
+        F.format_string("Findings: %d", "findings"),
+        accuracy,
+    )
+    return summary(entry_rows).join(rungs).join(labelled).select(lines.alias("text"))
+
+
 def text_report(entry_rows: DataFrame) -> DataFrame:
     """case_id, text: each case's findings and missed labels in plain text."""
 

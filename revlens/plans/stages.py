@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..definitions import definition_table
 from ..functions.answers import parse_answers, parse_verdicts, response_schema, verdict_schema
 from ..functions.text import clamp
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
@@ -78,11 +79,13 @@ def held_to_change(claims: DataFrame, cases: DataFrame, with_deletions: bool = T
     return held, scoped, decided
 
 
-def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None) -> dict[str, DataFrame]:
+def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0) -> dict[str, DataFrame]:
     """packs -> answers (only those that `stored` lacks) -> claims. The order is fixed: one a line, then the strongest, then scope, then anchor, so claims out of scope use
     up places."""
     if case_ids:
         cases = cases.filter(F.col("case_id").isin(*case_ids))
+    if limit > 0:
+        cases = cases.orderBy("case_id").limit(limit)
     asked = texts.packs(cases, with_facts=True, with_deletions=True)
     wanted = asked if stored is None else reduce.unanswered(asked, stored)
     answers = keep(complete_packs(wanted, make_client, response_schema()), "responses")
@@ -117,15 +120,17 @@ def _by_strength():
     return Window.partitionBy("case_id").orderBy(F.col("confidence").desc(), "ord")
 
 
-def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, keep: Keep = kept) -> dict[str, DataFrame]:
+def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, limit: int = 0, keep: Keep = kept) -> dict[str, DataFrame]:
     """Each claim by itself, with tools; a decisive verdict needs evidence that exists. Stored verdicts are reused unless they failed."""
     known = claims.join(cases.select("case_id"), "case_id", "left_semi")
+    if limit > 0:
+        known = known.orderBy("case_id", "ord").limit(limit)
     if stored is not None:
         good = stored.filter(F.coalesce("error", F.lit("")) == "").select(*reduce.KEY).distinct()
         known = known.join(good, reduce.KEY, "left_anti")
     rows = diff.excerpts(cases, known, radius, with_deletions=True)
-    said = definitions if definitions is not None else cases.sparkSession.createDataFrame([], "type string, definition string")
-    asked = texts.questions(rows.join(said, "type", "left"), named)
+    said = definitions if definitions is not None else definition_table(cases.sparkSession)
+    asked = texts.questions(rows.join(F.broadcast(said), "type", "left"), named)
     answers = keep(workspace.ask_verdicts(asked, diff.files_of(cases), diff.base_revision(cases), diff.added_of(cases), make_chat, verdict_schema(), max_calls), "verdicts")
     joined = known.select("case_id", "ord", "file", "line", "type", F.col("message").alias("title")).join(answers, ["case_id", "ord"])
     verdicts = keep(anchoring.settle(parse_verdicts(joined), cases).drop("text"), "settled")
@@ -169,6 +174,22 @@ def publish_counts(claims: DataFrame, published_before_floor: DataFrame, rule_fi
     return parts.join(rule_findings.agg(F.count("*").alias("_all"))).select("from_model", "from_rules", (F.col("_all") - F.col("from_rules")).alias("already_covered"), "below_floor")
 
 
+def continue_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row about a continuation: cases asked, failed calls, rejects, claims added, out of scope, unsupported."""
+    rows = [
+        parts["packs"].agg(F.count("*").alias("asked")), parts["responses"].agg(F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures")), parts["rejects"].agg(F.count("*").alias("rejects")),
+        parts["added"].agg(F.count("*").alias("added")), parts["scope"].agg(F.count_if(~F.col("kept")).alias("out_of_scope")), parts["anchors"].agg(F.count_if(F.col("verdict") == "unsupported").alias("unsupported")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.join(r)
+    return out
+
+
+def case_counts(cases: DataFrame) -> DataFrame:
+    return cases.agg(F.count("*").alias("cases"), F.count_if("labelled").alias("labelled"), F.count_if("is_defective").alias("defective"))
+
+
 def anchor_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("verdict").agg(F.count("*").alias("claims"))
 

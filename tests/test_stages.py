@@ -236,3 +236,23 @@ def test_stream(spark, cases, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_commands(spark, cases, tmp_path, capsys):
+    from revlens.__main__ import main
+
+    path, out = str(tmp_path / "cases.jsonl"), str(tmp_path / "runs")
+    tables.write_rows(cases, path, ["case_id"])
+
+    def run(*argv):
+        return main([*argv, "--out", out], spark)
+
+    assert run("detect", "--cases", path, "--stub", "silent", "--id", "d") == 0
+    assert run("rules", "--cases", path, "--id", "r") == 0
+    assert run("verify", "--run", "d", "--stub", "silent", "--id", "v1") == 0
+    assert run("publish", "--run", "v1", "--rules", "r", "--id", "p") == 0
+    assert run("report", "--run", "p", "--id", "rep") == 0
+    assert run("comment", "--run", "p", "--id", "c") == 0
+    assert "Findings: 1" in capsys.readouterr().out
+    assert [x["action"] for x in tables.read_manifest(f"{out}/c")["log"]] == ["create", "create"]
+    assert (tmp_path / "runs" / "rep" / "report.txt").exists()
