@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="revlens-"))
+    if context.applicationId not in _OWN:
+        folder = tempfile.mkdtemp(prefix="revlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[context.applicationId] = "file://" + folder
+    return _OWN[context.applicationId]
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:
