@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="revlens-")
+        folder = tempfile.mkdtemp(prefix="revlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[context.applicationId] = "file://" + folder
     return _OWN[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/revlens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/revlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table and archive that this application wrote; results that still read them must have been written elsewhere."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/revlens/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
