@@ -135,14 +135,14 @@ def parse(html: str) -> Page:
             continue
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if skipping is not None:
+            # An unclosed element doesn't swallow the page: a head ends at the first block, others where a block around them ends.
+            over = tag in _BLOCK and (not closing if skipping == "head" else closing and any(t == tag for t, _ in stack))
             if tag == skipping:
                 depth += -1 if closing else 0 if tag in _RAW else 1
-                if depth == 0:
-                    skipping = None
-            elif tag == "body" and skipping == "head" and not closing:
-                skipping = None
-                stack.append((tag, page.add(tag, _marks(attributes)[0], stack[-1][1])))
-            continue
+            if not over:
+                skipping = skipping if depth else None
+                continue
+            skipping = None
         if closing:
             block = tag in _BLOCK
             for k in range(len(stack) - 1, 0, -1):

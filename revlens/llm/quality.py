@@ -77,6 +77,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def measured_docs(docs: DataFrame, host: str) -> DataFrame:
+    """doc_id, host, MEASURES; written, since it is read for the rates and for the verdicts."""
+    schema = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), as_bytes().alias("text"))
+    return materialize(slim.mapInArrow(_measured, schema), "measured")
+
+
 def host_rates(measured: DataFrame) -> DataFrame:
     """host, docs and for each rule, and for `base` (either base rule), the failures and the shrunk rate."""
     names = [*RULES, "base"]
@@ -117,9 +124,7 @@ def beta_prior(hosts: int, docs: int, inverse: float, failures: int, square: flo
 
 def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
     """doc_id, host, the MEASURES, base_failed, host_rate (shrunk), host_rejected, kept: a row for each of docs."""
-    schema = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), as_bytes().alias("text"))
-    measured = materialize(slim.mapInArrow(_measured, schema), "measured")
+    measured = measured_docs(docs, host)
     verdicts = materialize(
         host_rates(measured).select(F.col("host").alias("of"), F.col("base_rate").alias("host_rate"), (F.col("base_rate") > host_limit).alias("host_rejected")),
         "host-verdicts",
@@ -142,9 +147,7 @@ def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5) ->
                 good.append(len(words) >= 10 and 100 * repeated_words(words) <= 20 * len(words))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    schema = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), as_bytes().alias("text"))
-    measured = materialize(slim.mapInArrow(_measured, schema), "measured")
+    measured = measured_docs(docs, host)
     rejected = materialize(host_rates(measured).filter(F.col("base_rate") > host_limit).select(F.col("host").alias("rejected")), "rejected-hosts")
     good = docs.mapInArrow(passing, docs.schema)
     left = good.select(packed(good).alias("d"), F.col(host).cast("string").alias("of"))
