@@ -23,25 +23,33 @@ def cap(claims: DataFrame, limit: int, room: bool = False) -> DataFrame:
     return claims.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit).drop("_nth")
 
 
-def _leaders(strength: Column, radius: int, start: Column) -> Column:
-    """Greedy: in order, a line is kept if no kept line is within the radius. start: lines kept beforehand."""
-    kept = F.struct(start.alias("lines"), F.array().cast("array<bigint>").alias("ords"))
+def _leaders(rows: Column, radius: int, start: Column) -> Column:
+    """Greedy: of the rows in order, one is kept if no kept line is within the radius. start: lines kept beforehand."""
+    kept = F.struct(start.alias("lines"), F.slice(rows, 1, 0).alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
         near = F.exists(acc["lines"], lambda n: F.abs(n - x["line"]) <= radius)
-        more = F.struct(F.array_append(acc["lines"], x["line"]).alias("lines"), F.array_append(acc["ords"], x["ord"]).alias("ords"))
-        return F.when(near, acc).otherwise(more)
+        return F.when(near, acc).otherwise(F.struct(F.array_append(acc["lines"], x["line"]).alias("lines"), F.array_append(acc["taken"], x).alias("taken")))
 
-    return F.aggregate(strength, kept, step, lambda acc: acc["ords"])
+    return F.aggregate(rows, kept, step, lambda acc: acc["taken"])
+
+
+def _islands(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """rows with `island`: within a key, lines in order, a new one wherever the next line is further than the radius. What is near a line is in its
+    island, so each is folded by itself and stays small however many rows a key has."""
+    order = Window.partitionBy(*keys).orderBy("line")
+    apart = F.coalesce((F.col("line") - F.lag("line").over(order) > radius).cast("int"), F.lit(0))
+    return rows.withColumn("_apart", apart).withColumn("island", F.sum("_apart").over(order)).drop("_apart")
 
 
 def one_per_site(claims: DataFrame, radius: int = 5) -> DataFrame:
     """Of claims of one case and file within `radius` lines of each other, the most confident stays (ties: the smaller line, then the earlier
     one). Claims without a line never merge."""
-    placed = claims.filter("line IS NOT NULL")
+    keys = ["case_id", "file"]
+    placed = _islands(claims.filter("line IS NOT NULL"), keys, radius)
     order = F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("weak"), F.col("line").cast("int").alias("line"), F.col("ord").cast("long").alias("ord"))))
-    kept = placed.groupBy("case_id", "file").agg(_leaders(order, radius, F.array().cast("array<int>")).alias("ords"))
-    stays = placed.join(kept.select("case_id", "file", F.explode("ords").alias("ord")), ["case_id", "file", "ord"], "left_semi")
+    kept = placed.groupBy(*keys, "island").agg(_leaders(order, radius, F.array().cast("array<int>")).alias("taken"))
+    stays = placed.join(kept.select(*keys, F.explode("taken.ord").alias("ord")), [*keys, "ord"], "left_semi")
     return stays.select(*claims.columns).unionByName(claims.filter("line IS NULL"))
 
 
@@ -49,12 +57,16 @@ def fill_gaps(published: DataFrame, extra: DataFrame, radius: int = 5, scope: st
     """The rows of `extra` that have no published line of their file within `radius`, in order; a kept one suppresses later ones. scope `case` compares
     within a case, `global` across cases."""
     keys = ["case_id", "file"] if scope == "case" else ["file"]
-    covered = published.filter("line IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.col("line").cast("int")).alias("covered"))
-    order = F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("line").cast("int").alias("line"))))
-    waiting = extra.filter("line IS NOT NULL").groupBy(*keys).agg(order.alias("waiting"))
-    none = F.array().cast("array<int>")
-    kept = waiting.join(covered, keys, "left").select(*keys, F.explode(_leaders(F.col("waiting"), radius, F.coalesce("covered", none))).alias("ord"))
-    placed = extra.join(kept, [*keys, "ord"], "left_semi").select(*extra.columns)
+    line, none = F.col("line").cast("int").alias("line"), F.lit(None).cast("long")
+    taken = published.filter("line IS NOT NULL").select(*keys, line, none.alias("ord")).distinct()
+    name = F.col("case_id").cast("string").alias("of")
+    both = taken.withColumn("of", F.lit(None).cast("string")).unionByName(extra.filter("line IS NOT NULL").select(*keys, line, F.col("ord").cast("long").alias("ord"), name))
+    new = F.col("ord").isNotNull()
+    waiting = F.array_sort(F.collect_list(F.when(new, F.struct("ord", "of", "line"))))
+    covered = F.collect_list(F.when(~new, F.col("line")))
+    kept = _islands(both, keys, radius).groupBy(*keys, "island").agg(_leaders(waiting, radius, covered).alias("taken"))
+    rows = kept.select("file", F.inline("taken")).select("file", "ord", F.col("of").alias("case_id"))
+    placed = extra.join(rows, ["case_id", "file", "ord"], "left_semi").select(*extra.columns)
     return placed.unionByName(extra.filter("line IS NULL"))
 
 
