@@ -95,21 +95,19 @@ def host_rates(measured: DataFrame) -> DataFrame:
     moments = hosts.agg(
         F.count("*").alias("hosts"),
         F.sum("docs").alias("docs"),
-        F.sum(1 / F.col("docs")).alias("inverse"),
         *[F.sum(f"{r}_failures").alias(f"{r}_sum") for r in names],
         *[F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("docs")).alias(f"{r}_square") for r in names],
     ).first()
     out = hosts
     for r in names:
-        a, b = beta_prior(moments["hosts"], moments["docs"] or 0, moments["inverse"] or 0.0, moments[f"{r}_sum"] or 0, moments[f"{r}_square"] or 0.0)
+        a, b = beta_prior(moments["hosts"], moments["docs"] or 0, moments[f"{r}_sum"] or 0, moments[f"{r}_square"] or 0.0)
         out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failures") + F.lit(a)) / (F.col("docs") + F.lit(a + b)))
     return out
 
 
-def beta_prior(hosts: int, docs: int, inverse: float, failures: int, square: float) -> tuple[float, float]:
-    """alpha, beta by moments of the rates over hosts; square is the sum of failures^2 / docs, inverse that of 1 / docs.
-    The prior weighs as much as 10 to 1000
-    documents, so a host of a few documents is never condemned by them alone."""
+def beta_prior(hosts: int, docs: int, failures: int, square: float) -> tuple[float, float]:
+    """alpha, beta by moments of the rates over hosts; square is the sum of failures^2 / docs. The prior weighs as much as
+    10 to 1000 documents, so a host of a few documents is never condemned by them alone."""
     if not docs:
         return 0.5, 0.5
     mean = failures / docs

@@ -78,7 +78,7 @@ def test_hosts_are_shrunk(make_docs):
     got = {r["host"]: r for r in quality.apply_rules(make_docs(rows)).collect()}
     assert got["junk"]["host_rejected"] and not got["tiny"]["host_rejected"] and not got["h1"]["host_rejected"]
     assert 0.8 < got["junk"]["host_rate"] < 60 / 61 and got["tiny"]["host_rate"] < 1
-    assert quality.beta_prior(0, 0, 0.0, 0, 0.0) == (0.5, 0.5)
+    assert quality.beta_prior(0, 0, 0, 0.0) == (0.5, 0.5)
 
 
 def test_simhash(make_docs, corpus, edge_rows, monkeypatch):
