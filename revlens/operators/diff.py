@@ -6,7 +6,7 @@ lines are skipped. All steps are windows over the lines of one case in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,10 +45,11 @@ def diff_lines(cases: DataFrame) -> DataFrame:
     counted = marked.withColumn("old_seen", old_seen).withColumn("new_seen", new_seen)
     body = inside & ((F.col("old_seen") < F.col("old_len")) | (F.col("new_seen") < F.col("new_len")))
     counted = counted.withColumn("body", body)
-    paths = file_changes(counted)
+    in_block = Window.partitionBy("case_id", "block")
+    named = _named(counted.withColumns({n: c.over(in_block) for n, c in _file_columns().items()}))
     # A hunk without new lines starts behind the line that it names.
     first = F.when(F.col("new_len") == 0, F.col("new_start") + 1).otherwise(F.greatest(F.col("new_start"), F.lit(1)))
-    return counted.filter("body").join(paths, ["case_id", "block"]).select(
+    return named.filter("body").select(
         "case_id",
         "i",
         "block",
@@ -66,23 +67,28 @@ def diff_lines(cases: DataFrame) -> DataFrame:
     )
 
 
-def file_changes(tokens: DataFrame) -> DataFrame:
-    """case_id, block, old_path, path, is_new, is_deleted of each file that a diff names. tokens: lines with block and body."""
-    line = F.col("line")
-    head = tokens.filter("NOT body AND block > 0")
+def _file_columns() -> dict[str, Column]:
+    """Aggregates over the lines of one block: what its header says about the file."""
+    line, header = F.col("line"), ~F.col("body")
+
+    def after(prefix: str) -> Column:
+        return F.max(F.when(header & line.startswith(prefix), strip(F.substring(line, len(prefix) + 1, 2**31 - 1))))
 
-    def after(prefix: str):
-        return F.max(F.when(line.startswith(prefix), strip(F.substring(line, len(prefix) + 1, 2**31 - 1))))
+    def says(prefix: str) -> Column:
+        return F.bool_or(header & line.startswith(prefix))
 
-    renamed_to, renamed_from = after("rename to "), after("rename from ")
     own = F.max(F.when(line.startswith("diff --git "), strip(F.regexp_extract(line, r"^diff --git .*? b/(.*)$", 1))))
-    minus = F.max(F.when(line.startswith("--- a/"), strip(F.substring(line, 7, 2**31 - 1))))
-    return head.groupBy("case_id", "block").agg(
-        F.coalesce(renamed_from, minus, own).alias("old_path"),
-        F.coalesce(renamed_to, own).alias("path"),
-        F.bool_or(line.startswith("new file mode")).alias("is_new"),
-        F.bool_or(line.startswith("deleted file mode")).alias("is_deleted"),
-    )
+    return {"own": own, "renamed_to": after("rename to "), "renamed_from": after("rename from "), "minus": after("--- a/"), "is_new": says("new file mode"), "is_deleted": says("deleted file mode")}
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("old_path", F.coalesce("renamed_from", "minus", "own")).withColumn("path", F.coalesce("renamed_to", "own"))
+
+
+def file_changes(tokens: DataFrame) -> DataFrame:
+    """case_id, block, old_path, path, is_new, is_deleted of each file that a diff names. tokens: lines with block and body."""
+    made = tokens.filter("block > 0").groupBy("case_id", "block").agg(*[c.alias(n) for n, c in _file_columns().items()])
+    return _named(made).select("case_id", "block", "old_path", "path", "is_new", "is_deleted")
 
 
 def _tokens(cases: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="3g",
         spark__ui__showConsoleProgress="false",
+        spark__sql__adaptive__enabled="false",
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
