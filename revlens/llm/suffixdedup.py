@@ -30,7 +30,7 @@ from .suffixsort import deep_shallow_order
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one gram that may meet in a task.
-GROUP = 1024
+GROUP = 4096
 _BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
