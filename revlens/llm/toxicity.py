@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, join_back, materialize
 from .langid import FOLDS, SAMPLE_TASKS, held_out, sampled
 
 ROWS_PER_CLASS = 10_000
@@ -33,6 +34,7 @@ ROWS_PER_CLASS = 10_000
 LEXICON = 50_000
 PREFIXES = (6, 5, 4)
 LEAST_COUNT, LEAST_ODDS = 3, 1.0
+LEAST_FORMS, MOST_OF_ONE = 3, 0.7
 #: Score of any token outside the lexicon, and the most that one token can add.
 REST, MOST = -0.3, 4.0
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -141,6 +143,17 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's five-word shingles: texts with a similarity of s share it with probability s."""
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            words = text.as_py().lower().split()
+            shingles = (b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+            out.append(min(xxhash.xxh3_64_intdigest(s) for s in shingles) >> 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["toxic", "text", "calibrate", "signature"])
+
+
 def _karlin(lexical: list[tuple[float, int]], clean_tokens: int) -> tuple[float, float]:
     """lambda and K of local scores over clean tokens: (score, count) of lexicon features, REST for the others; one hit more
     than was seen, so that a spotless sample still leaves chance a share."""
@@ -178,6 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     chosen = sampled(known, "toxic", rows_per_class, 7)
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLDS - 1
     rows = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", part.alias("calibrate"))
+    # Copies, near ones too, would pass for many documents that share their words: one row a signature, of each label.
+    signed = rows.mapInArrow(_signatures, "toxic int, text binary, calibrate boolean, signature long")
+    rows = signed.groupBy("toxic", "signature").agg(F.min(F.struct("calibrate", F.xxhash64("text"), "text")).alias("r")).select("toxic", "r.text", "r.calibrate")
     rows = materialize(rows.repartition(SAMPLE_TASKS), "toxicity-sample")
     counted = rows.filter("NOT calibrate").select("toxic", "text").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
     counted = materialize(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "features")
@@ -193,10 +209,17 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         F.col("toxic") * F.log(F.col("toxic") / (both * share))
         + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)
     )
+    # A prefix speaks for words that were not seen only if several words share it and none of them makes up most of its count.
+    forms = counted.filter(~F.col("feature").endswith("*") & (F.col("toxic") > 0)).select(
+        F.explode(F.array(*[F.when(F.char_length("feature") >= n, F.concat(F.left("feature", F.lit(n)), F.lit("*"))) for n in PREFIXES])).alias("prefix"), "toxic"
+    )
+    forms = forms.filter("prefix IS NOT NULL").groupBy("prefix").agg(F.count("*").alias("forms"), (F.max("toxic") / F.sum("toxic")).alias("share_of_one"))
+    shared = forms.filter((F.col("forms") >= LEAST_FORMS) & (F.col("share_of_one") <= MOST_OF_ONE)).select(F.col("prefix").alias("feature"))
+    useful = counted.filter(~F.col("feature").endswith("*")).unionByName(join_back(counted.filter(F.col("feature").endswith("*")), shared, ["feature"], "left_semi"))
     strong = (
-        counted.filter((F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") > both * share))
+        useful.filter((F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") > both * share))
         .select("feature", "clean", "toxic", surprise.alias("surprise"))
-        .filter(F.col("surprise") > 2 * math.log(total["features"]) - 4)
+        .filter(F.col("surprise") > 2 * math.log(total["features"]))
         .orderBy(F.col("surprise").desc(), "feature")
         .limit(LEXICON)
         .collect()
