@@ -6,7 +6,9 @@ grams and whole contexts (the bytes that an anchor's windows cover) settles most
 clears its windows, a context that occurs twice condemns them all. The rest are the edges of repeated passages. Their contexts
 meet by gram; two suffix arrays a group (from the anchor onwards, and backwards from it) are sorted by deep-shallow sorting, and their
 common prefixes tell for every offset which windows are equal. A gram with more than GROUP contexts (the edge of a passage that very many
-documents hold) is never gathered: each of its windows is counted by a 128-bit hash.
+documents hold) is never gathered. Its windows are narrowed down by 128-bit hashes: for CHUNK offsets from the anchor at a time, what their windows have
+in common and what they cover together are counted; a common part that has one cover clears or condemns the chunk as a whole, and
+only the windows of the other chunks are counted one by one.
 
 Defined results: null text is empty; texts below LENGTH bytes lose nothing; every row counts as a document, so a repeated row loses
 all that has LENGTH bytes; an empty table gives an empty result. Matches are exact up to hashes of 128 bits. Other columns
@@ -31,6 +33,8 @@ LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one gram that may meet in a task.
 GROUP = 4096
+#: Offsets that are narrowed down together where they may not.
+CHUNK = 8
 _BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -189,18 +193,66 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a context: doc_id, tag, start, times, two hashes."""
+def _hash(data: bytes, seed: int) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(data, seed)
+    return _signed(h >> 64), _signed(h & (1 << 64) - 1)
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names.split()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names.split())
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of a context's offsets: the hashes of the part common to all windows at such offsets, and of what the context's own
+    windows there cover."""
     for batch in batches:
-        for piece in (batch.slice(k, 128) for k in range(0, batch.num_rows, 128)):
+        for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             out: list[tuple] = []
             for doc, place, times, context in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "place", "times", "bytes")), strict=True):
-                first, more, _, tag = _unpack(place)
-                for k in range(more + 1):
-                    h = xxhash.xxh3_128_intdigest(context[k : k + LENGTH])
-                    out.append((doc, tag, first + k, times, _signed(h >> 64), _signed(h & (1 << 64) - 1)))
-            columns = zip(*out, strict=True) if out else [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "start", "times", "h1", "h2"])
+                first, more, before, tag = _unpack(place)
+                for j in range((before - more) // CHUNK, before // CHUNK + 1):
+                    low, high = max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before)
+                    common = context[before - CHUNK * j : before - CHUNK * j - CHUNK + 1 + LENGTH]
+                    cover = context[before - high : before - low + LENGTH]
+                    out.append((doc, place, tag, j, times, *_hash(common, j), *_hash(cover, (low << 8 | high) + 1), first + before - high, first + before - low + LENGTH))
+            yield _batch(out, "doc_id place tag chunk times i1 i2 u1 u2 start stop")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the chunks asked for."""
+    for batch in batches:
+        for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            out: list[tuple] = []
+            for doc, place, context, parts in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "place", "bytes", "parts")), strict=True):
+                first, more, before, tag = _unpack(place)
+                for part in parts:
+                    j = part["chunk"]
+                    for offset in range(max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before) + 1):
+                        k = before - offset
+                        out.append((doc, tag, first + k, part["times"], *_hash(context[k : k + LENGTH], 0)))
+            yield _batch(out, "doc_id tag start times h1 h2")
+
+
+def _narrowed(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """contexts that are too many to meet -> (doc_id, tag, start, stop of repeated windows, the tables to drop afterwards)."""
+    longs = ", ".join(f"{c} long" for c in "doc_id place tag chunk times i1 i2 u1 u2 start stop".split())
+    chunks = materialize(contexts.mapInArrow(_chunks, longs), "chunks")
+    covers = materialize(
+        chunks.groupBy("i1", "i2", "u1", "u2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "place", "chunk")).alias("one")), "covers"
+    )
+    twice = covers.filter("times > 1").select("u1", "u2")
+    whole = join_back(chunks, twice, ["u1", "u2"], "left_semi").select("doc_id", "tag", "start", "stop")
+    several = covers.groupBy("i1", "i2").agg(F.count("*").alias("covers")).filter("covers > 1").select("i1", "i2")
+    open_ = join_back(covers, several, ["i1", "i2"], "left_semi").select(F.col("one.doc_id").alias("_doc"), F.col("one.place").alias("_place"), F.struct(F.col("one.chunk").alias("chunk"), "times").alias("part"))
+    asked = open_.groupBy("_doc", "_place").agg(F.collect_list("part").alias("parts"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("place") == F.col("_place"))
+    windows = materialize(
+        contexts.join(asked, same).select("doc_id", "place", "bytes", "parts").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
+    )
+    again = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
+    single = join_back(windows, again, ["h1", "h2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
+    return whole.union(single), [chunks, covers, windows]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,18 +317,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cut.mapInArrow(_cut_contexts, "gram long, doc_id long, place long, times long, large boolean, bytes binary"), "contexts"
     )
     compared = contexts.filter("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc_id long, tag long, start long, stop long")
-    windows = materialize(
-        contexts.filter("large").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
-    )
-    twice = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
-    edge = join_back(windows, twice, ["h1", "h2"]).select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
+    edge, tables = _narrowed(contexts.filter("large"))
     first = F.shiftright("place", 32)
     settled = marked.filter("times > 1").select(
         "doc_id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("place", 24).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
     )
     spans = settled.union(compared).union(edge)
     result = materialize(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    for table in (marked, contexts, windows):
+    for table in (marked, contexts, *tables):
         drop_table(table)
     return result
 
