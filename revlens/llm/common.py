@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,19 @@ def join_back(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "i
     return left.join(right, ["_key_hash", *keys], how).drop("_key_hash")
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about `limit` bytes at most; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing will read again, and let Spark drop shuffle files of finished steps."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, pieces, unpacked
 
 WINDOW = 13
 HEAD = 3
@@ -138,7 +138,7 @@ def _matcher(block, first: bool, keep: Sequence[str], texts_in: str):
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = block.value
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, texts_in)):
             texts = [x.as_py() or b"" for x in batch.column(texts_in)]
             numbers = [_numbers(t, tests.vocabulary) for t in texts]
             sizes = np.array([len(x) for x in numbers], np.int64)
