@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     counted = rows.filter("NOT calibrate").select("toxic", "text").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
     counted = materialize(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "features")
     total = counted.agg(
-        F.count("*").alias("features"),
+        F.greatest(F.count_if(F.col("toxic") >= LEAST_COUNT), F.lit(1)).alias("tested"),
         *[F.coalesce(F.sum(F.when(~F.col("feature").endswith("*"), F.col(c))), F.lit(0)).alias(c) for c in ("clean", "toxic")],
     ).first()
     if not total["clean"] or not total["toxic"]:
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     strong = (
         useful.filter((F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") > both * share))
         .select("feature", "clean", "toxic", surprise.alias("surprise"))
-        .filter(F.col("surprise") > 2 * math.log(total["features"]))
+        .filter(F.col("surprise") > 2 * math.log(total["tested"]))
         .orderBy(F.col("surprise").desc(), "feature")
         .limit(LEXICON)
         .collect()
