@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .operators.claims import above_floor
 from .operators.matching import require_known
 from .operators.packs import packs
 from .plans import reports, stages
 from .session import session
 from .sources import forge, model, tables, trees
+from .sources.scratch import kept
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -148,9 +150,11 @@ def publish(r: Runs) -> int:
     if a.agree:
         tables.same_run(*manifests)
     verdicts = [r.table(x, "verdicts", f"{schemas.VERDICTS}, ord long") for x in runs]
-    extra = r.claims(a.rules) if a.rules else None
-    found = stages.publish(r.claims(manifests[0]["verified_run"]), *verdicts, rule_findings=extra, radius=a.radius, min_confidence=a.min_confidence)
-    r.save(manifests[0] | {"published_from": runs, "complete": tables.complete(*manifests)}, predictions=found)
+    extra = r.claims(a.rules) if a.rules else r.spark.createDataFrame([], schemas.CLAIMS)
+    claims = r.claims(manifests[0]["verified_run"])
+    every = kept(stages.publish(claims, *verdicts, rule_findings=extra, radius=a.radius, min_confidence=0.0), "published")
+    totals = stages.publish_counts(every, extra, a.min_confidence).first().asDict()
+    r.save(manifests[0] | {"published_from": runs, "complete": tables.complete(*manifests), "published": totals}, predictions=above_floor(every, a.min_confidence))
     return 0
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import clean_path, is_code, normalise
 from .diff import base_revision, files_of, printed_rows, removed_lines
@@ -103,6 +102,3 @@ def settle(verdicts: DataFrame, cases: DataFrame) -> DataFrame:
     stands = (F.col("verdict") == "unsettled") | F.exists("evidence_checked", lambda x: x)
     return out.withColumn("claimed_verdict", F.col("verdict")).withColumn("verdict", F.when(stands, F.col("verdict")).otherwise("unsettled"))
 
-
-def first_of(rows: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_nth = 1").drop("_nth")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..definitions import definition_table
 from ..functions.answers import parse_answers, parse_verdicts, response_schema, verdict_schema
-from ..functions.text import clamp
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
 from ..sources.model import complete_packs
 from ..sources.scratch import kept
@@ -115,8 +115,6 @@ def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[
 
 
 def _by_strength():
-    from pyspark.sql.window import Window
-
     return Window.partitionBy("case_id").orderBy(F.col("confidence").desc(), "ord")
 
 
@@ -159,16 +157,14 @@ def publish(claims: DataFrame, *verdicts: DataFrame, rule_findings: DataFrame |
     if rule_findings is not None:
         extra = reduce.fill_gaps(published, rule_findings.select(*CLAIM), radius, scope)
         out = out.unionByName(extra.withColumn("_from", F.lit(1)))
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("case_id").orderBy("_from", "ord")
     return reduce.above_floor(out, min_confidence).withColumn("ord", F.row_number().over(order).cast("long")).select(*CLAIM)
 
 
-def publish_counts(claims: DataFrame, published_before_floor: DataFrame, rule_findings: DataFrame, min_confidence: float = 0.6) -> DataFrame:
+def publish_counts(before_floor: DataFrame, rule_findings: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """One row: from_model, from_rules, already_covered, below_floor."""
     rule = F.col("stage") == "rules"
-    parts = published_before_floor.agg(
+    parts = before_floor.agg(
         F.count_if(~rule).alias("from_model"), F.count_if(rule).alias("from_rules"), F.count_if(F.coalesce("confidence", F.lit(1.0)) < min_confidence).alias("below_floor")
     )
     return parts.join(rule_findings.agg(F.count("*").alias("_all"))).select("from_model", "from_rules", (F.col("_all") - F.col("from_rules")).alias("already_covered"), "below_floor")
@@ -205,6 +201,3 @@ def budget(packs: DataFrame, responses: DataFrame) -> DataFrame:
     )
     return p.join(r)
 
-
-def clamped(confidence: str = "confidence"):
-    return clamp(F.col(confidence).try_cast("double"))

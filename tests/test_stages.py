@@ -251,6 +251,7 @@ def test_commands(spark, cases, tmp_path, capsys):
     assert run("rules", "--cases", path, "--id", "r") == 0
     assert run("verify", "--run", "d", "--stub", "silent", "--id", "v1") == 0
     assert run("publish", "--run", "v1", "--rules", "r", "--id", "p") == 0
+    assert tables.read_manifest(f"{out}/p")["published"] == {"from_model": 0, "from_rules": 1, "already_covered": 0, "below_floor": 0}
     assert run("report", "--run", "p", "--id", "rep") == 0
     assert run("comment", "--run", "p", "--id", "c") == 0
     assert "Findings: 1" in capsys.readouterr().out
