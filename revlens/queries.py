@@ -170,6 +170,7 @@ def anchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     quotes = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("bucket"), F.col("item_id").alias("ord"), F.col("text").alias("quote"))
     claimed = docs.select(F.col("doc_id").cast("string").alias("case_id"), (F.col("doc_id") % 10).alias("bucket")).join(quotes, "bucket").select("case_id", "ord", F.lit("t.py").alias("file"), F.lit(1).alias("line"), "quote")
+    claimed = claimed.repartition("case_id")  # a small file is one task, and the join would stay in it
     cases = docs.select(
         F.col("doc_id").cast("string").alias("case_id"), F.create_map(F.lit("t.py"), F.col("text")).alias("head_files"), F.create_map().cast("map<string, string>").alias("context_files"),
         F.create_map().cast("map<string, array<int>>").alias("added_lines"), F.lit("").alias("diff"),
