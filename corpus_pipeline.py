@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontam, linededup, mixing, quality, simhash
+from revlens.llm import decontam, linededup, mixing, neardup, quality
 from revlens.llm.common import materialize
 
 
@@ -19,9 +19,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(*docs.columns).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: those whose 5-word shingles have a similarity of 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("simhash dedup", simhash_dedup),
+    ("near dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("mix sources", mix),
 ]
 
-#: SimHash needs XXH64, which DuckDB lacks; tests hold the pipeline against a brute-force version.
+#: Near copies are components of exact comparisons, which SQL can't express; tests hold the stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
