@@ -10,8 +10,8 @@ from revlens.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, or whose host is rejected, go."""
-    return quality.keep_good(docs)
+    """Documents that fail a base rule, or whose host is rejected by any rule, go."""
+    return quality.keep_good(docs, judges=quality.EVERY_RULE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

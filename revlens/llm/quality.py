@@ -1,8 +1,8 @@
 """Quality rules of documents and of their hosts.
 
 Each document is measured once (bytes in Arrow batches). Rule failures are summed by host; a host's failure rates are
-shrunk towards a beta prior fitted to all hosts by moments, and a host whose shrunk rate of failed documents passes a
-limit is rejected as a whole. The verdict goes back to its documents by a join on the host.
+shrunk towards a beta prior fitted to all hosts by moments, and a host is rejected as a whole if the shrunk rate of a judge passes a
+limit: the base failures, or with EVERY_RULE any single rule as well. The verdict goes back to its documents by a join on the host.
 
 Defined results: null or empty text has no words and fails; a null host is a host of its own; repeated rows count as often as they
 occur; without hosts (empty table) the result is empty. Other columns of the input are ignored.
@@ -30,6 +30,8 @@ RULES = {
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
 }
 BASE = ("too_short", "repetitive")
+#: Rates that may reject a host: base failures alone, or those of every rule as well.
+BASE_ONLY, EVERY_RULE = ("base",), ("base", *RULES)
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -120,11 +122,16 @@ def beta_prior(hosts: int, docs: int, failures: int, square: float) -> tuple[flo
     return max(mean, floor) * weight, max(1 - mean, floor) * weight
 
 
-def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """doc_id, host, the MEASURES, base_failed, host_rate (shrunk), host_rejected, kept: a row for each of docs."""
+def _passes_limit(judges: tuple[str, ...], host_limit: float) -> F.Column:
+    """Whether the shrunk rate of any of the judges passes the limit."""
+    return F.exists(F.array(*[F.col(f"{r}_rate") for r in judges]), lambda rate: rate > host_limit)
+
+
+def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = BASE_ONLY) -> DataFrame:
+    """doc_id, host, the MEASURES, base_failed, host_rate (shrunk, of base failures), host_rejected, kept: a row for each of docs."""
     measured = measured_docs(docs, host)
     verdicts = materialize(
-        host_rates(measured).select(F.col("host").alias("of"), F.col("base_rate").alias("host_rate"), (F.col("base_rate") > host_limit).alias("host_rejected")),
+        host_rates(measured).select(F.col("host").alias("of"), F.col("base_rate").alias("host_rate"), _passes_limit(judges, host_limit).alias("host_rejected")),
         "host-verdicts",
     )
     failed = F.expr(" OR ".join(f"({RULES[r]})" for r in BASE))
@@ -132,7 +139,7 @@ def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = BASE_ONLY) -> DataFrame:
     """docs, all columns, without documents that fail a base rule or whose host is rejected. Only the table of rejected hosts is joined, so the
     texts stay where they are."""
     place = docs.columns.index("text")
@@ -146,7 +153,7 @@ def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5) ->
             yield batch.filter(pa.array(good, pa.bool_()))
 
     measured = measured_docs(docs, host)
-    rejected = materialize(host_rates(measured).filter(F.col("base_rate") > host_limit).select(F.col("host").alias("rejected")), "rejected-hosts")
+    rejected = materialize(host_rates(measured).filter(_passes_limit(judges, host_limit)).select(F.col("host").alias("rejected")), "rejected-hosts")
     good = docs.mapInArrow(passing, docs.schema)
     left = good.select(packed(good).alias("d"), F.col(host).cast("string").alias("of"))
     return left.join(rejected, F.col("of").eqNullSafe(F.col("rejected")), "left_anti").select(*unpacked("d", docs.columns))
