@@ -11,8 +11,8 @@ in common and what they cover together are counted; a common part that has one c
 only the windows of the other chunks are counted one by one.
 
 Defined results: null text is empty; texts below LENGTH bytes lose nothing; every row counts as a document, so a repeated row loses
-all that has LENGTH bytes; an empty table gives an empty result. Matches are exact up to hashes of 128 bits. Other columns
-are ignored.
+all that has LENGTH bytes; an empty table gives an empty result. Matches are exact up to hashes of 128 bits; rows
+of one doc_id, or of none, are told apart by 64-bit hashes of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,41 +86,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _pack(first: int, last: int, anchor: int, tag: int) -> int:
-    return first << 32 | (last - first) << 24 | (anchor - first) << 16 | tag
+def _pack(first: int, last: int, anchor: int) -> int:
+    return first << 16 | (last - first) << 8 | anchor - first
 
 
-def _unpack(place: int) -> tuple[int, int, int, int]:
-    """first window, windows - 1, anchor - first window, tag of the text"""
-    return place >> 32, place >> 24 & 255, place >> 16 & 255, place & 65535
+def _unpack(place: int) -> tuple[int, int, int]:
+    """first window, windows - 1, anchor - first window"""
+    return place >> 16, place >> 8 & 255, place & 255
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-            docs, places, keys, contexts = [], [], [], []
+            docs, tags, places, keys, contexts = [], [], [], [], []
             for doc, tag, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), strict=True):
                 text = text.as_py()
                 for at, first, last, key in anchors(text):
                     docs.append(doc)
-                    places.append(_pack(first, last, at, tag))
+                    tags.append(tag)
+                    places.append(_pack(first, last, at))
                     keys.append(key)
                     contexts.append(_signed(digest(text[first : last + LENGTH], (at - first) << 8 | last - first)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, places, keys, contexts)], names=["doc_id", "place", "gram", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, tags, places, keys, contexts)], names=["doc_id", "tag", "place", "gram", "context"])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, picks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for doc, tag, text, picks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             text = text.as_py()
             for p in picks:
-                first, more, _, _ = _unpack(p["place"])
-                out.append((p["gram"], doc, p["place"], p["times"], p["large"], text[first : first + more + LENGTH]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                first, more, _ = _unpack(p["place"])
+                out.append((p["gram"], doc, tag, p["place"], p["times"], p["large"], text[first : first + more + LENGTH]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         columns = zip(*out, strict=True) if out else [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "doc_id", "place", "times", "large", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "doc_id", "tag", "place", "times", "large", "bytes"])
 
 
 def _neighbours(strings: list[bytes], order: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -169,22 +170,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by gram; whole groups are compared, many at a time. Out: doc_id, tag, start, stop."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [_unpack(r[2]) for r in rows]
-        found = repeated_windows([r[0] for r in rows], [p[2] for p in parts], [p[1] for p in parts], [r[3] for r in rows], [r[4] for r in rows])
+        parts = [_unpack(r[3]) for r in rows]
+        found = repeated_windows([r[0] for r in rows], [p[2] for p in parts], [p[1] for p in parts], [r[4] for r in rows], [r[5] for r in rows])
         out: list[tuple] = []
         for k in np.flatnonzero(found.any(axis=1)).tolist():
-            first, _, before, tag = parts[k]
-            if rows[k][3] > 1:
+            first, _, before = parts[k]
+            if rows[k][4] > 1:
                 continue  # condemned already; it only bears witness
             offsets = np.flatnonzero(found[k])
             for run in np.split(offsets, np.flatnonzero(np.diff(offsets) > 1) + 1):
-                out.append((rows[k][1], tag, first + before - int(run[-1]), first + before - int(run[0]) + LENGTH))
+                out.append((rows[k][1], rows[k][2], first + before - int(run[-1]), first + before - int(run[0]) + LENGTH))
         columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "start", "stop"])
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "place", "times", "bytes")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "tag", "place", "times", "bytes")), strict=True):
             if len(held) >= GROUP and row[0] != held[-1][0]:
                 yield settle(held)
                 held = []
@@ -209,8 +210,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             out: list[tuple] = []
-            for doc, place, times, context in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "place", "times", "bytes")), strict=True):
-                first, more, before, tag = _unpack(place)
+            for doc, tag, place, times, context in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tag", "place", "times", "bytes")), strict=True):
+                first, more, before = _unpack(place)
                 for j in range((before - more) // CHUNK, before // CHUNK + 1):
                     low, high = max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before)
                     common = context[before - CHUNK * j : before - CHUNK * j - CHUNK + 1 + LENGTH]
@@ -224,8 +225,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             out: list[tuple] = []
-            for doc, place, context, parts in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "place", "bytes", "parts")), strict=True):
-                first, more, before, tag = _unpack(place)
+            for doc, tag, place, context, parts in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tag", "place", "bytes", "parts")), strict=True):
+                first, more, before = _unpack(place)
                 for part in parts:
                     j = part["chunk"]
                     for offset in range(max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before) + 1):
@@ -239,16 +240,16 @@ def _narrowed(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     longs = ", ".join(f"{c} long" for c in "doc_id place tag chunk times i1 i2 u1 u2 start stop".split())
     chunks = materialize(contexts.mapInArrow(_chunks, longs), "chunks")
     covers = materialize(
-        chunks.groupBy("i1", "i2", "u1", "u2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "place", "chunk")).alias("one")), "covers"
+        chunks.groupBy("i1", "i2", "u1", "u2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "tag", "place", "chunk")).alias("one")), "covers"
     )
     twice = covers.filter("times > 1").select("u1", "u2")
     whole = join_back(chunks, twice, ["u1", "u2"], "left_semi").select("doc_id", "tag", "start", "stop")
     several = covers.groupBy("i1", "i2").agg(F.count("*").alias("covers")).filter("covers > 1").select("i1", "i2")
-    open_ = join_back(covers, several, ["i1", "i2"], "left_semi").select(F.col("one.doc_id").alias("_doc"), F.col("one.place").alias("_place"), F.struct(F.col("one.chunk").alias("chunk"), "times").alias("part"))
-    asked = open_.groupBy("_doc", "_place").agg(F.collect_list("part").alias("parts"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("place") == F.col("_place"))
+    open_ = join_back(covers, several, ["i1", "i2"], "left_semi").select(F.col("one.doc_id").alias("_doc"), F.col("one.tag").alias("_tag"), F.col("one.place").alias("_place"), F.struct(F.col("one.chunk").alias("chunk"), "times").alias("part"))
+    asked = open_.groupBy("_doc", "_tag", "_place").agg(F.collect_list("part").alias("parts"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")) & (F.col("place") == F.col("_place"))
     windows = materialize(
-        contexts.join(asked, same).select("doc_id", "place", "bytes", "parts").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
+        contexts.join(asked, same).select("doc_id", "tag", "place", "bytes", "parts").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
     )
     again = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
     single = join_back(windows, again, ["h1", "h2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
@@ -285,16 +286,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The tag tells apart rows that share a doc_id but not the text."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes()).bitwiseAND(F.lit(65535).cast("long")).alias("tag"), as_bytes().alias("text")
-    )
+    """The tag, a 64-bit hash of the text, tells apart rows that share a doc_id (or have none) but not the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes()).alias("tag"), as_bytes().alias("text"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tag, spans: array<struct<start, stop>> (they may overlap), for documents that hold repeated windows. Written when this returns;
     the tables on the way there are gone again."""
-    found = materialize(_numbered(docs).mapInArrow(_anchor_rows, "doc_id long, place long, gram long, context long"), "anchors")
+    found = materialize(_numbered(docs).mapInArrow(_anchor_rows, "doc_id long, tag long, place long, gram long, context long"), "anchors")
     again = found.groupBy("gram").agg(F.count("*").alias("all")).filter("all > 1").select("gram")
     rows = materialize(join_back(found, again, ["gram"], "left_semi"), "repeated-anchors")
     drop_table(found)
@@ -305,22 +304,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     drop_table(rows)
     open_rows = marked.filter("contexts > 1")
     witnesses = open_rows.filter("times > 1").groupBy("gram", "context").agg(
-        F.min(F.struct("doc_id", "place")).alias("one"), F.first("times").alias("times"), F.first("contexts").alias("contexts")
-    ).select("one.doc_id", "one.place", "gram", "times", "contexts")
-    picks = open_rows.filter("times = 1").select("doc_id", "place", "gram", "times", "contexts").union(witnesses)
-    tag = F.col("place").bitwiseAND(F.lit(65535).cast("long"))
-    by_doc = picks.groupBy(F.col("doc_id").alias("_doc"), tag.alias("_tag")).agg(
+        F.min(F.struct("doc_id", "tag", "place")).alias("one"), F.first("times").alias("times"), F.first("contexts").alias("contexts")
+    ).select("one.doc_id", "one.tag", "one.place", "gram", "times", "contexts")
+    picks = open_rows.filter("times = 1").select("doc_id", "tag", "place", "gram", "times", "contexts").union(witnesses)
+    by_doc = picks.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.collect_list(F.struct("place", "gram", "times", (F.col("contexts") > GROUP).alias("large"))).alias("picks")
     )
-    cut = _numbered(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc_id", "text", "picks")
+    cut = _numbered(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc_id", "tag", "text", "picks")
     contexts = materialize(
-        cut.mapInArrow(_cut_contexts, "gram long, doc_id long, place long, times long, large boolean, bytes binary"), "contexts"
+        cut.mapInArrow(_cut_contexts, "gram long, doc_id long, tag long, place long, times long, large boolean, bytes binary"), "contexts"
     )
     compared = contexts.filter("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc_id long, tag long, start long, stop long")
     edge, tables = _narrowed(contexts.filter("large"))
-    first = F.shiftright("place", 32)
+    first = F.shiftright("place", 16)
     settled = marked.filter("times > 1").select(
-        "doc_id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("place", 24).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
+        "doc_id", "tag", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
     )
     spans = settled.union(compared).union(edge)
     result = materialize(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
