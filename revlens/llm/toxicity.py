@@ -1,12 +1,16 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens, and prefixes of tokens for inflected words, get log-odds between toxic and clean training documents under a Dirichlet prior that
-follows the whole sample's counts (documents that hold them, a share of the training rows); those that pass a likelihood-ratio
-test at a level for that many features make the lexicon. A linear scan finds every maximal segment of a document's token scores. A segment's
-score is judged against what chance gives in a text of that length (extreme-value statistics of local scores: lambda solves E[exp(lambda s)] = 1
-over clean tokens); the best and the summed significant evidence go through a logistic calibration, fitted to the other training rows, to a score from 0 to 1.
-
-Training reads at most about ROWS_PER_CLASS rows of each label, by a hash of doc_id; only those labels are broadcast. Scores cover all rows.
+Every token scores its own log-odds between toxic and clean training documents, less a constant that keeps the mean below zero. The log-odds come from a
+hierarchy of Dirichlet priors: the toxic share of a prefix of four letters is drawn towards the share of all tokens, that of a longer prefix towards the shorter
+one's, the token's towards its longest prefix's, each with the weight of PRIOR documents; so a rare or unseen (inflected) word leans on its relatives, and clean
+evidence counts as toxic evidence does. Counts are of documents, in BINS hashed cells, which bounds what is broadcast. A linear scan finds every maximal segment of a
+document's token scores. A segment's score is judged against what chance gives in a text of that length: the best segments of clean texts that nothing was
+counted in follow an extreme-value law, P(best > x) = 1 - exp(-K n exp(-lambda x)) for n tokens, whose lambda and K are fitted by maximum likelihood. The best
+and the summed significant evidence go through a logistic calibration, fitted to the same rows with both labels, to a score from 0 to 1.
+
+Training reads at most about ROWS_PER_CLASS rows of each label, by a hash of doc_id; only those labels are broadcast. Of rows of one label that agree in all of
+SIGNATURE minhashes of their five-word shingles one is learned from: near copies would pass for many documents that share their words (two
+texts of similarity s agree with probability s^4, so texts that merely share a passage hardly ever do). Scores cover all rows.
 Defined results: null or empty text has no segment and gets the lowest score; a document with several labels counts as toxic
 if one says so; null labels are ignored; without both labels to learn from every score is the share of toxic ones (0 without labels); a null
 doc_id is held out and never labelled; repeated rows score alike; an empty table gives an empty result. Other columns are ignored.
@@ -16,8 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,19 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_back, materialize
+from .common import as_bytes, materialize
 from .langid import FOLDS, SAMPLE_TASKS, held_out, sampled
 
 ROWS_PER_CLASS = 10_000
-#: Features kept for scoring, by significance.
-LEXICON = 50_000
-PREFIXES = (6, 5, 4)
-LEAST_COUNT, LEAST_ODDS = 3, 1.0
-LEAST_FORMS, MOST_OF_ONE = 3, 0.7
-#: Score of any token outside the lexicon, and the most that one token can add.
-REST, MOST = -0.3, 4.0
+#: Hashed cells of features.
+BINS = 1 << 20
+PREFIXES = (4, 5, 6)
+#: Documents that a prior weighs.
+PRIOR = 20.0
+#: Taken off every token's log-odds, so that the mean score of clean text is below zero.
+PENALTY = 1.0
+SIGNATURE = 4
+#: Score of the places that maximal_segments isn't told about.
+REST = -0.3
 _TOKEN = re.compile(r"[^\W\d_]+")
-_PIECE = 1 << 20
 _MEMO = 500_000
 
 
@@ -47,138 +52,154 @@ def tokens(text: bytes) -> Iterator[str]:
     return (m[0] for m in _TOKEN.finditer(plain))
 
 
-def features(token: str) -> list[str]:
-    """The most specific first; prefixes end in a star."""
-    return [token, *(f"{token[:n]}*" for n in PREFIXES if len(token) >= n)]
+def features(token: str) -> list[int]:
+    """Cells of the token's prefixes, the shortest first, and of the token itself."""
+    names = [*(f"{token[:n]}*" for n in PREFIXES if len(token) >= n), token]
+    return [xxhash.xxh64_intdigest(x) % BINS for x in names]
+
+
+class _Segments:
+    """Maximal scoring segments (Ruzzo and Tompa), fed with the positive scores in order. Each candidate points to the nearest one before it that starts
+    lower, so the search for a left neighbour skips what lies between and all of them together take linear time."""
+
+    def __init__(self):
+        self.kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum upto, nearest candidate that starts lower
+
+    def add(self, place: int, before: float, upto: float) -> None:
+        kept, first = self.kept, place
+        j = len(kept) - 1
+        while True:
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= upto:
+                kept.append((first, place, before, upto, j))
+                return
+            first, _, before, _, down = kept[j]
+            del kept[j:]
+            j = down
+
+    def found(self) -> list[tuple[int, int, float]]:
+        return [(a, b, upto - before) for a, b, before, upto, _ in self.kept]
 
 
-def maximal_segments(scores: list[tuple[int, float]], rest: float = REST) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (Ruzzo and Tompa) of a sequence that has `rest` (negative) everywhere but at the given places.
-    (first, last, score), in order; linear in the places given."""
-    kept: list[list] = []  # first, last, sum before, sum upto
-    total, at = 0.0, -1
+def maximal_segments(scores: Iterable[tuple[int, float]], rest: float = REST) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence that has `rest` (negative) everywhere but at the given places: (first, last, score), in order."""
+    segments, total, at = _Segments(), 0.0, -1
     for place, score in scores:
         total += rest * (place - at - 1)
         at = place
         before, total = total, total + score
-        if score <= 0:
-            continue
-        new = [place, place, before, total]
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
-                break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
-            del kept[j:]
-    return [(a, b, upto - before) for a, b, before, upto in kept]
+        if score > 0:
+            segments.add(place, before, total)
+    return segments.found()
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, float] = field(default_factory=dict)  # feature -> score; those seen without significance have REST
+    clean: np.ndarray = field(default_factory=lambda: np.zeros(BINS, np.int32))  # documents that hold a feature of the cell
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(BINS, np.int32))
+    share: float = 0.5  # toxic share of all (document, token) pairs
     rate: float = 1.0  # lambda
     chance: float = 1.0  # K
     logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
     base: float | None = 0.0  # the score of all texts if nothing could be learned
 
-    def token_score(self, token: str, memo: dict[str, float]) -> float:
-        score = memo.get(token)
-        if score is None:
-            score = next((self.lexicon[f] for f in features(token) if f in self.lexicon), REST)
-            if len(memo) >= _MEMO:
-                memo.clear()
-            memo[token] = score
-        return score
-
-    def passages(self, text: bytes, memo: dict[str, float]) -> tuple[list[tuple[int, int, float]], int]:
-        """Significant segments as (first token, last token, evidence), and the number of tokens. Evidence is -ln E for E expected by chance."""
-        marked, n = [], 0
+    def token_score(self, token: str) -> float:
+        expected = self.share
+        for cell in features(token):
+            toxic = float(self.toxic[cell])
+            expected = (toxic + PRIOR * expected) / (toxic + float(self.clean[cell]) + PRIOR)
+        return _logit(expected) - _logit(self.share) - PENALTY
+
+    def segments(self, text: bytes, memo: dict[str, float]) -> tuple[list[tuple[int, int, float]], int]:
+        """Maximal segments (first token, last token, score) and the number of tokens."""
+        segments, total, n, known = _Segments(), 0.0, 0, memo.get
         for token in tokens(text):
-            score = self.token_score(token, memo)
+            score = known(token)
+            if score is None:
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                score = memo[token] = self.token_score(token)
+            before = total
+            total += score
             if score > 0:
-                marked.append((n, score))
+                segments.add(n, before, total)
             n += 1
-        floor = math.log(self.chance * max(n, 1))
-        found = ((a, b, self.rate * s - floor) for a, b, s in maximal_segments(marked))
-        return [(a, b, e) for a, b, e in found if e > 0], n
+        return segments.found(), n
 
-    def evidence(self, segments: list[tuple[int, int, float]]) -> tuple[float, float]:
-        best = max((e for *_, e in segments), default=0.0)
-        return min(best, 30.0) / 10, min(sum(e for *_, e in segments), 90.0) / 30
+    def passages(self, text: bytes, memo: dict[str, float]) -> list[tuple[int, int, float]]:
+        """Significant segments as (first token, last token, evidence). Evidence is -ln E for E expected by chance."""
+        if self.base is not None:
+            return []
+        found, n = self.segments(text, memo)
+        floor = math.log(self.chance * max(n, 1))
+        told = ((a, b, self.rate * s - floor) for a, b, s in found)
+        return [(a, b, e) for a, b, e in told if e > 0]
 
-    def score(self, segments: list[tuple[int, int, float]]) -> float:
+    def score(self, passages: list[tuple[int, int, float]]) -> float:
         if self.base is not None:
             return self.base
         a, b, c = self.logistic
-        x, y = self.evidence(segments)
+        x, y = evidence(passages)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
 
 
-def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int, strength: float = 0.01) -> float:
-    """Of a feature, under a Dirichlet prior of `strength` times its own count in both classes together."""
-    prior, total = strength * (toxic + clean) + 0.01, strength * (all_toxic + all_clean) + 1.0
-    one = math.log((toxic + prior) / (all_toxic + total - toxic - prior))
-    return one - math.log((clean + prior) / (all_clean + total - clean - prior))
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+def evidence(passages: list[tuple[int, int, float]]) -> tuple[float, float]:
+    """The best passage's and all passages' evidence, on a scale that dampens long documents."""
+    return math.log1p(max((e for *_, e in passages), default=0.0)), math.log1p(sum(e for *_, e in passages))
 
-    def flush() -> pa.RecordBatch:
-        names = list({*counts[0], *counts[1]})
-        out = [pa.array(names, pa.string()), *[pa.array([c[x] for x in names], pa.int64()) for c in counts]]
-        for c in counts:
-            c.clear()
-        return pa.RecordBatch.from_arrays(out, names=["feature", "clean", "toxic"])
 
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, clean, toxic) of the task's documents; cell BINS counts (document, token) pairs."""
+    counts = np.zeros((2, BINS + 1), np.int64)
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            mine = counts[label]
-            mine.update({f for token in set(tokens(text.as_py())) for f in features(token)})
-            if len(counts[0]) + len(counts[1]) > _MEMO:
-                yield flush()
-    yield flush()
+            held = set(tokens(text.as_py()))
+            counts[label, list({cell for token in held for cell in features(token)})] += 1
+            counts[label, BINS] += len(held)
+    seen = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["cell", "clean", "toxic"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of a text's five-word shingles: texts with a similarity of s share it with probability s."""
+    """Adds SIGNATURE minhashes of a text's five-word shingles as one value."""
+    seeds = np.random.default_rng(23).integers(1 << 62, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
         out = []
         for text in batch.column(1):
             words = text.as_py().lower().split()
-            shingles = (b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
-            out.append(min(xxhash.xxh3_64_intdigest(s) for s in shingles) >> 1)
+            h = np.fromiter({xxhash.xxh3_64_intdigest(b" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))}, np.uint64)
+            least = np.array([(mixed ^ mixed >> np.uint64(31)).min() for mixed in (h * seed for seed in seeds)])
+            out.append(xxhash.xxh3_64_intdigest(least.tobytes()) >> 1)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["toxic", "text", "calibrate", "signature"])
 
 
-def _karlin(lexical: list[tuple[float, int]], clean_tokens: int) -> tuple[float, float]:
-    """lambda and K of local scores over clean tokens: (score, count) of lexicon features, REST for the others; one hit more
-    than was seen, so that a spotless sample still leaves chance a share."""
-    hits = [*lexical, (MOST, 1)]
-    n = clean_tokens + 1
-    rest = n - sum(c for _, c in hits)
-    low, high = 1e-6, 20.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        if rest * math.exp(REST * mid) + sum(c * math.exp(s * mid) for s, c in hits) > n:
-            high = mid
-        else:
-            low = mid
-    return low, 0.1
+def fit_extremes(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
+    """lambda and K by maximum likelihood, from the best segment scores of clean texts and their lengths. For a lambda the best K is in closed form, and
+    the profile likelihood's slope falls with lambda, so bisection finds its zero (within 0.001 and 20)."""
+    if not len(best):
+        return 1.0, 1.0
+    low, high = 1e-3, 20.0
+    for _ in range(60):
+        rate = (low + high) / 2
+        weight = lengths * np.exp(-rate * best)
+        slope = 1 / rate - best.mean() + (weight * best).sum() / weight.sum()
+        low, high = (rate, high) if slope > 0 else (low, rate)
+    return low, float(len(best) / (lengths * np.exp(-low * best)).sum())
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton steps; classes weigh the same."""
+    """Ridge logistic regression by Newton steps."""
     table = np.column_stack([np.ones(len(x)), x])
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(table @ w, -30, 30)))
-        slope = table.T @ (weight * (p - y)) + 1e-2 * w
-        bend = (table * (weight * p * (1 - p))[:, None]).T @ table + 1e-2 * np.eye(3)
+        slope = table.T @ (p - y) + 1e-2 * w
+        bend = (table * (p * (1 - p))[:, None]).T @ table + 1e-2 * np.eye(3)
         w = w - np.linalg.solve(bend, slope)
     return tuple(float(v) for v in w)
 
@@ -191,63 +212,46 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     chosen = sampled(known, "toxic", rows_per_class, 7)
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == FOLDS - 1
     rows = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", part.alias("calibrate"))
-    # Copies, near ones too, would pass for many documents that share their words: one row a signature, of each label.
     signed = rows.mapInArrow(_signatures, "toxic int, text binary, calibrate boolean, signature long")
     rows = signed.groupBy("toxic", "signature").agg(F.min(F.struct("calibrate", F.xxhash64("text"), "text")).alias("r")).select("toxic", "r.text", "r.calibrate")
     rows = materialize(rows.repartition(SAMPLE_TASKS), "toxicity-sample")
-    counted = rows.filter("NOT calibrate").select("toxic", "text").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
-    counted = materialize(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "features")
-    total = counted.agg(
-        F.greatest(F.count_if(F.col("toxic") >= LEAST_COUNT), F.lit(1)).alias("tested"),
-        *[F.coalesce(F.sum(F.when(~F.col("feature").endswith("*"), F.col(c))), F.lit(0)).alias(c) for c in ("clean", "toxic")],
-    ).first()
-    if not total["clean"] or not total["toxic"]:
-        return Model(base=1.0 if total["toxic"] else 0.0)
-    share = total["toxic"] / (total["clean"] + total["toxic"])
-    both = F.col("toxic") + F.col("clean")
-    surprise = 2 * (
-        F.col("toxic") * F.log(F.col("toxic") / (both * share))
-        + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)
-    )
-    # A prefix speaks for words that were not seen only if several words share it and none of them makes up most of its count.
-    forms = counted.filter(~F.col("feature").endswith("*") & (F.col("toxic") > 0)).select(
-        F.explode(F.array(*[F.when(F.char_length("feature") >= n, F.concat(F.left("feature", F.lit(n)), F.lit("*"))) for n in PREFIXES])).alias("prefix"), "toxic"
-    )
-    forms = forms.filter("prefix IS NOT NULL").groupBy("prefix").agg(F.count("*").alias("forms"), (F.max("toxic") / F.sum("toxic")).alias("share_of_one"))
-    shared = forms.filter((F.col("forms") >= LEAST_FORMS) & (F.col("share_of_one") <= MOST_OF_ONE)).select(F.col("prefix").alias("feature"))
-    useful = counted.filter(~F.col("feature").endswith("*")).unionByName(join_back(counted.filter(F.col("feature").endswith("*")), shared, ["feature"], "left_semi"))
-    strong = (
-        useful.filter((F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") > both * share))
-        .select("feature", "clean", "toxic", surprise.alias("surprise"))
-        .filter(F.col("surprise") > 2 * math.log(total["tested"]))
-        .orderBy(F.col("surprise").desc(), "feature")
-        .limit(LEXICON)
-        .collect()
-    )
-    lexicon, hits = {}, []
-    for r in strong:
-        odds = log_odds(r["toxic"], r["clean"], total["toxic"], total["clean"])
-        if odds > LEAST_ODDS:
-            lexicon[r["feature"]] = min(odds, MOST)
-            if not r["feature"].endswith("*"):
-                hits.append((min(odds, MOST), r["clean"]))
-    rate, chance = _karlin(hits, total["clean"])
-    model = Model(lexicon, rate, chance, base=None)
+    counted = rows.filter("NOT calibrate").select("toxic", "text").mapInArrow(_feature_counts, "cell int, clean long, toxic long")
+    table = counted.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # BINS + 1 rows at most
+    counts = np.zeros((2, BINS + 1), np.int64)
+    cells = table["cell"].to_numpy()
+    counts[0, cells], counts[1, cells] = table["clean"].to_numpy(), table["toxic"].to_numpy()
+    clean, toxic = counts[:, BINS].tolist()
+    if not clean or not toxic:
+        return Model(base=1.0 if toxic else 0.0)
+    model = Model(counts[0, :BINS].astype(np.int32), counts[1, :BINS].astype(np.int32), toxic / (clean + toxic), base=None)
+    sample = rows.filter("calibrate")
     shared = spark.sparkContext.broadcast(model)
 
+    def best_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            found = [shared.value.segments(x.as_py(), memo) for x in batch.column(0)]
+            best = [max((s for *_, s in segments), default=0.0) for segments, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["best", "n"])
+
+    clean_rows = sample.filter("toxic = 0").select("text").mapInArrow(best_segments, "best double, n long").filter("n > 0").toArrow()  # two numbers for each row of the bounded sample
+    model.rate, model.chance = fit_extremes(clean_rows["best"].to_numpy(), clean_rows["n"].to_numpy())
+    fitted = spark.sparkContext.broadcast((model.rate, model.chance))
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
+        m.rate, m.chance = fitted.value
         for batch in batches:
-            pairs = [m.evidence(m.passages(x.as_py(), memo)[0]) for x in batch.column(1)]
+            pairs = [evidence(m.passages(x.as_py(), memo)) for x in batch.column(1)]
             a, b = zip(*pairs, strict=True) if pairs else ([], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["toxic", "best", "sum"])
 
-    sample = rows.filter("calibrate").select("toxic", "text").mapInArrow(measured, "toxic int, best double, sum double").collect()  # three numbers for each row of the bounded sample
-    table = np.array([(r["best"], r["sum"], r["toxic"]) for r in sample], float).reshape(-1, 3)
+    told = sample.select("toxic", "text").mapInArrow(measured, "toxic int, best double, sum double").toArrow()  # three numbers for each row of the bounded sample
+    table = np.column_stack([told[c].to_numpy().astype(float) for c in ("best", "sum", "toxic")])
     if len(set(table[:, 2])) == 2:
         model.logistic = _fit_logistic(table[:, :2], table[:, 2])
     else:  # too few rows to calibrate: evidence beyond chance decides
-        model.logistic = (-1.0, 5.0, 0.0)
+        model.logistic = (-1.0, 2.0, 0.0)
     return model
 
 
@@ -259,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
         for batch in batches:
-            found = [m.passages(x.as_py(), memo)[0] for x in batch.column(2)]
+            found = [m.passages(x.as_py(), memo) for x in batch.column(2)]
             scores = [m.score(s) for s in found]
             out = [
                 pa.array(scores, pa.float64()),
