@@ -1,17 +1,16 @@
 """Removal of byte strings that occur more than once, with sampled suffix arrays.
 
 Of every LENGTH-byte window the 32-byte gram with the least hash is its anchor; equal windows have it at the same
-place, so only windows that share an anchor's gram can be equal, and about one byte in 85 anchors a run of windows. Counting
-grams and whole contexts (the bytes that an anchor's windows cover) settles most anchors: a gram that occurs once
-clears its windows, a context that occurs twice condemns them all. The rest are the edges of repeated passages. Their contexts
-meet by gram; two suffix arrays a group (from the anchor onwards, and backwards from it) are sorted by deep-shallow sorting, and their
-common prefixes tell for every offset which windows are equal. A gram with more than GROUP contexts (the edge of a passage that very many
-documents hold) is never gathered. Its windows are narrowed down by 128-bit hashes: for CHUNK offsets from the anchor at a time, what their windows have
-in common and what they cover together are counted; a common part that has one cover clears or condemns the chunk as a whole, and
-only the windows of the other chunks are counted one by one.
+place, so only windows that share an anchor's gram can be equal, and about one byte in 85 anchors a run of windows. A gram that occurs
+once clears its windows. Of the others every distinct context (the bytes that an anchor's windows cover) is cut from one text that holds it, with the
+number of times it occurs. The contexts meet by gram; two suffix arrays a group (from the anchor onwards, and backwards from it) are sorted by deep-shallow
+sorting, and their common prefixes tell for every offset which windows are equal. What is decided about a context holds wherever it occurs. A gram
+with more than GROUP distinct contexts (the edge of a passage that very many documents hold) is never gathered. Its windows are narrowed down by 128-bit
+hashes: for CHUNK offsets from the anchor at a time, what their windows have in common and what they cover together are counted; a common part that has one cover
+clears or condemns the chunk as a whole, and only the windows of the other chunks are counted one by one.
 
 Defined results: null text is empty; texts below LENGTH bytes lose nothing; every row counts as a document, so a repeated row loses
-all that has LENGTH bytes; an empty table gives an empty result. Matches are exact up to hashes of 128 bits; rows
+all that has LENGTH bytes; an empty table gives an empty result. Contexts are told apart by 128 bits (their gram's hash and their own); rows
 of one doc_id, or of none, are told apart by 64-bit hashes of their texts. Other columns are ignored.
 """
 
@@ -114,14 +113,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for doc, tag, text, picks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+        for text, picks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             text = text.as_py()
             for p in picks:
-                first, more, _ = _unpack(p["place"])
-                out.append((p["gram"], doc, tag, p["place"], p["times"], p["large"], text[first : first + more + LENGTH]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                first, more, before = _unpack(p["place"])
+                out.append((p["gram"], p["context"], before, more, p["times"], p["large"], text[first : first + more + LENGTH]))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
         columns = zip(*out, strict=True) if out else [[] for _ in types]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "doc_id", "tag", "place", "times", "large", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "context", "before", "more", "times", "large", "bytes"])
 
 
 def _neighbours(strings: list[bytes], order: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -166,26 +165,31 @@ def repeated_windows(group: list[int], before: list[int], more: list[int], times
     return found
 
 
+_RUNS = "gram long, context long, low int, high int"
+
+
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in range(4)]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "context", "low", "high"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram; whole groups are compared, many at a time. Out: doc_id, tag, start, stop."""
+    """Contexts sorted by gram; whole groups are compared, many at a time. Out: runs of offsets back from the anchor whose windows are repeated."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [_unpack(r[3]) for r in rows]
-        found = repeated_windows([r[0] for r in rows], [p[2] for p in parts], [p[1] for p in parts], [r[4] for r in rows], [r[5] for r in rows])
+        group, context, before, more, times, texts = zip(*rows, strict=True)
+        found = repeated_windows(list(group), list(before), list(more), list(times), list(texts))
         out: list[tuple] = []
         for k in np.flatnonzero(found.any(axis=1)).tolist():
-            first, _, before = parts[k]
-            if rows[k][4] > 1:
-                continue  # condemned already; it only bears witness
             offsets = np.flatnonzero(found[k])
             for run in np.split(offsets, np.flatnonzero(np.diff(offsets) > 1) + 1):
-                out.append((rows[k][1], rows[k][2], first + before - int(run[-1]), first + before - int(run[0]) + LENGTH))
-        columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "start", "stop"])
+                out.append((group[k], context[k], int(run[0]), int(run[-1])))
+        return _runs(out)
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "tag", "place", "times", "bytes")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "before", "more", "times", "bytes")), strict=True):
             if len(held) >= GROUP and row[0] != held[-1][0]:
                 yield settle(held)
                 held = []
@@ -199,6 +203,13 @@ def _hash(data: bytes, seed: int) -> tuple[int, int]:
     return _signed(h >> 64), _signed(h & (1 << 64) - 1)
 
 
+_CHUNKS, _WINDOWS = "gram context chunk times i1 i2 u1 u2 low high", "gram context offset times h1 h2"
+
+
+def _longs(names: str) -> str:
+    return ", ".join(f"{c} long" for c in names.split())
+
+
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in names.split()]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names.split())
@@ -210,14 +221,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             out: list[tuple] = []
-            for doc, tag, place, times, context in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tag", "place", "times", "bytes")), strict=True):
-                first, more, before = _unpack(place)
+            for gram, name, before, more, times, context in zip(*(piece.column(c).to_pylist() for c in ("gram", "context", "before", "more", "times", "bytes")), strict=True):
                 for j in range((before - more) // CHUNK, before // CHUNK + 1):
                     low, high = max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before)
                     common = context[before - CHUNK * j : before - CHUNK * j - CHUNK + 1 + LENGTH]
                     cover = context[before - high : before - low + LENGTH]
-                    out.append((doc, place, tag, j, times, *_hash(common, j), *_hash(cover, (low << 8 | high) + 1), first + before - high, first + before - low + LENGTH))
-            yield _batch(out, "doc_id place tag chunk times i1 i2 u1 u2 start stop")
+                    out.append((gram, name, j, times, *_hash(common, j), *_hash(cover, (low << 8 | high) + 1), low, high))
+            yield _batch(out, _CHUNKS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,34 +235,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
             out: list[tuple] = []
-            for doc, tag, place, context, parts in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "tag", "place", "bytes", "parts")), strict=True):
-                first, more, before = _unpack(place)
+            for gram, name, before, more, context, parts in zip(*(piece.column(c).to_pylist() for c in ("gram", "context", "before", "more", "bytes", "parts")), strict=True):
                 for part in parts:
                     j = part["chunk"]
                     for offset in range(max(CHUNK * j, before - more), min(CHUNK * j + CHUNK - 1, before) + 1):
-                        k = before - offset
-                        out.append((doc, tag, first + k, part["times"], *_hash(context[k : k + LENGTH], 0)))
-            yield _batch(out, "doc_id tag start times h1 h2")
+                        out.append((gram, name, offset, part["times"], *_hash(context[before - offset : before - offset + LENGTH], 0)))
+            yield _batch(out, _WINDOWS)
 
 
 def _narrowed(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """contexts that are too many to meet -> (doc_id, tag, start, stop of repeated windows, the tables to drop afterwards)."""
-    longs = ", ".join(f"{c} long" for c in "doc_id place tag chunk times i1 i2 u1 u2 start stop".split())
-    chunks = materialize(contexts.mapInArrow(_chunks, longs), "chunks")
-    covers = materialize(
-        chunks.groupBy("i1", "i2", "u1", "u2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "tag", "place", "chunk")).alias("one")), "covers"
-    )
+    """contexts that are too many to meet -> (runs of offsets whose windows are repeated, the tables to drop afterwards)."""
+    chunks = materialize(contexts.mapInArrow(_chunks, _longs(_CHUNKS)), "chunks")
+    covers = materialize(chunks.groupBy("i1", "i2", "u1", "u2").agg(F.sum("times").alias("times"), F.min(F.struct("gram", "context", "chunk")).alias("one")), "covers")
     twice = covers.filter("times > 1").select("u1", "u2")
-    whole = join_back(chunks, twice, ["u1", "u2"], "left_semi").select("doc_id", "tag", "start", "stop")
+    whole = join_back(chunks, twice, ["u1", "u2"], "left_semi").select("gram", "context", F.col("low").cast("int"), F.col("high").cast("int"))
     several = covers.groupBy("i1", "i2").agg(F.count("*").alias("covers")).filter("covers > 1").select("i1", "i2")
-    open_ = join_back(covers, several, ["i1", "i2"], "left_semi").select(F.col("one.doc_id").alias("_doc"), F.col("one.tag").alias("_tag"), F.col("one.place").alias("_place"), F.struct(F.col("one.chunk").alias("chunk"), "times").alias("part"))
-    asked = open_.groupBy("_doc", "_tag", "_place").agg(F.collect_list("part").alias("parts"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")) & (F.col("place") == F.col("_place"))
-    windows = materialize(
-        contexts.join(asked, same).select("doc_id", "tag", "place", "bytes", "parts").mapInArrow(_windows, "doc_id long, tag long, start long, times long, h1 long, h2 long"), "windows"
-    )
+    open_ = join_back(covers, several, ["i1", "i2"], "left_semi").select("one.gram", "one.context", F.struct(F.col("one.chunk").alias("chunk"), "times").alias("part"))
+    asked = open_.groupBy("gram", "context").agg(F.collect_list("part").alias("parts"))
+    windows = materialize(join_back(contexts, asked, ["gram", "context"]).select("gram", "context", "before", "more", "bytes", "parts").mapInArrow(_windows, _longs(_WINDOWS)), "windows")
     again = windows.groupBy("h1", "h2").agg(F.sum("times").alias("all")).filter("all > 1").drop("all")
-    single = join_back(windows, again, ["h1", "h2"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
+    single = join_back(windows, again, ["h1", "h2"], "left_semi").select("gram", "context", F.col("offset").cast("int").alias("low"), F.col("offset").cast("int").alias("high"))
     return whole.union(single), [chunks, covers, windows]
 
 
@@ -297,32 +299,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = found.groupBy("gram").agg(F.count("*").alias("all")).filter("all > 1").select("gram")
     rows = materialize(join_back(found, again, ["gram"], "left_semi"), "repeated-anchors")
     drop_table(found)
-    counted = rows.groupBy("gram", "context").agg(F.count("*").alias("times"))
-    grams = counted.groupBy("gram").agg(F.count("*").alias("contexts"))
-    doubtful = join_back(counted, grams, ["gram"]).filter("times > 1 OR contexts > 1")
-    marked = materialize(rows.join(doubtful, ["gram", "context"]), "doubtful")
-    drop_table(rows)
-    open_rows = marked.filter("contexts > 1")
-    witnesses = open_rows.filter("times > 1").groupBy("gram", "context").agg(
-        F.min(F.struct("doc_id", "tag", "place")).alias("one"), F.first("times").alias("times"), F.first("contexts").alias("contexts")
-    ).select("one.doc_id", "one.tag", "one.place", "gram", "times", "contexts")
-    picks = open_rows.filter("times = 1").select("doc_id", "tag", "place", "gram", "times", "contexts").union(witnesses)
-    by_doc = picks.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("place", "gram", "times", (F.col("contexts") > GROUP).alias("large"))).alias("picks")
-    )
-    cut = _numbered(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc_id", "tag", "text", "picks")
-    contexts = materialize(
-        cut.mapInArrow(_cut_contexts, "gram long, doc_id long, tag long, place long, times long, large boolean, bytes binary"), "contexts"
-    )
-    compared = contexts.filter("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc_id long, tag long, start long, stop long")
+    distinct = materialize(rows.groupBy("gram", "context").agg(F.min(F.struct("doc_id", "tag", "place")).alias("one"), F.count("*").alias("times")), "distinct-contexts")
+    large = distinct.groupBy("gram").agg((F.count("*") > GROUP).alias("large"))
+    picks = join_back(distinct, large, ["gram"]).select("one.doc_id", "one.tag", F.struct("one.place", "gram", "context", "times", "large").alias("pick"))
+    by_doc = picks.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("pick").alias("picks"))
+    cut = _numbered(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("text", "picks")
+    contexts = materialize(cut.mapInArrow(_cut_contexts, "gram long, context long, before int, more int, times long, large boolean, bytes binary"), "contexts")
+    drop_table(distinct)
+    compared = contexts.filter("NOT large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, _RUNS)
     edge, tables = _narrowed(contexts.filter("large"))
-    first = F.shiftright("place", 16)
-    settled = marked.filter("times > 1").select(
-        "doc_id", "tag", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")) + LENGTH).alias("stop")
-    )
-    spans = settled.union(compared).union(edge)
-    result = materialize(spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    for table in (marked, contexts, *tables):
+    runs = materialize(compared.union(edge).groupBy("gram", "context").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")
+    for table in (contexts, *tables):
+        drop_table(table)
+    anchor = F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255).cast("long"))
+    spans = F.transform("runs", lambda r: F.struct((F.col("anchor") - r["high"]).alias("start"), (F.col("anchor") - r["low"] + LENGTH).alias("stop")))
+    placed = join_back(rows, runs, ["gram", "context"]).withColumn("anchor", anchor).select("doc_id", "tag", F.explode(spans).alias("span"))
+    result = materialize(placed.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")), "spans")
+    for table in (rows, runs):
         drop_table(table)
     return result
 
