@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -33,7 +35,8 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SKIPPED = frozenset("script style noscript template head title svg iframe object textarea select button canvas audio video math".split())
+#: Nothing inside is text of the page; other inline elements (math, button, media) are part of the text around them.
+_SKIPPED = frozenset("script style noscript template head title svg iframe textarea select".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -104,29 +107,68 @@ def _marks(attributes: str) -> tuple[str, str | None]:
     return " ".join(words), label
 
 
+class _Open:
+    """The open elements. For each tag the places where it stands on the stack are known, so that no end tag searches a deep stack."""
+
+    def __init__(self, root: int, texts: list[tuple[int, str, bool]]):
+        self.stack: list[tuple[str, int]] = [("", root)]  # tag, and the node that its text belongs to
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.texts = texts
+
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    @property
+    def in_link(self) -> bool:
+        return bool(self.at["a"])
+
+    def push(self, tag: str, node: int) -> None:
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def close(self, to: int) -> None:
+        """Down to that many open elements."""
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.at[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+                self.texts.append((-1, " ", False))
+
+    def end(self, tag: str) -> None:
+        """An end tag: an inline element ends only within its block."""
+        places = self.at.get(tag)
+        if places and (tag in _BLOCK or places[-1] > self.blocks[-1]):
+            self.close(places[-1])
+
+    def end_paragraph(self) -> None:
+        if self.stack[self.blocks[-1]][0] == "p":
+            self.close(self.blocks[-1])
+
+    def end_items(self, ended: set[str], shields: set[str]) -> None:
+        """The outermost open one of `ended` inside the innermost of `shields`, and all in it."""
+        shield = max((self.at[t][-1] for t in shields if self.at.get(t)), default=0)
+        found = [places[k] for t in ended if (places := self.at.get(t)) and (k := bisect_right(places, shield)) < len(places)]
+        if found:
+            self.close(min(found))
+
+
 def parse(html: str) -> Page:
     page = Page()
     root = page.add("", "", -1)
-    stack: list[tuple[str, int]] = [("", root)]  # open tags and the node that their text belongs to
-    links = 0
+    texts = page.texts
+    elements = _Open(root, texts)
     skipping: str | None = None
     depth = at = 0
-    texts = page.texts
-
-    def close(to: int) -> None:
-        nonlocal links
-        while len(stack) > to:
-            tag, _ = stack.pop()
-            if tag == "a":
-                links -= 1
-            elif tag in _BLOCK:
-                texts.append((-1, " ", False))
-
     while at < len(html):
         m = _TAG.search(html, at)
         end = m.start() if m else len(html)
         if end > at and skipping is None:
-            texts.append((stack[-1][1], unescape(html[at:end]), links > 0))
+            texts.append((elements.node, unescape(html[at:end]), elements.in_link))
         if m is None:
             break
         at = m.end()
@@ -136,7 +178,7 @@ def parse(html: str) -> Page:
         tag, attributes = tag.lower(), m[3] or m[6] or ""
         if skipping is not None:
             # An unclosed element doesn't swallow the page: a head ends at the first block, others where a block around them ends.
-            over = tag in _BLOCK and (not closing if skipping == "head" else closing and any(t == tag for t, _ in stack))
+            over = tag in _BLOCK and (not closing if skipping == "head" else closing and bool(elements.at.get(tag)))
             if tag == skipping:
                 depth += -1 if closing else 0 if tag in _RAW else 1
             if not over:
@@ -144,13 +186,7 @@ def parse(html: str) -> Page:
                 continue
             skipping = None
         if closing:
-            block = tag in _BLOCK
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if not block and stack[k][0] in _BLOCK:
-                    break
+            elements.end(tag)
             continue
         if tag in _SKIPPED:
             if tag in _RAW:
@@ -164,33 +200,18 @@ def parse(html: str) -> Page:
                 texts.append((-1, " ", False))
             continue
         if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
+            elements.end_paragraph()
         if tag in _ENDS:
-            ended, shields = _ENDS[tag]
-            cut = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in shields:
-                    break
-                if stack[k][0] in ended:
-                    cut = k
-            close(cut)
+            elements.end_items(*_ENDS[tag])
         mark, label = _marks(attributes) if attributes else ("", None)
-        node = stack[-1][1]
+        node = elements.node
         if tag in _BLOCK:
             texts.append((-1, " ", False))
             node = page.block(tag, mark, node, label)
         elif mark:
             node = page.add(tag, mark, node, label)
-        links += tag == "a"
         if not attributes.endswith("/") or tag in _BLOCK:
-            stack.append((tag, node))
-        elif tag == "a":
-            links -= 1
+            elements.push(tag, node)
     return page
 
 
@@ -204,12 +225,23 @@ def _bucket(n: int) -> int:
     return 0 if n == 0 else 1 if n < 25 else 2 if n < 100 else 3 if n < 400 else 4
 
 
+def _entitle(page: Page, title: list[str], node: int, text: str) -> None:
+    """A short text gives its first word to those elements that begin with it; what begins with a long one has no title."""
+    words = _WORD.findall(text) if len(text) < 40 else []
+    name = f"w:{words[-1 if words[0].isdigit() else 0].lower()[:8]}" if words else "w:"
+    while node >= 0 and not title[node]:
+        title[node] = name
+        node = page.parents[node]
+
+
 def node_features(page: Page) -> list[tuple[str, ...]]:
     n = len(page.tags)
-    own, linked, stops = [0] * n, [0] * n, [0] * n
+    own, linked, stops, title = [0] * n, [0] * n, [0] * n, [""] * n
     for node, text, link in page.texts:
         if node >= 0:
             size = len(text.strip())
+            if size:
+                _entitle(page, title, node, text)
             own[node] += size
             if link:
                 linked[node] += size
@@ -227,7 +259,7 @@ def node_features(page: Page) -> list[tuple[str, ...]]:
         depth[k] = depth[parent] + 1 if parent >= 0 else 0
         dense = 0 if below[k] == 0 else 1 + int(3 * below_linked[k] / (below[k] + 1))
         share = int(4 * below[k] / (total + 1))
-        out.append((f"t:{page.tags[k]}", f"o:{_bucket(own[k])}{min(stops[k], 2)}", f"l:{dense}", f"s:{share}{_bucket(below[k])}", "bias", f"u:{page.tags[parent] if parent >= 0 else None}{page.tags[k]}", f"c:{core}{_KIND.get(page.tags[k])}", *_mark_words(page.marks[k])))
+        out.append((f"t:{page.tags[k]}", f"o:{_bucket(own[k])}{min(stops[k], 2)}", f"l:{dense}", f"s:{share}{_bucket(below[k])}", "bias", f"u:{page.tags[parent] if parent >= 0 else None}{page.tags[k]}", f"c:{core}{_KIND.get(page.tags[k])}", title[k] or "w:", *_mark_words(page.marks[k])))
     return out
 
 
@@ -303,6 +335,7 @@ class _Layouts:
     META = "share social share-buttons tags byline author meta post-meta tools social-links rating".split()
     FOOT = "footer site-footer copyright legal bottom colophon foot credits".split()
     HEAD = "header site-header masthead logo branding top-bar page-header".split()
+    TALK_TITLES = ["Comments", "Comment", "Discussion", "Responses", "Replies", "Leave a reply", "Join the conversation", "Kommentare", "Commentaires", "Comentarios", "Reacties", "Commenti"]
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -330,6 +363,8 @@ class _Layouts:
                 text += f" <b>{self.words(1, 5)}</b> {self.words(2, 20)}"
             if self.r.random() < 0.2:
                 text += f" {self.link()} {self.words(2, 9)}"
+            elif label and self.r.random() < 0.08:  # a paragraph full of links
+                text = " ".join(f"{self.words(1, 6)} {self.link()}" for _ in range(self.r.randint(2, 5))) + f" {self.words(1, 8)}"
             if kind < 0.72:
                 out.append(self.el("p", label, text))
             elif kind < 0.79:
@@ -371,7 +406,11 @@ class _Layouts:
         posts = "".join(
             self.el(self.r.choice(("div", "li", "article")), 0, self.el("p", 0, self.words(1, 3)) + self.prose(0, 1, 2), self.TALK) for _ in range(self.r.randint(1, 4))
         )
-        return self.el(self.r.choice(("section", "div", "ol")), 0, self.el("h3", 0, self.words(1, 2)) + posts, self.TALK)
+        title = self.el(self.r.choice(("h2", "h3", "h4")), 0, (f"{self.r.randint(1, 99)} " if self.r.random() < 0.3 else "") + self.r.choice(self.TALK_TITLES))
+        if self.r.random() < 0.25:  # nothing but the title tells what it is
+            plain = self.el("ul", 0, "".join(self.el("li", 0, self.words(1, 20)) for _ in range(self.r.randint(1, 4)))) if self.r.random() < 0.5 else self.prose(0, 1, 3)
+            return self.el(self.r.choice(("section", "div")), 0, title + plain)
+        return self.el(self.r.choice(("section", "div", "ol")), 0, (title if self.r.random() < 0.6 else self.el("h3", 0, self.words(1, 2))) + posts, self.TALK)
 
     def extra(self) -> str:
         return self.r.choice((self.form, lambda: self.small(self.AD), lambda: self.small(self.NOTICE), self.aside, lambda: self.small(self.META)))()
@@ -388,11 +427,14 @@ class _Layouts:
             parts.append("".join(self.el("p", 1, self.words(1, high)) for _ in range(r.randint(8, 60))))
         for _ in range(r.choice((0, 0, 1, 1, 2, 3, 4))):
             parts.insert(r.randint(0, len(parts)), self.extra())
+        if r.random() < 0.3:  # chapters with elements of their own
+            tag = r.choice(("section", "div"))
+            parts = [self.el(tag, 1, part) for part in parts] if r.random() < 0.5 else [self.el(tag, 1, "".join(parts), r.choice((None, None, self.CONTENT)))]
         body += "".join(parts)
         if r.random() < 0.15:
             body += self.talk()
         tag = r.choice(("article", "article", "article", "main", "div", "div", "section"))
-        names = self.CONTENT if tag in ("div", "section") or r.random() < 0.3 else None
+        names = self.CONTENT if r.random() < (0.75 if tag in ("div", "section") else 0.3) else None
         core = self.el(tag, 1, body, names)
         if tag == "article" and r.random() < 0.3:
             core = self.el("main", 1, core + (self.talk() if r.random() < 0.3 else ""))
@@ -410,7 +452,7 @@ class _Layouts:
 
 
 @lru_cache(maxsize=1)
-def trained_model(pages: int = 600, passes: int = 10, seed: int = 5) -> TreeModel:
+def trained_model(pages: int = 1500, passes: int = 6, seed: int = 5) -> TreeModel:
     layouts, model = _Layouts(seed), TreeModel()
     examples = []
     for _ in range(pages):

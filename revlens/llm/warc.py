@@ -35,6 +35,8 @@ RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 50_000
 #: The reader fetches neighbouring records together up to this size.
 READ_BYTES = 4 << 20
+#: Tasks that read; a task reads its archives one after another, so more archives than tasks only take longer.
+READ_TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 _NAME = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -285,4 +287,4 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").repartition(min(archives, 10_000), "path").mapInArrow(read, schema)
+    return manifest.select("path").repartitionByRange(min(archives, READ_TASKS), "path").mapInArrow(read, schema)
