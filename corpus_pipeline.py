@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import decontam, linededup, mixing, neardup, quality
-from revlens.llm.common import materialize
+from revlens.llm.common import drop_but_last, materialize, tables_written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule, or whose host is rejected by any rule, go."""
-    return quality.keep_good(docs, judges=quality.EVERY_RULE)
+    return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken, so that sources meet their targets."""
-    return mixing.mix_sources(docs)
+    """The documents, with how often each is taken, so that sources meet their targets."""
+    return mixing.mixed_docs(docs)
 
 
 STAGES = [
@@ -47,7 +47,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document that the stages keep: its columns, and size, source_size, target, repeats and taken of the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = tables_written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_but_last(spark, began)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus to train on: the documents that the stages keep, whole, each as often as the mix takes it (`epoch` from 1)."""
+    return mixing.repeated(run(spark, sf_dir))

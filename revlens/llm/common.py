@@ -19,6 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +43,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def drop_all(spark: SparkSession) -> None:
     """Delete every table and archive that this application wrote; results that still read them must have been written elsewhere."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/revlens/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    _delete(spark, f"{shared_dir(spark)}/revlens/{spark.sparkContext.applicationId}")
+    _WRITTEN.clear()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,10 +52,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     gives the planner the true size when it decides about a broadcast."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    return len(_WRITTEN)
+
+
+def drop_but_last(spark: SparkSession, since: int) -> None:
+    """Delete all tables written since tables_written() was `since`, but for the last one: a finished step's intermediates."""
+    for path in _WRITTEN[since:-1]:
+        _delete(spark, path)
+    del _WRITTEN[since:-1]
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns as one struct, so that names that an operator adds can't clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -86,11 +105,9 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing will read again, and let Spark drop shuffle files of finished steps."""
-    jvm = df.sparkSession.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-    jvm.System.gc()
+        _delete(df.sparkSession, file.rpartition("/")[0])
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(column: Column) -> Column:

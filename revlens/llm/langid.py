@@ -2,8 +2,9 @@
 
 Each language has a codeword; for each bit a binary classifier over hashed byte n-grams (smoothed log-odds, naive Bayes)
 tells on which side of the code a text lies. Decoding is loss-weighted: a language's distance is the logistic loss of
-every bit against its codeword, weighed by how reliable that bit was on training texts of that language. The nearest codeword
-wins; a runner-up about as near marks the text as ambiguous.
+every bit against its codeword, weighed by how reliable that bit was on training texts of that language. The margins are scaled by the
+factor (of SCALES) under which the training texts' own losses are least. The nearest codeword wins; a runner-up about as near marks
+the text as ambiguous.
 
 Training reads at most about ROWS_PER_LANGUAGE rows of each language, chosen by a hash of doc_id; everything else covers all rows.
 Defined results: null text, or text without a letter, is `und` with score 0; so is every text if there is nothing to
@@ -32,8 +33,10 @@ SAMPLE_TASKS = 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 FOLDS = 5
-#: Distances of the two nearest codewords that differ by less are called ambiguous.
+#: Distances of the two nearest codewords that differ by less are called ambiguous: the runner-up is more than 0.6 times as likely.
 MARGIN = 0.5
+#: Factors of the margins that training chooses from.
+SCALES = (1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0, 32.0)
 _PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -59,16 +62,24 @@ def ngram_bins(text: bytes) -> np.ndarray | None:
     plain = text.decode("utf-8", "replace")
     if not _LETTER.search(plain):
         return None
-    counts = np.zeros(BINS, np.int64)
-    for k in range(0, len(plain), _PIECE):
-        letters = f" {_OTHER.sub(' ', plain[k : k + _PIECE].lower()).strip()} ".encode()
-        b = np.frombuffer(letters, np.uint8).astype(np.uint32)
+    counts, at, joint = np.zeros(BINS, np.int64), 0, b" "
+    while at < len(plain):  # a piece at a time, so that the arrays stay small; each begins with the bytes that n-grams across its start need
+        end = min(at + _PIECE, len(plain))
+        words = _OTHER.sub(" ", plain[at:end].lower()).encode()
+        at = end
+        fresh = joint + (words.lstrip(b" ") if joint.endswith(b" ") else words)
+        if at == len(plain):
+            fresh = fresh.rstrip(b" ") + b" "
+        head, joint = len(joint), fresh[-(max(ORDERS) - 1) :]
+        b = np.frombuffer(fresh, np.uint8).astype(np.uint32)
         for order in ORDERS:
-            if len(b) < order:
+            first = max(0, head - order + 1) if head > 1 else 0  # those before were counted with the last piece
+            n = len(b) - order + 1 - first
+            if n <= 0:
                 continue
-            h = np.full(len(b) - order + 1, order, np.uint32)
+            h = np.full(n, order, np.uint32)
             for j in range(order):
-                h = (h ^ b[j : len(b) - order + 1 + j]) * np.uint32(0x01000193)
+                h = (h ^ b[first + j : first + n + j]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
             counts += np.bincount(h & np.uint32(BINS - 1), minlength=BINS)
     return counts
@@ -96,10 +107,16 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # BINS x bits, log-odds
     reliable: np.ndarray  # languages x bits, rows sum to the number of bits
+    scale: float = 1.0
+    margin: float = MARGIN
+
+    def means(self, counts: np.ndarray) -> np.ndarray:
+        """Mean log-odds of the text's n-grams, for each bit."""
+        return (counts @ self.weights) / max(int(counts.sum()), 1)
 
     def sides(self, counts: np.ndarray) -> np.ndarray:
-        """Signed margins of the bits: the mean log-odds of an n-gram, scaled."""
-        return np.clip(12.0 * (counts @ self.weights) / max(int(counts.sum()), 1), -8, 8)
+        """Signed margins of the bits."""
+        return np.clip(self.scale * self.means(counts), -8, 8)
 
     def distances(self, counts: np.ndarray) -> np.ndarray:
         return (self.reliable * np.log1p(np.exp(-self.code * self.sides(counts)))).sum(axis=1)
@@ -112,7 +129,7 @@ class Model:
         best = int(d.argmin())
         p = np.exp(d.min() - d)
         second = np.partition(d, 1)[1] if len(d) > 1 else np.inf
-        return self.languages[best], float(1 / p.sum()), bool(second - d[best] < MARGIN)
+        return self.languages[best], float(1 / p.sum()), bool(second - d[best] < self.margin)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +143,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "counts"])
 
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """docs: doc_id, text, lang."""
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, margin: float = MARGIN) -> Model:
+    """docs: doc_id, text, lang. The labels are languages: their counts, one row each, come to the driver."""
     spark = docs.sparkSession
     rows = sampled(docs.filter(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text"), "lang", rows_per_language, 6)
     rows = materialize(rows.select("lang", as_bytes().alias("text")).repartition(SAMPLE_TASKS), "language-sample")
@@ -145,25 +162,29 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
         one, other = share[code[:, bit] > 0], share[code[:, bit] < 0]
         if len(one) and len(other):
             weights[:, bit] = np.log(one.mean(axis=0)) - np.log(other.mean(axis=0))
-    model = Model(languages, code, weights, np.ones_like(code))
+    model = Model(languages, code, weights, np.ones_like(code), margin=margin)
     shared = spark.sparkContext.broadcast(model)
 
     def right_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        right, seen = np.zeros_like(m.code), np.zeros(len(m.languages))
+        right, seen, losses = np.zeros_like(m.code), np.zeros(len(m.languages)), np.zeros(len(SCALES))
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 counts = ngram_bins(text.as_py())
                 if counts is not None:
                     k = m.languages.index(lang)
-                    right[k] += m.code[k] * m.sides(counts) > 0
+                    side = m.code[k] * m.means(counts)
+                    right[k] += side > 0
                     seen[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([right.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["right", "seen"])
+                    losses += [np.log1p(np.exp(-np.clip(s * side, -8, 8))).sum() for s in SCALES]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (right, seen, losses)], names=["right", "seen", "losses"])
 
-    right, seen = np.zeros_like(code), np.zeros(len(languages))
-    for r in rows.mapInArrow(right_bits, "right binary, seen binary").collect():
+    right, seen, losses = np.zeros_like(code), np.zeros(len(languages)), np.zeros(len(SCALES))
+    for r in rows.mapInArrow(right_bits, "right binary, seen binary, losses binary").collect():
         right += np.frombuffer(bytes(r["right"])).reshape(code.shape)
         seen += np.frombuffer(bytes(r["seen"]))
+        losses += np.frombuffer(bytes(r["losses"]))
+    model.scale = SCALES[int(losses.argmin())]
     accuracy = (right + 1) / (seen[:, None] + 2)
     model.reliable = accuracy * code.shape[1] / accuracy.sum(axis=1, keepdims=True)
     return model

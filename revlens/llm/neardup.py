@@ -1,7 +1,9 @@
-"""Near-dedup by the similarity of word shingles: every link is an exact comparison.
+"""SimHash near-dedup with covering tables, widened to a similarity of word shingles: every link is an exact comparison.
 
 A document is the set of its runs of ``shingle`` words (ASCII case folded; a shorter text is one run). Two sets whose Jaccard
-similarity reaches the limit are linked. Candidates share a band: ROWS of the BANDS * ROWS minhashes of a set; at similarity 0.8 a pair
+similarity reaches the limit are linked. Candidates share a table of the covering masks (`simhash`) of their fingerprints, the bitwise
+majority of the set's hashes, which finds every pair within RADIUS bits; pairs of similarity 0.8 differ in 3 to 11 bits as a rule, too far for
+covering tables (2^12 - 1 of them for 11 bits), so candidates may also share a band: ROWS of the BANDS * ROWS minhashes of a set; at similarity 0.8 a pair
 shares none with probability 1e-5, above it less. Each candidate pair is compared set with set, unless links already join it.
 
 Large buckets are not gathered: in two rounds each member is compared with one leader of each of its buckets (first the one with the least
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, join_back, materialize, packed, pieces, unpacked
 from .graph import components
+from .simhash import covering_masks
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -57,6 +60,21 @@ def bands(shingle_set: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, len(least), ROWS)]
 
 
+_COVERS = np.array(covering_masks(), np.uint64)
+
+
+def covers(shingle_set: np.ndarray) -> list[int]:
+    """A hash for each covering table of the set's fingerprint."""
+    if not len(shingle_set):
+        return []
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(shingle_set), 1 << 16):
+        part = shingle_set[k : k + (1 << 16)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fingerprint = np.packbits(2 * ones > len(shingle_set), bitorder="little").view("<u8")[0]
+    return [xxhash.xxh64_intdigest((fingerprint & mask).tobytes(), BANDS * ROWS + k) - (1 << 63) for k, mask in enumerate(_COVERS)]
+
+
 def _signatures(shingle: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +82,7 @@ def _signatures(shingle: int):
             for x in batch.column(2):
                 found = shingles(x.as_py(), shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-                keys.append(bands(found))
+                keys.append(bands(found) + covers(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "bands"])
 
     return signed

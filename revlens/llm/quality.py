@@ -2,7 +2,7 @@
 
 Each document is measured once (bytes in Arrow batches). Rule failures are summed by host; a host's failure rates are
 shrunk towards a beta prior fitted to all hosts by moments, and a host is rejected as a whole if the shrunk rate of a judge passes a
-limit: the base failures, or with EVERY_RULE any single rule as well. The verdict goes back to its documents by a join on the host.
+limit: any rule's rate or that of the base failures, or with BASE_ONLY the latter alone. The verdict goes back to its documents by a join on the host.
 
 Defined results: null or empty text has no words and fails; a null host is a host of its own; repeated rows count as often as they
 occur; without hosts (empty table) the result is empty. Other columns of the input are ignored.
@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_bytes, materialize, packed, unpacked
+from .common import as_bytes, materialize, unpacked
 
 SYMBOLS = b"#*$%&|<>"
 _WHITE, _CONTINUATION = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0))
@@ -30,8 +31,10 @@ RULES = {
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
 }
 BASE = ("too_short", "repetitive")
-#: Rates that may reject a host: base failures alone, or those of every rule as well.
+#: Rates that may reject a host: of base failures alone, or of every rule as well.
 BASE_ONLY, EVERY_RULE = ("base",), ("base", *RULES)
+#: What the prior of a rate may weigh, in documents, and the least rate that it expects.
+LEAST_WEIGHT, MOST_WEIGHT, LEAST_RATE = 10.0, 1000.0, 1e-3
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -109,17 +112,17 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 def beta_prior(hosts: int, docs: int, failures: int, square: float) -> tuple[float, float]:
     """alpha, beta by moments of the rates over hosts; square is the sum of failures^2 / docs. The prior weighs as much as
-    10 to 1000 documents, so a host of a few documents is never condemned by them alone."""
+    LEAST_WEIGHT to MOST_WEIGHT documents: moments of a few hosts may ask for less than none or for infinitely much, and a host of a few documents
+    is never condemned by them alone. No rate is taken for impossible (LEAST_RATE)."""
     if not docs:
         return 0.5, 0.5
     mean = failures / docs
     spread = max(square / docs - mean * mean, 0.0)  # between hosts, weighed by documents
     noise = mean * (1 - mean)
     between = spread - noise * hosts / docs
-    weight = (noise - spread) / between if between > 0 else 1000.0
-    weight = min(max(weight, 10.0), 1000.0)
-    floor = 1e-3
-    return max(mean, floor) * weight, max(1 - mean, floor) * weight
+    weight = (noise - spread) / between if between > 0 else MOST_WEIGHT
+    weight = min(max(weight, LEAST_WEIGHT), MOST_WEIGHT)
+    return max(mean, LEAST_RATE) * weight, max(1 - mean, LEAST_RATE) * weight
 
 
 def _passes_limit(judges: tuple[str, ...], host_limit: float) -> F.Column:
@@ -127,7 +130,7 @@ def _passes_limit(judges: tuple[str, ...], host_limit: float) -> F.Column:
     return F.exists(F.array(*[F.col(f"{r}_rate") for r in judges]), lambda rate: rate > host_limit)
 
 
-def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = BASE_ONLY) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = EVERY_RULE) -> DataFrame:
     """doc_id, host, the MEASURES, base_failed, host_rate (shrunk, of base failures), host_rejected, kept: a row for each of docs."""
     measured = measured_docs(docs, host)
     verdicts = materialize(
@@ -139,21 +142,27 @@ def apply_rules(docs: DataFrame, host: str = "source", host_limit: float = 0.5,
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = BASE_ONLY) -> DataFrame:
-    """docs, all columns, without documents that fail a base rule or whose host is rejected. Only the table of rejected hosts is joined, so the
-    texts stay where they are."""
-    place = docs.columns.index("text")
+def _measured_rows(docs: DataFrame, host: str) -> DataFrame:
+    """d (the whole row), host, MEASURES; written, so that each text is measured once."""
+    columns = docs.columns
+    text, of = columns.index("text"), columns.index(host)
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x in batch.column(place).cast(pa.binary()):
-                words = (x.as_py() or b"").split()
-                good.append(len(words) >= 10 and 100 * repeated_words(words) <= 20 * len(words))
-            yield batch.filter(pa.array(good, pa.bool_()))
+            rows = [measure(x.as_py() or b"") for x in batch.column(text).cast(pa.binary())]
+            counts = zip(*rows, strict=True) if rows else [[] for _ in MEASURES]
+            whole = pa.StructArray.from_arrays(batch.columns, names=columns)
+            yield pa.RecordBatch.from_arrays([whole, batch.column(of).cast(pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["d", "host", *MEASURES])
 
-    measured = measured_docs(docs, host)
-    rejected = materialize(host_rates(measured).filter(_passes_limit(judges, host_limit)).select(F.col("host").alias("rejected")), "rejected-hosts")
-    good = docs.mapInArrow(passing, docs.schema)
-    left = good.select(packed(good).alias("d"), F.col(host).cast("string").alias("of"))
-    return left.join(rejected, F.col("of").eqNullSafe(F.col("rejected")), "left_anti").select(*unpacked("d", docs.columns))
+    fields = [StructField("d", docs.schema), StructField("host", StringType()), *[StructField(m, LongType()) for m in MEASURES]]
+    return materialize(docs.mapInArrow(measured, StructType(fields)), "measured-docs")
+
+
+def keep_good(docs: DataFrame, host: str = "source", host_limit: float = 0.5, judges: tuple[str, ...] = EVERY_RULE) -> DataFrame:
+    """docs, all columns, without documents that fail a base rule or whose host is rejected. Only the table of rejected hosts is joined, so the
+    texts stay where they are."""
+    rows = _measured_rows(docs, host)
+    rejected = materialize(host_rates(rows.select("host", *MEASURES)).filter(_passes_limit(judges, host_limit)).select(F.col("host").alias("rejected")), "rejected-hosts")
+    failed = F.expr(" OR ".join(f"({RULES[r]})" for r in BASE))
+    good = rows.filter(~failed).select("d", "host")
+    return good.join(rejected, F.col("host").eqNullSafe(F.col("rejected")), "left_anti").select(*unpacked("d", docs.columns))

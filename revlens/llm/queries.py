@@ -40,7 +40,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,22 @@ def test_stage_drops_a_text_with_one_more_word(spark, make_docs, tmp_path):
     rows.append(doc(101, rows[4][1] + " lamp"))
     stage = [f for _, f in corpus_pipeline.STAGES][2]
     assert sorted(r["doc_id"] for r in stage(spark, make_docs(rows), str(tmp_path)).collect()) == list(range(6))
+
+
+def test_covering_tables_find_all_fingerprints_within_two_bits():
+    import numpy as np
+
+    from revlens.llm.simhash import covering_masks
+
+    r = random.Random(5)
+    for _ in range(50):
+        a = r.getrandbits(64)
+        b = a ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))
+        assert any(a & m == b & m for m in covering_masks())
+    one = neardup.shingles(prose(1, 300).encode())
+    assert len(neardup.covers(one)) == 7 and neardup.covers(one) == neardup.covers(one.copy()) and neardup.covers(np.empty(0, np.uint64)) == []
+    plain = [2 * sum(int(h) >> b & 1 for h in one) > len(one) for b in range(64)]
+    fingerprint = sum(1 << b for b, x in enumerate(plain) if x)
+    flipped = neardup.shingles((prose(1, 300) + " lamp").encode())
+    near = bin(fingerprint ^ sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in flipped) > len(flipped))).count("1")
+    assert near > 2 or set(neardup.covers(one)) & set(neardup.covers(flipped))
