@@ -53,6 +53,25 @@ def components(prints, radius=2):
     return group
 
 
+def near_copies_kept(rows, size=5, similarity=0.8):
+    """doc_ids that stay of all components of pairs whose sets of word runs have the similarity: the smallest of each."""
+    sets = {}
+    for doc_id, text, *_ in rows:
+        ws = words((text or "").translate(LOWER))
+        sets[doc_id] = {tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))}
+    left, out = set(sets), []
+    while left:
+        stack, group = [left.pop()], []
+        while stack:
+            one = stack.pop()
+            group.append(one)
+            near = {o for o in left if len(sets[o] & sets[one]) >= similarity * len(sets[o] | sets[one]) - 1e-9}
+            left -= near
+            stack += near
+        out.append(min(group))
+    return out
+
+
 def line_key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
