@@ -54,21 +54,26 @@ WITH w AS (
   SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         len(string_split(text, chr(10))) AS n_lines
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN dl USING (doc_id)
 ), b AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m
+), u AS (
+  SELECT source, unnest(['base', 'too_short', 'repetitive', 'symbols', 'dup_lines']) AS rule,
+         unnest([base_failed, n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines]) AS failed
+  FROM b
 ), h AS (
-  SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE base_failed))::DOUBLE AS x FROM b GROUP BY source
+  SELECT source, rule, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS x FROM u GROUP BY source, rule
 ), p AS (
-  SELECT sum(x) / sum(n) AS m, greatest(sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2, 0) AS spread,
-         (sum(x) / sum(n)) * (1 - sum(x) / sum(n)) AS noise, count(*) / sum(n) AS share FROM h
+  SELECT rule, sum(x) / sum(n) AS m, greatest(sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2, 0) AS spread,
+         (sum(x) / sum(n)) * (1 - sum(x) / sum(n)) AS noise, count(*) / sum(n) AS share FROM h GROUP BY rule
 ), k AS (
-  SELECT m, least(greatest(CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 1000 END, 10), 1000) AS weight
+  SELECT rule, m, least(greatest(CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 1000 END, 10), 1000) AS weight
   FROM p
 ), v AS (
-  SELECT source, (x + greatest(m, 0.001) * weight) / (n + greatest(m, 0.001) * weight + greatest(1 - m, 0.001) * weight) > 0.5 AS rejected
-  FROM h, k
+  SELECT source, bool_or((x + greatest(m, 0.001) * weight) / (n + greatest(m, 0.001) * weight + greatest(1 - m, 0.001) * weight) > 0.5) AS rejected
+  FROM h JOIN k USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT rejected) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source

@@ -24,7 +24,7 @@ def _hosts():
     rows += [doc(1000 + k, prose(k, 40) + " <|> #" * 4, "en", "markup") for k in range(60)]
     rows += [doc(2000 + k, "\n".join([prose(k, 4), *["y"] * 4, prose(k + 900, 20)]), "en", "lines") for k in range(60)]
     rows += [doc(3000 + k, "short one" if k % 4 else prose(k, 30), "en", "brief") for k in range(60)]
-    return rows + [doc(4000, None, None, None), doc(4001, "", "en", "tiny"), doc(4002, prose(3, 50), None, None)]
+    return rows + [doc(4000, None, None, None), doc(4001, "", "en", "tiny"), doc(4002, prose(3, 50), None, None), doc(4003, prose(4, 50), None, None)]
 
 
 def test_the_query_and_its_sql_reject_the_same_hosts(spark, make_docs, tmp_path):
