@@ -57,11 +57,11 @@ def parse_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~array, "shape")
     )
     detail = (
-        F.when(F.col("_text") == "", "the model returned no text")
-        .when(F.col("_doc").isNull(), "not readable as JSON")
-        .when(~F.col("_kind").startswith("OBJECT"), F.concat(F.lit("an object was expected, not "), F.col("_kind")))
-        .when(F.col("_found").isNull() | F.is_variant_null("_found"), "no 'findings' key")
-        .when(~array, "'findings' is not a list")
+        F.when(F.col("_text") == "", "nothing was answered")
+        .when(F.col("_doc").isNull(), "the answer does not parse")
+        .when(~F.col("_kind").startswith("OBJECT"), F.concat(F.lit("the answer is of type "), F.col("_kind")))
+        .when(F.col("_found").isNull() | F.is_variant_null("_found"), "the answer lists nothing under `findings`")
+        .when(~array, "`findings` holds something other than a list")
     )
     staged = docs.withColumn("stage", stage).withColumn("detail", detail)
     bad = staged.filter("stage IS NOT NULL").select("case_id", "stage", "detail", F.left("_text", F.lit(500)).alias("payload"))
@@ -76,10 +76,10 @@ def parse_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("file") == "", "file")
     )
     words = (
-        F.when(~F.col("_object"), "the finding is not an object")
-        .when(F.col("line").isNull(), "missing or non-integer line")
-        .when(F.col("line") < 1, "the line is no position in a file")
-        .when(F.col("file") == "", "missing file")
+        F.when(~F.col("_object"), "an entry of the list is a bare value")
+        .when(F.col("line").isNull(), "no whole number says which line")
+        .when(F.col("line") < 1, "lines are counted from 1")
+        .when(F.col("file") == "", "no file is named")
     )
     judged = read.withColumn("stage", why).withColumn("detail", words)
     odd = judged.filter("stage IS NOT NULL").select("case_id", "stage", "detail", F.left(F.to_json("item"), F.lit(200)).alias("payload"))

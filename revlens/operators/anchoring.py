@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_path, is_code, normalise
-from .diff import base_revision, files_of, printed_rows, removed_lines
+from .diff import base_revision, file_views, files_of
 
 MIN_QUOTE = 4
 SLACK = 3
@@ -18,7 +18,7 @@ def scope(claims: DataFrame, cases: DataFrame) -> DataFrame:
     joined = claims.join(facts, "case_id", "left")
     inside = F.coalesce(F.array_contains("changed_files", F.col("file")), F.lit(False))
     code = F.coalesce("_code", F.lit(False))
-    detail = F.when(~code, "the change shows no code to review").when(~inside, F.concat("file", F.lit(" is not a file that the change touches"))).otherwise("")
+    detail = F.when(~code, "no code file is changed").when(~inside, F.concat(F.lit("unchanged file: "), "file")).otherwise("")
     return joined.withColumn("kept", code & inside).withColumn("detail", detail).drop("_code", "changed_files")
 
 
@@ -26,26 +26,21 @@ def anchor(claims: DataFrame, cases: DataFrame, min_quote: int = MIN_QUOTE, with
     """claims (case_id, ord, file, line, quote) with claimed_line, line, verdict and detail.
 
     anchored: the quote is the line named; snapped: it is exactly one other line; ambiguous: several; deleted-line: a line that the change
-    deleted (if those are shown); unchecked: too short, or the file isn't shown; unsupported: nowhere.
+    deleted (if those are shown); unchecked: too short, or the file isn't shown; unsupported: nowhere. A claim meets its file as one row, and its quote is looked for
+    inside it.
     """
-    quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit(""))))
-    shown = printed_rows(cases).select("case_id", F.col("path").alias("file"), F.col("line_no").alias("at"), normalise(F.col("text")).alias("said"))
-    files = shown.select("case_id", "file").distinct().withColumn("_shown", F.lit(True))
-    keys = ["case_id", "file"]
-    long_enough = quoted.filter(F.char_length("_quote") >= min_quote)
-    pairs = long_enough.select("case_id", "ord", "file", "line", "_quote").join(shown, keys)
-    within = F.col("said").contains(F.col("_quote"))
-    here = (F.col("at") == F.col("line")) & (F.col("said") != "") & (within | F.col("_quote").contains(F.col("said")))
-    hits = pairs.groupBy("case_id", "ord").agg(
-        F.bool_or(here).alias("_here"), F.count_if(within).alias("_hits"), F.min(F.when(within, F.col("at"))).alias("_hit")
-    )
-    out = quoted.join(files, keys, "left").join(hits, ["case_id", "ord"], "left")
-    if with_deletions:
-        gone = removed_lines(cases).select("case_id", F.col("path").alias("file"), "new_no", "i", normalise(F.col("text")).alias("said"))
-        lost = long_enough.select("case_id", "ord", "file", "_quote").join(gone, keys).filter(F.col("said").contains(F.col("_quote")))
-        out = out.join(lost.groupBy("case_id", "ord").agg(F.min_by("new_no", "i").alias("_gone")), ["case_id", "ord"], "left")
-    else:
-        out = out.withColumn("_gone", F.lit(None).cast("int"))
+    views = file_views(cases, with_deletions)
+    lines = F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: F.struct(r["line_no"].alias("at"), normalise(r["text"]).alias("said")))
+    gone = F.transform(F.filter("printed", lambda r: r["line_no"].isNull()), lambda r: F.struct(r["nth"].alias("i"), r["at"].alias("at"), normalise(r["text"]).alias("said")))
+    shown = views.select("case_id", F.col("path").alias("file"), lines.alias("_lines"), F.array_sort(gone).alias("_lost"))
+    quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).join(shown, ["case_id", "file"], "left")
+    quote, known = F.col("_quote"), F.char_length("_quote") >= min_quote
+    found = F.when(known, F.filter("_lines", lambda x: x["said"].contains(quote)))
+    there = F.get("_lines", F.col("line") - 1)  # lines are printed from 1 on, without a gap
+    here = known & (there["said"] != "") & (there["said"].contains(quote) | quote.contains(there["said"]))
+    lost = F.when(known, F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
+    out = quoted.withColumns({"_found": found, "_here": F.coalesce(here, F.lit(False)), "_gone": lost["at"]})
+    out = out.withColumns({"_hits": F.size("_found"), "_hit": F.get("_found", F.lit(0))["at"], "_shown": F.when(F.size("_lines") > 0, F.lit(True))})
     short, unseen = F.char_length("_quote") < min_quote, F.col("_shown").isNull()
     verdict = (
         F.when(short | unseen, "unchecked")
@@ -57,16 +52,16 @@ def anchor(claims: DataFrame, cases: DataFrame, min_quote: int = MIN_QUOTE, with
     )
     out = out.withColumn("verdict", verdict)
     detail = (
-        F.when(short, "the quote is too short")
-        .when(unseen, "the file was not shown")
-        .when(F.col("verdict") == "snapped", F.concat(F.lit("the quote is line "), F.col("_hit")))
-        .when(F.col("verdict") == "ambiguous", F.concat(F.lit("the quote is in "), F.col("_hits"), F.lit(" lines")))
-        .when(F.col("verdict") == "deleted-line", F.concat(F.lit("the quote is a deleted line; placed at line "), F.col("_gone")))
-        .when(F.col("verdict") == "unsupported", "the quote is in none of the lines shown")
+        F.when(short, "less was quoted than identifies a line")
+        .when(unseen, "nothing of that file was shown")
+        .when(F.col("verdict") == "snapped", F.concat(F.lit("moved to line "), F.col("_hit"), F.lit(", the one that holds the quote")))
+        .when(F.col("verdict") == "ambiguous", F.concat(F.col("_hits"), F.lit(" lines hold the quote")))
+        .when(F.col("verdict") == "deleted-line", F.concat(F.lit("quoted from what the change deletes, before line "), F.col("_gone")))
+        .when(F.col("verdict") == "unsupported", "no line shown holds the quote")
         .otherwise("")
     )
     line = F.when(F.col("verdict") == "snapped", F.col("_hit")).when(F.col("verdict") == "deleted-line", F.col("_gone")).otherwise(F.col("line"))
-    return out.withColumn("claimed_line", F.col("line")).withColumn("detail", detail).withColumn("line", line).drop("_quote", "_shown", "_here", "_hits", "_hit", "_gone")
+    return out.withColumn("claimed_line", F.col("line")).withColumn("detail", detail).withColumn("line", line).select(*[c for c in claims.columns if c != "line"], "line", "verdict", "claimed_line", "detail")
 
 
 def anchored_only(decided: DataFrame) -> DataFrame:
@@ -78,17 +73,11 @@ def cited(evidence: DataFrame, cases: DataFrame, slack: int = SLACK) -> DataFram
     named, after the change or before it?"""
     items = evidence.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).withColumn("path", clean_path(F.coalesce("file", F.lit(""))))
     texts = files_of(cases).select("case_id", "path", "text").unionByName(base_revision(cases))
-    named = items.filter(F.char_length("_quote") >= MIN_QUOTE)
-    wanted = named.select("case_id", "path").distinct()
-    lines = (
-        texts.join(wanted, ["case_id", "path"], "left_semi")
-        .select("case_id", "path", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-        .select("case_id", "path", (F.col("k") + 1).alias("at"), normalise(F.col("text")).alias("said"))
-        .distinct()
-    )
-    near = named.select("case_id", "claim", "nth", "path", "line", "_quote").join(lines, ["case_id", "path"]).filter(F.abs(F.col("at") - F.col("line")) <= slack)
-    hit = near.filter(F.col("said").contains(F.col("_quote")) | ((F.col("said") != "") & F.col("_quote").contains(F.col("said"))))
-    found = hit.select("case_id", "claim", "nth").distinct().withColumn("found", F.lit(True))
+    named = items.filter(F.char_length("_quote") >= MIN_QUOTE).select("case_id", "claim", "nth", "path", "line", "_quote")
+    near = F.slice(F.split("text", "\n"), F.greatest(F.col("line") - slack, F.lit(1)), F.greatest(F.col("line") + slack - F.greatest(F.col("line") - slack, F.lit(1)) + 1, F.lit(0)))
+    said = F.transform(near, normalise)
+    hit = F.exists(said, lambda x: x.contains(F.col("_quote")) | ((x != "") & F.col("_quote").contains(x)))
+    found = named.join(texts, ["case_id", "path"]).filter(hit).select("case_id", "claim", "nth").distinct().withColumn("found", F.lit(True))
     return items.join(found, ["case_id", "claim", "nth"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("_quote", "path")
 
 

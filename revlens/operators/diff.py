@@ -20,50 +20,47 @@ def _number(group: int):
     return F.when(text == "", None).otherwise(text.cast("int"))
 
 
-def diff_lines(cases: DataFrame) -> DataFrame:
-    """cases (case_id, diff) -> case_id, i, block, old_path, path (null: deleted), is_new, hunk, mark, text, old_no, new_no, new_start, new_len: one row a content
-    line. new_no of a deleted line is the new-side line that it stood in front of."""
+#: A body line of a file's diff.
+ROW = "struct<i: int, hunk: bigint, mark: string, text: string, old_no: int, new_no: int, new_start: int, new_len: int>"
+
+
+def file_diffs(cases: DataFrame) -> DataFrame:
+    """cases (case_id, diff) -> case_id, block, old_path, path, is_new, is_deleted, rows (ROW, in order): one row a file that the diff names, and one with block 0 for what
+    stands before the first. Everything else about diffs follows from this table. Its windows share one order, so a case's lines are dealt and sorted once."""
     lines = cases.select("case_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("i", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
     order = Window.partitionBy("case_id").orderBy("i")
-    is_file = F.col("line").startswith("diff --git ")
-    is_hunk = F.col("line").rlike(_HUNK)
-    marked = (
-        lines.withColumn("block", F.count_if(is_file).over(order))
-        .withColumn("hunk", F.count_if(is_hunk).over(order))
-        .withColumn("hunk_block", F.max(F.when(is_hunk, F.col("block"))).over(order))
-        .withColumn("old_start", F.last(_number(1), ignorenulls=True).over(order))
-        .withColumn("old_len", F.last(F.when(is_hunk, F.coalesce(_number(2), F.lit(1))), ignorenulls=True).over(order))
-        .withColumn("new_start", F.last(_number(3), ignorenulls=True).over(order))
-        .withColumn("new_len", F.last(F.when(is_hunk, F.coalesce(_number(4), F.lit(1))), ignorenulls=True).over(order))
-        .withColumn("mark", F.when(is_file | is_hunk, "").when(F.col("line") == "", " ").otherwise(F.left("line", F.lit(1))))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_file, is_hunk = F.col("line").startswith("diff --git "), F.col("line").rlike(_HUNK)
+    at_hunk = {"old_start": _number(1), "old_len": F.coalesce(_number(2), F.lit(1)), "new_start": _number(3), "new_len": F.coalesce(_number(4), F.lit(1))}
+    marked = lines.withColumn("is_hunk", is_hunk).withColumn("mark", F.when(is_file | is_hunk, "").when(F.col("line") == "", " ").otherwise(F.left("line", F.lit(1))))
+    counted = marked.withColumns(
+        {
+            "block": F.count_if(is_file).over(order),
+            "hunk": F.count_if("is_hunk").over(order),
+            "old_seen": F.coalesce(F.count_if(F.col("mark").isin(" ", "-")).over(before), F.lit(0)),
+            "new_seen": F.coalesce(F.count_if(F.col("mark").isin(" ", "+")).over(before), F.lit(0)),
+        }
+        | {name: F.last(F.when(F.col("is_hunk"), value), ignorenulls=True).over(order) for name, value in at_hunk.items()}
     )
-    in_hunk = Window.partitionBy("case_id", "hunk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    old_seen = F.coalesce(F.count_if(F.col("mark").isin(" ", "-")).over(in_hunk), F.lit(0))
-    new_seen = F.coalesce(F.count_if(F.col("mark").isin(" ", "+")).over(in_hunk), F.lit(0))
-    inside = (F.col("hunk") > 0) & (F.col("hunk_block") == F.col("block")) & F.col("mark").isin(" ", "+", "-")
-    counted = marked.withColumn("old_seen", old_seen).withColumn("new_seen", new_seen)
-    body = inside & ((F.col("old_seen") < F.col("old_len")) | (F.col("new_seen") < F.col("new_len")))
-    counted = counted.withColumn("body", body)
-    in_block = Window.partitionBy("case_id", "block")
-    named = _named(counted.withColumns({n: c.over(in_block) for n, c in _file_columns().items()}))
+
+    def since_hunk(name: str) -> Column:
+        return F.col(name) - F.last(F.when(F.col("is_hunk"), F.col(name)), ignorenulls=True).over(order)
+
+    placed = counted.withColumns({"hunk_block": F.last(F.when(F.col("is_hunk"), F.col("block")), ignorenulls=True).over(order), "old_seen": since_hunk("old_seen"), "new_seen": since_hunk("new_seen")})
+    inside = (F.col("hunk_block") == F.col("block")) & F.col("mark").isin(" ", "+", "-")
+    body = F.coalesce(inside & ((F.col("old_seen") < F.col("old_len")) | (F.col("new_seen") < F.col("new_len"))), F.lit(False))
     # A hunk without new lines starts behind the line that it names.
     first = F.when(F.col("new_len") == 0, F.col("new_start") + 1).otherwise(F.greatest(F.col("new_start"), F.lit(1)))
-    return named.filter("body").select(
-        "case_id",
-        "i",
-        "block",
-        "old_path",
-        "path",
-        "is_new",
-        "is_deleted",
-        "hunk",
-        "mark",
-        F.substring("line", 2, 2**31 - 1).alias("text"),
-        (F.col("old_start") + F.col("old_seen")).cast("int").alias("old_no"),
-        (first + F.col("new_seen")).cast("int").alias("new_no"),
-        first.cast("int").alias("new_start"),
-        F.col("new_len").cast("int").alias("new_len"),
+    row = F.struct(
+        "i", "hunk", "mark", F.substring("line", 2, 2**31 - 1).alias("text"), (F.col("old_start") + F.col("old_seen")).cast("int").alias("old_no"),
+        (first + F.col("new_seen")).cast("int").alias("new_no"), first.cast("int").alias("new_start"), F.col("new_len").cast("int").alias("new_len"),
+    )
+    files = placed.withColumn("body", body).groupBy("case_id", "block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("body"), row))).alias("rows"), *[c.alias(n) for n, c in _file_columns().items()]
+    )
+    return files.select(
+        "case_id", "block", F.coalesce("renamed_from", "minus", "own").alias("old_path"), F.coalesce("renamed_to", "own").alias("path"), "is_new", "is_deleted", "rows"
     )
 
 
@@ -81,52 +78,35 @@ def _file_columns() -> dict[str, Column]:
     return {"own": own, "renamed_to": after("rename to "), "renamed_from": after("rename from "), "minus": after("--- a/"), "is_new": says("new file mode"), "is_deleted": says("deleted file mode")}
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("old_path", F.coalesce("renamed_from", "minus", "own")).withColumn("path", F.coalesce("renamed_to", "own"))
-
-
-def file_changes(tokens: DataFrame) -> DataFrame:
-    """case_id, block, old_path, path, is_new, is_deleted of each file that a diff names. tokens: lines with block and body."""
-    made = tokens.filter("block > 0").groupBy("case_id", "block").agg(*[c.alias(n) for n, c in _file_columns().items()])
-    return _named(made).select("case_id", "block", "old_path", "path", "is_new", "is_deleted")
-
-
-def _tokens(cases: DataFrame) -> DataFrame:
-    lines = cases.select("case_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("i", "line"))
-    order = Window.partitionBy("case_id").orderBy("i")
-    return lines.withColumn("line", F.regexp_replace("line", r"\r\z", "")).withColumn(
-        "block", F.count_if(F.col("line").startswith("diff --git ")).over(order)
-    )
+def diff_lines(cases: DataFrame) -> DataFrame:
+    """cases (case_id, diff) -> case_id, block, old_path, path, is_new, is_deleted, and the fields of ROW: one row a content line. new_no of a deleted line is the
+    new-side line that it stood in front of."""
+    return file_diffs(cases).select("case_id", "block", "old_path", "path", "is_new", "is_deleted", F.inline("rows"))
 
 
 def parse_diff(cases: DataFrame) -> DataFrame:
     """cases (case_id, diff) -> case_id, changed_files, deleted_files (sorted), added_lines (path -> sorted new-side lines)."""
-    tokens = _tokens(cases)
-    in_block = Window.partitionBy("case_id", "block").orderBy("i")
-    # Header lines of a block end at its first hunk.
-    headers = tokens.withColumn("body", F.count_if(F.col("line").startswith("@@ ")).over(in_block) > 0)
-    files = file_changes(headers)
-    named = files.groupBy("case_id").agg(
-        F.array_sort(F.collect_set(F.when(~F.col("is_deleted"), F.col("path")))).alias("changed_files"),
-        F.array_sort(F.collect_set(F.when(F.col("is_deleted"), F.col("path")))).alias("deleted_files"),
+    added = F.transform(F.filter("rows", lambda r: r["mark"] == "+"), lambda r: r["new_no"])
+    files = file_diffs(cases).select("case_id", F.when(F.col("block") > 0, F.col("path")).alias("path"), "is_deleted", added.alias("added"))
+    by_path = files.groupBy("case_id", "path").agg(
+        F.bool_or("is_deleted").alias("gone"), F.bool_or(~F.col("is_deleted")).alias("there"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("added")))).alias("lines")
     )
-    added = diff_lines(cases).filter("mark = '+'").groupBy("case_id", "path").agg(F.array_sort(F.collect_set("new_no")).alias("lines"))
-    maps = added.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "lines")))).alias("added_lines"))
-    none = F.array().cast("array<string>")
-    empty = F.create_map().cast("map<string, array<int>>")
-    out = cases.select("case_id").join(named, "case_id", "left").join(maps, "case_id", "left")
-    return out.select(
-        "case_id", F.coalesce("changed_files", none).alias("changed_files"), F.coalesce("deleted_files", none).alias("deleted_files"), F.coalesce("added_lines", empty).alias("added_lines")
+    named = F.col("path").isNotNull()
+    return by_path.groupBy("case_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("there"), F.col("path")))).alias("changed_files"),
+        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("path")))).alias("deleted_files"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(named & (F.size("lines") > 0), F.struct("path", "lines"))))).alias("added_lines"),
     )
 
 
 def removed_lines(cases: DataFrame) -> DataFrame:
     """Deleted lines that did not come back in the same file: case_id, path, new_no, i, text. A multiset difference on the stripped text: the k-th deletion of a text is
     cancelled if k additions of it exist."""
-    rows = diff_lines(cases).withColumn("key", strip(F.col("text")))
-    back = rows.filter("mark = '+'").groupBy("case_id", "path", "key").agg(F.count("*").alias("back"))
-    gone = rows.filter("mark = '-'").withColumn("nth", F.row_number().over(Window.partitionBy("case_id", "path", "key").orderBy("i")))
-    return gone.join(back, ["case_id", "path", "key"], "left").filter(F.col("nth") > F.coalesce("back", F.lit(0))).select("case_id", "path", "new_no", "i", "text")
+    rows = diff_lines(cases).filter("mark <> ' '").withColumn("key", strip(F.col("text")))
+    same = Window.partitionBy("case_id", "path", "key")
+    gone = F.col("mark") == "-"
+    rows = rows.withColumn("back", F.count_if(~gone).over(same)).withColumn("nth", F.count_if(gone).over(same.orderBy("i")))
+    return rows.filter(gone & (F.col("nth") > F.col("back"))).select("case_id", "path", "new_no", "i", "text")
 
 
 def files_of(cases: DataFrame) -> DataFrame:
@@ -153,61 +133,88 @@ def lines_of_files(files: DataFrame, added: DataFrame | None = None) -> DataFram
     return rows.join(marks, ["case_id", "path", "line_no"], "left").withColumn("is_added", F.coalesce("is_added", F.lit(False)))
 
 
+def added_rows(cases: DataFrame) -> DataFrame:
+    """case_id, path, line_no, text of the added lines of the changed files."""
+    head = _head(cases)
+    numbers = F.array_intersect(F.sequence(F.lit(1), F.size("lines")), "added")
+    return head.select("case_id", "path", "lines", F.explode(numbers).alias("line_no")).select("case_id", "path", "line_no", F.element_at("lines", F.col("line_no")).alias("text"))
+
+
+def _head(cases: DataFrame) -> DataFrame:
+    """case_id, path, lines (a trailing carriage return off), added (line numbers) of the changed files."""
+    none = F.create_map().cast("map<string, string>")
+    files = cases.select("case_id", "added_lines", F.explode(F.coalesce("head_files", none)).alias("path", "text"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return files.select("case_id", "path", lines.alias("lines"), F.coalesce(F.try_element_at("added_lines", F.col("path")), F.array().cast("array<int>")).alias("added"))
+
+
 def base_revision(cases: DataFrame) -> DataFrame:
     """The repository before the change, by reversing the diff onto head: case_id, path, text. Lines outside hunks come from head, the old side of each
-    hunk from the diff."""
-    head = files_of(cases)
-    rows = diff_lines(cases)
-    tokens = _tokens(cases)
-    in_block = Window.partitionBy("case_id", "block").orderBy("i")
-    files = file_changes(tokens.withColumn("body", F.count_if(F.col("line").startswith("@@ ")).over(in_block) > 0))
-    old = rows.filter("mark IN (' ', '-')").select("case_id", "path", F.col("new_start").alias("at"), F.lit(0).alias("sub"), F.col("i").alias("nth"), "text")
-    changed = files.filter("NOT is_new AND NOT is_deleted").select("case_id", "path", "old_path")
-    spans = rows.groupBy("case_id", "path", "hunk").agg(F.first("new_start").alias("a"), F.first("new_len").alias("n"))
-    spans = spans.groupBy("case_id", "path").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
-    kept = (
-        head.join(changed, ["case_id", "path"], "left_semi")
-        .join(spans, ["case_id", "path"], "left")
-        .select("case_id", "path", "spans", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-        .withColumn("at", F.col("k") + 1)
-        .filter(~F.coalesce(F.exists("spans", lambda s: (F.col("at") >= s["a"]) & (F.col("at") < s["a"] + s["n"])), F.lit(False)))
-        .select("case_id", "path", "at", F.lit(1).alias("sub"), F.col("k").alias("nth"), "text")
-    )
-    rebuilt = old.join(changed, ["case_id", "path"]).unionByName(kept.join(changed, ["case_id", "path"])).groupBy("case_id", "old_path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "nth", "text"))), lambda x: x["text"]), "\n").alias("text")
-    )
-    gone = files.filter("is_deleted").select("case_id", "path")
-    restored = rows.join(gone, ["case_id", "path"], "left_semi").filter("mark = '-'").groupBy("case_id", "path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").alias("text")
-    )
-    touched = files.select("case_id", "path")
-    same = head.join(touched, ["case_id", "path"], "left_anti").select("case_id", "path", "text")
-    return same.unionByName(rebuilt.withColumnRenamed("old_path", "path")).unionByName(restored)
+    hunk from the diff. One join by file; a file is put together inside its row."""
+    head = files_of(cases).select("case_id", "path", "text")
+    changed = file_diffs(cases).filter("block > 0").select("case_id", "path", "old_path", "is_new", "is_deleted", "rows", F.lit(True).alias("touched"))
+    both = head.join(changed, ["case_id", "path"], "full")
+    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    hunks = F.array_sort(F.array_distinct(F.transform("rows", lambda r: F.struct(r["new_start"].alias("a"), r["new_len"].alias("n"), r["hunk"].alias("h")))))
+    both = both.withColumn("lines", lines).withColumn("hunks", hunks)
+
+    def old_side(h: Column) -> Column:
+        return F.transform(F.filter("rows", lambda r: (r["hunk"] == h["h"]) & (r["mark"] != "+")), lambda r: r["text"])
+
+    def follows(h: Column) -> Column:
+        """The first line of head behind a hunk; line 1 without one."""
+        return F.coalesce(h["a"] + h["n"], F.lit(1))
+
+    def piece(h: Column, j: Column) -> Column:
+        start = follows(F.get("hunks", j - 1))
+        return F.concat(F.slice("lines", start, F.greatest(h["a"] - start, F.lit(0))), old_side(h))
+
+    rest = F.slice("lines", follows(F.get("hunks", F.size("hunks") - 1)), F.greatest(F.size("lines"), F.lit(0)))
+    rebuilt = F.array_join(F.concat(F.flatten(F.transform("hunks", piece)), rest), "\n")
+    deleted = F.array_join(F.transform(F.filter("rows", lambda r: r["mark"] == "-"), lambda r: r["text"]), "\n")
+    there = F.col("touched").isNull() | (~F.col("is_new") & ((F.size("rows") > 0) | (~F.col("is_deleted") & F.col("text").isNotNull())))
+    text = F.when(F.col("touched").isNull(), F.col("text")).when(F.col("is_deleted"), deleted).otherwise(rebuilt)
+    path = F.when(F.coalesce("is_deleted", F.lit(True)), F.col("path")).otherwise(F.col("old_path"))
+    return both.filter(there).select("case_id", path.alias("path"), text.alias("text"))
+
+
+def file_views(cases: DataFrame, with_deletions: bool = False) -> DataFrame:
+    """What a reader of the changed code files sees, one row a file: case_id, path, printed: array of (at, sub, nth, line_no (null for deleted lines), text, row), in order.
+    Trailing blank lines are dropped; a deleted line stands before the line whose place it had, after the end if there is none."""
+    code = _head(cases).filter(F.col("path").endswith(".py"))
+    last = F.array_max(F.transform("lines", lambda x, k: F.when(strip(x) != "", k + 1).otherwise(0)))
+    seen = F.when(F.col("last") > 0, F.sequence(F.lit(1), F.col("last"))).otherwise(F.array().cast("array<int>"))
+    code = code.withColumn("last", last).withColumn("seen", seen)
+
+    def printed(numbers: Column, is_added: bool) -> Column:
+        def one(n: Column) -> Column:
+            text = F.element_at("lines", n)
+            row = numbered(n, F.lit(is_added), text)
+            return F.struct(n.alias("at"), F.lit(1).alias("sub"), F.lit(0).alias("nth"), n.alias("line_no"), text.alias("text"), row.alias("row"))
+
+        return F.transform(numbers, one)
+
+    rows = F.concat(printed(F.array_intersect("seen", "added"), True), printed(F.array_except("seen", "added"), False))
+    if not with_deletions:
+        return code.select("case_id", "path", F.array_sort(rows).alias("printed"))
+    struct = F.struct(F.col("new_no").alias("at"), F.lit(0).alias("sub"), F.col("i").alias("nth"), F.lit(None).cast("int").alias("line_no"), "text", removed(F.col("text")).alias("row"))
+    gone = removed_lines(cases).groupBy("case_id", "path").agg(F.collect_list(struct).alias("gone"))
+    none = F.slice(rows, 1, 0)
+    return code.join(gone, ["case_id", "path"], "left").select("case_id", "path", F.array_sort(F.concat(rows, F.coalesce("gone", none))).alias("printed"))
 
 
 def printed_rows(cases: DataFrame, with_deletions: bool = False) -> DataFrame:
-    """What a reader of the changed code files sees: case_id, path, at, sub, nth, line_no (null for deleted lines), text, row. Trailing blank lines are
-    dropped; a deleted line stands before the line whose place it had, after the end if there is none."""
-    code = files_of(cases).filter("side = 'head'").filter(F.col("path").endswith(".py"))
-    lines = lines_of_files(code, added_of(cases))
-    last = F.max(F.when(strip(F.col("text")) != "", F.col("line_no"))).over(Window.partitionBy("case_id", "path"))
-    shown = lines.withColumn("last", last).filter(F.col("line_no") <= F.col("last"))
-    rows = shown.select(
-        "case_id", "path", F.col("line_no").alias("at"), F.lit(1).alias("sub"), F.lit(0).alias("nth"), "line_no", "text", numbered(F.col("line_no"), F.col("is_added"), F.col("text")).alias("row")
-    )
-    if not with_deletions:
-        return rows
-    gone = removed_lines(cases).join(code.select("case_id", "path"), ["case_id", "path"], "left_semi").select(
-        "case_id", "path", F.col("new_no").alias("at"), F.lit(0).alias("sub"), F.col("i").alias("nth"), F.lit(None).cast("int").alias("line_no"), "text", removed(F.col("text")).alias("row")
-    )
-    return rows.unionByName(gone)
+    """file_views as rows: case_id, path, at, sub, nth, line_no, text, row."""
+    return file_views(cases, with_deletions).select("case_id", "path", F.inline("printed"))
 
 
 def excerpts(cases: DataFrame, claims: DataFrame, radius: int = 12, with_deletions: bool = False) -> DataFrame:
     """claims (case_id, ord, file, line) -> the same with `rows`: printed rows whose number, or for deleted lines the one printed last before them, is
-    within the radius; empty if the file isn't shown."""
-    order = Window.partitionBy("case_id", "path").orderBy("at", "sub", "nth")
-    printed = printed_rows(cases, with_deletions).withColumn("seen", F.coalesce(F.last("line_no", ignorenulls=True).over(order), F.lit(0)))
-    near = claims.select("case_id", "ord", F.col("file").alias("path"), "line").join(printed, ["case_id", "path"]).filter(F.abs(F.col("seen") - F.col("line")) <= radius)
-    rows = near.groupBy("case_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "nth", "row"))), lambda x: x["row"]).alias("rows"))
-    return claims.join(rows, ["case_id", "ord"], "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<string>")))
+    within the radius; empty if the file isn't shown. Claims meet the file's row, not its lines."""
+    views = file_views(cases, with_deletions).withColumnRenamed("path", "file")
+    joined = claims.join(views, ["case_id", "file"], "left")
+    # A deleted line that stands before line n was printed after the last number below n, which is n - 1 or the file's last line.
+    last = F.coalesce(F.array_max(F.transform("printed", lambda r: r["line_no"])), F.lit(0))
+    near = F.filter("printed", lambda r: F.abs(F.coalesce(r["line_no"], F.least(r["at"] - 1, last)) - F.col("line")) <= radius)
+    rows = F.coalesce(F.transform(near, lambda r: r["row"]), F.array().cast("array<string>"))
+    return joined.withColumn("rows", rows).select(*claims.columns, "rows")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..definitions import definitions
 from ..functions.text import estimated_tokens, strip
-from .diff import files_of, printed_rows
+from .diff import file_views
 from .symbols import facts
 
-DELETED = "Rows marked `-` were deleted by the change. They are in no file any more and so have no number; they stand where they used to be."
-FACTS = "Counted over the whole repository at this revision: measurements about names that the change defines, not accusations."
+DELETED = "How to read the listings: `+` is a new row, `-` one that is gone (shown at its old place, without a number), all others are as before."
+FACTS = "Names that the change introduces, looked up in every file. What is said here is measured; whether it matters is for you to judge."
 SYSTEM = (
     "You review one change. Report only defects that the change introduces in the files shown. Copy the line you accuse into `quote` as it is printed, "
     "and choose `type` from the kinds listed. If nothing is wrong, return an empty `findings` list."
@@ -33,20 +33,14 @@ def _rows(*texts: str | Column) -> Column:
 
 def packs(cases: DataFrame, with_facts: bool = False, with_deletions: bool = False) -> DataFrame:
     """case_id, code_lines (numbered rows shown), system, user, estimated_prompt_tokens: one call a case."""
-    rows = printed_rows(cases, with_deletions)
-    by_file = rows.groupBy("case_id", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "nth", "row"))), lambda x: x["row"]).alias("rows"),
-        F.count("line_no").alias("shown"),
-        F.count_if(F.col("line_no").isNull()).alias("gone"),
-    )
-    code = files_of(cases).filter("side = 'head'").filter(F.col("path").endswith(".py")).select("case_id", "path")
     none = F.array().cast("array<string>")
-    blocks = code.join(by_file, ["case_id", "path"], "left").select(
+    shown = F.size(F.filter("printed", lambda r: r["line_no"].isNotNull()))
+    blocks = file_views(cases, with_deletions).select(
         "case_id",
         "path",
-        F.coalesce("shown", F.lit(0)).alias("shown"),
-        F.coalesce("gone", F.lit(0)).alias("gone"),
-        F.flatten(F.array(_rows(F.concat(F.lit("# FILE "), "path"), "", "```"), F.coalesce("rows", none), _rows("```", ""))).alias("block"),
+        shown.alias("shown"),
+        (F.size("printed") - shown).alias("gone"),
+        F.flatten(F.array(_rows(F.concat(F.lit("# FILE "), "path"), "", "```"), F.transform("printed", lambda r: r["row"]), _rows("```", ""))).alias("block"),
     )
     bodies = blocks.groupBy("case_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "block"))), lambda x: x["block"])).alias("body"),
@@ -69,7 +63,7 @@ def packs(cases: DataFrame, with_facts: bool = False, with_deletions: bool = Fal
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "subject", "statement"))), lambda x: F.concat(F.lit("- `"), x["subject"], F.lit("`: "), x["statement"])).alias("facts")
         )
         out = out.join(said, "case_id", "left")
-        tail = F.when(F.col("facts").isNull(), none).otherwise(F.flatten(F.array(_rows("# WHAT THE REPOSITORY SAYS", "", FACTS, ""), F.col("facts"), _rows(""))))
+        tail = F.when(F.col("facts").isNull(), none).otherwise(F.flatten(F.array(_rows("# NEW NAMES ELSEWHERE", "", FACTS, ""), F.col("facts"), _rows(""))))
     system = system_prompt()
     out = out.withColumn("user", _joined(head, F.coalesce("body", none), tail)).withColumn("system", F.lit(system))
     return out.select("case_id", F.coalesce("code_lines", F.lit(0)).alias("code_lines"), "system", "user", estimated_tokens(F.col("system"), F.col("user")).alias("estimated_prompt_tokens"))
@@ -86,11 +80,11 @@ def continuation_packs(first: DataFrame, claims: DataFrame, remaining: DataFrame
     both = first.join(left, "case_id").join(done, "case_id")
     trailer = F.flatten(
         F.array(
-            _rows("# ALREADY REPORTED", "", "An earlier read of this change reported these findings. They are recorded; do not report them again.", ""),
+            _rows("# FOUND SO FAR", "", "This is the second look at the change. The first one led to:", ""),
             F.col("done"),
-            _rows("", "# STILL TO REVIEW", "", "These changed files have not been reviewed yet:", ""),
+            _rows("", "# STILL TO REVIEW", "", "Nothing was said about:", ""),
             F.col("left"),
-            _rows("", "Review these files only, as the instructions above say, or return an empty `findings` list."),
+            _rows("", "Look at the files of the second list, and answer in the same form. What the first list has needs no repeating; `findings` may stay empty."),
         )
     )
     out = both.withColumn("user", F.concat("user", F.lit("\n"), F.array_join(trailer, LINE_FEED)))
@@ -101,11 +95,11 @@ def questions(claims: DataFrame, named: bool = True) -> DataFrame:
     """claims with `rows` (an excerpt) and `definition` -> the same with `user`: the claim put by its kind (named) or only by its own sentence; a claim without a
     sentence is always put by its kind."""
     sentence = strip(F.coalesce(F.nullif("message", F.lit("")), F.lit("")))
-    rows = F.when(F.size("rows") > 0, F.col("rows")).otherwise(_rows("(no lines available)"))
-    place = F.concat(F.lit("In `"), "file", F.lit("`, at line "), F.col("line").cast("string"), F.lit(": "), sentence)
-    kind = F.concat(F.lit("Kind claimed: `"), "type", F.lit("` -- "), F.coalesce("definition", F.lit("")))
-    ask_kind = "Does the change really introduce this defect? Say first what you need to see, look for it, then answer."
-    ask_place = "Does the change really introduce the problem that the sentence describes, at this place? Judge the sentence, nothing wider. Say first what you need to see, look for it, then answer."
-    by_kind = _joined(_rows("# The claim", "", place, "", kind, "", "# The lines around it", "", "```"), rows, _rows("```", "", ask_kind))
-    by_place = _joined(_rows("# The claim", "", place, "", "# The lines around it", "", "```"), rows, _rows("```", "", ask_place))
+    rows = F.when(F.size("rows") > 0, F.col("rows")).otherwise(_rows("(the file is not among those shown)"))
+    place = F.concat(F.lit("`"), "file", F.lit("`, line "), F.col("line").cast("string"), F.lit(": "), sentence)
+    kind = F.concat(F.lit("It is said to be `"), "type", F.lit("`: "), F.coalesce("definition", F.lit("")))
+    ask_kind = "Is it so, and is it this change that makes it so? Name what would settle it, find that in the code, and give your verdict."
+    ask_place = "Is the sentence true of this place, and is it this change that makes it true? Other faults don't count. Name what would settle it, find that in the code, and give your verdict."
+    by_kind = _joined(_rows("# CLAIM", "", place, "", kind, "", "# CODE THERE", "", "```"), rows, _rows("```", "", ask_kind))
+    by_place = _joined(_rows("# CLAIM", "", place, "", "# CODE THERE", "", "```"), rows, _rows("```", "", ask_place))
     return claims.withColumn("user", by_kind if named else F.when(sentence == "", by_kind).otherwise(by_place))

@@ -39,27 +39,40 @@ def assignments(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").rlike(ASSIGNMENT)).withColumn("name", F.regexp_extract("text", ASSIGNMENT, 2)).withColumn("value", strip(F.regexp_extract("text", ASSIGNMENT, 3)))
 
 
-def off_values(assigned: DataFrame) -> DataFrame:
-    """A value set to nothing, under a name that bounds or guards: with `message`."""
+def _off_value() -> tuple[Column, Column]:
+    """Names of limits and of checks whose value amounts to none: (condition, message)."""
     bound, guard = F.col("name").rlike(BOUND), F.col("name").rlike(GUARD)
-    what = F.when(bound, "a bound").otherwise("a protection")
-    message = F.concat(F.lit("`"), F.col("name"), F.lit("` is set to `"), F.col("value"), F.lit("`, which switches off "), what)
-    return assigned.filter(F.col("value").isin(*OFF) & (bound | guard)).withColumn("message", message)
+    lost = F.when(bound, "there is no limit any more").otherwise("nothing is checked any more")
+    return F.col("value").isin(*OFF) & (bound | guard), F.concat(F.lit("with `"), F.col("value"), F.lit("` as `"), F.col("name"), F.lit("` "), lost)
 
 
-def string_lists(assigned: DataFrame) -> DataFrame:
-    """A name that promises several values, given one delimited string."""
+def _string_list() -> tuple[Column, Column]:
+    """Plural names whose value is a string with separators in it."""
     text = F.left("value", F.lit(1)).isin('"', "'") & (F.col("value").contains(",") | F.col("value").contains(";"))
-    message = F.concat(F.lit("`"), F.col("name"), F.lit("` promises several values and holds one string; a membership test on it compares substrings"))
-    return assigned.filter(F.col("name").rlike(PLURAL) & text).withColumn("message", message)
+    message = F.concat(F.lit("a list is expected under `"), F.col("name"), F.lit("`, and `in` on the text that stands there would match any part of it"))
+    return F.col("name").rlike(PLURAL) & text, message
 
 
-def secret_lines(lines: DataFrame) -> DataFrame:
-    """Lines that write a secret down."""
+def _secret() -> tuple[Column, Column]:
+    """Lines in which a name of a secret is followed by its value."""
     text = F.col("text")
-    return lines.filter(text.rlike(SECRET_NAME) & text.rlike(SECRET_VALUE) & ~text.rlike(PLACEHOLDER)).withColumn(
-        "message", F.lit("a secret stands in the file instead of being read from the environment")
-    )
+    return text.rlike(SECRET_NAME) & text.rlike(SECRET_VALUE) & ~text.rlike(PLACEHOLDER), F.lit("whoever can read the repository can read this secret")
+
+
+def _only(rows: DataFrame, rule: tuple[Column, Column]) -> DataFrame:
+    return rows.filter(rule[0]).withColumn("message", rule[1])
+
+
+def off_values(assigned: DataFrame) -> DataFrame:
+    return _only(assigned, _off_value())
+
+
+def string_lists(assigned: DataFrame) -> DataFrame:
+    return _only(assigned, _string_list())
+
+
+def secret_lines(lines: DataFrame) -> DataFrame:
+    return _only(lines, _secret())
 
 
 def weakened(deleted: DataFrame, added: DataFrame) -> DataFrame:
@@ -70,48 +83,46 @@ def weakened(deleted: DataFrame, added: DataFrame) -> DataFrame:
     )
     new = added.filter(F.col("text").rlike(ASSERT)).groupBy("case_id", "path").agg(F.count("*").alias("new"))
     both = gone.join(new, ["case_id", "path"], "left").na.fill(0, ["new"]).filter("gone > new")
-    message = F.format_string("the change deletes %d assertion(s) and adds %d: the test accepts more than before", "gone", "new")
+    message = F.format_string("fewer checks than before: %d asserts went, %d came", "gone", "new")
     return both.withColumn("message", message)
 
 
-def _finding(rows: DataFrame, kind: str, rule: str, nth: int) -> DataFrame:
-    return rows.select(
-        "case_id",
-        F.col("path").alias("file"),
-        F.col("line_no").alias("line"),
-        strip(F.col("text")).alias("quote"),
-        F.lit(kind).alias("type"),
-        "message",
-        F.lit(CONFIDENCE).alias("confidence"),
-        F.lit(f"rules.{rule}").alias("detector"),
-        F.lit("rules").alias("stage"),
-        F.lit(nth).alias("rule_ord"),
-    )
-
-
 #: rule -> kind, in the order in which findings are listed
 RULES = {"config.off-value": "unsafe_default", "config.string-list": "unsafe_default", "test.weakened": "missing_assertion", "secret.literal": "hardcoded_credential"}
 
 
+def _config_files(head: DataFrame) -> DataFrame:
+    """case_id, path of settings: by name, or since the file holds nothing but constants. Only files whose name doesn't tell are parsed."""
+    code = head.filter(is_code(F.col("path")))
+    by_name = named_config(F.col("path"))
+    return code.filter(by_name).select("case_id", "path").unionByName(constants_modules(code.filter(~by_name)))
+
+
 def run_rules(cases: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
-    """All findings of the chosen rules, with `ord` in each case: rule by rule, then by file and line."""
+    """All findings of the chosen rules, with `ord` in each case: rule by rule, then by file and line. The rules about single lines look at each added line once."""
     head = diff.files_of(cases).filter("side = 'head'")
-    added = diff.lines_of_files(head, None).join(diff.added_of(cases).distinct(), ["case_id", "path", "line_no"], "left_semi")
-    config = head.filter(is_code(F.col("path"))).join(constants_modules(head).withColumn("constants", F.lit(True)), ["case_id", "path"], "left")
-    config = config.filter(named_config(F.col("path")) | F.coalesce("constants", F.lit(False))).select("case_id", "path")
-    assigned = assignments(added.join(config, ["case_id", "path"], "left_semi"))
-    tests = is_test_file(F.col("path"))
-    shown = head.select("case_id", "path")
-    gone = diff.removed_lines(cases).filter(tests).join(shown, ["case_id", "path"], "left_semi").withColumnRenamed("new_no", "line_no")
-    made = {
-        "config.off-value": lambda: off_values(assigned),
-        "config.string-list": lambda: string_lists(assigned),
-        "test.weakened": lambda: weakened(gone, added.filter(tests)),
-        "secret.literal": lambda: secret_lines(added.filter(~F.col("path").rlike(EXAMPLE_FILE))),
-    }
-    parts = [_finding(made[r](), RULES[r], r, k) for k, r in enumerate(rules)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    added = diff.added_rows(cases)
+    config = _config_files(head).withColumn("config", F.lit(True))
+    is_assignment = F.col("config") & F.col("text").rlike(ASSIGNMENT)
+    lines = added.join(config, ["case_id", "path"], "left").withColumns(
+        {"name": F.when(is_assignment, F.regexp_extract("text", ASSIGNMENT, 2)), "value": F.when(is_assignment, strip(F.regexp_extract("text", ASSIGNMENT, 3)))}
+    )
+    no_example = ~F.col("path").rlike(EXAMPLE_FILE)
+    secret, why = _secret()
+    of_lines = {"config.off-value": _off_value(), "config.string-list": _string_list(), "secret.literal": (no_example & secret, why)}
+    found = [F.when(of_lines[r][0], F.struct(F.lit(k).alias("rule_ord"), of_lines[r][1].alias("message"))) for k, r in enumerate(rules) if r in of_lines]
+    parts = []
+    if found:
+        parts.append(lines.select("case_id", "path", "line_no", "text", F.inline(F.array_compact(F.array(*found)))))
+    if "test.weakened" in rules:
+        tests = is_test_file(F.col("path"))
+        gone = diff.removed_lines(cases).filter(tests).join(head.select("case_id", "path"), ["case_id", "path"], "left_semi").withColumnRenamed("new_no", "line_no")
+        parts.append(weakened(gone, added.filter(tests)).select("case_id", "path", "line_no", "text", F.lit(rules.index("test.weakened")).alias("rule_ord"), "message"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    of_rule = [F.array(*[F.lit(x) for x in xs]) for xs in ([RULES[r] for r in rules], [f"rules.{r}" for r in rules])]
+    kind, detector = (F.get(xs, F.col("rule_ord")) for xs in of_rule)
     order = Window.partitionBy("case_id").orderBy("rule_ord", "file", "line")
-    return out.withColumn("end_line", F.col("line")).withColumn("ord", F.row_number().over(order).cast("long")).drop("rule_ord")
+    return out.select(
+        "case_id", F.col("path").alias("file"), F.col("line_no").alias("line"), strip(F.col("text")).alias("quote"), kind.alias("type"), "message", F.lit(CONFIDENCE).alias("confidence"),
+        detector.alias("detector"), F.lit("rules").alias("stage"), "rule_ord",
+    ).withColumn("end_line", F.col("line")).withColumn("ord", F.row_number().over(order).cast("long")).drop("rule_ord")

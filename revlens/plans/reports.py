@@ -9,9 +9,11 @@ from ..functions.text import cell, lines_of, location, short, strip
 from ..kinds import LEVELS, level_rank, with_kind
 from ..operators import matching
 
-HEADING = "### Review findings"
-NO_FINDINGS = "**No findings.** The automatic review saw no defect to report in this change."
-NO_SOURCE = "Note: the change touches no Python source, and only that is reviewed."
+HEADING = "### Change review"
+#: Actions that make the forge's comment what it should be.
+POSTED = ("create", "update", "unchanged")
+NO_FINDINGS = "Every changed code file was read; there is nothing to point out."
+NO_SOURCE = "There was nothing to read: no file of a kind that is reviewed (`.py`) has changed."
 
 
 def scorecard(findings: DataFrame, labels: DataFrame, tolerance: int | None = 10) -> DataFrame:
@@ -76,16 +78,14 @@ def json_report(entry_rows: DataFrame, scores: DataFrame, manifest: dict, tolera
 
 def text_header(entry_rows: DataFrame, scores: DataFrame, manifest: dict, tolerance: int = 10) -> DataFrame:
     """One row, text: what was reviewed, how much was found, and how well at each rung."""
-    card = F.format_string("  %-9s TP=%-4d FP=%-4d FN=%-4d P=%.3f R=%.3f F1=%.3f", "rung", "tp", "fp", "fn", "precision", "recall", "f1")
+    card = F.format_string("  by %-9s right %d, wrong %d, missed %d; precision %.3f, recall %.3f, F1 %.3f", "rung", "tp", "fp", "fn", "precision", "recall", "f1")
     rungs = scores.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rung", card.alias("card")))), lambda x: x["card"]), "\n").alias("cards"))
     labelled = entry_rows.agg(F.coalesce(F.bool_or("labelled"), F.lit(False)).alias("labelled"))
-    accuracy = F.when(F.col("labelled"), F.concat(F.lit(f"Accuracy: within {tolerance} lines\n"), F.col("cards"))).otherwise("Accuracy: no answer key")
+    accuracy = F.when(F.col("labelled"), F.concat(F.lit(f"Against the answer key, up to {tolerance} lines apart:\n"), F.col("cards"))).otherwise("There is no answer key to compare with.")
     lines = F.concat_ws(
         "\n",
-        F.lit(f"Repository: {manifest.get('repository') or '-'}"),
-        F.lit(f"Model: {manifest.get('model') or '-'}"),
-        F.format_string("Pull requests: %d (%d with findings)", "pull_requests", "pull_requests_with_findings"),
-        F.format_string("Findings: %d", "findings"),
+        F.lit(f"{manifest.get('repository') or 'unnamed repository'}, reviewed by {manifest.get('model') or 'no model'}"),
+        F.format_string("Findings: %d, in %d of %d pull requests", "findings", "pull_requests_with_findings", "pull_requests"),
         accuracy,
     )
     return summary(entry_rows).join(rungs).join(labelled).select(lines.alias("text"))
@@ -99,20 +99,19 @@ def text_report(entry_rows: DataFrame) -> DataFrame:
 
     def told(x, k):
         label = x["assigned_to"]
-        kind = F.when(label["same_type"], "same kind").otherwise(F.concat(F.lit("kind "), label["type"]))
-        assigned = F.when(label.isNull(), x["verdict"]).otherwise(F.concat(label["finding_id"], F.lit(" ["), x["verdict"], F.lit("; "), kind, F.lit("]")))
+        kind = F.when(label["same_type"], "").otherwise(F.concat(F.lit(", there called "), label["type"]))
+        assigned = F.when(label.isNull(), x["verdict"]).otherwise(F.concat(x["verdict"], F.lit(": "), label["finding_id"], kind))
         return F.concat_ws(
             "\n",
             F.concat(F.lit("  "), (k + 1).cast("string"), F.lit(". "), place(x)),
-            F.format_string("     %s  %s  (confidence %.2f)", x["severity"], x["type"], x["confidence"]),
             F.concat(F.lit("     "), short(x["title"])),
-            F.concat(F.lit("     assigned: "), assigned),
+            F.format_string("     %s, %s, %.0f %% sure; %s", x["type"], F.lower(x["severity"]), x["confidence"] * 100, assigned),
         )
 
-    lost = F.transform("missed", lambda x: F.concat(F.lit("  ! missed: "), x["finding_id"], F.lit("  "), x["type"], F.lit("  "), x["file"], F.lit(":"), lines_of(x["lines"][0], x["lines"][1])))
-    number = F.coalesce(F.concat(F.lit("PR #"), F.col("pr_id").cast("string")), F.col("case_id"))
-    body = F.when(F.size("findings") == 0, F.array(F.lit("  (no findings)"))).otherwise(F.transform("findings", told))
-    head = F.array_compact(F.array(F.concat(number, F.lit("  "), "title"), F.when(F.col("url") != "", F.concat(F.lit("  "), F.col("url")))))
+    lost = F.transform("missed", lambda x: F.concat(F.lit("  not found: "), x["file"], F.lit(":"), lines_of(x["lines"][0], x["lines"][1]), F.lit(" "), x["type"], F.lit(" ("), x["finding_id"], F.lit(")")))
+    number = F.coalesce(F.concat(F.lit("Pull request "), F.col("pr_id").cast("string")), F.col("case_id"))
+    body = F.when(F.size("findings") == 0, F.array(F.lit("  nothing found"))).otherwise(F.transform("findings", told))
+    head = F.array_compact(F.array(F.concat(number, F.lit(": "), "title"), F.when(F.col("url") != "", F.concat(F.lit("  "), F.col("url")))))
     return entry_rows.select("case_id", F.array_join(F.flatten(F.array(head, body, lost)), "\n").alias("text"))
 
 
@@ -132,12 +131,12 @@ def comments(cases: DataFrame, findings: DataFrame, run: str, model: str | None
     n = F.when(n < 0, 0).otherwise(n)
     table = F.flatten(
         F.array(
-            F.array(F.concat(n.cast("string"), F.lit(" findings ("), counts, F.lit(").")), F.lit(""), F.lit("| # | Severity | Kind | Place | What |"), F.lit("|---|---|---|---|---|")),
+            F.array(F.concat(F.lit("To look at: "), counts), F.lit(""), F.lit("| No. | Level | Kind of defect | Where | Why |"), F.lit("|--:|---|---|---|---|")),
             F.transform("lines", lambda x, k: F.concat(F.lit("| "), (k + 1).cast("string"), F.lit(" "), x["row"])),
         )
     )
-    none = F.when(F.col("source"), F.array(F.lit(NO_FINDINGS))).otherwise(F.array(F.lit(NO_FINDINGS), F.lit(""), F.lit(NO_SOURCE)))
-    footer = F.concat(F.lit(f"_Automatic review: model {model or '-'}, run {run}. Lines as of commit "), F.left("head_commit", F.lit(12)), F.lit("; findings may be wrong._"))
+    none = F.array(F.when(F.col("source"), F.lit(NO_FINDINGS)).otherwise(F.lit(NO_SOURCE)))
+    footer = F.concat(F.lit(f"<sub>{run} / {model or 'no model'} / lines of "), F.left("head_commit", F.lit(12)), F.lit(". A program wrote this; check it before you act on it.</sub>"))
     body = F.array_join(F.flatten(F.array(F.array(F.lit(HEADING), F.lit("")), F.when(n > 0, table).otherwise(none), F.array(F.lit(""), footer))), "\n")
     return out.select("case_id", F.col("pull_request.id").alias("pull_id"), n.alias("findings"), body.alias("body"), "head_commit")
 
@@ -146,9 +145,10 @@ def is_ours(comment: dict) -> bool:
     return not comment.get("deleted") and not comment.get("inline") and (comment.get("content") or {}).get("raw", "").startswith(HEADING)
 
 
-def comment_plan(wanted: DataFrame, existing: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """wanted (case_id, pull_id, body, head_commit), existing (pull_id, id, raw, inline, deleted), heads (pull_id, current: the source commit now) -> wanted with comment_id and
-    action: create, update, unchanged, or moved where the source has changed since it was read."""
+def comment_plan(wanted: DataFrame, existing: DataFrame, heads: DataFrame | None = None, complete: bool = True) -> DataFrame:
+    """wanted (case_id, pull_id, body, head_commit, findings), existing (pull_id, id, raw, inline, deleted), heads (pull_id, current: the source commit now) -> wanted with
+    comment_id and action: create, update, unchanged, or moved where the source has changed since it was read; `no pull request`; and, if the run is not
+    complete, `incomplete run` where nothing was found, since silence may then be a failed call."""
     ours = existing.filter(~F.coalesce("inline", F.lit(False)) & ~F.coalesce("deleted", F.lit(False)) & F.col("raw").startswith(HEADING))
     first = ours.groupBy("pull_id").agg(F.min("id").alias("comment_id"), F.min_by("raw", "id").alias("raw"))
     out = wanted.join(first, "pull_id", "left")
@@ -157,6 +157,9 @@ def comment_plan(wanted: DataFrame, existing: DataFrame, heads: DataFrame | None
         out = out.join(heads.select("pull_id", "current"), "pull_id", "left")
         same = F.startswith("current", F.col("head_commit")) | F.startswith("head_commit", F.col("current"))
         action = F.when(F.coalesce(~same, F.lit(False)), "moved").otherwise(action)
+    if not complete:
+        action = F.when(F.col("findings") == 0, "incomplete run").otherwise(action)
+    action = F.when(F.col("pull_id").isNull(), "no pull request").otherwise(action)
     return out.withColumn("action", action).drop("raw")
 
 
@@ -175,7 +178,7 @@ def apply_plan(plan: DataFrame, client, workspace: str, repo: str, post: bool =
     log = []
     for r in plan.toLocalIterator():
         row = {"case_id": r["case_id"], "pull_request": r["pull_id"], "findings": r["findings"], "action": r["action"]}
-        if post and r["action"] != "moved":
+        if post and r["action"] in POSTED:
             try:
                 row["action"], row["comment_id"] = upsert(client, workspace, repo, r["pull_id"], r["body"], is_ours)
             except ForgeError as e:
