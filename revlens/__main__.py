@@ -6,23 +6,24 @@ fetch, detect, continue, verify, rules, publish, report, comment. Model calls an
 from __future__ import annotations
 
 import argparse
-import json
+import hashlib
 import os
 import sys
 from collections.abc import Sequence
-from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .operators.claims import above_floor
 from .operators.matching import require_known
-from .operators.packs import packs
+from .operators import workspace
+from .operators.packs import packs, system_prompt
 from .plans import reports, stages
 from .session import session
-from .sources import forge, model, tables, trees
-from .sources.scratch import kept
+from .sources import forge, model, tables
+from .sources.scratch import kept, logged
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -42,7 +43,7 @@ def _parser() -> argparse.ArgumentParser:
         "temperature": {"type": float, "default": 0.0}, "seed": {"type": int, "default": 7}, "timeout": {"type": float, "default": 300.0},
     }
     run = {"run": {"required": True}}
-    command("fetch", repo={"required": True}, workspace={"required": True}, url={"required": True}, state={"default": "OPEN"}, answer_key={})
+    command("fetch", repo={"required": True}, workspace={"required": True}, url={"required": True}, web_url={}, state={"default": "OPEN"}, answer_key={})
     command("detect", cases={}, repo={}, max_findings={"type": int, "default": 6}, resume={}, limit={"type": int, "default": 0}, case={"action": "append"}, **server)
     command("continue", max_findings={"type": int, "default": 6}, **run, **server)
     command("verify", max_tool_calls={"type": int, "default": 4}, radius={"type": int, "default": 12}, judge_location={"action": "store_true"}, limit={"type": int, "default": 0}, resume={}, **run, **(server | {"timeout": {"type": float, "default": 600.0}}))
@@ -58,14 +59,31 @@ class Runs:
 
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
         self.spark, self.args = spark, args
-        self.folder = Path(args.out) / (args.id or args.command)
+        self.folder = f"{args.out}/{args.id or args.command}"
 
     def save(self, manifest: dict, **parts: DataFrame) -> None:
         for name, rows in parts.items():
-            tables.write_rows(rows, str(self.folder / f"{name}.jsonl"))
+            tables.write_rows(rows, f"{self.folder}/{name}.jsonl")
         tables.write_manifest(self.folder, tables.provenance() | manifest)
         print(f"{self.args.command}: {self.folder}")
 
+    def begin(self, manifest: dict) -> None:
+        """The manifest of a run that has not ended: what a resumed one is compared with."""
+        tables.write_manifest(self.folder, tables.provenance() | manifest | {"complete": False})
+
+    def log(self, run: str | None = None) -> str:
+        """The answers that a run has so far, batch by batch."""
+        return f"{tables.run_dir(run, self.args.out) if run else self.folder}/answers"
+
+    @staticmethod
+    def conditions(client, prompt: str) -> dict:
+        """What answers depend on. A server is asked first whether it has the model, so that a run does not begin without it."""
+        if problem := getattr(client, "health", str)():
+            raise SystemExit(problem)
+        found = {"prompt": hashlib.sha256(prompt.encode()).hexdigest()[:16]}
+        build = getattr(client, "build", dict)()
+        return found | ({"model_build": "/".join(str(build[k]) for k in sorted(build))} if build else {})
+
     def manifest(self, run: str) -> dict:
         return tables.read_manifest(tables.run_dir(run, self.args.out))
 
@@ -79,24 +97,33 @@ class Runs:
     def cases_path(self) -> str:
         return self.args.cases or tables.cases_file(self.args.repo)
 
+    def malformed(self) -> list[tuple[str, int]]:
+        """After a failure: lines of the cases file that are no JSON, by number."""
+        path = getattr(self.args, "cases", None)
+        return tables.check_jsonl(self.spark, path) if path and tables.path_exists(self.spark, path) else []
+
     def client(self):
         a = self.args
         return model.resolve_client(a.stub, a.model, a.dry_run, **({} if a.stub or a.dry_run else {"base_url": a.base_url, "context_tokens": a.num_ctx, "temperature": a.temperature, "seed": a.seed, "timeout": a.timeout}))
 
 
 def fetch(r: Runs) -> int:
+    """What a pull request's two commits fix is kept (by commit) beside the cases and not fetched again; each new one is fetched by a task of its own."""
     a, s = r.args, r.spark
-    client = forge.ForgeClient(a.url, os.environ.get("FORGE_USER", ""), os.environ.get("FORGE_SECRET", ""), cache=f"{tables.DATA}/cache")
-    pulls = client.pull_requests(a.workspace, a.repo, a.state)
-    diffs = s.createDataFrame([(p["id"], client.diff(a.workspace, a.repo, p)) for p in pulls], "pull_id long, diff string")
-    commits = sorted({p["source"]["commit"]["hash"] for p in pulls})
-    archives = s.createDataFrame([(c, client.archive(a.workspace, a.repo, c)) for c in commits], "commit string, content binary")
-    texts = s.createDataFrame([(json.dumps(p),) for p in pulls], "pull string")
-    listed = texts.select(F.from_json("pull", schemas.PULLS).alias("p")).select("p.*")
+    store = f"{tables.DATA}/{a.repo}/fetched"
+    known = s.read.parquet(store) if tables.path_exists(s, store) else None
+    names = "" if known is None else ",".join(sorted({"-".join(map(str, k)) for k in known.select("pull_id", "commit", "destination").distinct().collect()}))  # one a pull request
+    pulls, new = forge.read_pulls(s, a.url, a.workspace, a.repo, a.state, web_url=a.web_url, known=names)
+    pulls = kept(pulls, "pulls")
+    new.write.mode("append").parquet(store)
+    ends = pulls.select(F.col("id").alias("pull_id"), F.col("source.commit.hash").alias("commit"), F.col("destination.commit.hash").alias("destination"))
+    files = s.read.parquet(store).join(ends, ["pull_id", "commit", "destination"], "left_semi")
     keys = tables.load_answer_key(s, a.answer_key or tables.answer_key_file(a.repo))
-    for row in stages.unknown_keys(keys, listed).collect():
+    for row in stages.unknown_keys(keys, pulls).collect():
         print(f"only the answer key has pull request {row['pull_id']}", file=sys.stderr)
-    cases = stages.ingest(listed, diffs, trees.unpack(archives), keys)
+    diffs = files.filter("path IS NULL").select("pull_id", F.col("text").alias("diff")).dropDuplicates(["pull_id"])
+    trees = files.filter("path IS NOT NULL").select("commit", "path", "text").dropDuplicates(["commit", "path"])
+    cases = stages.ingest(pulls, diffs, trees, keys)
     tables.write_rows(cases, tables.cases_file(a.repo), ["case_id"])
     print(tables.cases_file(a.repo), stages.case_counts(tables.load_cases(s, tables.cases_file(a.repo))).first().asDict())
     return 0
@@ -109,8 +136,13 @@ def detect(r: Runs) -> int:
     if client is None:
         r.save(manifest, packs=packs(cases, with_facts=True, with_deletions=True))
         return 0
-    stored = r.table(a.resume, "responses", schemas.RESPONSES) if a.resume else None
-    got = stages.detect(cases, lambda: client, a.max_findings, stored, detector=client.name, case_ids=a.case, limit=a.limit)
+    manifest |= r.conditions(client, system_prompt())
+    stored = None
+    if a.resume:
+        tables.same_conditions(r.manifest(a.resume), manifest)
+        stored = kept(r.table(a.resume, "responses", schemas.RESPONSES).unionByName(logged(r.spark, r.log(a.resume), schemas.RESPONSES)).dropDuplicates(["case_id", "error"]), "stored")
+    r.begin(manifest)
+    got = stages.detect(cases, lambda: client, a.max_findings, stored, detector=client.name, case_ids=a.case, limit=a.limit, log=r.log())
     totals = stages.budget(got["packs"], got["responses"]).first().asDict()
     r.save(manifest | {"budget": totals, "call_failures": totals["failures"]}, packs=got["packs"], responses=got["responses"], rejects=got["rejects"], predictions=got["claims"], predictions_anchored=got["predictions"], out_of_scope=got["scope"].filter("NOT kept"), anchors=got["anchors"])
     return int(totals["failures"] > 0)
@@ -120,7 +152,9 @@ def continue_review(r: Runs) -> int:
     a, client, before = r.args, r.client(), r.manifest(r.args.run)
     if client is None:
         return 0
-    got = stages.continue_review(tables.cases_of(r.spark, before), r.claims(a.run), lambda: client, a.max_findings, detector=client.name)
+    conditions = r.conditions(client, system_prompt())
+    r.begin(before | conditions)
+    got = stages.continue_review(tables.cases_of(r.spark, before), r.claims(a.run), lambda: client, a.max_findings, detector=client.name, log=r.log())
     totals = stages.continue_counts(got).first().asDict()
     r.save(before | {"continued_run": a.run, "continuation": totals, "call_failures": (before.get("call_failures") or 0) + totals["failures"]}, predictions=got["predictions"], responses=got["responses"])
     return int(totals["failures"] > 0)
@@ -130,10 +164,15 @@ def verify(r: Runs) -> int:
     a, client, before = r.args, r.client(), r.manifest(r.args.run)
     if client is None:
         return 0
-    stored = r.table(a.resume, "verdicts", f"{schemas.VERDICTS}, ord long") if a.resume else None
-    got = stages.verify(tables.cases_of(r.spark, before), r.claims(a.run), lambda: client.chat, not a.judge_location, None, a.radius, a.max_tool_calls, stored, a.limit)
+    conditions = r.conditions(client, workspace.SYSTEM + workspace.GUIDE)
+    stored = None
+    if a.resume:
+        tables.same_conditions(r.manifest(a.resume).get("verifier", {}), conditions)
+        stored = kept(r.table(a.resume, "verdicts", f"{schemas.VERDICTS}, ord long"), "stored")
+    r.begin(before | {"verified_run": a.run, "verifier": conditions})
+    got = stages.verify(tables.cases_of(r.spark, before), r.claims(a.run), lambda: client.chat, not a.judge_location, None, a.radius, a.max_tool_calls, stored, a.limit, log=r.log())
     totals = stages.verdict_counts(got["verdicts"]).first().asDict()
-    r.save(before | {"verified_run": a.run, "verdicts": totals, "errors": totals["errors"]}, verdicts=got["verdicts"], predictions=got["predictions"])
+    r.save(before | {"verified_run": a.run, "verifier": conditions, "verdicts": totals, "errors": totals["errors"]}, verdicts=got["verdicts"], predictions=got["predictions"])
     return int(totals["errors"] > 0)
 
 
@@ -164,20 +203,18 @@ def report(r: Runs) -> int:
     require_known(found, cases)
     labels = tables.load_labels(cases)
     rows, scores = reports.entries(cases, found, labels, a.tolerance), reports.scorecard(found, labels, a.tolerance)
-    r.folder.mkdir(parents=True, exist_ok=True)
-    reports.json_report(rows, scores, manifest, a.tolerance).orderBy(F.col("case_id").asc_nulls_first()).coalesce(1).select("json").write.mode("overwrite").text(str(r.folder / "report.json"))
+    reports.json_report(rows, scores, manifest, a.tolerance).orderBy(F.col("case_id").asc_nulls_first()).coalesce(1).select("json").write.mode("overwrite").text(f"{r.folder}/report.json")
     header = reports.text_header(rows, scores, manifest, a.tolerance).withColumn("n", F.lit(""))
     body = reports.text_report(rows).select("text", F.col("case_id").alias("n"))
-    header.unionByName(body).orderBy("n").coalesce(1).select("text").write.mode("overwrite").text(str(r.folder / "report.txt"))
+    header.unionByName(body).orderBy("n").coalesce(1).select("text").write.mode("overwrite").text(f"{r.folder}/report.txt")
     print(header.first()["text"])
     return 0
 
 
 def comment(r: Runs) -> int:
+    """One comment a case: planned, written as previews (comments.txt/case_id=...), and with --post made on the forge. A case without pull request has none; of a run
+    that is not complete the silent cases get none, since nobody may have looked."""
     a, manifest = r.args, r.manifest(r.args.run)
-    if a.post and not tables.complete(manifest):
-        print("the run is not complete; nothing is posted", file=sys.stderr)
-        return 1
     cases, found = tables.cases_of(r.spark, manifest), r.claims(a.run)
     require_known(found, cases)
     if a.case:
@@ -186,12 +223,15 @@ def comment(r: Runs) -> int:
     existing = r.spark.createDataFrame([], "pull_id long, id long, raw string, inline boolean, deleted boolean")
     client, heads = None, None
     if a.post:
-        client = forge.ForgeClient(a.url, os.environ.get("FORGE_USER", ""), os.environ.get("FORGE_SECRET", ""))
-        now = [(row["pull_id"], client.pull_request(a.workspace, manifest["repository"], row["pull_id"])["source"]["commit"]["hash"]) for row in wanted.select("pull_id").collect()]
+        client = forge.ForgeClient(a.url, os.environ.get(forge.USER, ""), os.environ.get(forge.SECRET, ""))
+        now = [(row["pull_id"], client.pull_request(a.workspace, manifest["repository"], row["pull_id"])["source"]["commit"]["hash"]) for row in wanted.filter("pull_id IS NOT NULL").select("pull_id").collect()]
         heads = r.spark.createDataFrame(now, "pull_id long, current string")
-    plan = reports.comment_plan(wanted, existing, heads)
+    plan = kept(reports.comment_plan(wanted, existing, heads, tables.complete(manifest)), "comments")
+    plan.filter("pull_id IS NOT NULL").select("case_id", "body").repartition("case_id").write.mode("overwrite").partitionBy("case_id").text(f"{r.folder}/comments.txt")
     log = reports.apply_plan(plan, client, a.workspace, manifest.get("repository"), a.post)
     r.save({"posted": a.post, "log": log}, comments=plan)
+    for row in reports.action_counts(r.spark.createDataFrame([(x["action"],) for x in log], "action string")).collect():
+        print(f"{row['pulls']} {row['action']}")
     return int(any(x["action"] == "failed" for x in log))
 
 
@@ -200,7 +240,13 @@ COMMANDS = {"fetch": fetch, "detect": detect, "continue": continue_review, "veri
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
-    return COMMANDS[args.command](Runs(spark or session(master=os.environ.get("SPARK_MASTER", "local[*]")), args))
+    runs = Runs(spark or session(master=os.environ.get("SPARK_MASTER", "local[*]")), args)
+    try:
+        return COMMANDS[args.command](runs)
+    except PySparkException as e:
+        for path, line in runs.malformed():
+            print(f"{path}:{line}: this line is malformed", file=sys.stderr)
+        raise e
 
 
 if __name__ == "__main__":

@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schemas
 from ..definitions import definition_table
 from ..functions.answers import parse_answers, parse_verdicts, response_schema, verdict_schema
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
 from ..sources.model import complete_packs
-from ..sources.scratch import kept
+from ..sources.scratch import answered, kept
 
 CLAIM = ["case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote"]
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame) -> DataFrame:
-    """pulls, diffs (pull_id, diff), trees (commit, path, text), keys (pull_id, ...) -> cases. Fails if a key was written for another commit, or a changed file is in no tree."""
+    """pulls, diffs (pull_id, diff), trees (commit, path, text), keys (pull_id, ...) -> cases. Fails if a pull request has no diff, a key was written for another commit, or a
+    changed file is in no tree."""
     source = F.col("source.commit.hash")
-    joined = pulls.withColumn("pull_id", F.col("id")).join(diffs.select("pull_id", "diff"), "pull_id").join(
+    joined = pulls.withColumn("pull_id", F.col("id")).join(diffs.select("pull_id", "diff", F.lit(True).alias("_read")), "pull_id", "left").join(
         keys.select("pull_id", F.col("head_commit").alias("key_commit"), "is_defective", "findings"), "pull_id", "left"
     )
+    unread = F.raise_error(F.format_string("pull request %d: it has no diff", "id")).cast("boolean")
+    joined = joined.filter(F.when(F.col("_read"), F.lit(True)).otherwise(unread)).drop("_read")
     moved = F.col("key_commit").isNotNull() & ~F.startswith("key_commit", source)
     checked = joined.withColumn("_ok", F.when(moved, F.raise_error(F.format_string("pull request %d: the answer key is for %s, the source is now %s", "id", "key_commit", source)).cast("boolean")).otherwise(True)).filter("_ok")
     base = checked.withColumn("case_id", F.concat(F.lit("PR-"), F.col("id").cast("string"))).withColumn("commit", source)
@@ -53,7 +57,7 @@ def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame
         "head_files",
         "context_files",
         "diff",
-        F.coalesce(numbered, F.filter("findings", lambda _: F.lit(False))).alias("findings"),
+        F.coalesce(numbered, F.array().cast(keys.schema["findings"].dataType)).alias("findings"),
         F.col("destination.commit.hash").alias("base_commit"),
         F.col("commit").alias("head_commit"),
         F.struct(F.col("id"), F.col("links.html.href").alias("url"), F.col("source.branch.name").alias("source_branch"), F.col("destination.branch.name").alias("destination_branch")).alias("pull_request"),
@@ -79,16 +83,16 @@ def held_to_change(claims: DataFrame, cases: DataFrame, with_deletions: bool = T
     return held, scoped, decided
 
 
-def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0) -> dict[str, DataFrame]:
+def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0, log: str | None = None) -> dict[str, DataFrame]:
     """packs -> answers (only those that `stored` lacks) -> claims. The order is fixed: one a line, then the strongest, then scope, then anchor, so claims out of scope use
-    up places."""
+    up places. With a `log` folder answers are kept there batch by batch, and those it holds are not asked for again."""
     if case_ids:
         cases = cases.filter(F.col("case_id").isin(*case_ids))
     if limit > 0:
         cases = cases.orderBy("case_id").limit(limit)
     asked = texts.packs(cases, with_facts=True, with_deletions=True)
     wanted = asked if stored is None else reduce.unanswered(asked, stored)
-    answers = keep(complete_packs(wanted, make_client, response_schema()), "responses")
+    answers = _asked(wanted, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     if stored is not None:
         answers = answers.unionByName(stored.filter(F.coalesce("error", F.lit("")) == "").join(cases.select("case_id"), "case_id", "left_semi"))
     parsed, rejects = parse_answers(answers)
@@ -97,11 +101,15 @@ def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: in
     return {"packs": asked, "responses": answers, "rejects": rejects, "claims": strongest, "scope": scoped, "anchors": decided, "predictions": keep(held, "predictions")}
 
 
-def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model") -> dict[str, DataFrame]:
+def _asked(wanted: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str, keep: Keep, log: str | None, keys: list[str]) -> DataFrame:
+    return keep(ask(wanted), "responses") if log is None else answered(wanted, ask, schema, log, keys)
+
+
+def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model", log: str | None = None) -> dict[str, DataFrame]:
     """Asks again about changed code files that a first read left without a claim, and adds what is new as far as there is room."""
     remaining = reduce.targets(diff.files_of(cases), claims)
     asked = texts.continuation_packs(texts.packs(cases, with_facts=True, with_deletions=True), claims, remaining)
-    answers = keep(complete_packs(asked, make_client, response_schema()), "continued")
+    answers = _asked(asked, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     parsed, rejects = parse_answers(answers)
     found = reduce.best_per_line(reduce.within(_as_claims(parsed, detector, "continue"), remaining))
     new = reduce.fresh(found, claims)
@@ -118,7 +126,7 @@ def _by_strength():
     return Window.partitionBy("case_id").orderBy(F.col("confidence").desc(), "ord")
 
 
-def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, limit: int = 0, keep: Keep = kept) -> dict[str, DataFrame]:
+def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, limit: int = 0, keep: Keep = kept, log: str | None = None) -> dict[str, DataFrame]:
     """Each claim by itself, with tools; a decisive verdict needs evidence that exists. Stored verdicts are reused unless they failed."""
     known = claims.join(cases.select("case_id"), "case_id", "left_semi")
     if limit > 0:
@@ -129,7 +137,8 @@ def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable
     rows = diff.excerpts(cases, known, radius, with_deletions=True)
     said = definitions if definitions is not None else definition_table(cases.sparkSession)
     asked = texts.questions(rows.join(F.broadcast(said), "type", "left"), named)
-    answers = keep(workspace.ask_verdicts(asked, diff.files_of(cases), diff.base_revision(cases), diff.added_of(cases), make_chat, verdict_schema(), max_calls), "verdicts")
+    base = diff.base_revision(cases) if log is None else keep(diff.base_revision(cases), "base")
+    answers = _asked(asked, lambda part: workspace.ask_verdicts(part, diff.files_of(cases), base, diff.added_of(cases), make_chat, verdict_schema(), max_calls), workspace.ANSWERS, keep, log, ["case_id", "ord"])
     joined = known.select("case_id", "ord", "file", "line", "type", F.col("message").alias("title")).join(answers, ["case_id", "ord"])
     verdicts = keep(anchoring.settle(parse_verdicts(joined), cases).drop("text"), "settled")
     if stored is not None:

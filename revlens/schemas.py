@@ -17,7 +17,7 @@ CASES = (
 )
 PREDICTIONS = (
     "case_id string, file string, line int, start_line int, end_line int, type string, confidence double, "
-    "detector string, stage string, message string, title string, quote string"
+    "detector string, stage string, message string, title string, quote string, ord long"
 )
 CLAIMS = "case_id string, ord long, file string, line int, end_line int, type string, confidence double, detector string, stage string, message string, quote string"
 LABELS = f"case_id string, finding_id string, label_ord int, type string, family string, in_scope boolean, required boolean, scored boolean, title string, spans array<{SPAN}>"

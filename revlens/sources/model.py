@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
@@ -13,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import schemas
+from .web import Call, Policy, WebError
 
 
 @dataclass(frozen=True)
@@ -45,55 +44,58 @@ class ChatServer:
 
     def payload(self, messages: list[dict], schema: dict | None = None, tools: list | None = None, temperature: float | None = None, seed: int | None = None) -> dict:
         options = {"num_ctx": self.context_tokens, "temperature": self.temperature if temperature is None else temperature, "seed": self.seed if seed is None else seed}
-        body: dict = {"model": self.model, "messages": messages, "stream": False, "options": options}
-        body |= {"format": schema} if schema is not None else {}
-        body |= {"tools": tools} if tools is not None else {}
-        return body | ({"think": self.think} if self.think is not None else {})
+        optional = {"format": schema, "tools": tools or None, "think": self.think}
+        return {"model": self.model, "messages": messages, "stream": False, "options": options} | {k: v for k, v in optional.items() if v is not None}
 
-    def _call(self, path: str, body: dict | None, timeout: float) -> dict:
-        data = json.dumps(body).encode() if body is not None else None
-        call = urllib.request.Request(f"{self.base_url.rstrip('/')}{path}", data, {"Content-Type": "application/json"})
-        with urllib.request.urlopen(call, timeout=timeout) as reply:
-            return json.loads(reply.read())
+    def _url(self, path: str) -> str:
+        return self.base_url.rstrip("/") + path
 
     def chat(self, messages: list[dict], tools: list | None = None, schema: dict | None = None, temperature: float | None = None, seed: int | None = None) -> dict:
-        """{message, error, ...}: one turn, not retried on a server's answer."""
+        """One turn: the server's message, or {"error": why}."""
+        call = Call(self._url("/api/chat"), "POST", self.payload(messages, schema, tools, temperature, seed))
         try:
-            return self._call("/api/chat", self.payload(messages, schema, tools, temperature, seed), self.timeout)
-        except urllib.error.HTTPError as e:
-            return {"error": f"HTTPError {e.code}: {e.read().decode('utf-8', 'replace')[:300]}"}
-        except (urllib.error.URLError, TimeoutError, ValueError) as e:
-            return {"error": f"{type(e).__name__}: {e}"}
+            return Policy(self.retries + 1, self.wait, self.timeout).run(call, _object)
+        except WebError as e:
+            return {"error": str(e)}
 
     def complete(self, system: str, user: str, schema: dict | None = None) -> Response:
-        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
-        began, problem = time.monotonic(), ""
-        for n in range(self.retries + 1):
-            reply = self.chat(messages, schema=schema)
-            problem = str(reply.get("error") or "")
-            if not problem:
-                message = reply.get("message") or {}
-                took = int(1000 * (time.monotonic() - began))
-                return Response(message.get("content", ""), message.get("thinking", "") or "", "", reply.get("prompt_eval_count", 0) or 0, reply.get("eval_count", 0) or 0, took)
-            if n < self.retries:
-                time.sleep(self.wait * 2**n)
-        return Response(error=problem, duration_ms=int(1000 * (time.monotonic() - began)))
+        began = time.monotonic()
+        reply = self.chat([{"role": "system", "content": system}, {"role": "user", "content": user}], schema=schema)
+        took, message = int(1000 * (time.monotonic() - began)), reply.get("message") or {}
+        if reply.get("error"):
+            return Response(error=str(reply["error"]), duration_ms=took)
+        return Response(message.get("content") or "", message.get("thinking") or "", "", int(reply.get("prompt_eval_count") or 0), int(reply.get("eval_count") or 0), took)
+
+    def _served(self) -> list[dict]:
+        return Policy(1, 0, 30).run(Call(self._url("/api/tags")), _object).get("models") or []
+
+    def _is_mine(self, entry: dict) -> bool:
+        """The model by its whole name, or without its tag."""
+        return self.model in (entry.get("name") or "", (entry.get("name") or "").partition(":")[0])
 
     def health(self) -> str:
         """Empty if the server has the model, else what is wrong."""
         try:
-            names = [m.get("name") for m in self._call("/api/tags", None, 10).get("models", [])]
-        except (urllib.error.URLError, TimeoutError, ValueError) as e:
-            return f"{self.base_url}: {e}"
-        return "" if self.model in names else f"{self.base_url} has no model {self.model}"
+            served = self._served()
+        except WebError as e:
+            return f"{self.base_url} does not answer: {e}"
+        names = ", ".join(m.get("name") or "?" for m in served) or "none"
+        return "" if any(map(self._is_mine, served)) else f"{self.base_url} has no model {self.model} (it has: {names})"
 
     def build(self) -> dict:
-        """digest and quantisation of the model, as far as the server tells."""
+        """digest and quantisation of the model, as far as the server tells; answers of two builds are not one run."""
         try:
-            found = next((m for m in self._call("/api/tags", None, 10).get("models", []) if m.get("name") == self.model), {})
-        except (urllib.error.URLError, TimeoutError, ValueError):
-            return {}
-        return {"digest": found.get("digest", ""), "quantization": (found.get("details") or {}).get("quantization_level", "")}
+            found = next(filter(self._is_mine, self._served()), None)
+        except WebError:
+            found = None
+        return {} if found is None else {"digest": found.get("digest", ""), "quantization": (found.get("details") or {}).get("quantization_level", "")}
+
+
+def _object(data: bytes) -> dict:
+    found = json.loads(data)
+    if not isinstance(found, dict):
+        raise ValueError("the server's answer is no object")
+    return found
 
 
 @dataclass(frozen=True)

@@ -8,19 +8,50 @@ import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas
 from ..operators.spans import label_table
 
 RUNS, REPORTS, DATA = "runs", "reports", "data"
+#: What a case can't do without.
+REQUIRED = ("case_id", "pr_title", "pr_description", "changed_files", "added_lines", "head_files", "diff", "findings")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop sees them."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, at = _at(spark, path)
+    return store.exists(at)
+
+
+def _exists(path: str | Path) -> bool:
+    """Of a path in a run folder: local, or a URI of a store that the running session reaches."""
+    return path_exists(SparkSession.active(), str(path)) if "://" in str(path) else Path(path).exists()
+
+
+def _read_text(path: str | Path) -> str:
+    if "://" not in str(path):
+        return Path(path).read_text(encoding="utf-8")
+    return SparkSession.active().read.text(str(path), wholetext=True).first()["value"]
+
+
+def _write_text(path: str | Path, text: str) -> None:
+    if "://" not in str(path):
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    store, at = _at(SparkSession.active(), str(path))
+    out = store.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,15 +78,23 @@ def write_rows(rows: DataFrame, path: str, ordered_by: list[str] | None = None)
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases with defaults in place of missing optional fields."""
+    """Cases with defaults in place of missing optional fields; a case without a required one fails the job."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{path}: no such cases file; ingest the repository first")
-    return with_defaults(read_jsonl(spark, path, schemas.CASES))
+    cases = read_jsonl(spark, path, schemas.CASES)
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]))
+    message = F.concat(F.lit(f"{path}: case "), F.coalesce("case_id", F.lit("?")), F.lit(" lacks "), F.array_join(lacking, ", "))
+    return with_defaults(_held(cases, F.size(lacking) == 0, message))
+
+
+def _held(rows: DataFrame, right: Column, message: Column) -> DataFrame:
+    """rows, of which any that isn't right fails the job."""
+    return rows.filter(F.when(right, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def with_defaults(cases: DataFrame) -> DataFrame:
-    """Null fields become empty ones; case_id must be there."""
-    out = cases.filter(F.col("case_id").isNotNull())
+    """Null fields become empty ones; a row without case_id fails the job."""
+    out = _held(cases, F.col("case_id").isNotNull(), F.lit("a case has no case_id"))
     for f in cases.schema.fields:
         kind = f.dataType.simpleString()
         empty = {"boolean": F.lit(False), "string": F.lit("")}.get(kind)
@@ -77,20 +116,21 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_predictions(rows: DataFrame) -> DataFrame:
-    """Claims in the library's form: line, or start_line where there is none; end_line defaults to it; confidence 1; texts empty; numbered by `ord`."""
+    """Claims in the library's form: line, or start_line where there is none; end_line defaults to it; confidence 1; texts empty. `ord`, which decides
+    ties, is the row's own, or follows the order in which rows are read (within a file that is one split, the order of its lines)."""
     line = F.coalesce("line", "start_line")
     out = rows.withColumn("line", line).withColumn("end_line", F.coalesce("end_line", line)).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     out = out.withColumn("message", F.coalesce("message", "title", F.lit("")))
     for c in ("type", "detector", "stage", "quote"):
         out = out.withColumn(c, F.coalesce(c, F.lit("")))
-    order = Window.partitionBy("case_id").orderBy("file", "line", "type", "message", "confidence")
-    out = out.withColumn("ord", F.row_number().over(order).cast("long"))
+    read = F.monotonically_increasing_id()
+    out = out.withColumn("ord", F.coalesce("ord", read) if "ord" in rows.columns else read)
     return out.select(*[c.split()[0] for c in schemas.CLAIMS.split(", ")])
 
 
 def prediction_rows(claims: DataFrame) -> DataFrame:
     """The output projection."""
-    return claims.select("case_id", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message")
+    return claims.select("case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message")
 
 
 def load_answer_key(spark: SparkSession, path: str) -> DataFrame:
@@ -102,15 +142,14 @@ def load_answer_key(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(folder: str | Path) -> dict:
-    path = Path(folder) / "config.json"
-    if not path.exists():
+    path = f"{folder}/config.json"
+    if not _exists(path):
         raise FileNotFoundError(f"{folder} is no run: it has no config.json")
-    return json.loads(path.read_text(encoding="utf-8"))
+    return json.loads(_read_text(path))
 
 
 def write_manifest(folder: str | Path, manifest: dict) -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / "config.json").write_text(json.dumps(manifest, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    _write_text(f"{folder}/config.json", json.dumps(manifest, indent=2, ensure_ascii=False) + "\n")
 
 
 def now() -> str:
@@ -126,12 +165,12 @@ def provenance(folder: str = ".") -> dict:
     return {"created_utc": now(), "commit": commit(folder)}
 
 
-def cases_file(repository: str, root: str = DATA) -> str:
-    return f"{root}/{repository}/cases.jsonl"
+def cases_file(repository: str, root: str | None = None) -> str:
+    return f"{root or DATA}/{repository}/cases.jsonl"
 
 
-def answer_key_file(repository: str, root: str = DATA) -> str:
-    return f"{root}/{repository}/answer_key.json"
+def answer_key_file(repository: str, root: str | None = None) -> str:
+    return f"{root or DATA}/{repository}/answer_key.json"
 
 
 def recorded_cases_file(manifest: dict) -> str:
@@ -140,17 +179,21 @@ def recorded_cases_file(manifest: dict) -> str:
 
 
 def cases_of(spark: SparkSession, manifest: dict) -> DataFrame:
-    return load_cases(spark, recorded_cases_file(manifest))
+    """The cases of a run; if the recorded file is gone, those of the repository."""
+    path = recorded_cases_file(manifest)
+    if not path_exists(spark, path) and manifest.get("repository"):
+        path = cases_file(manifest["repository"])
+    return load_cases(spark, path)
 
 
 def claims_file(folder: str | Path) -> str:
     """The anchored claims if there are any, else the unanchored ones."""
-    anchored = Path(folder) / "predictions_anchored.jsonl"
-    return str(anchored if anchored.exists() else Path(folder) / "predictions.jsonl")
+    anchored = f"{folder}/predictions_anchored.jsonl"
+    return anchored if _exists(anchored) else f"{folder}/predictions.jsonl"
 
 
 def run_dir(run: str, out: str = RUNS) -> str:
-    return run if Path(run).is_dir() else f"{out}/{run}"
+    return run if ("://" in run and _exists(run)) or Path(run).is_dir() else f"{out}/{run}"
 
 
 def same_run(first: dict, second: dict) -> None:
@@ -159,9 +202,17 @@ def same_run(first: dict, second: dict) -> None:
         raise ValueError(f"the runs checked different claims: {first.get('verified_run')} and {second.get('verified_run')}")
 
 
+def same_conditions(before: dict, now: dict) -> None:
+    """A run is only resumed under the prompt and the model build it began with; what either doesn't tell is not compared."""
+    for what in ("prompt", "model_build"):
+        was, is_ = before.get(what), now.get(what)
+        if was and is_ and was != is_:
+            raise ValueError(f"the run was answered under another {what.replace('_', ' ')} ({was}, now {is_}); start a new one")
+
+
 def complete(*manifests: dict) -> bool:
-    """All runs upstream ended, without failed calls or errors."""
-    return all(m.get("complete", False) and not m.get("call_failures") and not m.get("errors") for m in manifests)
+    """All runs upstream ended, without failed calls or errors; one that doesn't say is taken to have ended."""
+    return all(m.get("complete", True) and not m.get("call_failures") and not m.get("errors") for m in manifests)
 
 
 def settings(path: str | Path = ".env") -> dict[str, str]:

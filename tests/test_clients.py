@@ -1,0 +1,240 @@
+"""Servers that fail, runs that are killed and resumed, and fetching through the data sources."""
+
+import gzip
+import io
+import json
+import socket
+import tarfile
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from revlens import schemas
+from revlens.functions.answers import render_answer
+from revlens.plans import reports, stages
+from revlens.sources import forge, model, scratch, tables, web
+
+from .cases import frame, make_case
+
+
+@pytest.fixture
+def dropping():
+    """A server that hangs up: before it answers, or in the middle of an answer. Counts the calls."""
+    calls, listener = [], socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        while True:
+            try:
+                peer, _ = listener.accept()
+            except OSError:
+                return
+            with peer:
+                peer.recv(65536)
+                calls.append(1)
+                if len(calls) % 2:
+                    peer.sendall(b"HTTP/1.1 200 OK\r\nContent-Length: 100\r\n\r\n{\"mess")
+
+    threading.Thread(target=serve, daemon=True).start()
+    yield f"http://127.0.0.1:{listener.getsockname()[1]}", calls
+    listener.close()
+
+
+def test_dropped_connections_are_values(dropping):
+    url, calls = dropping
+    chat = model.ChatServer("m", url, wait=0.001, retries=3)
+    assert chat.chat([])["error"] and len(calls) == 4
+    assert chat.complete("s", "u").error and "does not answer" in chat.health() and chat.build() == {}
+    calls.clear()
+    client = forge.ForgeClient(url, "u", "s", wait=0.001, attempts=3)
+    with pytest.raises(forge.ForgeError) as e:
+        client.pull_request("w", "r", 1)
+    assert e.value.status is None and len(calls) == 3
+    calls.clear()
+    with pytest.raises(forge.ForgeError, match="may have taken effect"):
+        client.post_comment("w", "r", 1, "x")
+    assert len(calls) == 1
+    with pytest.raises(web.WebError):
+        web.Call("http://127.0.0.1:1/").send(1)
+
+
+def _serve(answer):
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            status, body = answer(self.path)
+            data = body if isinstance(body, bytes) else json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    return http, f"http://127.0.0.1:{http.server_port}", asked
+
+
+def test_a_model_is_known_without_its_tag():
+    http, url, _ = _serve(lambda _: (200, {"models": [{"name": "m:8b", "digest": "d", "details": {"quantization_level": "q4"}}, {"name": "mm"}]}))
+    assert model.ChatServer("m", url).health() == "" and model.ChatServer("m:8b", url).build() == {"digest": "d", "quantization": "q4"}
+    assert "has no model m:7b (it has: m:8b, mm)" in model.ChatServer("m:7b", url).health()
+    http.shutdown()
+
+
+class Counting:
+    """Answers, and keeps what it was asked in a file, since calls are made in other processes; fails hard at one case."""
+
+    name = "counting"
+
+    def __init__(self, log, bad=None):
+        self.log, self.bad = log, bad
+
+    def complete(self, system, user, schema=None):
+        case = user.split("Change of ")[1].split("\n")[0]
+        if case == self.bad:
+            raise RuntimeError("the machine is gone")
+        with open(self.log, "a") as f:
+            f.write(case + "\n")
+        if case == "c4" and self.bad:
+            return model.Response(error="no answer")
+        return model.Response(text=render_answer([{"file": "a.py", "line": 1, "type": "xss", "title": "t", "confidence": 0.9, "quote": "x = 2"}]))
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    return frame(spark, [make_case(f"c{k}", {"a.py": "x = 1\n"}, {"a.py": "x = 2\n"}, pr_title=f"Change of c{k}") for k in range(8)]).cache()
+
+
+def test_a_killed_run_is_resumed_without_asking_again(spark, cases, tmp_path, monkeypatch):
+    asked, log = str(tmp_path / "asked"), str(tmp_path / "answers")
+    one = lambda wanted, ask, schema, log, keys: scratch.answered(wanted, ask, schema, log, keys, batch_rows=1)
+    monkeypatch.setattr(stages, "answered", one)
+    with pytest.raises(Exception, match="the machine is gone"):
+        stages.detect(cases, lambda: Counting(asked, bad="c3"), log=log)["predictions"].count()
+    answered = scratch.logged(spark, log, schemas.RESPONSES)
+    good = {r["case_id"] for r in answered.filter("error = ''").collect()}
+    assert "c3" not in good
+    before = open(asked).read().split() if tables.path_exists(spark, asked) else []
+    assert good <= set(before)
+    got = stages.detect(cases, lambda: Counting(asked), log=log)
+    assert {r["case_id"] for r in got["predictions"].collect()} == {f"c{k}" for k in range(8)}
+    after = open(asked).read().split()[len(before) :]
+    assert not good & set(after) and len(after) == len(set(after)) == 8 - len(good)
+    assert {r["error"] for r in got["responses"].collect()} == {""}
+    assert scratch.answered(cases.limit(0).select("case_id"), lambda x: x, schemas.RESPONSES, str(tmp_path / "none")).count() == 0
+
+
+def test_failed_answers_are_asked_again(spark, tmp_path):
+    log, kind = str(tmp_path / "log"), "case_id string, text string, error string"
+    wanted = spark.createDataFrame([(f"c{k}",) for k in range(6)], "case_id string")
+
+    def ask(fails):
+        return lambda rows: rows.select("case_id", F.lit(fails).alias("text"), F.when(F.col("case_id") == fails, "e").otherwise("").alias("error"))
+
+    first = {r["case_id"]: r["error"] for r in scratch.answered(wanted, ask("c2"), kind, log, batch_rows=4).collect()}
+    assert first == {f"c{k}": "e" if k == 2 else "" for k in range(6)}
+    second = {r["case_id"]: (r["text"], r["error"]) for r in scratch.answered(wanted, ask("none"), kind, log, batch_rows=4).collect()}
+    assert second == {f"c{k}": ("none" if k == 2 else "c2", "") for k in range(6)}
+
+
+def test_a_run_is_not_resumed_under_other_conditions():
+    was = {"prompt": "a", "model_build": "x"}
+    tables.same_conditions(was, {"prompt": "a"})
+    tables.same_conditions({}, was)
+    for now in ({"prompt": "b"}, {"prompt": "a", "model_build": "y"}):
+        with pytest.raises(ValueError, match="start a new one"):
+            tables.same_conditions(was, now)
+
+
+def test_commands_look_before_they_run(spark, cases, tmp_path):
+    from revlens.__main__ import main
+
+    path, out = str(tmp_path / "cases.jsonl"), str(tmp_path / "runs")
+    tables.write_rows(cases.limit(2), path, ["case_id"])
+    with pytest.raises(SystemExit, match="does not answer"):
+        main(["detect", "--cases", path, "--model", "m", "--base-url", "http://127.0.0.1:1", "--id", "a", "--out", out], spark)
+    assert main(["detect", "--cases", path, "--stub", "silent", "--id", "a", "--out", out], spark) == 0
+    manifest = tables.read_manifest(f"{out}/a")
+    assert manifest["complete"] and manifest["prompt"]
+    assert main(["detect", "--cases", path, "--stub", "silent", "--id", "a", "--resume", "a", "--out", out], spark) == 0
+    tables.write_manifest(f"{out}/a", manifest | {"prompt": "other"})
+    with pytest.raises(ValueError, match="another prompt"):
+        main(["detect", "--cases", path, "--stub", "silent", "--id", "b", "--resume", "a", "--out", out], spark)
+    assert main(["verify", "--run", "a", "--stub", "silent", "--id", "v", "--out", out], spark) == 0
+    assert main(["verify", "--run", "a", "--stub", "silent", "--id", "v", "--resume", "v", "--out", out], spark) == 0
+    (tmp_path / "bad.jsonl").write_text('{"case_id": "a"}\n')
+    with pytest.raises(Exception, match="case a lacks pr_title"):
+        tables.load_cases(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def _snapshot(files):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, text in files.items():
+            info = tarfile.TarInfo(f"top/{name}")
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text.encode()))
+    return gzip.compress(out.getvalue())
+
+
+def test_fetch_reads_through_data_sources(spark, tmp_path, monkeypatch):
+    from revlens.__main__ import main
+
+    after = {"a.py": "x = 2\n", "k.py": "k\n"}
+    text = make_case("z", {"a.py": "x = 1\n", "k.py": "k\n"}, after)["diff"]
+    pulls = [{"id": n, "title": f"T{n}", "source": {"commit": {"hash": "abc"}, "branch": {"name": "b"}}, "destination": {"commit": {"hash": f"d{n}"}, "branch": {"name": "m"}}, "links": {"html": {"href": "u"}}} for n in (7, 8)]
+
+    def answer(path):
+        if path.startswith("/repositories/w/r/pullrequests?"):
+            return 200, {"values": pulls}
+        if path.endswith("/diff"):
+            return 200, text.encode()
+        return (200, _snapshot(after)) if path == "/w/r/get/abc.tar.gz" else (404, {})
+
+    http, url, asked = _serve(answer)
+    monkeypatch.setattr(tables, "DATA", str(tmp_path / "data"))
+    for _ in range(2):
+        assert main(["fetch", "--repo", "r", "--workspace", "w", "--url", url], spark) == 0
+    http.shutdown()
+    assert sum(p.endswith("/diff") for p in asked) == 2 and sum(p.endswith(".tar.gz") for p in asked) == 2  # the second time nothing was new
+    cases = {r["case_id"]: r for r in tables.load_cases(spark, str(tmp_path / "data/r/cases.jsonl")).collect()}
+    assert set(cases) == {"PR-7", "PR-8"} and cases["PR-7"]["head_files"] == {"a.py": "x = 2\n"} and cases["PR-8"]["context_files"] == {"k.py": "k\n"}
+
+
+def test_pulls_without_a_diff_fail(spark):
+    kind = schemas.PULLS
+    pulls = spark.createDataFrame([(7, "T", None, (("abc",), ("b",)), (("d",), ("m",)), (("u",),))], kind)
+    none = [spark.createDataFrame([], s) for s in ("pull_id long, diff string", "commit string, path string, text string", f"pull_id long, head_commit string, is_defective boolean, findings array<{schemas.FINDING}>")]
+    with pytest.raises(Exception, match="pull request 7: it has no diff"):
+        stages.ingest(pulls, *none).collect()
+
+
+def test_comments_of_silent_and_nameless_cases(spark):
+    wanted = spark.createDataFrame([("a", 1, "x", "abc", 0), ("b", 2, "x", "abc", 3), ("c", None, "x", "abc", 1)], "case_id string, pull_id long, body string, head_commit string, findings int")
+    existing = spark.createDataFrame([], "pull_id long, id long, raw string, inline boolean, deleted boolean")
+    told = lambda complete: {r["case_id"]: r["action"] for r in reports.comment_plan(wanted, existing, None, complete).collect()}
+    assert told(True) == {"a": "create", "b": "create", "c": "no pull request"}
+    assert told(False) == {"a": "incomplete run", "b": "create", "c": "no pull request"}
+    log = reports.apply_plan(reports.comment_plan(wanted, existing, None, False), None, "w", "r", post=False)
+    assert {x["case_id"]: x["action"] for x in log} == told(False)
+
+
+def test_order_of_rows_survives_a_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("c", k, "a.py", 5, 5, "xss", 0.5, "m", "detect", f"m{k}", "") for k in (3, 1, 2)], schemas.CLAIMS)
+    tables.write_rows(tables.prediction_rows(rows), str(tmp_path / "p.jsonl"), ["ord"])
+    assert [(r["ord"], r["message"]) for r in tables.load_predictions(spark, str(tmp_path / "p.jsonl")).orderBy("ord").collect()] == [(1, "m1"), (2, "m2"), (3, "m3")]
+    (tmp_path / "q.jsonl").write_text("".join(f'{{"case_id": "c", "file": "a.py", "line": 1, "message": "{m}"}}\n' for m in "zay"))
+    assert [r["message"] for r in tables.load_predictions(spark, str(tmp_path / "q.jsonl")).orderBy("ord").collect()] == list("zay")
+
+
+def test_a_recorded_cases_file_that_is_gone(spark, cases, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "DATA", str(tmp_path / "data"))
+    tables.write_rows(cases.limit(1), tables.cases_file("r"), ["case_id"])
+    assert tables.cases_of(spark, {"repository": "r", "cases_file": str(tmp_path / "gone.jsonl")}).count() == 1
+    assert tables.complete({}) and not tables.complete({"complete": False})
