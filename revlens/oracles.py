@@ -25,16 +25,16 @@ _FINDINGS = f"""
 {_DIM}, fd AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l_returnflag AS file, CAST(l_linenumber * 3 AS INT) AS line, {_kind('l_partkey')} AS type, l_discount AS confidence,
          l_partkey * 10 + l_linenumber AS ord
-  FROM lineitem WHERE l_quantity <= 30
+  FROM lineitem
 ), fr AS (
   SELECT fd.*, fam, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, file, line, type, ord) AS rank FROM fd LEFT JOIN dim ON type = kind
 ), lb AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS label_ord,
-         {_kind('l_suppkey')} AS type, l_tax < 0.06 AS in_scope, l_quantity < 45 AS required, l_returnflag AS file, CAST(l_quantity % 25 + 1 AS INT) AS s1, l_linenumber
-  FROM lineitem WHERE l_quantity > 15
+  SELECT CAST(o_orderkey AS VARCHAR) AS case_id, n AS label_ord, {_kind('(o_custkey + n)')} AS type, (o_orderkey + n) % 5 > 0 AS in_scope, (o_custkey + n) % 4 > 0 AS required, (['A', 'N', 'R'])[n + 1] AS file,
+         CAST((o_custkey * n + o_orderkey) % 22 + 1 AS INT) AS s1, (['N', 'R', 'A'])[n + 1] AS file2, CAST((o_custkey * (n + 5) + o_orderkey) % 22 + 1 AS INT) AS s2
+  FROM orders, (SELECT CAST(unnest([0, 1, 2]) AS INT) AS n)
 ), sp AS (
-  SELECT case_id, label_ord, 0 AS span_ord, type, file, s1, s1 + 1 AS e1 FROM lb
-  UNION ALL SELECT case_id, label_ord, 1, type, 'N', l_linenumber, l_linenumber FROM lb
+  SELECT case_id, label_ord, 0 AS span_ord, type, file, s1, s1 + label_ord AS e1 FROM lb
+  UNION ALL SELECT case_id, label_ord, 1, type, file2, s2, s2 FROM lb
 )"""
 
 _MATCH = f"""
@@ -154,13 +154,6 @@ def _re(pattern: str) -> str:
     return (flags + pattern[pattern.index(")") + 1 :]).replace("'", "''")
 
 
-SECRETS = f"""
-WITH {_LINES}, c AS (
-  SELECT doc_id, line_no, regexp_replace(text, '^([^"]*"[^"]*").*$', '\\1') AS text FROM ln
-)
-SELECT doc_id, line_no, sha256(text) AS text_sha256 FROM c
-WHERE regexp_matches(text, '{_re(rules.SECRET_NAME)}') AND regexp_matches(text, '{_re(rules.SECRET_VALUE)}') AND NOT regexp_matches(text, '{_re(rules.PLACEHOLDER)}')"""
-
 _SETTINGS = f"""
 st AS (
   SELECT p_partkey AS line_no,
@@ -183,23 +176,6 @@ WITH it AS (
 )
 SELECT case_id, line_no, text, gone, new FROM c WHERE gone > new"""
 
-_NORM = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
-ANCHOR = f"""
-WITH {_LINES}, last AS (
-  SELECT doc_id, max(line_no) AS top FROM ln WHERE regexp_matches(text, '\\S') GROUP BY doc_id
-), n AS (
-  SELECT doc_id, line_no, {_NORM.format(x="replace(regexp_replace(text, '^\\s*\\d*\\s*[+-]?\\s*\\| ', ''), '\\\\', '\\')")} AS said FROM ln JOIN last USING (doc_id) WHERE line_no <= top
-), q AS (
-  SELECT d.doc_id, item_id, {_NORM.format(x='b.text')} AS quote FROM documents d JOIN benchmark b ON d.doc_id % 10 = b.item_id % 10 WHERE d.text IS NOT NULL
-), h AS (
-  SELECT q.doc_id, item_id, any_value(quote) AS quote, count(said) AS shown, bool_or(line_no = 1 AND said <> '' AND (contains(said, quote) OR contains(quote, said))) AS here,
-         count(*) FILTER (contains(said, quote)) AS hits, min(line_no) FILTER (contains(said, quote)) AS hit
-  FROM q LEFT JOIN n USING (doc_id) GROUP BY q.doc_id, item_id
-)
-SELECT doc_id, item_id, CASE WHEN length(quote) < 4 OR shown = 0 THEN 'unchecked' WHEN here THEN 'anchored' WHEN hits = 1 THEN 'snapped' WHEN hits > 1 THEN 'ambiguous' ELSE 'unsupported' END AS verdict,
-       CASE WHEN length(quote) >= 4 AND shown > 0 AND NOT coalesce(here, FALSE) AND hits = 1 THEN hit ELSE 1 END AS line
-FROM h"""
-
 CONTRACT = """
 WITH e AS (
   SELECT event_id, event_type AS file, CAST(props ->> '$.k' AS INT) AS line, event_id % 3 = 0 AS broken, least(1.0, CAST(event_id % 5 AS DOUBLE))::DOUBLE AS confidence FROM events
@@ -256,9 +232,11 @@ UNION ALL SELECT DISTINCT case_id, unnest(['def', 'load']), 1 FROM it"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from . import case_oracles
+
+    return case_oracles.oracle_sql() | {
         "scorecard": SCORECARD, "band_match": BAND_MATCH, "site_dedupe": SITE_DEDUPE, "argmax_per_line": ARGMAX, "cap_topk": TOPK, "proximity_gap_fill": GAP_FILL, "gap_fill_global": GAP_FILL_GLOBAL,
-        "agreement": AGREEMENT, "lines_explode": LINES, "moved_lines": MOVED, "secret_lines": SECRETS, "off_values": OFF, "string_lists": STRINGS, "weakened_tests": WEAKENED, "anchor_quotes": ANCHOR,
+        "agreement": AGREEMENT, "lines_explode": LINES, "moved_lines": MOVED, "off_values": OFF, "string_lists": STRINGS, "weakened_tests": WEAKENED,
         "contract_parse": CONTRACT, "severity_rollup": SEVERITY, "resume_anti": RESUME, "budget": BUDGET, "verdict_pivot": PIVOT, "label_spans": SPANS, "comment_plan": COMMENTS, "normalised_lines": NORMALISED,
         "rule_findings": RULES, "parse_diff": ADDED, "base_revision": BASE, "symbol_uses": SYMBOLS,
     }

@@ -10,11 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kinds
 from .functions import answers, text
-from .operators import anchoring, claims as reduce, diff, matching, packs, rules as content, spans, symbols
+from .operators import claims as reduce, diff, matching, packs, rules as content, spans, symbols
 from .plans import reports, stages
 
 #: Kinds that stand in for values, by remainder.
@@ -38,25 +37,26 @@ def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity <= 30")
+    """Every item is a finding."""
     line = (F.col("l_linenumber") * 3).cast("int")
-    return items.select(
-        F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_returnflag").alias("file"), line.alias("line"), line.alias("end_line"), _kind(F.col("l_partkey")).alias("type"),
-        F.col("l_discount").alias("confidence"), F.lit("d").alias("detector"), F.lit("detect").alias("stage"), F.col("l_linestatus").alias("message"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"),
-    )
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_returnflag").alias("file"), line.alias("line"), line.alias("end_line"), _kind(F.col("l_partkey")).alias("type"), F.col("l_discount").alias("confidence"),
+        F.lit("d").alias("detector"), F.lit("detect").alias("stage"), F.col("l_linestatus").alias("message"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"),
+    )
 
 
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 15")
-    first = (F.col("l_quantity") % 25 + 1).cast("int")
-    place = F.struct(F.col("l_returnflag").alias("file"), first.alias("start_line"), (first + 1).alias("end_line"))
-    other = F.struct(F.lit("N").alias("file"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
-    kind, scope, need = _kind(F.col("l_suppkey")), F.col("l_tax") < 0.06, F.col("l_quantity") < 45
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
-    return items.select(
-        F.col("l_orderkey").cast("string").alias("case_id"), F.concat_ws("-f", "l_orderkey", "l_linenumber").alias("finding_id"), ord_.alias("label_ord"), kind.alias("type"), kinds.family(kind).alias("family"),
-        scope.alias("in_scope"), need.alias("required"), (scope & need).alias("scored"), F.lit("t").alias("title"), F.transform(F.array(place, other), spans.checked).alias("spans"),
-    )
+    """Every order has three labels, each in two places that follow from its customer and key."""
+    rows = table(spark, sf_dir, "orders")
+    start = lambda n: (F.pmod(F.col("o_custkey") * n + F.col("o_orderkey"), F.lit(22)) + 1).cast("int")
+    place = lambda file, n, more: F.struct(F.lit(file).alias("file"), start(n).alias("start_line"), (start(n) + more).alias("end_line"))
+    labels = F.array(*[F.struct(F.lit(n).alias("n"), F.array(place(a, n, n), place(b, n + 5, 0)).alias("spans")) for n, (a, b) in enumerate((("A", "N"), ("N", "R"), ("R", "A")))])
+    kind = _kind(F.col("o_custkey") + F.col("n"))
+    scope, need = (F.col("o_orderkey") + F.col("n")) % 5 > 0, (F.col("o_custkey") + F.col("n")) % 4 > 0
+    return rows.select("o_orderkey", "o_custkey", F.inline(labels)).select(
+        F.col("o_orderkey").cast("string").alias("case_id"), F.concat_ws("-f", "o_orderkey", "n").alias("finding_id"), F.col("n").alias("label_ord"), kind.alias("type"), kinds.family(kind).alias("family"), scope.alias("in_scope"), need.alias("required"),
+        (scope & need).alias("scored"), F.lit("t").alias("title"), F.transform("spans", spans.checked).alias("spans"),
+    )
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,6 @@ def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select(F.col("case_id").cast("long").alias("doc_id"), (F.col("i") - 4).alias("at"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line is cut behind its first quoted value, as the rule looks at line ends."""
-    lines = diff.lines_of_files(_document_files(spark, sf_dir)).withColumn("text", F.regexp_replace("text", r'^([^"]*"[^"]*").*$', "$1"))
-    return content.secret_lines(lines).select(F.col("case_id").cast("long").alias("doc_id"), "line_no", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-
-
 def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines like `MAX_<brand> = <size or 0>`, made of parts."""
     parts = table(spark, sf_dir, "part")
@@ -165,19 +159,6 @@ def weakened_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("case_id", "line_no", "text", "gone", "new")
 
 
-def anchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as quotes, claimed at line 1 of documents whose id has the same remainder by 10."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    quotes = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("bucket"), F.col("item_id").alias("ord"), F.col("text").alias("quote"))
-    claimed = docs.select(F.col("doc_id").cast("string").alias("case_id"), (F.col("doc_id") % 10).alias("bucket")).join(quotes, "bucket").select("case_id", "ord", F.lit("t.py").alias("file"), F.lit(1).alias("line"), "quote")
-    claimed = claimed.repartition("case_id")  # a small file is one task, and the join would stay in it
-    cases = docs.select(
-        F.col("doc_id").cast("string").alias("case_id"), F.create_map(F.lit("t.py"), F.col("text")).alias("head_files"), F.create_map().cast("map<string, string>").alias("context_files"),
-        F.create_map().cast("map<string, array<int>>").alias("added_lines"), F.lit("").alias("diff"),
-    )
-    return anchoring.anchor(claimed, cases).select(F.col("case_id").cast("long").alias("doc_id"), F.col("ord").alias("item_id"), "verdict", "line")
-
-
 def contract_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event's properties as an answer: a number is the line, every third answer is broken."""
     events = table(spark, sf_dir, "events")
@@ -278,10 +259,12 @@ def case_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    scorecard, band_match, site_dedupe, argmax_per_line, cap_topk, proximity_gap_fill, gap_fill_global, agreement, lines_explode, moved_lines, secret_lines, off_values, string_lists, weakened_tests,
-    anchor_quotes, contract_parse, severity_rollup, resume_anti, budget, verdict_pivot, label_spans, comment_plan, normalised_lines, rule_findings, parse_diff, base_revision, symbol_uses, case_packs,
+    scorecard, band_match, site_dedupe, argmax_per_line, cap_topk, proximity_gap_fill, gap_fill_global, agreement, lines_explode, moved_lines, off_values, string_lists, weakened_tests,
+    contract_parse, severity_rollup, resume_anti, budget, verdict_pivot, label_spans, comment_plan, normalised_lines, rule_findings, parse_diff, base_revision, symbol_uses, case_packs,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    from . import case_queries
+
+    return {f.__name__: f for f in QUERIES} | case_queries.queries()
