@@ -79,19 +79,21 @@ WITH {_ROWS}
 SELECT CAST(c.k AS VARCHAR) AS case_id, c.line AS ord, CAST(count(row) AS INT) AS n_rows, sha256(coalesce(string_agg(row, chr(10) ORDER BY pos, sub), '')) AS rows_sha256
 FROM cl c LEFT JOIN pr ON pr.k = c.k AND pr.path = c.file AND abs(seen - c.line) <= 1 GROUP BY c.k, c.line"""
 
-TEXTS = f"""
-WITH {_ROWS}, fb AS (
+_PACKED = f"""
+fb AS (
   SELECT k, path, '# FILE ' || path || chr(10) || chr(10) || '```' || chr(10) || string_agg(row, chr(10) ORDER BY pos, sub, nth) || chr(10) || '```' || chr(10) AS block, count(*) FILTER (sub = 1) AS shown, count(*) FILTER (sub = 0) AS gone
   FROM pr GROUP BY k, path
 ), u AS (
   SELECT k, CAST(sum(shown) AS BIGINT) AS code_lines,
          concat_ws(chr(10), '# Pull request', '', 'Change ' || k, CASE WHEN k % 3 = 1 THEN chr(10) || 'It tidies up.' END, '', CASE WHEN sum(gone) > 0 THEN {_text(packs.DELETED)} || chr(10) END, string_agg(block, chr(10) ORDER BY path)) AS user_
   FROM fb GROUP BY k
-)
+)"""
+TEXTS = f"""
+WITH {_ROWS}, {_PACKED.strip()}
 SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {len(packs.system_prompt())}) // 4 AS estimated_prompt_tokens FROM u"""
 
-FACTS = f"""
-WITH {_ITEMS}, nm AS (
+_FACTS = f"""
+nm AS (
   SELECT k, 'settings.py' AS path, line, 'MAX_' || p AS name, 'int' AS lt, split_part(new, ' = ', 2) AS lv, off AS is_new FROM it
   UNION ALL SELECT k, 'new_conf/config.py', unnest([1, 2, 3]), unnest(['ALLOWED_HOSTS', 'API_TOKEN', '_unused_' || k]), unnest(['str', 'str', 'int']), unnest(['''a' || k || ',b''', '''tok' || k || 'xyz''', CAST(k % 50 AS VARCHAR)]), TRUE FROM ks WHERE k % 4 = 1
 ), hr AS (
@@ -102,8 +104,17 @@ WITH {_ITEMS}, nm AS (
 ), fa AS (
   SELECT k, path, line, name AS subject, 0 AS kind, 'nothing reads this name, as far as names written out in the code can tell' AS statement FROM hr WHERE starts_with(name, '_')
   UNION ALL SELECT k, path, line, name, 1, 'equals (as ' || lv || ') ' || string_agg(twin || ' in ' || twin_path, ', ' ORDER BY nth) FROM tw WHERE nth <= 3 GROUP BY k, path, line, name, lv
+), fo AS (
+  SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY path, line, subject, kind) AS INT) AS ord, subject, statement FROM fa QUALIFY row_number() OVER (PARTITION BY k ORDER BY path, line, subject, kind) <= 12
+)"""
+FACTS = f"WITH {_ITEMS}, {_FACTS.strip()} SELECT CAST(k AS VARCHAR) AS case_id, ord, subject, statement FROM fo"
+FULL_TEXTS = f"""
+WITH {_ROWS}, {_PACKED.strip()}, {_FACTS.strip()}, ft AS (
+  SELECT k, concat_ws(chr(10), '# NEW NAMES ELSEWHERE', '', {_text(packs.FACTS)}, '', string_agg('- `' || subject || '`: ' || statement, chr(10) ORDER BY ord), '') AS facts FROM fo GROUP BY k
+), w AS (
+  SELECT u.k, code_lines, concat_ws(chr(10), user_, facts) AS user_ FROM u LEFT JOIN ft ON ft.k = u.k
 )
-SELECT CAST(k AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY k ORDER BY path, line, subject, kind) AS INT) AS ord, subject, statement FROM fa QUALIFY row_number() OVER (PARTITION BY k ORDER BY path, line, subject, kind) <= 12"""
+SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {len(packs.system_prompt())}) // 4 AS estimated_prompt_tokens FROM w"""
 
 LOOK_UPS = f"""
 WITH {_ITEMS}, f AS (
@@ -288,7 +299,7 @@ WHERE regexp_matches(text, '{_re(rules.SECRET_NAME)}') AND regexp_matches(text,
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "diff_files": DIFF_FILES, "restored_files": RESTORED, "deleted_rows": DELETED, "case_rules": CASE_RULES, "claim_excerpts": EXCERPTS, "case_texts": TEXTS, "name_facts": FACTS, "look_ups": LOOK_UPS, "claim_scope": SCOPE,
+        "diff_files": DIFF_FILES, "restored_files": RESTORED, "deleted_rows": DELETED, "case_rules": CASE_RULES, "claim_excerpts": EXCERPTS, "case_texts": TEXTS, "full_texts": FULL_TEXTS, "name_facts": FACTS, "look_ups": LOOK_UPS, "claim_scope": SCOPE,
         "claim_anchors": ANCHORS, "remaining_files": REMAINING, "continued_claims": CONTINUED, "settled_verdicts": SETTLED, "verdict_parse": VERDICT_PARSE, "case_comments": COMMENTS, "report_entries": ENTRIES, "report_summary": SUMMARY,
         "ingested_cases": INGESTED, "ingested_labels": LABELS, "read_predictions": PREDICTIONS, "case_defaults": DEFAULTS, "stranger_cases": STRANGERS, "published": PUBLISHED, "publish_totals": TOTALS, "text_functions": TEXT,
         "quote_places": QUOTES, "quoted_secrets": SECRETS,

@@ -19,6 +19,7 @@ from .operators import anchoring, claims as reduce, diff, matching, packs, rules
 from .plans import reports, stages
 from .queries import _kind, order_findings, order_labels, table
 from .sources import tables
+from .sources.scratch import kept
 
 LIB = "def f():\n    return MAX_1\n"
 
@@ -35,7 +36,11 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k and the columns of a case."""
+    """k and the columns of a case; written, as cases are read from a file."""
+    return kept(_made_cases(spark, sf_dir), "cases")
+
+
+def _made_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("line", "old", "new", "off")
     by_order = order_items(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(item)).alias("items"))
     k, n = F.col("k").cast("string"), F.size("items")
@@ -148,6 +153,11 @@ def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.packs(change_cases(spark, sf_dir), with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
 
 
+def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of what a model is shown of a case."""
+    return packs.packs(change_cases(spark, sf_dir), with_facts=True, with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
+
+
 def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unused private names and equal literals, as far as the change defines them."""
     return symbols.facts(change_cases(spark, sf_dir)).select("case_id", "ord", "subject", "statement")
@@ -350,7 +360,8 @@ def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark passages as quotes, claimed at line 1 of every document: the passages are the stated query set, set against all rows."""
     docs = table(spark, sf_dir, "documents")
     quotes = table(spark, sf_dir, "benchmark").agg(F.collect_list(F.struct(F.col("item_id").alias("ord"), F.col("text").alias("quote"))).alias("quotes"))  # one row, as large as the benchmark
-    claimed = docs.select(F.col("doc_id").cast("string").alias("case_id")).join(F.broadcast(quotes)).select("case_id", F.inline("quotes")).select("case_id", "ord", F.lit("t.py").alias("file"), F.lit(1).alias("line"), "quote")
+    places = docs.select(F.col("doc_id").cast("string").alias("case_id"), F.lit("t.py").alias("file")).repartition("case_id", "file")  # a small file is one task; pairs are made where they meet their document
+    claimed = places.join(F.broadcast(quotes)).select("case_id", "file", F.inline("quotes")).select("case_id", "ord", "file", F.lit(1).alias("line"), "quote")
     none = F.create_map().cast("map<string, string>")
     cases = docs.select(
         F.col("doc_id").cast("string").alias("case_id"), F.create_map(F.lit("t.py"), F.col("text")).alias("head_files"), none.alias("context_files"), F.create_map().cast("map<string, array<int>>").alias("added_lines"), F.lit("").alias("diff")
@@ -366,7 +377,7 @@ def quoted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    diff_files, restored_files, deleted_rows, case_rules, claim_excerpts, case_texts, name_facts, look_ups, claim_scope, claim_anchors, remaining_files, continued_claims, settled_verdicts, verdict_parse, case_comments,
+    diff_files, restored_files, deleted_rows, case_rules, claim_excerpts, case_texts, full_texts, name_facts, look_ups, claim_scope, claim_anchors, remaining_files, continued_claims, settled_verdicts, verdict_parse, case_comments,
     report_entries, report_summary, ingested_cases, ingested_labels, read_predictions, case_defaults, stranger_cases, published, publish_totals, text_functions, quote_places, quoted_secrets,
 )
 

@@ -15,12 +15,13 @@ def strip(column: Column) -> Column:
 
 
 def collapse(column: Column) -> Column:
-    return strip(F.regexp_replace(column, r"(?U)\s+", " "))
+    """White space of any kind as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(column, r"(?U)\s+", " "))
 
 
 def normalise(column: Column) -> Column:
     """A code line as it is compared with a quote: no gutter, one level of escapes off, single spaces, lower case."""
-    bare = F.regexp_replace(column, r"(?mdU)^\s*\d*\s*[+-]?\s*\| ", "")
+    bare = F.when(column.contains("| "), F.regexp_replace(column, r"(?mdU)^\s*\d*\s*[+-]?\s*\| ", "")).otherwise(column)
     return F.lower(collapse(F.replace(bare, F.lit("\\\\"), F.lit("\\"))))
 
 

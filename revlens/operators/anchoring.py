@@ -30,17 +30,18 @@ def anchor(claims: DataFrame, cases: DataFrame, min_quote: int = MIN_QUOTE, with
     inside it.
     """
     views = file_views(cases, with_deletions)
-    lines = F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: F.struct(r["line_no"].alias("at"), normalise(r["text"]).alias("said")))
+    said = F.array_join(F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: normalise(r["text"])), "\n")  # lines are printed from 1 on, without a gap
     gone = F.transform(F.filter("printed", lambda r: r["line_no"].isNull()), lambda r: F.struct(r["nth"].alias("i"), r["at"].alias("at"), normalise(r["text"]).alias("said")))
-    shown = views.select("case_id", F.col("path").alias("file"), lines.alias("_lines"), F.array_sort(gone).alias("_lost"))
+    shown = views.select("case_id", F.col("path").alias("file"), said.alias("_said"), F.size(F.filter("printed", lambda r: r["line_no"].isNotNull())).alias("_top"), F.array_sort(gone).alias("_lost"))
     quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).join(shown, ["case_id", "file"], "left")
     quote, known = F.col("_quote"), F.char_length("_quote") >= min_quote
-    found = F.when(known, F.filter("_lines", lambda x: x["said"].contains(quote)))
-    there = F.get("_lines", F.col("line") - 1)  # lines are printed from 1 on, without a gap
-    here = known & (there["said"] != "") & (there["said"].contains(quote) | quote.contains(there["said"]))
-    lost = F.when(known, F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
+    # A quote holds no line feed, so one search through the file's text tells whether any line has it; only then are the lines looked at.
+    found = F.when(known & F.col("_said").contains(quote), F.array_compact(F.transform(F.split("_said", "\n"), lambda x, k: F.when(x.contains(quote), k + 1))))
+    there = F.when(F.col("line").between(1, F.col("_top")), F.split_part("_said", F.lit("\n"), F.greatest(F.col("line"), F.lit(1))))
+    here = known & (there != "") & (there.contains(quote) | quote.contains(there))
+    lost = F.when(known & (F.size("_lost") > 0), F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
     out = quoted.withColumns({"_found": found, "_here": F.coalesce(here, F.lit(False)), "_gone": lost["at"]})
-    out = out.withColumns({"_hits": F.size("_found"), "_hit": F.get("_found", F.lit(0))["at"], "_shown": F.when(F.size("_lines") > 0, F.lit(True))})
+    out = out.withColumns({"_hits": F.size("_found"), "_hit": F.get("_found", F.lit(0)), "_shown": F.when(F.col("_top") > 0, F.lit(True))})
     short, unseen = F.char_length("_quote") < min_quote, F.col("_shown").isNull()
     verdict = (
         F.when(short | unseen, "unchecked")

@@ -36,7 +36,8 @@ def _leaders(rows: Column, radius: int, start: Column) -> Column:
 
 def _islands(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """rows with `island`: within a key, lines in order, a new one wherever the next line is further than the radius. What is near a line is in its
-    island, so each is folded by itself and stays small however many rows a key has."""
+    island, so each is folded by itself. An island is as large as the longest chain of lines no further apart than the radius; the rows of a key are sorted in one
+    task, which is a file's rows (of all cases with scope `global`)."""
     order = Window.partitionBy(*keys).orderBy("line")
     apart = F.coalesce((F.col("line") - F.lag("line").over(order) > radius).cast("int"), F.lit(0))
     return rows.withColumn("_apart", apart).withColumn("island", F.sum("_apart").over(order)).drop("_apart")

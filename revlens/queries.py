@@ -15,6 +15,7 @@ from . import kinds
 from .functions import answers, text
 from .operators import claims as reduce, diff, matching, packs, rules as content, spans, symbols
 from .plans import reports, stages
+from .sources.scratch import kept
 
 #: Kinds that stand in for values, by remainder.
 KINDS = ("xss", "sql_injection", "null_deref", "no_such_kind")
@@ -219,7 +220,11 @@ def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is a case with one changed settings file (its items) and one unchanged file."""
+    """An order is a case with one changed settings file (its items) and one unchanged file; written, as cases are read from a file."""
+    return kept(_made_cases(spark, sf_dir), "cases")
+
+
+def _made_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("MAX_"), F.col("l_partkey").cast("string"), F.lit(" = "), F.floor("l_quantity").cast("string")).alias("t"), F.col("l_partkey").alias("p")))).alias("rows")
     )
