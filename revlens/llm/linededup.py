@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, ascii_lower, materialize, packed
+from .common import WHITE, ascii_lower, drop_table, materialize, packed
 
 #: Into so many tasks the documents of one line are dealt before they are counted.
 SLOTS = 64
@@ -70,7 +70,7 @@ def common_lines(occurrences: DataFrame, min_docs: int) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, row, n_dropped, dropped: map of 64-line word -> bits set where a line goes. Documents that lose nothing are absent:
-    all their lines are kept."""
+    all their lines are kept. Written when this returns; the tables on the way there are gone again."""
     occurrences = materialize(line_occurrences(docs, min_chars), "lines")
     common = materialize(common_lines(occurrences, min_docs), "common-lines")
     gone = occurrences.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -80,10 +80,16 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         .groupBy("doc_id", "row", F.shiftright("pos", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
     )
-    return words.groupBy("doc_id", "row").agg(
-        F.sum(F.bit_count("bits")).alias("n_dropped"),
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"),
+    bitmaps = materialize(
+        words.groupBy("doc_id", "row").agg(
+            F.sum(F.bit_count("bits")).alias("n_dropped"),
+            F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"),
+        ),
+        "line-bitmaps",
     )
+    for table in (occurrences, common):
+        drop_table(table)
+    return bitmaps
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
