@@ -94,6 +94,11 @@ def _unpack(place: int) -> tuple[int, int, int]:
     return place >> 16, place >> 8 & 255, place & 255
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that what Python holds of them stays small."""
+    return (batch.slice(k, 256) for batch in batches for k in range(0, max(1, batch.num_rows), 256))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
     for batch in batches:
@@ -111,9 +116,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for piece in _slices(batches):
         out: list[tuple] = []
-        for text, picks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for text, picks in zip(piece.column(0), piece.column(1).to_pylist(), strict=True):
             text = text.as_py()
             for p in picks:
                 first, more, before = _unpack(p["place"])
@@ -270,9 +275,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for piece in _slices(batches):
         out: list[tuple] = []
-        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for doc, text, spans in zip(piece.column(0).to_pylist(), piece.column(1), piece.column(2).to_pylist(), strict=True):
             text = text.as_py()
             runs = merged([(s["start"], s["stop"]) for s in spans or ()])
             kept, at = [], 0
