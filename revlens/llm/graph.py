@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_back, materialize
+from .common import drop_table, join_back, materialize
 
 
 def _state(links: DataFrame) -> tuple[int, int, int]:
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "stars")
+        last, now = now, materialize(_small_star(_large_star(now)), "stars")
+        drop_table(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, join_back, materialize, packed, pieces, unpacked
+from .common import as_bytes, drop_table, join_back, materialize, packed, pieces, unpacked
 from .graph import components
 from .simhash import covering_masks
 
@@ -146,19 +146,26 @@ def _folds_near(one: str, two: str, similarity: float) -> F.Column:
 def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """members (key, node) of buckets, sets (node, set) -> node, component of those that have a link to a smaller node."""
     links = found = None
-    members = materialize(join_back(members, materialize(_measured(sets), "near-measures"), ["node"]), "near-measured")
+    made: list[DataFrame] = []
+    measures = materialize(_measured(sets), "near-measures")
+    members = materialize(join_back(members, measures, ["node"]), "near-measured")
+    drop_table(measures)
     for step in ("centre", "least", "all"):
         named = members.withColumn("component", F.col("node"))
         if found is not None:
             named = join_back(members, found, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
         me = F.struct("node", "n", "shared", "component")
         named = materialize(named.select("key", me.alias("me")), "near-members")
+        if found is not None:
+            drop_table(found)
+        done = [named]
         best = F.max_by("me", F.struct(F.col("me.shared") / F.col("me.n"), F.col("me.node"))) if step == "centre" else F.min("me")
         open_ = named.groupBy("key").agg(best.alias("lead"), F.min("me.component").alias("low"), F.max("me.component").alias("high")).filter("low < high").select("key", "lead")
         open_ = join_back(named, open_, ["key"])
         if step == "all":
             folded = join_back(open_.select("key", "me", F.col("me.node").alias("node")), sets.select("node", "fold"), ["node"])
             left, right = (materialize(folded.select("key", F.col("me").alias(x), F.col("fold").alias(f"{x}_fold")), "near-open") for x in ("me", "lead"))
+            done += [left, right]
             same = (F.col("l.key") == F.col("r.key")) & (F.col("me.component") < F.col("lead.component")) & _possible("me", "lead", similarity) & _folds_near("me", "lead", similarity)
             open_ = left.alias("l").join(right.alias("r"), same)
         pairs = open_.filter((F.col("me.component") != F.col("lead.component")) & _possible("me", "lead", similarity))
@@ -166,8 +173,13 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         held = join_back(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), ["a"])
         held = join_back(held, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"]).select("a", "b", "set_a", "set_b")
         new = materialize(held.mapInArrow(_similar(similarity), "a long, b long"), "near-links")
+        made.append(new)
+        for table in (*done, pairs):
+            drop_table(table)
         links = new if links is None else links.union(new)
         found = components(links)
+    for table in (members, *made):
+        drop_table(table)
     return found
 
 
@@ -177,6 +189,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     signed = materialize(slim.mapInArrow(_signatures(shingle), "doc_id long, row long, node long, bands array<long>"), "signatures")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("one")
     nodes = materialize(signed.groupBy("node").agg(one, F.any_value("bands").alias("bands")), "near-nodes")
+    drop_table(signed)
     dealt = nodes.select("node", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     members = materialize(join_back(dealt, sizes, ["key"], "left_semi"), "near-buckets")
@@ -186,6 +199,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     found = _links(members, sets, similarity)
     grouped = join_back(nodes.select("node", "one"), found, ["node"], "left").groupBy(F.coalesce("component", "node").alias("group"))
     kept = materialize(grouped.agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("r_doc"), F.col("one.row").alias("r_row")), "kept")
+    for table in (nodes, members, sets, found):
+        drop_table(table)
     left = docs.select(packed(docs).alias("d"), F.col("doc_id").cast("long").alias("l_doc"), F.xxhash64(as_bytes()).alias("l_row"))
     same = F.col("l_doc").eqNullSafe(F.col("r_doc")) & (F.col("l_row") == F.col("r_row"))
     return left.join(kept, same, "left_semi").dropDuplicates(["l_doc", "l_row"]).select(*unpacked("d", docs.columns))
