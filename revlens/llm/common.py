@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +20,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OWN: dict[str, str] = {}
-_WRITTEN: list[str] = []
+#: Spark deletes an execution's shuffle files at its end, rather than when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,31 +46,53 @@ def new_path(spark: SparkSession, name: str) -> str:
 def drop_all(spark: SparkSession) -> None:
     """Delete every table and archive that this application wrote; results that still read them must have been written elsewhere."""
     _delete(spark, f"{shared_dir(spark)}/revlens/{spark.sparkContext.applicationId}")
-    _WRITTEN.clear()
+
+
+class Run:
+    """Owns the intermediate tables that are written within its context, in its own thread; what other runs and threads write is theirs. A run that fails leaves none behind."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self._outer = spark, [], []
+
+    def __enter__(self) -> Run:
+        self._outer.append(_RUN.set(self))
+        return self
+
+    def __exit__(self, failed: type[BaseException] | None, *_: object) -> None:
+        _RUN.reset(self._outer.pop())
+        if failed:
+            self.drop()
+
+    def drop(self, but: int = 0) -> None:
+        """Delete the run's tables, but for its last `but` ones."""
+        going = self.paths[: len(self.paths) - but]
+        del self.paths[: len(going)]
+        for path in going:
+            _delete(self.spark, path)
+
+
+_RUN: ContextVar[Run | None] = ContextVar("revlens-run", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: it cuts the lineage, survives lost executors and
-    gives the planner the true size when it decides about a broadcast."""
+    gives the planner the true size when it decides about a broadcast. The shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _WRITTEN.append(path)
-    df.write.parquet(path)
+    if run := _RUN.get():
+        run.paths.append(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_written() -> int:
-    return len(_WRITTEN)
-
-
-def drop_but_last(spark: SparkSession, since: int) -> None:
-    """Delete all tables written since tables_written() was `since`, but for the last one: a finished step's intermediates."""
-    for path in _WRITTEN[since:-1]:
-        _delete(spark, path)
-    del _WRITTEN[since:-1]
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
@@ -104,10 +128,9 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and nothing will read again, and let Spark drop shuffle files of finished steps."""
+    """Delete a table that materialize() wrote and nothing will read again."""
     for file in df.inputFiles()[:1]:
         _delete(df.sparkSession, file.rpartition("/")[0])
-    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(column: Column) -> Column:

@@ -46,7 +46,7 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def _numbers(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+def numbers_of(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
     """The words of a text as numbers, a piece of it at a time."""
     plain, out, at = text.translate(_TABLE), [], 0
     while at < len(plain):
@@ -211,7 +211,7 @@ class _Found(NamedTuple):
 
 
 def _found(tests: TestSuffixes, texts: list[bytes]) -> _Found:
-    numbers = [_numbers(t, tests.vocabulary) for t in texts]
+    numbers = [numbers_of(t, tests.vocabulary) for t in texts]
     sizes = np.array([len(x) for x in numbers], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
     zero = np.zeros(1, np.int32)
@@ -286,7 +286,7 @@ def _hits(block):
 def _counted(keep: Sequence[str], texts_in: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _shards(batches, texts_in):
-            n = pa.array([len(_numbers(t, {})) for t in texts], pa.int64())
+            n = pa.array([len(numbers_of(t, {})) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], names=[*keep, "_n_words"])
 
     return count

@@ -141,5 +141,68 @@ FROM p JOIN k USING (h)
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), q AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+  ) GROUP BY item_id, t
+), c AS (
+  SELECT count(*) AS nd, CAST(sum(len(ws)) AS BIGINT) AS nt FROM d WHERE len(ws) > 0
+), p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN p USING (t), c GROUP BY item_id, doc_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def _op12(rounds: int = 6, shards: int = 16) -> str:
+    """The permutation's rounds one after another: a digit grows by a hash of the other, modulo its size. Numbers beyond the last row walk on."""
+    low, steps = 4294967296, "SELECT rn, n, wide, high, step, v // wide AS d0, v % wide AS d1 FROM w WHERE step = 0 OR v >= n"
+    for r in range(rounds):
+        key = (20 * 1000003 + r * 7919317 + 12345) % 2147483648
+        one, other, size = ("d0", "d1", "high") if r % 2 == 0 else ("d1", "d0", "wide")
+        for column, was, shift, factor, plus in (("a", other, None, 1540483477, key), ("b", "a", 15, 2146121005, 0), ("c", "b", 13, 1103515245, 0)):
+            x = f"CAST({was if shift is None else f'xor({was}, {was} >> {shift})'} AS HUGEINT)"
+            steps = f"SELECT *, CAST(({x} * {factor} + {plus}) % {low} AS BIGINT) AS {column} FROM ({steps})"
+        steps = f"SELECT rn, n, wide, high, step, ({one} + xor(c, c >> 16) % {size}) % {size} AS {one}, {other} FROM ({steps})"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), z AS (
+  SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS wide FROM documents
+), w AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS rn, n, wide, (n + wide - 1) // wide AS high, 0 AS step, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS v
+  FROM documents, z
+  UNION ALL
+  SELECT rn, n, wide, high, step + 1, d0 * wide + d1 FROM ({steps})
+), d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS rn
+  FROM documents
+)
+SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) AS INT) + 1])), 4294967295) AS text_crc32,
+       'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, v // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN w USING (rn), t WHERE step > 0 AND v < n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_decontaminate": OP9, "op10_warc_archive": OP10}
+    return {
+        "op1_mix_sources": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_decontaminate": OP9, "op10_warc_archive": OP10,
+        "op11_ranked_search": OP11, "op12_sharding": _op12(),
+    }

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, linededup, mixing, quality, simhash, suffixdedup, toxicity, warc
+from . import decontam, html, langid, linededup, mixing, periodic, quality, ranked, sharding, simhash, suffixdedup, toxicity, warc
+
+from .common import as_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +74,42 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size")
+    keep = ["doc_id", size, F.crc32(as_bytes()).alias("text_crc32")]
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), keep=keep)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def planted_runs(doc_id: int | None, n_words: int) -> tuple[int, int] | None:
+    """A tenth of the documents, by the checksum of their id, repeat their words from some place on (op13's contract)."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n_words
+    return a, 1 + (n_words - a) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_table(spark, sf_dir, "documents"), tiling=planted_runs)
+    listed = F.transform("periodic.runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.col("periodic.strongest")
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * periodic.strongest.length div periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_simhash_dedup, op4_line_dedup, op5_html_extract, op6_language_id, op7_toxicity, op8_suffix_dedup, op9_decontaminate, op10_warc_archive)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_simhash_dedup, op4_line_dedup, op5_html_extract, op6_language_id, op7_toxicity, op8_suffix_dedup, op9_decontaminate, op10_warc_archive, op11_ranked_search, op12_sharding, op13_periodic_runs)}
