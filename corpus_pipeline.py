@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import decontam, linededup, mixing, neardup, quality
-from revlens.llm.common import drop_but_last, materialize, tables_written
+from revlens.llm.common import Run, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,11 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document that the stages keep: its columns, and size, source_size, target, repeats and taken of the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    began = tables_written()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_but_last(spark, began)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Run(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            tables.drop(but=1)
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
