@@ -217,6 +217,25 @@ SELECT 'PR-' || k AS case_id, k % 2 = 0 AS labelled, k % 2 = 0 AS is_defective,
        CASE WHEN k % 4 = 2 THEN 'gone.py' ELSE '' END AS deleted, concat_ws(',', CASE WHEN k % 4 = 1 THEN 'new_conf/config.py' END, 'settings.py', CASE WHEN k % 3 = 0 THEN 'test_t.py' END) AS head, 'lib.py' AS context,
        CASE WHEN k % 2 = 0 THEN items ELSE 0 END AS n_findings, CASE WHEN k % 2 = 0 THEN 'PR-' || k || '-f1' ELSE '' END AS first_finding, 'abc' || k AS head_commit, 'base' AS base_commit, 'http://forge/' || k AS url
 FROM n"""
+_CONTENTS = f"""{_ITEMS}, ct AS (
+  SELECT k, 'settings.py' AS path, string_agg(new, chr(10) ORDER BY line) AS t FROM it GROUP BY k
+  UNION ALL SELECT k, 'new_conf/config.py', concat_ws(chr(10), {_NEW}) FROM ks WHERE k % 4 = 1
+  UNION ALL SELECT k, 'test_t.py', concat_ws(chr(10), 'def test_a():', '    x = 1', '    assert ' || k) FROM ks WHERE k % 3 = 0
+  UNION ALL SELECT k, 'lib.py', concat_ws(chr(10), 'def f():', '    return MAX_1', '') FROM ks
+)"""
+CONTENTS = f"""
+WITH {_CONTENTS}
+SELECT sha256(t) AS sha, strlen(t) AS n_bytes, count(DISTINCT k) AS n_cases, count(DISTINCT path) AS n_paths FROM ct GROUP BY t"""
+PARSED = f"""
+WITH {_CONTENTS}, sm AS (
+  SELECT sha256(t) AS sha, unnest(string_split(t, chr(10))) AS said FROM (SELECT DISTINCT t FROM ct WHERE path NOT IN ('lib.py', 'test_t.py'))
+), sy AS (
+  SELECT sha, unnest(['stmt', 'assign', 'store']) AS role, unnest(['other', split_part(said, ' ', 1), split_part(said, ' ', 1)]) AS name FROM sm
+  UNION ALL SELECT DISTINCT sha256(t), unnest(['stmt', 'def', 'load']), unnest(['other', 'f', 'MAX_1']) FROM ct WHERE path = 'lib.py'
+  UNION ALL SELECT DISTINCT sha256(t), unnest(['stmt', 'def', 'assign', 'store']), unnest(['other', 'test_a', 'x', 'x']) FROM ct WHERE path = 'test_t.py'
+)
+SELECT sha, role, count(*) AS n, count(DISTINCT name) AS n_names FROM sy GROUP BY sha, role"""
+CONSTANTS = f"WITH {_ITEMS} SELECT CAST(k AS VARCHAR) AS case_id, 'settings.py' AS path FROM it GROUP BY k HAVING count(*) >= 3"
 LABELS = f"""
 WITH {_DIM}, {_ITEMS}, lb AS (
   SELECT k, line, {_kind('s')} AS type, (p % 3 = 0 OR d < 0.08) AND (p % 5 = 0 OR q < 45) AS scored, off FROM it WHERE k % 2 = 0
@@ -301,6 +320,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "diff_files": DIFF_FILES, "restored_files": RESTORED, "deleted_rows": DELETED, "case_rules": CASE_RULES, "claim_excerpts": EXCERPTS, "case_texts": TEXTS, "full_texts": FULL_TEXTS, "name_facts": FACTS, "look_ups": LOOK_UPS, "claim_scope": SCOPE,
         "claim_anchors": ANCHORS, "remaining_files": REMAINING, "continued_claims": CONTINUED, "settled_verdicts": SETTLED, "verdict_parse": VERDICT_PARSE, "case_comments": COMMENTS, "report_entries": ENTRIES, "report_summary": SUMMARY,
-        "ingested_cases": INGESTED, "ingested_labels": LABELS, "read_predictions": PREDICTIONS, "case_defaults": DEFAULTS, "stranger_cases": STRANGERS, "published": PUBLISHED, "publish_totals": TOTALS, "text_functions": TEXT,
+        "ingested_cases": INGESTED, "ingested_contents": CONTENTS, "parsed_contents": PARSED, "constants_files": CONSTANTS, "ingested_labels": LABELS, "read_predictions": PREDICTIONS, "case_defaults": DEFAULTS, "stranger_cases": STRANGERS, "published": PUBLISHED, "publish_totals": TOTALS, "text_functions": TEXT,
         "quote_places": QUOTES, "quoted_secrets": SECRETS,
     }

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from . import schemas
 from .functions import answers, text
-from .operators import anchoring, claims as reduce, diff, matching, packs, rules as content, spans, symbols
+from .operators import anchoring, changes, claims as reduce, diff, matching, packs, rules as content, spans, symbols
 from .plans import reports, stages
 from .queries import _kind, order_findings, order_labels, table
 from .sources import tables
@@ -40,6 +40,11 @@ def change_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(_made_cases(spark, sf_dir), "cases")
 
 
+def stored_changes(spark: SparkSession, sf_dir: str) -> changes.Changes:
+    """The same cases with their files by content."""
+    return changes.split(_made_cases(spark, sf_dir))
+
+
 def _made_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("line", "old", "new", "off")
     by_order = order_items(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -129,7 +134,7 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of the revision before the change."""
-    return diff.base_revision(change_cases(spark, sf_dir)).select("case_id", "path", _sha("text").alias("text_sha256"))
+    return diff.base_revision(stored_changes(spark, sf_dir)).select("case_id", "path", _sha("text").alias("text_sha256"))
 
 
 def deleted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,33 +144,34 @@ def deleted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four content rules, in their order."""
-    return content.run_rules(change_cases(spark, sf_dir)).select("case_id", "ord", "file", "line", "type", "quote", "detector", "message")
+    return content.run_rules(stored_changes(spark, sf_dir)).select("case_id", "ord", "file", "line", "type", "quote", "detector", "message")
 
 
 def claim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line to each side of a claim, deleted rows at their place."""
-    rows = diff.excerpts(change_cases(spark, sf_dir), item_claims(spark, sf_dir), 1, with_deletions=True)
+    rows = diff.excerpts(stored_changes(spark, sf_dir), item_claims(spark, sf_dir), 1, with_deletions=True)
     return rows.select("case_id", "ord", F.size("rows").alias("n_rows"), _sha(F.array_join("rows", "\n")).alias("rows_sha256"))
 
 
 def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model is shown of a case, without the facts."""
-    return packs.packs(change_cases(spark, sf_dir), with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
+    return packs.packs(stored_changes(spark, sf_dir), with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
 
 
 def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of what a model is shown of a case."""
-    return packs.packs(change_cases(spark, sf_dir), with_facts=True, with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
+    return packs.packs(stored_changes(spark, sf_dir), with_facts=True, with_deletions=True).select("case_id", "code_lines", _sha("user").alias("user_sha256"), "estimated_prompt_tokens")
 
 
 def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unused private names and equal literals, as far as the change defines them."""
-    return symbols.facts(change_cases(spark, sf_dir)).select("case_id", "ord", "subject", "statement")
+    return symbols.facts(stored_changes(spark, sf_dir)).select("case_id", "ord", "subject", "statement")
 
 
 def look_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions, uses, text search and a listing over all files of the cases."""
-    files = diff.files_of(change_cases(spark, sf_dir))
+    whole = stored_changes(spark, sf_dir)
+    files = changes.files_of(whole)
     found = [
         (symbols.find_definitions(files, "test_a"), "definition"), (symbols.find_definitions(files, "MAX_3"), "definition"), (symbols.find_usages(files, "MAX_1"), "use"), (symbols.search(files, "= 0"), "text"),
     ]
@@ -185,14 +191,14 @@ def claim_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims quote the old text of their line: it may be there, elsewhere, deleted, or in a file that is not shown."""
-    found = anchoring.anchor(item_claims(spark, sf_dir), change_cases(spark, sf_dir), with_deletions=True)
+    found = anchoring.anchor(item_claims(spark, sf_dir), stored_changes(spark, sf_dir), with_deletions=True)
     return found.select("case_id", "ord", "verdict", "claimed_line", "line", "detail")
 
 
 def remaining_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed code files that a first read (the first item of each other case) left without a claim."""
     first = item_claims(spark, sf_dir).filter("ord = 1").filter(F.col("case_id").cast("long") % 2 == 0)
-    return reduce.targets(diff.files_of(change_cases(spark, sf_dir)), first).select("case_id", "path")
+    return reduce.targets(changes.listing(stored_changes(spark, sf_dir)), first).select("case_id", "path")
 
 
 def continued_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +207,7 @@ def continued_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = claimed.filter("file = 'lib.py'")
     place = F.when(F.col("ord") % 2 == 0, "settings.py").otherwise("test_t.py")
     second = claimed.withColumn("file", place).withColumn("line", F.ceil(F.col("line") / 2).cast("int"))
-    fresh = reduce.fresh(reduce.within(second, reduce.targets(diff.files_of(cases), first)), first)
+    fresh = reduce.fresh(reduce.within(second, reduce.targets(changes.listing(cases), first)), first)
     return reduce.appended(first, fresh).select("case_id", "ord", "file", "line", "type")
 
 
@@ -211,7 +217,7 @@ def settled_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = F.array(F.struct(F.lit("./settings.py").alias("file"), (F.col("line") + F.col("s") % 6).cast("int").alias("line"), F.col("old").alias("quote")))
     verdict = F.element_at(F.array(*[F.lit(v) for v in answers.VERDICTS]), (F.col("p") % 3 + 1).cast("int"))
     said = rows.select(F.col("k").cast("string").alias("case_id"), F.col("line").cast("long").alias("ord"), verdict.alias("verdict"), F.when(F.col("p") % 5 > 0, evidence).otherwise(F.slice(evidence, 1, 0)).alias("evidence"))
-    return anchoring.settle(said, change_cases(spark, sf_dir)).select("case_id", "ord", "claimed_verdict", "verdict", F.to_json("evidence_checked").alias("checked"))
+    return anchoring.settle(said, stored_changes(spark, sf_dir)).select("case_id", "ord", "claimed_verdict", "verdict", F.to_json("evidence_checked").alias("checked"))
 
 
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +271,7 @@ def _answer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").alias("pull_id"), F.concat(F.lit("abc"), F.col("k").cast("string"), F.lit("ff")).alias("head_commit"), F.lit(True).alias("is_defective"), "findings")
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingested(spark: SparkSession, sf_dir: str) -> changes.Changes:
     """Cases made of pull requests, diffs, snapshots and an answer key."""
     made = change_cases(spark, sf_dir)
     end = lambda commit, branch: F.struct(F.struct(commit.alias("hash")).alias("commit"), F.struct(F.lit(branch).alias("name")).alias("branch"))
@@ -273,21 +279,43 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").alias("id"), F.col("pr_title").alias("title"), F.lit(None).cast("string").alias("description"), end(F.col("head_commit"), "b").alias("source"), end(F.lit("base"), "main").alias("destination"),
         F.struct(F.struct(F.concat(F.lit("http://forge/"), "case_id").alias("href")).alias("html")).alias("links"),
     )
-    trees = diff.files_of(made).join(made.select("case_id", F.col("head_commit").alias("commit")), "case_id").select("commit", "path", "text")
-    return stages.ingest(pulls, made.select(F.col("k").alias("pull_id"), "diff"), trees, _answer_keys(spark, sf_dir))
+    trees = changes.files_of(made).join(made.select("case_id", F.col("head_commit").alias("commit")), "case_id").select("commit", "path", "text")
+    return stages.ingest_changes(pulls, made.select(F.col("k").alias("pull_id"), "diff"), trees, _answer_keys(spark, sf_dir))
 
 
 def ingested_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingested(spark, sf_dir).select(
-        "case_id", "labelled", "is_defective", F.array_join("changed_files", ",").alias("changed"), F.array_join("deleted_files", ",").alias("deleted"), F.array_join(F.array_sort(F.map_keys("head_files")), ",").alias("head"),
-        F.array_join(F.array_sort(F.map_keys("context_files")), ",").alias("context"), F.size("findings").cast("long").alias("n_findings"), F.coalesce(F.get("findings", F.lit(0))["finding_id"], F.lit("")).alias("first_finding"), "head_commit", "base_commit",
-        F.col("pull_request.url").alias("url"),
+    got = ingested(spark, sf_dir)
+    paths = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("path")))), ",").alias(side)
+    listed = changes.listing(got).groupBy("case_id").agg(paths("head"), paths("context"))
+    return got.cases.join(listed, "case_id").select(
+        "case_id", "labelled", "is_defective", F.array_join("changed_files", ",").alias("changed"), F.array_join("deleted_files", ",").alias("deleted"), "head", "context", F.size("findings").cast("long").alias("n_findings"),
+        F.coalesce(F.get("findings", F.lit(0))["finding_id"], F.lit("")).alias("first_finding"), "head_commit", "base_commit", F.col("pull_request.url").alias("url"),
     )
 
 
+def ingested_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content of the ingested repositories once, with how many cases and paths have it."""
+    got = ingested(spark, sf_dir)
+    used = got.files.groupBy("sha").agg(F.count_distinct("case_id").alias("n_cases"), F.count_distinct("path").alias("n_paths"))
+    return got.blobs.join(used, "sha").select("sha", F.octet_length("text").cast("long").alias("n_bytes"), "n_cases", "n_paths")
+
+
+def parsed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What parsing each content of code once gives: its top-level statements and its names, by role."""
+    got = stored_changes(spark, sf_dir)
+    code = got.blobs.join(got.files.filter(F.col("path").endswith(".py")).select("sha").distinct(), "sha", "left_semi")
+    rows = symbols.blob_symbols(code)
+    return rows.filter("role <> 'file'").groupBy("sha", "role").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+
+
+def constants_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files that hold nothing but constants: settings.py of three items or more; new_conf/config.py has a name in lower case."""
+    return symbols.constants_modules(stored_changes(spark, sf_dir))
+
+
 def ingested_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer key as a table of labels, with their families, scope, equivalent places, and whether the change touches the own one."""
-    cases = ingested(spark, sf_dir)
+    cases = ingested(spark, sf_dir).cases
     rows = spans.label_table(cases).join(cases.select("case_id", "added_lines"), "case_id")
     touched = spans.touches(F.col("spans")[0], F.col("added_lines"))
     return rows.select("case_id", "finding_id", "label_ord", "type", F.coalesce("family", F.lit("-")).alias("family"), "scored", touched.alias("touched"), F.posexplode("spans").alias("span_ord", "s")).select(
@@ -378,7 +406,7 @@ def quoted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     diff_files, restored_files, deleted_rows, case_rules, claim_excerpts, case_texts, full_texts, name_facts, look_ups, claim_scope, claim_anchors, remaining_files, continued_claims, settled_verdicts, verdict_parse, case_comments,
-    report_entries, report_summary, ingested_cases, ingested_labels, read_predictions, case_defaults, stranger_cases, published, publish_totals, text_functions, quote_places, quoted_secrets,
+    report_entries, report_summary, ingested_cases, ingested_contents, parsed_contents, constants_files, ingested_labels, read_predictions, case_defaults, stranger_cases, published, publish_totals, text_functions, quote_places, quoted_secrets,
 )
 
 

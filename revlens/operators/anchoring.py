@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_path, is_code, normalise
-from .diff import base_revision, file_views, files_of
+from ..functions.text import clean_path, normalise
+from .changes import Cases, files_of, touches_code
+from .diff import base_revision, file_views
 
 MIN_QUOTE = 4
 SLACK = 3
 
 
-def scope(claims: DataFrame, cases: DataFrame) -> DataFrame:
+def scope(claims: DataFrame, cases: Cases) -> DataFrame:
     """claims with `kept` and `detail`: a claim must be about a file that its change touches, and the change must touch code."""
-    facts = cases.select("case_id", "changed_files", F.exists(F.map_keys("head_files"), is_code).alias("_code"))
+    facts = cases.select("case_id", "changed_files").join(touches_code(cases).withColumnRenamed("code", "_code"), "case_id", "left")
     joined = claims.join(facts, "case_id", "left")
     inside = F.coalesce(F.array_contains("changed_files", F.col("file")), F.lit(False))
     code = F.coalesce("_code", F.lit(False))
@@ -22,7 +23,7 @@ def scope(claims: DataFrame, cases: DataFrame) -> DataFrame:
     return joined.withColumn("kept", code & inside).withColumn("detail", detail).drop("_code", "changed_files")
 
 
-def anchor(claims: DataFrame, cases: DataFrame, min_quote: int = MIN_QUOTE, with_deletions: bool = False) -> DataFrame:
+def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_deletions: bool = False) -> DataFrame:
     """claims (case_id, ord, file, line, quote) with claimed_line, line, verdict and detail.
 
     anchored: the quote is the line named; snapped: it is exactly one other line; ambiguous: several; deleted-line: a line that the change
@@ -69,7 +70,7 @@ def anchored_only(decided: DataFrame) -> DataFrame:
     return decided.filter("verdict <> 'unsupported'")
 
 
-def cited(evidence: DataFrame, cases: DataFrame, slack: int = SLACK) -> DataFrame:
+def cited(evidence: DataFrame, cases: Cases, slack: int = SLACK) -> DataFrame:
     """evidence (case_id, claim, nth, file, line, quote) with `found`: is the quote, or a line that it contains, within `slack` lines of the line
     named, after the change or before it?"""
     items = evidence.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).withColumn("path", clean_path(F.coalesce("file", F.lit(""))))
@@ -82,7 +83,7 @@ def cited(evidence: DataFrame, cases: DataFrame, slack: int = SLACK) -> DataFram
     return items.join(found, ["case_id", "claim", "nth"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("_quote", "path")
 
 
-def settle(verdicts: DataFrame, cases: DataFrame) -> DataFrame:
+def settle(verdicts: DataFrame, cases: Cases) -> DataFrame:
     """verdicts (case_id, ord, verdict, evidence) with claimed_verdict, evidence_checked, and verdict `unsettled` unless some evidence exists."""
     items = verdicts.select("case_id", F.col("ord").alias("claim"), F.posexplode("evidence").alias("nth", "e")).select("case_id", "claim", "nth", "e.file", "e.line", "e.quote")
     checked = cited(items, cases).groupBy("case_id", F.col("claim").alias("ord")).agg(

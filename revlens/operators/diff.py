@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import numbered, removed, strip
+from .changes import Cases, files_of
 
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -24,7 +25,7 @@ def _number(group: int):
 ROW = "struct<i: int, hunk: bigint, mark: string, text: string, old_no: int, new_no: int, new_start: int, new_len: int>"
 
 
-def file_diffs(cases: DataFrame) -> DataFrame:
+def file_diffs(cases: Cases) -> DataFrame:
     """cases (case_id, diff) -> case_id, block, old_path, path, is_new, is_deleted, rows (ROW, in order): one row a file that the diff names, and one with block 0 for what
     stands before the first. Everything else about diffs follows from this table. Its windows share one order, so a case's lines are dealt and sorted once."""
     lines = cases.select("case_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("i", "line"))
@@ -78,13 +79,13 @@ def _file_columns() -> dict[str, Column]:
     return {"own": own, "renamed_to": after("rename to "), "renamed_from": after("rename from "), "minus": after("--- a/"), "is_new": says("new file mode"), "is_deleted": says("deleted file mode")}
 
 
-def diff_lines(cases: DataFrame) -> DataFrame:
+def diff_lines(cases: Cases) -> DataFrame:
     """cases (case_id, diff) -> case_id, block, old_path, path, is_new, is_deleted, and the fields of ROW: one row a content line. new_no of a deleted line is the
     new-side line that it stood in front of."""
     return file_diffs(cases).select("case_id", "block", "old_path", "path", "is_new", "is_deleted", F.inline("rows"))
 
 
-def parse_diff(cases: DataFrame) -> DataFrame:
+def parse_diff(cases: Cases) -> DataFrame:
     """cases (case_id, diff) -> case_id, changed_files, deleted_files (sorted), added_lines (path -> sorted new-side lines)."""
     added = F.transform(F.filter("rows", lambda r: r["mark"] == "+"), lambda r: r["new_no"])
     files = file_diffs(cases).select("case_id", F.when(F.col("block") > 0, F.col("path")).alias("path"), "is_deleted", added.alias("added"))
@@ -99,7 +100,7 @@ def parse_diff(cases: DataFrame) -> DataFrame:
     )
 
 
-def removed_lines(cases: DataFrame) -> DataFrame:
+def removed_lines(cases: Cases) -> DataFrame:
     """Deleted lines that did not come back in the same file: case_id, path, new_no, i, text. A multiset difference on the stripped text: the k-th deletion of a text is
     cancelled if k additions of it exist."""
     rows = diff_lines(cases).filter("mark <> ' '").withColumn("key", strip(F.col("text")))
@@ -109,15 +110,7 @@ def removed_lines(cases: DataFrame) -> DataFrame:
     return rows.filter(gone & (F.col("nth") > F.col("back"))).select("case_id", "path", "new_no", "i", "text")
 
 
-def files_of(cases: DataFrame) -> DataFrame:
-    """case_id, path, side (head or context), text; a head file hides a context file of its name."""
-    none = F.create_map().cast("map<string, string>")
-    head = cases.select("case_id", F.explode(F.coalesce("head_files", none)).alias("path", "text")).withColumn("side", F.lit("head"))
-    context = cases.select("case_id", F.explode(F.map_filter(F.coalesce("context_files", none), lambda k, _: ~F.map_contains_key(F.coalesce("head_files", none), k))).alias("path", "text"))
-    return head.unionByName(context.withColumn("side", F.lit("context"))).select("case_id", "path", "side", "text")
-
-
-def added_of(cases: DataFrame) -> DataFrame:
+def added_of(cases: Cases) -> DataFrame:
     """case_id, path, line_no of each added line."""
     return cases.select("case_id", F.explode("added_lines").alias("path", "lines")).select("case_id", "path", F.explode("lines").alias("line_no"))
 
@@ -133,22 +126,21 @@ def lines_of_files(files: DataFrame, added: DataFrame | None = None) -> DataFram
     return rows.join(marks, ["case_id", "path", "line_no"], "left").withColumn("is_added", F.coalesce("is_added", F.lit(False)))
 
 
-def added_rows(cases: DataFrame) -> DataFrame:
+def added_rows(cases: Cases) -> DataFrame:
     """case_id, path, line_no, text of the added lines of the changed files."""
     head = _head(cases)
     numbers = F.array_intersect(F.sequence(F.lit(1), F.size("lines")), "added")
     return head.select("case_id", "path", "lines", F.explode(numbers).alias("line_no")).select("case_id", "path", "line_no", F.element_at("lines", F.col("line_no")).alias("text"))
 
 
-def _head(cases: DataFrame) -> DataFrame:
+def _head(cases: Cases) -> DataFrame:
     """case_id, path, lines (a trailing carriage return off), added (line numbers) of the changed files."""
-    none = F.create_map().cast("map<string, string>")
-    files = cases.select("case_id", "added_lines", F.explode(F.coalesce("head_files", none)).alias("path", "text"))
+    files = files_of(cases, "head").join(cases.select("case_id", F.explode("added_lines").alias("path", "added")), ["case_id", "path"], "left")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    return files.select("case_id", "path", lines.alias("lines"), F.coalesce(F.try_element_at("added_lines", F.col("path")), F.array().cast("array<int>")).alias("added"))
+    return files.select("case_id", "path", lines.alias("lines"), F.coalesce("added", F.array().cast("array<int>")).alias("added"))
 
 
-def base_revision(cases: DataFrame) -> DataFrame:
+def base_revision(cases: Cases) -> DataFrame:
     """The repository before the change, by reversing the diff onto head: case_id, path, text. Lines outside hunks come from head, the old side of each
     hunk from the diff. One join by file; a file is put together inside its row."""
     head = files_of(cases).select("case_id", "path", "text")
@@ -178,7 +170,7 @@ def base_revision(cases: DataFrame) -> DataFrame:
     return both.filter(there).select("case_id", path.alias("path"), text.alias("text"))
 
 
-def file_views(cases: DataFrame, with_deletions: bool = False) -> DataFrame:
+def file_views(cases: Cases, with_deletions: bool = False) -> DataFrame:
     """What a reader of the changed code files sees, one row a file: case_id, path, printed: array of (at, sub, nth, line_no (null for deleted lines), text, row), in order.
     Trailing blank lines are dropped; a deleted line stands before the line whose place it had, after the end if there is none."""
     code = _head(cases).filter(F.col("path").endswith(".py"))
@@ -203,12 +195,12 @@ def file_views(cases: DataFrame, with_deletions: bool = False) -> DataFrame:
     return code.join(gone, ["case_id", "path"], "left").select("case_id", "path", F.array_sort(F.concat(rows, F.coalesce("gone", none))).alias("printed"))
 
 
-def printed_rows(cases: DataFrame, with_deletions: bool = False) -> DataFrame:
+def printed_rows(cases: Cases, with_deletions: bool = False) -> DataFrame:
     """file_views as rows: case_id, path, at, sub, nth, line_no, text, row."""
     return file_views(cases, with_deletions).select("case_id", "path", F.inline("printed"))
 
 
-def excerpts(cases: DataFrame, claims: DataFrame, radius: int = 12, with_deletions: bool = False) -> DataFrame:
+def excerpts(cases: Cases, claims: DataFrame, radius: int = 12, with_deletions: bool = False) -> DataFrame:
     """claims (case_id, ord, file, line) -> the same with `rows`: printed rows whose number, or for deleted lines the one printed last before them, is
     within the radius; empty if the file isn't shown. Claims meet the file's row, not its lines."""
     views = file_views(cases, with_deletions).withColumnRenamed("path", "file")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..definitions import definitions
 from ..functions.text import estimated_tokens, strip
+from .changes import Cases
 from .diff import file_views
 from .symbols import facts
 
@@ -31,7 +32,7 @@ def _rows(*texts: str | Column) -> Column:
     return F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])
 
 
-def packs(cases: DataFrame, with_facts: bool = False, with_deletions: bool = False) -> DataFrame:
+def packs(cases: Cases, with_facts: bool = False, with_deletions: bool = False, store: str | None = None) -> DataFrame:
     """case_id, code_lines (numbered rows shown), system, user, estimated_prompt_tokens: one call a case."""
     none = F.array().cast("array<string>")
     shown = F.size(F.filter("printed", lambda r: r["line_no"].isNotNull()))
@@ -59,7 +60,7 @@ def packs(cases: DataFrame, with_facts: bool = False, with_deletions: bool = Fal
     )
     tail = none
     if with_facts:
-        said = facts(cases).groupBy("case_id").agg(
+        said = facts(cases, store=store).groupBy("case_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "subject", "statement"))), lambda x: F.concat(F.lit("- `"), x["subject"], F.lit("`: "), x["statement"])).alias("facts")
         )
         out = out.join(said, "case_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import is_code, is_test_file, strip
 from . import diff
+from .changes import Cases, Changes, files_of, listing
 from .symbols import constants_modules
 
 # Words and patterns that decide the rules.
@@ -91,18 +92,21 @@ def weakened(deleted: DataFrame, added: DataFrame) -> DataFrame:
 RULES = {"config.off-value": "unsafe_default", "config.string-list": "unsafe_default", "test.weakened": "missing_assertion", "secret.literal": "hardcoded_credential"}
 
 
-def _config_files(head: DataFrame) -> DataFrame:
+def _config_files(cases: Cases, store: str | None) -> DataFrame:
     """case_id, path of settings: by name, or since the file holds nothing but constants. Only files whose name doesn't tell are parsed."""
-    code = head.filter(is_code(F.col("path")))
     by_name = named_config(F.col("path"))
-    return code.filter(by_name).select("case_id", "path").unionByName(constants_modules(code.filter(~by_name)))
+    named = listing(cases).filter("side = 'head'").filter(is_code(F.col("path")) & by_name).select("case_id", "path")
+    if isinstance(cases, Changes):
+        rest = Changes(cases.cases, cases.files.filter("side = 'head'").filter(~by_name), cases.blobs)
+    else:
+        rest = files_of(cases, "head").filter(~by_name)
+    return named.unionByName(constants_modules(rest, store))
 
 
-def run_rules(cases: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
+def run_rules(cases: Cases, rules: tuple[str, ...] = tuple(RULES), store: str | None = None) -> DataFrame:
     """All findings of the chosen rules, with `ord` in each case: rule by rule, then by file and line. The rules about single lines look at each added line once."""
-    head = diff.files_of(cases).filter("side = 'head'")
     added = diff.added_rows(cases)
-    config = _config_files(head).withColumn("config", F.lit(True))
+    config = _config_files(cases, store).withColumn("config", F.lit(True))
     is_assignment = F.col("config") & F.col("text").rlike(ASSIGNMENT)
     lines = added.join(config, ["case_id", "path"], "left").withColumns(
         {"name": F.when(is_assignment, F.regexp_extract("text", ASSIGNMENT, 2)), "value": F.when(is_assignment, strip(F.regexp_extract("text", ASSIGNMENT, 3)))}
@@ -116,7 +120,7 @@ def run_rules(cases: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFr
         parts.append(lines.select("case_id", "path", "line_no", "text", F.inline(F.array_compact(F.array(*found)))))
     if "test.weakened" in rules:
         tests = is_test_file(F.col("path"))
-        gone = diff.removed_lines(cases).filter(tests).join(head.select("case_id", "path"), ["case_id", "path"], "left_semi").withColumnRenamed("new_no", "line_no")
+        gone = diff.removed_lines(cases).filter(tests).join(listing(cases).filter("side = 'head'"), ["case_id", "path"], "left_semi").withColumnRenamed("new_no", "line_no")
         parts.append(weakened(gone, added.filter(tests)).select("case_id", "path", "line_no", "text", F.lit(rules.index("test.weakened")).alias("rule_ord"), "message"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     of_rule = [F.array(*[F.lit(x) for x in xs]) for xs in ([RULES[r] for r in rules], [f"rules.{r}" for r in rules])]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cell, lines_of, location, short, strip
 from ..kinds import LEVELS, level_rank, with_kind
 from ..operators import matching
+from ..operators.changes import Cases, touches_code
 
 HEADING = "### Change review"
 #: Actions that make the forge's comment what it should be.
@@ -22,7 +23,7 @@ def scorecard(findings: DataFrame, labels: DataFrame, tolerance: int | None = 10
     return matching.score(ranked, labels, matching.match(ranked, labels, tolerance))
 
 
-def entries(cases: DataFrame, findings: DataFrame, labels: DataFrame, tolerance: int = 10) -> DataFrame:
+def entries(cases: Cases, findings: DataFrame, labels: DataFrame, tolerance: int = 10) -> DataFrame:
     """One row a case: its findings with verdict and assigned label (by location), and the scored labels that no finding reached."""
     ranked = with_kind(matching.ranked(findings))
     located = matching.match(ranked.drop("family", "severity"), labels, tolerance, {"location": "none"})
@@ -115,12 +116,12 @@ def text_report(entry_rows: DataFrame) -> DataFrame:
     return entry_rows.select("case_id", F.array_join(F.flatten(F.array(head, body, lost)), "\n").alias("text"))
 
 
-def comments(cases: DataFrame, findings: DataFrame, run: str, model: str | None = None) -> DataFrame:
+def comments(cases: Cases, findings: DataFrame, run: str, model: str | None = None) -> DataFrame:
     """case_id, pull_id, findings, body: one comment a case, most severe first; a case without findings gets one that says so."""
     rows = with_kind(findings).withColumn("level", level_rank(F.col("severity")))
     line = F.struct("level", "file", "line", "ord", "severity", F.concat(F.lit("| "), "severity", F.lit(" | `"), cell(F.col("type")), F.lit("` | `"), cell(location(F.col("file"), F.col("line"), F.col("end_line"))), F.lit("` | "), cell(F.col("message")), F.lit(" |")).alias("row"))
     by_case = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    out = cases.select("case_id", "pull_request", "head_commit", F.exists(F.map_keys("head_files"), lambda k: k.endswith(".py")).alias("source")).join(by_case, "case_id", "left")
+    out = cases.select("case_id", "pull_request", "head_commit").join(touches_code(cases).withColumnRenamed("code", "source"), "case_id", "left").join(by_case, "case_id", "left")
 
     def tally(level: str):
         found = F.size(F.filter("lines", lambda x: x["severity"] == level))

@@ -12,16 +12,26 @@ from .. import schemas
 from ..definitions import definition_table
 from ..functions.answers import parse_answers, parse_verdicts, response_schema, verdict_schema
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
+from ..operators.changes import Cases, Changes, blobs_of, digest, files_of, listing, nested, only
 from ..sources.model import complete_packs
 from ..sources.scratch import answered, kept
 
 CLAIM = ["case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote"]
+CASE_COLUMNS = [
+    "case_id", "labelled", "is_defective", "pr_title", "pr_description", "changed_files", "deleted_files", "added_lines", "head_files", "context_files", "diff", "findings", "base_commit", "head_commit", "pull_request",
+]
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame) -> DataFrame:
-    """pulls, diffs (pull_id, diff), trees (commit, path, text), keys (pull_id, ...) -> cases. Fails if a pull request has no diff, a key was written for another commit, or a
-    changed file is in no tree."""
+    """ingest_changes in the form of a cases file."""
+    rows = nested(ingest_changes(pulls, diffs, trees, keys))
+    return rows.select(*CASE_COLUMNS)
+
+
+def ingest_changes(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame, keep: Keep = kept) -> Changes:
+    """pulls, diffs (pull_id, diff), trees (commit, path, text), keys (pull_id, ...) -> cases, their files and each content once. Fails if a pull request has no diff, a key was
+    written for another commit, or a changed file is in no tree. A tree is stored once however many pull requests start from it, and nothing gathers a repository in one row."""
     source = F.col("source.commit.hash")
     joined = pulls.withColumn("pull_id", F.col("id")).join(diffs.select("pull_id", "diff", F.lit(True).alias("_read")), "pull_id", "left").join(
         keys.select("pull_id", F.col("head_commit").alias("key_commit"), "is_defective", "findings"), "pull_id", "left"
@@ -31,21 +41,17 @@ def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame
     moved = F.col("key_commit").isNotNull() & ~F.startswith("key_commit", source)
     checked = joined.withColumn("_ok", F.when(moved, F.raise_error(F.format_string("pull request %d: the answer key is for %s, the source is now %s", "id", "key_commit", source)).cast("boolean")).otherwise(True)).filter("_ok")
     base = checked.withColumn("case_id", F.concat(F.lit("PR-"), F.col("id").cast("string"))).withColumn("commit", source)
-    parts = diff.parse_diff(base.select("case_id", "diff"))
-    base = base.join(parts, "case_id")
-    rows = base.select("case_id", "commit", "changed_files").join(trees, "commit")
-    changed = F.array_contains("changed_files", F.col("path"))
-    entry = F.struct("path", "text")
-    maps = rows.groupBy("case_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(changed, entry)))).alias("head_files"), F.map_from_entries(F.array_sort(F.collect_list(F.when(~changed, entry)))).alias("context_files")
-    )
-    empty = F.create_map().cast("map<string, string>")
-    out = base.join(maps, "case_id", "left").withColumn("head_files", F.coalesce("head_files", empty)).withColumn("context_files", F.coalesce("context_files", empty))
-    lost = F.array_except("changed_files", F.map_keys("head_files"))
-    message = F.concat(F.col("case_id"), F.lit(": changed but not in the tree: "), F.array_join(lost, ", "))
-    out = out.withColumn("_ok", F.when(F.size(lost) > 0, F.raise_error(message).cast("boolean")).otherwise(True)).filter("_ok")
+    base = keep(base.join(diff.parse_diff(base.select("case_id", "diff")), "case_id"), "pulls")
+    wanted = trees.join(base.select("commit").distinct(), "commit", "left_semi")
+    stored = keep(wanted.withColumn("sha", digest(F.col("text"))), "trees")
+    changed = base.select("case_id", F.explode("changed_files").alias("path")).withColumn("side", F.lit("head"))
+    files = base.select("case_id", "commit").join(stored.select("commit", "path", "sha"), "commit").join(changed, ["case_id", "path"], "left")
+    files = keep(files.select("case_id", "path", F.coalesce("side", F.lit("context")).alias("side"), "sha"), "files")
+    lost = changed.join(files.select("case_id", "path"), ["case_id", "path"], "left_anti").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("_lost"))
+    message = F.concat(F.col("case_id"), F.lit(": changed but not in the tree: "), F.col("_lost"))
+    out = base.join(lost, "case_id", "left").withColumn("_ok", F.when(F.col("_lost").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).filter("_ok")
     numbered = F.transform("findings", lambda f, k: f.withField("finding_id", F.concat("case_id", F.lit("-f"), (k + 1).cast("string"))))
-    return out.select(
+    cases = out.select(
         "case_id",
         F.col("key_commit").isNotNull().alias("labelled"),
         F.coalesce("is_defective", F.lit(False)).alias("is_defective"),
@@ -54,14 +60,13 @@ def ingest(pulls: DataFrame, diffs: DataFrame, trees: DataFrame, keys: DataFrame
         "changed_files",
         "deleted_files",
         "added_lines",
-        "head_files",
-        "context_files",
         "diff",
         F.coalesce(numbered, F.array().cast(keys.schema["findings"].dataType)).alias("findings"),
         F.col("destination.commit.hash").alias("base_commit"),
         F.col("commit").alias("head_commit"),
         F.struct(F.col("id"), F.col("links.html.href").alias("url"), F.col("source.branch.name").alias("source_branch"), F.col("destination.branch.name").alias("destination_branch")).alias("pull_request"),
     )
+    return Changes(cases, files, keep(blobs_of(stored), "blobs"))
 
 
 def unknown_keys(keys: DataFrame, pulls: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def _as_claims(parsed: DataFrame, detector: str, stage: str) -> DataFrame:
     )
 
 
-def held_to_change(claims: DataFrame, cases: DataFrame, with_deletions: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def held_to_change(claims: DataFrame, cases: Cases, with_deletions: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims in scope and anchored, scope decisions, anchor decisions)"""
     scoped = anchoring.scope(claims, cases)
     decided = anchoring.anchor(scoped.filter("kept").drop("kept", "detail"), cases, with_deletions=with_deletions)
@@ -83,14 +88,14 @@ def held_to_change(claims: DataFrame, cases: DataFrame, with_deletions: bool = T
     return held, scoped, decided
 
 
-def detect(cases: DataFrame, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0, log: str | None = None) -> dict[str, DataFrame]:
+def detect(cases: Cases, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0, log: str | None = None, store: str | None = None) -> dict[str, DataFrame]:
     """packs -> answers (only those that `stored` lacks) -> claims. The order is fixed: one a line, then the strongest, then scope, then anchor, so claims out of scope use
-    up places. With a `log` folder answers are kept there batch by batch, and those it holds are not asked for again."""
+    up places. With a `log` folder answers are kept there batch by batch, and those it holds are not asked for again. With a `store` of symbols only contents that it lacks are parsed."""
     if case_ids:
-        cases = cases.filter(F.col("case_id").isin(*case_ids))
+        cases = only(cases, cases.select("case_id").filter(F.col("case_id").isin(*case_ids)))
     if limit > 0:
-        cases = cases.orderBy("case_id").limit(limit)
-    asked = texts.packs(cases, with_facts=True, with_deletions=True)
+        cases = only(cases, keep(cases.select("case_id").orderBy("case_id").limit(limit), "chosen"))
+    asked = texts.packs(cases, with_facts=True, with_deletions=True, store=store)
     wanted = asked if stored is None else reduce.unanswered(asked, stored)
     answers = _asked(wanted, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     if stored is not None:
@@ -105,9 +110,9 @@ def _asked(wanted: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str
     return keep(ask(wanted), "responses") if log is None else answered(wanted, ask, schema, log, keys)
 
 
-def continue_review(cases: DataFrame, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model", log: str | None = None) -> dict[str, DataFrame]:
+def continue_review(cases: Cases, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model", log: str | None = None) -> dict[str, DataFrame]:
     """Asks again about changed code files that a first read left without a claim, and adds what is new as far as there is room."""
-    remaining = reduce.targets(diff.files_of(cases), claims)
+    remaining = reduce.targets(listing(cases), claims)
     asked = texts.continuation_packs(texts.packs(cases, with_facts=True, with_deletions=True), claims, remaining)
     answers = _asked(asked, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     parsed, rejects = parse_answers(answers)
@@ -126,7 +131,7 @@ def _by_strength():
     return Window.partitionBy("case_id").orderBy(F.col("confidence").desc(), "ord")
 
 
-def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, limit: int = 0, keep: Keep = kept, log: str | None = None) -> dict[str, DataFrame]:
+def verify(cases: Cases, claims: DataFrame, make_chat: Callable[[], Callable[..., dict]], named: bool = True, definitions: DataFrame | None = None, radius: int = 12, max_calls: int = 4, stored: DataFrame | None = None, limit: int = 0, keep: Keep = kept, log: str | None = None) -> dict[str, DataFrame]:
     """Each claim by itself, with tools; a decisive verdict needs evidence that exists. Stored verdicts are reused unless they failed."""
     known = claims.join(cases.select("case_id"), "case_id", "left_semi")
     if limit > 0:
@@ -138,7 +143,7 @@ def verify(cases: DataFrame, claims: DataFrame, make_chat: Callable[[], Callable
     said = definitions if definitions is not None else definition_table(cases.sparkSession)
     asked = texts.questions(rows.join(F.broadcast(said), "type", "left"), named)
     base = diff.base_revision(cases) if log is None else keep(diff.base_revision(cases), "base")
-    answers = _asked(asked, lambda part: workspace.ask_verdicts(part, diff.files_of(cases), base, diff.added_of(cases), make_chat, verdict_schema(), max_calls), workspace.ANSWERS, keep, log, ["case_id", "ord"])
+    answers = _asked(asked, lambda part: workspace.ask_verdicts(part, files_of(cases), base, diff.added_of(cases), make_chat, verdict_schema(), max_calls), workspace.ANSWERS, keep, log, ["case_id", "ord"])
     joined = known.select("case_id", "ord", "file", "line", "type", F.col("message").alias("title")).join(answers, ["case_id", "ord"])
     verdicts = keep(anchoring.settle(parse_verdicts(joined), cases).drop("text"), "settled")
     if stored is not None:
@@ -155,8 +160,8 @@ def verdict_counts(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def rules(cases: DataFrame, chosen: tuple[str, ...] = tuple(content.RULES)) -> DataFrame:
-    return content.run_rules(cases, chosen).select("case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote")
+def rules(cases: Cases, chosen: tuple[str, ...] = tuple(content.RULES), store: str | None = None) -> DataFrame:
+    return content.run_rules(cases, chosen, store).select("case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote")
 
 
 def publish(claims: DataFrame, *verdicts: DataFrame, rule_findings: DataFrame | None = None, radius: int = 5, min_confidence: float = 0.6, scope: str = "case") -> DataFrame:

@@ -62,7 +62,9 @@ def test_facts_and_lookups(spark):
     assert [(r["path"], r["line"], r["text"]) for r in symbols.find_usages(files, "run").collect()] == [("lib/util.py", 5, "return run(a)")]
     assert symbols.search(files, "").count() == 0 and symbols.search(files, "LIMIT_").count() == 3
     assert [r["path"] for r in symbols.list_files(files, "app/").collect()] == ["app/core.py", "app/settings.py"]
-    assert symbols.is_constants_module("A = 1\nB = 2\nC: int = 3") and not symbols.is_constants_module("A = 1\nB = 2") and not symbols.is_constants_module("def (")
+    sources = {"yes.py": "'''d'''\nimport x\nA = 1\nB = C_2 = 2\nD: int = 3", "two.py": "A = 1\nB = 2", "bad.py": "def (", "low.py": "A = 1\nB = 2\nc = 3", "tuple.py": "A = 1\nB = 2\nC, D = 3, 4", "call.py": "A = 1\nB = 2\nC = 3\nf()", "attr.py": "A = 1\nB = 2\nx.C = 3"}
+    texts = spark.createDataFrame([("c", p, "head", t) for p, t in sources.items()], "case_id string, path string, side string, text string")
+    assert [r["path"] for r in symbols.constants_modules(texts).collect()] == ["yes.py"]
 
 
 def test_anchor_verdicts(spark):
