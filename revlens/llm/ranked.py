@@ -4,14 +4,18 @@ A forward table has one row a document: its terms that some query asks for, with
 impact, so a frequent term's list runs on through as many partitions as it needs and the head of each list stands first. A posting's impact g depends on its document alone; a query
 weighs it by the term's weight times the term's repeats in the query. Then, for each query:
 
-1. the k best postings of every list give partial sums; the k-th largest is a lower bound of the k-th score;
+1. the k best postings of every list give partial sums; the exact scores of the DEEPER * k documents with the largest ones are looked up, and their k-th is a lower bound of the k-th
+   score (the k-th partial sum would be one, too, but a far lower one, and the next step would read most of all lists);
 2. every list is read down to the same threshold, that bound divided by the number of lists. A document that no list gives here can't reach the bound. What a document
-   may still get from lists that did not give it bounds its score from above, and the k-th largest of the new partial sums is the better lower bound;
-3. documents whose upper bound reaches that lower bound are the candidates; their rows of the forward table give exact scores.
+   may still get from lists that did not give it bounds its score from above; only documents that may reach the bound stay, and another look-up of those with the largest sums gives a better bound;
+3. documents whose upper bound reaches that one are the candidates, whose exact scores are looked up: their rows of the forward table meet the queries that ask for them, and the few numbers that make up a
+   score are picked from a vector in numpy.
+
+The postings that step 2 reads are dealt by document once, before they meet the queries, so what is exchanged is no more than the lists' rows.
 
 Ties are never cut: a document that may equal the k-th score stays a candidate, and the last ranking goes by score, then by id.
 
-The queries are the stated query set. They are read in blocks of at most BLOCK_TERMS different words together; only a block's vocabulary and its lists' thresholds (one number a word of a query) are broadcast.
+The queries are the stated query set. They are read in blocks of at most BLOCK_TERMS words, counting a query's different ones; only a block's vocabulary and its lists (a few numbers a word of a query) are broadcast.
 
 Defined results: null texts have no terms and count neither for N nor for L; rows that share an id or are repeated are documents of their own, ranked by id (null first), then arbitrarily but
 repeatably among equal rows; repeated queries count once, and queries that share an id are one with the terms of all; a null query id is kept as null; queries without terms and terms that no document
@@ -33,6 +37,7 @@ from .common import as_bytes, materialize, pieces
 from .decontam import numbers_of, split_words
 
 TOP = 20
+DEEPER = 5
 BLOCK_TERMS = 500_000
 _FORWARD = "doc_id long, n long, terms array<int>, counts array<int>"
 _RESULT = "rank int, doc_id long, score long"
@@ -63,22 +68,50 @@ def _blocks(queries: DataFrame) -> Iterator[list[tuple[Row, Counter]]]:
     """Queries with their terms' counts, a block at a time; the driver holds one block and the query after it."""
     rows = queries.select("item_id", as_bytes().alias("text")).distinct()
     texts = rows.groupBy("item_id").agg(F.collect_list("text").alias("texts")).toLocalIterator()
-    block, words = [], set()
+    block, words = [], 0
     for row in texts:
         terms = Counter(chain.from_iterable(split_words(bytes(t)) for t in row["texts"]))
-        if block and len(words | terms.keys()) > BLOCK_TERMS:
+        if block and words + len(terms) > BLOCK_TERMS:
             yield block
-            block, words = [], set()
-        block.append((row, terms))
-        words |= terms.keys()
-    if words:
+            block, words = [], 0
+        if terms:
+            block.append((row, terms))
+            words += len(terms)
+    if block:
         yield block
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """sums (query, row, part) -> query, bound: the k-th largest part, for queries that have k."""
-    first = sums.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part"))))
-    return first.filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query", F.col("part").alias("bound"))
+def _largest(sums: DataFrame, k: int, of: str = "part") -> DataFrame:
+    """The k rows of each query with the largest values, and their `rank`; each task keeps k of a query before they meet."""
+    first = sums.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(of), "row")))
+    return first.filter(F.col("rank") <= k)
+
+
+def _kth(sums: DataFrame, k: int, of: str = "part") -> DataFrame:
+    """query, bound: the k-th largest value, for queries that have k."""
+    return _largest(sums, k, of).filter(F.col("rank") == k).select("query", F.col(of).alias("bound"))
+
+
+def _scored(lists, n_docs: int, n_terms: int):
+    """lists: a broadcast of query -> its terms and their weights. Rows of the forward table with `queries` -> query, row, doc_id, score."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        impacts = np.zeros(1 + max((int(t.max()) for t, _ in lists.value.values()), default=0), np.int64)
+        for batch in batches:
+            queries, scores, times = [], [], []
+            for n, terms, counts, asked in zip(*(batch.column(c) for c in ("n", "terms", "counts", "queries")), strict=True):
+                m, tf, asked = 75 + 25 * n.as_py() * n_docs // n_terms, counts.values.to_numpy().astype(np.int64), asked.as_py()
+                at = terms.values.to_numpy()
+                impacts[at] = 1_000_000_000 * tf // (1000 * tf + 12 * m)
+                scores += [int(impacts[own] @ weights) for own, weights in map(lists.value.__getitem__, asked)]
+                impacts[at] = 0
+                queries += asked
+                times.append(len(asked))
+            rows, ids = (np.repeat(np.arange(batch.num_rows), times) if times else np.zeros(0, np.int64)), batch.column("doc_id")
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int32()), batch.column("row").take(take), ids.take(take), pa.array(scores, pa.int64())], names=["query", "row", "doc_id", "score"])
+
+    return score
 
 
 def _impact(n_docs: int, n_terms: int) -> tuple[Column, Column]:
@@ -101,7 +134,7 @@ def _search_block(docs: DataFrame, block: list[tuple[Row, Counter]], k: int) ->
     impact, m = _impact(total["docs"], total["terms"])
 
     entry = F.explode(F.arrays_zip("terms", "counts")).alias("e")
-    postings = forward.select("row", "doc_id", "n", entry).select("row", "doc_id", F.col("e.terms").alias("term"), F.col("e.counts").cast("long").alias("tf"), m.alias("m")).select("term", impact.cast("int").alias("g"), "row", "doc_id")
+    postings = forward.select("row", "n", entry).select("row", F.col("e.terms").alias("term"), F.col("e.counts").cast("long").alias("tf"), m.alias("m")).select("term", impact.cast("int").alias("g"), "row")
     postings = materialize(postings.repartitionByRange("term", F.desc("g"), "row").sortWithinPartitions("term", F.desc("g"), "row"), "search-postings")
 
     asked = spark.createDataFrame([(q, vocabulary[w], n) for q, (_, terms) in enumerate(block) for w, n in terms.items()], "query int, term int, times int")
@@ -114,25 +147,37 @@ def _search_block(docs: DataFrame, block: list[tuple[Row, Counter]], k: int) ->
     head = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("g"), "row"))
     heads = postings.withColumn("place", head).filter(F.col("place") <= k).select("term", "g", "row")
     seen = heads.join(F.broadcast(lists), "term").groupBy("query", "row").agg(F.sum(F.col("weight") * F.col("g")).alias("part"))
-    bounds = lists.join(_kth(seen, k), "query", "left").withColumn("bound", F.coalesce("bound", F.lit(0).cast("long")))
+
+    own: dict[int, list[tuple[int, int]]] = {}
+    for r in lists.select("query", "term", "weight").collect():  # a block's, of at most BLOCK_TERMS rows
+        own.setdefault(r["query"], []).append((r["term"], r["weight"]))
+    vectors = spark.sparkContext.broadcast({q: (np.array([t for t, _ in x], np.int64), np.array([w for _, w in x], np.int64)) for q, x in own.items()})
+
+    def looked_up(pairs: DataFrame) -> DataFrame:
+        """pairs (query, row; written) with doc_id and the exact score."""
+        asked = pairs.groupBy("row").agg(F.collect_list("query").alias("queries"))
+        return forward.join(asked, "row").mapInArrow(_scored(vectors, total["docs"], total["terms"]), "query int, row long, doc_id long, score long")
+
+    first = materialize(_largest(seen, DEEPER * k).select("query", "row"), "search-first")
+    bounds = lists.join(_kth(looked_up(first), k, "score"), "query", "left").withColumn("bound", F.coalesce("bound", F.lit(0).cast("long")))
     # The least impact with weight * g * lists >= bound; what a list does not give is worth less than `rest` + 1.
     least = F.greatest(F.lit(1).cast("long"), F.expr("(bound + weight * lists - 1) div (weight * lists)"))
     bounds = bounds.withColumn("least", least).withColumn("rest", F.col("weight") * F.least(F.col("best"), F.col("least") - 1))
     bounds = materialize(bounds.withColumn("rests", F.sum("rest").over(Window.partitionBy("query"))), "search-thresholds")
 
     floor = bounds.groupBy("term").agg(F.min("least").alias("floor"))
-    fetched = postings.join(F.broadcast(floor), "term").filter(F.col("g") >= F.col("floor")).drop("floor")
-    fetched = fetched.join(F.broadcast(bounds), "term").filter(F.col("g") >= F.col("least"))
-    sums = fetched.groupBy("query", "row").agg(F.sum(F.col("weight") * F.col("g")).alias("part"), F.first("rests").alias("rests"), F.sum("rest").alias("known"))
-    sums = materialize(sums.select("query", "row", "part", (F.col("part") + F.col("rests") - F.col("known")).alias("most")), "search-sums")
-    better = _kth(sums, k)  # a row a query
-    candidates = sums.join(better, "query", "left").filter(F.col("most") >= F.coalesce("bound", F.lit(0))).select("query", "row")
-    candidates = materialize(candidates, "search-candidates")
-
-    wanted = candidates.select("row").distinct()
-    exact = forward.join(wanted, "row").select("row", "doc_id", "n", entry).select("row", "doc_id", F.col("e.terms").alias("term"), F.col("e.counts").cast("long").alias("tf"), m.alias("m"))
-    exact = exact.select("row", "doc_id", "term", impact.alias("g")).join(candidates, "row").join(F.broadcast(lists.select("query", "term", "weight")), ["query", "term"])
-    scores = exact.groupBy("query", "row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("g")).alias("score")).filter("score > 0")
+    fetched = postings.join(F.broadcast(floor), "term").filter(F.col("g") >= F.col("floor")).select("term", "g", "row").repartition("row")
+    fetched = fetched.join(F.broadcast(bounds.select("query", "term", "weight", "least", "rest")), "term").filter(F.col("g") >= F.col("least"))
+    sums = fetched.groupBy("query", "row").agg(F.sum(F.col("weight") * F.col("g")).alias("part"), F.sum("rest").alias("known"))
+    of_query = materialize(bounds.select("query", "bound", "rests").distinct(), "search-bounds")  # a row a query
+    most = F.col("part") + F.col("rests") - F.col("known")
+    sums = sums.join(F.broadcast(of_query), "query").withColumn("most", most).filter(F.col("most") >= F.col("bound"))
+    sums = materialize(sums.select("query", "row", "part", "most"), "search-sums")
+    second = materialize(_largest(sums, DEEPER * k).select("query", "row"), "search-second")
+    better = _kth(looked_up(second), k, "score").withColumnRenamed("bound", "better")
+    better = of_query.join(better, "query", "left").select("query", F.greatest("bound", F.coalesce("better", F.lit(0))).alias("better"))
+    candidates = materialize(sums.join(F.broadcast(better), "query").filter(F.col("most") >= F.col("better")).select("query", "row"), "search-candidates")
+    scores = looked_up(candidates).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first(), "row"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
