@@ -23,26 +23,41 @@ def scope(claims: DataFrame, cases: Cases) -> DataFrame:
     return joined.withColumn("kept", code & inside).withColumn("detail", detail).drop("_code", "changed_files")
 
 
+def shown_texts(cases: Cases, with_deletions: bool = False) -> DataFrame:
+    """One row a file that is shown: case_id, file, _said (its normalised lines, from 1 on without a gap), _top (how many), _lost (deleted lines: i, at, said)."""
+    views = file_views(cases, with_deletions)
+    said = F.array_join(F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: normalise(r["text"])), "\n")
+    gone = F.transform(F.filter("printed", lambda r: r["line_no"].isNull()), lambda r: F.struct(r["nth"].alias("i"), r["at"].alias("at"), normalise(r["text"]).alias("said")))
+    return views.select("case_id", F.col("path").alias("file"), said.alias("_said"), F.size(F.filter("printed", lambda r: r["line_no"].isNotNull())).alias("_top"), F.array_sort(gone).alias("_lost"))
+
+
+def quote_hits(quoted: DataFrame, min_quote: int = MIN_QUOTE) -> DataFrame:
+    """Rows with _quote and a file's text, with _found (lines that hold the quote) and _gone (the place of the first deleted line that does)."""
+    quote, known = F.col("_quote"), F.char_length("_quote") >= min_quote
+    # A quote holds no line feed, so one search through the file's text tells whether any line has it; only then are the lines looked at.
+    found = F.when(known & F.col("_said").contains(quote), F.array_compact(F.transform(F.split("_said", "\n"), lambda x, k: F.when(x.contains(quote), k + 1))))
+    lost = F.when(known & (F.size("_lost") > 0), F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
+    return quoted.withColumns({"_found": found, "_gone": lost["at"]})
+
+
 def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_deletions: bool = False) -> DataFrame:
     """claims (case_id, ord, file, line, quote) with claimed_line, line, verdict and detail.
 
     anchored: the quote is the line named; snapped: it is exactly one other line; ambiguous: several; deleted-line: a line that the change
     deleted (if those are shown); unchecked: too short, or the file isn't shown; unsupported: nowhere. A claim meets its file as one row, and its quote is looked for
-    inside it.
+    inside it; quotes.anchor_shared is for few quotes that are claimed of many files.
     """
-    views = file_views(cases, with_deletions)
-    said = F.array_join(F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: normalise(r["text"])), "\n")  # lines are printed from 1 on, without a gap
-    gone = F.transform(F.filter("printed", lambda r: r["line_no"].isNull()), lambda r: F.struct(r["nth"].alias("i"), r["at"].alias("at"), normalise(r["text"]).alias("said")))
-    shown = views.select("case_id", F.col("path").alias("file"), said.alias("_said"), F.size(F.filter("printed", lambda r: r["line_no"].isNotNull())).alias("_top"), F.array_sort(gone).alias("_lost"))
+    shown = shown_texts(cases, with_deletions)
     quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).join(shown, ["case_id", "file"], "left")
-    quote, known = F.col("_quote"), F.char_length("_quote") >= min_quote
-    # A quote holds no line feed, so one search through the file's text tells whether any line has it; only then are the lines looked at.
-    found = F.when(known & F.col("_said").contains(quote), F.array_compact(F.transform(F.split("_said", "\n"), lambda x, k: F.when(x.contains(quote), k + 1))))
     there = F.when(F.col("line").between(1, F.col("_top")), F.split_part("_said", F.lit("\n"), F.greatest(F.col("line"), F.lit(1))))
-    here = known & (there != "") & (there.contains(quote) | quote.contains(there))
-    lost = F.when(known & (F.size("_lost") > 0), F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
-    out = quoted.withColumns({"_found": found, "_here": F.coalesce(here, F.lit(False)), "_gone": lost["at"]})
-    out = out.withColumns({"_hits": F.size("_found"), "_hit": F.get("_found", F.lit(0)), "_shown": F.when(F.col("_top") > 0, F.lit(True))})
+    return decided(quote_hits(quoted, min_quote).withColumn("_there", there), claims.columns, min_quote)
+
+
+def decided(rows: DataFrame, columns: list[str], min_quote: int = MIN_QUOTE) -> DataFrame:
+    """rows: claims with _quote, _there (the line named), _top (null: not shown), _found, _gone."""
+    there, quote, known = F.col("_there"), F.col("_quote"), F.char_length("_quote") >= min_quote
+    here = F.coalesce(known & (there != "") & (there.contains(quote) | quote.contains(there)), F.lit(False))
+    out = rows.withColumns({"_here": here, "_hits": F.size("_found"), "_hit": F.get("_found", F.lit(0)), "_shown": F.when(F.col("_top") > 0, F.lit(True))})
     short, unseen = F.char_length("_quote") < min_quote, F.col("_shown").isNull()
     verdict = (
         F.when(short | unseen, "unchecked")
@@ -63,7 +78,7 @@ def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_del
         .otherwise("")
     )
     line = F.when(F.col("verdict") == "snapped", F.col("_hit")).when(F.col("verdict") == "deleted-line", F.col("_gone")).otherwise(F.col("line"))
-    return out.withColumn("claimed_line", F.col("line")).withColumn("detail", detail).withColumn("line", line).select(*[c for c in claims.columns if c != "line"], "line", "verdict", "claimed_line", "detail")
+    return out.withColumn("claimed_line", F.col("line")).withColumn("detail", detail).withColumn("line", line).select(*[c for c in columns if c != "line"], "line", "verdict", "claimed_line", "detail")
 
 
 def anchored_only(decided: DataFrame) -> DataFrame:
