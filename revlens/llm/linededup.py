@@ -96,7 +96,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with text replaced by its kept lines, and a struct `line_dedup` of n_lines and n_dropped."""
     left = docs.select(packed(docs).alias("d"), F.col("doc_id").alias("l_doc"), _row_hash().alias("l_row"))
     right = bitmaps.select(F.col("doc_id").alias("r_doc"), F.col("row").alias("r_row"), "dropped")
-    joined = left.join(right, F.col("l_doc").eqNullSafe(F.col("r_doc")) & (F.col("l_row") == F.col("r_row")), "left")
+    # A merge at every size: the texts are dealt out by document once, whether or not the bitmaps would fit a broadcast.
+    joined = left.join(right.hint("merge"), F.col("l_doc").eqNullSafe(F.col("r_doc")) & (F.col("l_row") == F.col("r_row")), "left")
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(
         F.expr("filter(lines, (x, i) -> (shiftright(coalesce(try_element_at(dropped, shiftright(i, 6)), 0L), i % 64) & 1L) = 0L)")
     )
