@@ -52,10 +52,10 @@ def test_scores_equal_a_plain_scorer(spark, make_docs):
     def token(word):
         p = root
         for f in _parts(word):
-            p = (counts[1][f] + 20 * p) / (counts[0][f] + counts[1][f] + 20)
-        return math.log(p / (1 - p)) - math.log(root / (1 - root)) - 1
+            p = (counts[1][f] + toxicity.PRIOR * p) / (counts[0][f] + counts[1][f] + toxicity.PRIOR)
+        return math.log(p / (1 - p)) - math.log(root / (1 - root)) - toxicity.PENALTY
 
-    a, b, c = model.logistic
+    a, b = model.logistic
     got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
     significant = 0
     for k, text, *_ in rows:
@@ -66,9 +66,33 @@ def test_scores_equal_a_plain_scorer(spark, make_docs):
         told = [t for t in told if t[2] > 0]
         significant += len(told)
         assert [(p["first"], p["last"], round(p["evidence"], 6)) for p in got[k]["passages"]] == [(x, y, round(e, 6)) for x, y, e in told]
-        x, y = math.log1p(max((t[2] for t in told), default=0)), math.log1p(sum(t[2] for t in told))
-        assert abs(got[k]["score"] - 1 / (1 + math.exp(-(a + b * x + c * y)))) < 1e-6
-    assert significant > 50
+        best = max((s for *_, s in _plain_segments(scores)), default=0)
+        x = -math.log(-math.expm1(-model.chance * len(words) * math.exp(-model.rate * best))) + sum(sorted((t[2] for t in told), reverse=True)[1:])
+        assert abs(got[k]["score"] - 1 / (1 + math.exp(-(a + b * math.log1p(x))))) < 1e-6
+    assert significant > 50 and b > 0
+
+
+def test_held_out_labels_are_not_read(spark, make_docs):
+    """Labels of the held-out fold turned around change neither the model nor the choice of its settings."""
+    rows = [doc(k, prose(k, 12) + (" vexor" if k % 4 == 0 else "")) for k in range(200)]
+    labels = [(k, int(k % 4 == 0)) for k in range(200)]
+    turned = [(k, 1 - v if zlib.crc32(str(k).encode()) % 5 == 0 else v) for k, v in labels]
+    assert turned != labels
+    docs, (one, two) = make_docs(rows), (spark.createDataFrame(x, "doc_id long, toxic int") for x in (labels, turned))
+    a, b = toxicity.train(docs, one), toxicity.train(docs, two)
+    assert np.allclose([*a.logistic, a.rate, a.chance, a.share], [*b.logistic, b.rate, b.chance, b.share], rtol=1e-9) and (a.toxic == b.toxic).all() and (a.clean == b.clean).all()
+    grid = ((5.0, 20.0), (1.0,))
+    chosen = toxicity.cross_validate(docs, one, *grid)
+    again = toxicity.cross_validate(docs, two, *grid)
+    assert np.allclose(chosen, again, rtol=1e-9) and len(chosen) == 2 and chosen[0][0] <= chosen[1][0] < 1
+
+
+def test_a_stronger_passage_never_lowers_the_score():
+    model = toxicity.Model(base=None, rate=1.1, chance=0.05, logistic=toxicity._fit_logistic(np.array([0.1, 2.0, 2.5, 0.2]), np.array([0, 1, 1, 0])))
+    assert model.logistic[1] > 0 == toxicity._fit_logistic(np.array([2.0, 0.1]), np.array([0, 1]))[1]
+    scores = [model.score(model.evidence([(0, 3, s)] if s else [], 100)) for s in np.arange(0, 900, 0.5)]
+    assert all(x <= y for x, y in zip(scores, scores[1:], strict=False)) and len(set(scores[:40])) == 40
+    assert model.evidence([], 0) == 0.0
 
 
 def test_extremes_are_recovered():
