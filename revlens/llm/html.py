@@ -6,6 +6,7 @@ potential (its tag, words of its class, id and role, lengths, link density) and
 kind of child). Sum-product messages go up from the leaves and down from the root, which gives every node's exact content marginal; the
 text of nodes at one half or more is kept, in page order. The parameters are fitted by maximum likelihood (the gradient
 comes from the same messages) to labelled pages that this module builds from layouts: nothing is learned from the pages to be read.
+A page of which nothing reaches one half, but some text outside of menus and forms reads like prose, gives the most likely prose.
 
 Defined results: null or empty html gives empty text; html without any tag is its own text; scripts, styles, comments and the head never
 count; unclosed, stray and unknown tags are tolerated; repeated rows give equal texts; an empty table gives an empty result. Other
@@ -472,12 +473,33 @@ def content_marginals(page: Page, model: TreeModel) -> list[float]:
     return [_probability(x) for x in model.messages(page, node_features(page))[2]]
 
 
+#: The least marginal of a node that is taken for want of a better one, and of those beside it as a part of the best one's.
+FAINT, BESIDE = 0.001, 0.5
+
+
+def _likely_prose(page: Page, marginals: list[float]) -> list[bool]:
+    """For a page without a likely node: its most likely prose (sentences outside of frames), and what is about as likely. None if no node has prose."""
+    n = len(page.tags)
+    framed, prose = [False] * n, [False] * n
+    for k in range(n):
+        parent = page.parents[k]
+        framed[k] = _KIND.get(page.tags[k]) == "frame" or (parent >= 0 and framed[parent])
+    for node, text, link in page.texts:
+        if node >= 0 and not link and not framed[node] and len(text.strip()) >= 25 and re.search(r"[.!?,;:]", text):
+            prose[node] = True
+    best = max((marginals[k] for k in range(n) if prose[k]), default=0.0)
+    return [best >= FAINT and not framed[k] and marginals[k] >= BESIDE * best for k in range(n)]
+
+
 def main_text(html: str, model: TreeModel | None = None) -> str:
     page = parse(html)
     if len(page.tags) == 1 and not _TAG.search(html):
         keep = [True]
     else:
-        keep = [p >= 0.5 for p in content_marginals(page, model or trained_model())]
+        marginals = content_marginals(page, model or trained_model())
+        keep = [p >= 0.5 for p in marginals]
+        if not any(keep[n] for n, t, _ in page.texts if n >= 0 and t.strip()):
+            keep = _likely_prose(page, marginals)
     return " ".join("".join(t if n < 0 or keep[n] else " " * (not t.strip()) for n, t, _ in page.texts).split())
 
 
