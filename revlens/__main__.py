@@ -23,7 +23,8 @@ from .operators.packs import packs, system_prompt
 from .plans import reports, stages
 from .session import session
 from .sources import forge, model, tables
-from .sources.scratch import kept, logged
+from .sources.answerlog import logged
+from .sources.scratch import drop_kept, kept
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -75,6 +76,10 @@ class Runs:
         """The answers that a run has so far, batch by batch."""
         return f"{tables.run_dir(run, self.args.out) if run else self.folder}/answers"
 
+    def symbols(self) -> str:
+        """What was ever parsed, by content, for all runs of this folder."""
+        return f"{self.args.out}/symbols"
+
     @staticmethod
     def conditions(client, prompt: str) -> dict:
         """What answers depend on. A server is asked first whether it has the model, so that a run does not begin without it."""
@@ -142,7 +147,7 @@ def detect(r: Runs) -> int:
         tables.same_conditions(r.manifest(a.resume), manifest)
         stored = kept(r.table(a.resume, "responses", schemas.RESPONSES).unionByName(logged(r.spark, r.log(a.resume), schemas.RESPONSES)).dropDuplicates(["case_id", "error"]), "stored")
     r.begin(manifest)
-    got = stages.detect(cases, lambda: client, a.max_findings, stored, detector=client.name, case_ids=a.case, limit=a.limit, log=r.log())
+    got = stages.detect(cases, lambda: client, a.max_findings, stored, detector=client.name, case_ids=a.case, limit=a.limit, log=r.log(), store=r.symbols())
     totals = stages.budget(got["packs"], got["responses"]).first().asDict()
     r.save(manifest | {"budget": totals, "call_failures": totals["failures"]}, packs=got["packs"], responses=got["responses"], rejects=got["rejects"], predictions=got["claims"], predictions_anchored=got["predictions"], out_of_scope=got["scope"].filter("NOT kept"), anchors=got["anchors"])
     return int(totals["failures"] > 0)
@@ -177,7 +182,7 @@ def verify(r: Runs) -> int:
 
 
 def rules(r: Runs) -> int:
-    found = stages.rules(tables.load_cases(r.spark, r.cases_path()))
+    found = stages.rules(tables.load_cases(r.spark, r.cases_path()), store=r.symbols())
     r.save({"repository": r.args.repo, "cases_file": r.cases_path(), "complete": True}, predictions=found)
     return 0
 
@@ -240,6 +245,7 @@ COMMANDS = {"fetch": fetch, "detect": detect, "continue": continue_review, "veri
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
+    own = spark is None
     runs = Runs(spark or session(master=os.environ.get("SPARK_MASTER", "local[*]")), args)
     try:
         return COMMANDS[args.command](runs)
@@ -247,6 +253,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         for path, line in runs.malformed():
             print(f"{path}:{line}: this line is malformed", file=sys.stderr)
         raise e
+    finally:
+        if own:  # what a command makes is in its run's folder; a caller's session may still read tables between stages
+            drop_kept(runs.spark)
 
 
 if __name__ == "__main__":

@@ -13,8 +13,9 @@ from ..definitions import definition_table
 from ..functions.answers import parse_answers, parse_verdicts, response_schema, verdict_schema
 from ..operators import anchoring, claims as reduce, diff, packs as texts, rules as content, workspace
 from ..operators.changes import Cases, Changes, blobs_of, digest, files_of, listing, nested, only
-from ..sources.model import complete_packs
-from ..sources.scratch import answered, kept
+from ..sources.answerlog import Asker, answered
+from ..sources.model import pack_asker, told
+from ..sources.scratch import kept
 
 CLAIM = ["case_id", "ord", "file", "line", "end_line", "type", "confidence", "detector", "stage", "message", "quote"]
 CASE_COLUMNS = [
@@ -90,14 +91,14 @@ def held_to_change(claims: DataFrame, cases: Cases, with_deletions: bool = True)
 
 def detect(cases: Cases, make_client: Callable[[], object], max_findings: int = 6, stored: DataFrame | None = None, keep: Keep = kept, detector: str = "model", case_ids: list[str] | None = None, limit: int = 0, log: str | None = None, store: str | None = None) -> dict[str, DataFrame]:
     """packs -> answers (only those that `stored` lacks) -> claims. The order is fixed: one a line, then the strongest, then scope, then anchor, so claims out of scope use
-    up places. With a `log` folder answers are kept there batch by batch, and those it holds are not asked for again. With a `store` of symbols only contents that it lacks are parsed."""
+    up places. With a `log` folder answers are kept there as they come, and those it holds are not asked for again. With a `store` of symbols only contents that it lacks are parsed."""
     if case_ids:
         cases = only(cases, cases.select("case_id").filter(F.col("case_id").isin(*case_ids)))
     if limit > 0:
         cases = only(cases, keep(cases.select("case_id").orderBy("case_id").limit(limit), "chosen"))
     asked = texts.packs(cases, with_facts=True, with_deletions=True, store=store)
     wanted = asked if stored is None else reduce.unanswered(asked, stored)
-    answers = _asked(wanted, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
+    answers = _asked(wanted, pack_asker(make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     if stored is not None:
         answers = answers.unionByName(stored.filter(F.coalesce("error", F.lit("")) == "").join(cases.select("case_id"), "case_id", "left_semi"))
     parsed, rejects = parse_answers(answers)
@@ -106,15 +107,15 @@ def detect(cases: Cases, make_client: Callable[[], object], max_findings: int =
     return {"packs": asked, "responses": answers, "rejects": rejects, "claims": strongest, "scope": scoped, "anchors": decided, "predictions": keep(held, "predictions")}
 
 
-def _asked(wanted: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str, keep: Keep, log: str | None, keys: list[str]) -> DataFrame:
-    return keep(ask(wanted), "responses") if log is None else answered(wanted, ask, schema, log, keys)
+def _asked(wanted: DataFrame, ask: Asker, schema: str, keep: Keep, log: str | None, keys: list[str]) -> DataFrame:
+    return keep(told(wanted, ask, schema), "responses") if log is None else answered(wanted, ask, schema, log, keys)
 
 
 def continue_review(cases: Cases, claims: DataFrame, make_client: Callable[[], object], max_findings: int = 6, keep: Keep = kept, detector: str = "model", log: str | None = None) -> dict[str, DataFrame]:
     """Asks again about changed code files that a first read left without a claim, and adds what is new as far as there is room."""
     remaining = reduce.targets(listing(cases), claims)
     asked = texts.continuation_packs(texts.packs(cases, with_facts=True, with_deletions=True), claims, remaining)
-    answers = _asked(asked, lambda part: complete_packs(part, make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
+    answers = _asked(asked, pack_asker(make_client, response_schema()), schemas.RESPONSES, keep, log, ["case_id"])
     parsed, rejects = parse_answers(answers)
     found = reduce.best_per_line(reduce.within(_as_claims(parsed, detector, "continue"), remaining))
     new = reduce.fresh(found, claims)
@@ -143,7 +144,7 @@ def verify(cases: Cases, claims: DataFrame, make_chat: Callable[[], Callable[...
     said = definitions if definitions is not None else definition_table(cases.sparkSession)
     asked = texts.questions(rows.join(F.broadcast(said), "type", "left"), named)
     base = diff.base_revision(cases) if log is None else keep(diff.base_revision(cases), "base")
-    answers = _asked(asked, lambda part: workspace.ask_verdicts(part, files_of(cases), base, diff.added_of(cases), make_chat, verdict_schema(), max_calls), workspace.ANSWERS, keep, log, ["case_id", "ord"])
+    answers = _asked(asked, workspace.verdict_asker(files_of(cases), base, diff.added_of(cases), make_chat, verdict_schema(), max_calls), workspace.ANSWERS, keep, log, ["case_id", "ord"])
     joined = known.select("case_id", "ord", "file", "line", "type", F.col("message").alias("title")).join(answers, ["case_id", "ord"])
     verdicts = keep(anchoring.settle(parse_verdicts(joined), cases).drop("text"), "settled")
     if stored is not None:

@@ -1,4 +1,4 @@
-"""Model servers as injectable clients: a chat server over HTTP, a silent stub, and the batch call over packs."""
+"""Model servers as injectable clients: a chat server over HTTP, a silent stub, and calls over rows."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .. import schemas
+from .answerlog import Asker
 from .web import Call, Policy, WebError
 
 
@@ -24,6 +26,10 @@ class Response:
     duration_ms: int = 0
 
 
+#: Fixed value: a header that public tunnels want to see before they pass a call on rather than answer with a page of their own.
+TUNNEL = (("ngrok-skip-browser-warning", "true"),)
+
+
 @dataclass(frozen=True)
 class ChatServer:
     """POST /api/chat. An error is a value: after `retries` more tries, 2^n seconds apart, it is in the response."""
@@ -37,6 +43,7 @@ class ChatServer:
     retries: int = 2
     think: bool | None = None
     wait: float = 1.0
+    keep_alive: str = "30m"  # fixed value: how long the server holds the model after a call
 
     @property
     def name(self) -> str:
@@ -45,14 +52,14 @@ class ChatServer:
     def payload(self, messages: list[dict], schema: dict | None = None, tools: list | None = None, temperature: float | None = None, seed: int | None = None) -> dict:
         options = {"num_ctx": self.context_tokens, "temperature": self.temperature if temperature is None else temperature, "seed": self.seed if seed is None else seed}
         optional = {"format": schema, "tools": tools or None, "think": self.think}
-        return {"model": self.model, "messages": messages, "stream": False, "options": options} | {k: v for k, v in optional.items() if v is not None}
+        return {"model": self.model, "messages": messages, "stream": False, "keep_alive": self.keep_alive, "options": options} | {k: v for k, v in optional.items() if v is not None}
 
     def _url(self, path: str) -> str:
         return self.base_url.rstrip("/") + path
 
     def chat(self, messages: list[dict], tools: list | None = None, schema: dict | None = None, temperature: float | None = None, seed: int | None = None) -> dict:
         """One turn: the server's message, or {"error": why}."""
-        call = Call(self._url("/api/chat"), "POST", self.payload(messages, schema, tools, temperature, seed))
+        call = Call(self._url("/api/chat"), "POST", self.payload(messages, schema, tools, temperature, seed), TUNNEL)
         try:
             return Policy(self.retries + 1, self.wait, self.timeout).run(call, _object)
         except WebError as e:
@@ -67,7 +74,7 @@ class ChatServer:
         return Response(message.get("content") or "", message.get("thinking") or "", "", int(reply.get("prompt_eval_count") or 0), int(reply.get("eval_count") or 0), took)
 
     def _served(self) -> list[dict]:
-        return Policy(1, 0, 30).run(Call(self._url("/api/tags")), _object).get("models") or []
+        return Policy(1, 0, 30).run(Call(self._url("/api/tags"), headers=TUNNEL), _object).get("models") or []
 
     def _is_mine(self, entry: dict) -> bool:
         """The model by its whole name, or without its tag."""
@@ -78,9 +85,11 @@ class ChatServer:
         try:
             served = self._served()
         except WebError as e:
-            return f"{self.base_url} does not answer: {e}"
-        names = ", ".join(m.get("name") or "?" for m in served) or "none"
-        return "" if any(map(self._is_mine, served)) else f"{self.base_url} has no model {self.model} (it has: {names})"
+            return f"no answer from {self.base_url}: {e}"
+        if any(map(self._is_mine, served)):
+            return ""
+        offered = sorted(m["name"] for m in served if m.get("name"))
+        return f"{self.model} is not among the models of {self.base_url}: {offered or 'it has none'}"
 
     def build(self) -> dict:
         """digest and quantisation of the model, as far as the server tells; answers of two builds are not one run."""
@@ -125,14 +134,24 @@ def resolve_client(stub: str | None = None, model: str | None = None, dry_run: b
     return ChatServer(model, **options)
 
 
-def complete_packs(packs: DataFrame, make_client: Callable[[], object], schema: dict) -> DataFrame:
-    """packs (case_id, system, user) -> responses. The partitions bound how many calls run at once; write the result before using it twice, or the calls repeat."""
+def pack_asker(make_client: Callable[[], object], schema: dict) -> Asker:
+    """packs (case_id, system, user) -> responses, one call a row. The partitions bound how many calls run at once."""
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         client = make_client()
-        names = [c.split()[0] for c in schemas.RESPONSES.split(", ")]
-        for frame in frames:
-            for case_id, system, user in frame.itertuples(index=False):
-                yield pd.DataFrame([{"case_id": case_id, **asdict(client.complete(system, user, schema))}])[names]
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield {"case_id": row["case_id"], **asdict(client.complete(row["system"], row["user"], schema))}
+
+    return Asker(lambda packs: packs.select("case_id", "system", "user"), answer)
+
+
+def told(wanted: DataFrame, asker: Asker, schema: str) -> DataFrame:
+    """The answers as a DataFrame without a log. Write it before using it twice, or the calls repeat."""
+    names, arrow, answer = [c.split()[0] for c in schema.split(", ")], to_arrow_schema(StructType.fromDDL(schema)), asker.answer
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in answer(batches):
+            yield pa.RecordBatch.from_pylist([row], arrow).select(names)
 
-    return packs.select("case_id", "system", "user").mapInPandas(ask, schemas.RESPONSES)
+    return asker.prepare(wanted).mapInArrow(ask, schema)

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -30,41 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written once and read back: model calls aren't repeated, the lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(rows.sparkSession)}/revlens-stages/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-#: Answers that a killed run may lose.
-BATCH_ROWS = 200
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/revlens-stages/{spark.sparkContext.applicationId}"
 
 
-def logged(spark: SparkSession, log: str, schema: str) -> DataFrame:
-    """All answers in a log; a batch that was cut off by the end of its run adds nothing."""
-    from .tables import path_exists
+def drop_kept(spark: SparkSession) -> None:
+    """Delete every table that this application kept between stages; results that still read them must have been written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(log) if path_exists(spark, log) else spark.createDataFrame([], schema)
 
-
-def answered(wanted: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str, log: str | None = None, keys: Sequence[str] = ("case_id",), batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """ask(wanted), written. ask gives rows with `keys` and `error`. With a log (a folder of the shared store) the rows are asked for in batches by hash of their keys, and each
-    batch is a table of the log as soon as it is complete, so a run that is killed costs one batch: what the log holds without an error is not asked again."""
-    if log is None:
-        return kept(ask(wanted), "answers")
-    spark, keys = wanted.sparkSession, list(keys)
-    good = F.coalesce("error", F.lit("")) == ""
-    wanted = kept(wanted, "wanted")
-    open_ = wanted.join(logged(spark, log, schema).filter(good).select(*keys).distinct(), keys, "left_anti")
-    open_ = kept(open_, "open")
-    batches = math.ceil(open_.count() / batch_rows)
-    made = []
-    for k in range(batches):
-        made.append(f"{log}/{uuid.uuid4().hex}")
-        ask(open_.filter(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k)).write.parquet(made[-1])
-    found = logged(spark, log, schema).filter(good).dropDuplicates(keys)
-    if made:
-        failed = spark.read.schema(schema).parquet(*made).filter(~good)
-        found = found.unionByName(failed.join(found.select(*keys), keys, "left_anti"))
-    return found.join(wanted.select(*keys).distinct(), keys, "left_semi")
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once and read back: model calls aren't repeated, the lineage is cut, and a lost executor costs nothing."""
+    path = f"{_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

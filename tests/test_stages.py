@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from revlens import schemas
 from revlens.functions.answers import render_answer
 from revlens.operators.spans import label_table
 from revlens.plans import reports, stages
@@ -201,9 +202,9 @@ def test_model_server(spark, server):
     answers[:] = [(500, {}, {})]
     assert "HTTPError 500" in chat.complete("s", "u").error and "HTTPError 500" in chat.chat([])["error"]
     answers[:] = [(200, {}, {"models": [{"name": "m", "digest": "d", "details": {"quantization_level": "q4"}}]})]
-    assert chat.health() == "" and chat.build() == {"digest": "d", "quantization": "q4"} and "has no model" in model.ChatServer("z", url).health()
+    assert chat.health() == "" and chat.build() == {"digest": "d", "quantization": "q4"} and "not among the models" in model.ChatServer("z", url).health()
     packs = spark.createDataFrame([("a", "s", "u")], "case_id string, system string, user string")
-    assert model.complete_packs(packs, lambda: model.ChatServer("m", "http://127.0.0.1:1", wait=0.001, retries=0), {}).first()["error"]
+    assert model.told(packs, model.pack_asker(lambda: model.ChatServer("m", "http://127.0.0.1:1", wait=0.001, retries=0), {}), schemas.RESPONSES).first()["error"]
     assert model.resolve_client(dry_run=True) is None and model.resolve_client("silent").name == "silent"
     with pytest.raises(ValueError):
         model.resolve_client()
