@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from .functions.answers import VERDICTS
-from .operators import packs, rules
-from .oracles import _DIM, _MATCH, _kind, _re
-from .plans import reports
+from .oracles import _DIM, _MATCH, _kind
 
-_LIST = "[" + ", ".join(f"'{v}'" for v in (*VERDICTS, "maybe")) + "]"
+# What the operators must say, written out once more, so that a wrong word of theirs shows.
+_LIST = "['established', 'contradicted', 'unsettled', 'maybe']"
+_DELETED = "'How to read the listings: `+` is a new row, `-` one that is gone (shown at its old place, without a number), all others are as before.'"
+_FACTS_TEXT = "'Names that the change introduces, looked up in every file. What is said here is measured; whether it matters is for you to judge.'"
+_NO_SOURCE = "'There was nothing to read: no file of a kind that is reviewed (`.py`) has changed.'"
+_NO_FINDINGS = "'Every changed code file was read; there is nothing to point out.'"
+#: Characters of the system prompt: two sentences' instructions and a line a kind.
+_SYSTEM_LENGTH = 5839
+_SECRET_NAME = r"(?i)(password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)"
+_SECRET_VALUE = r"""[:=]\s*["']?([^"'\s]{6,})["']?\s*$"""
+_PLACEHOLDER = r"(?i)(change[_-]?me|placeholder|example|xxx+|\.\.\.|<[^>]+>|\$\{|os\.environ|getenv|secrets\.|vault|\*\*\*)"
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+def _re(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
 _ITEMS = """
@@ -85,12 +92,12 @@ fb AS (
   FROM pr GROUP BY k, path
 ), u AS (
   SELECT k, CAST(sum(shown) AS BIGINT) AS code_lines,
-         concat_ws(chr(10), '# Pull request', '', 'Change ' || k, CASE WHEN k % 3 = 1 THEN chr(10) || 'It tidies up.' END, '', CASE WHEN sum(gone) > 0 THEN {_text(packs.DELETED)} || chr(10) END, string_agg(block, chr(10) ORDER BY path)) AS user_
+         concat_ws(chr(10), '# Pull request', '', 'Change ' || k, CASE WHEN k % 3 = 1 THEN chr(10) || 'It tidies up.' END, '', CASE WHEN sum(gone) > 0 THEN {_DELETED} || chr(10) END, string_agg(block, chr(10) ORDER BY path)) AS user_
   FROM fb GROUP BY k
 )"""
 TEXTS = f"""
 WITH {_ROWS}, {_PACKED.strip()}
-SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {len(packs.system_prompt())}) // 4 AS estimated_prompt_tokens FROM u"""
+SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {_SYSTEM_LENGTH}) // 4 AS estimated_prompt_tokens FROM u"""
 
 _FACTS = f"""
 nm AS (
@@ -110,11 +117,31 @@ nm AS (
 FACTS = f"WITH {_ITEMS}, {_FACTS.strip()} SELECT CAST(k AS VARCHAR) AS case_id, ord, subject, statement FROM fo"
 FULL_TEXTS = f"""
 WITH {_ROWS}, {_PACKED.strip()}, {_FACTS.strip()}, ft AS (
-  SELECT k, concat_ws(chr(10), '# NEW NAMES ELSEWHERE', '', {_text(packs.FACTS)}, '', string_agg('- `' || subject || '`: ' || statement, chr(10) ORDER BY ord), '') AS facts FROM fo GROUP BY k
+  SELECT k, concat_ws(chr(10), '# NEW NAMES ELSEWHERE', '', {_FACTS_TEXT}, '', string_agg('- `' || subject || '`: ' || statement, chr(10) ORDER BY ord), '') AS facts FROM fo GROUP BY k
 ), w AS (
   SELECT u.k, code_lines, concat_ws(chr(10), user_, facts) AS user_ FROM u LEFT JOIN ft ON ft.k = u.k
 )
-SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {len(packs.system_prompt())}) // 4 AS estimated_prompt_tokens FROM w"""
+SELECT CAST(k AS VARCHAR) AS case_id, code_lines, sha256(user_) AS user_sha256, (length(user_) + {_SYSTEM_LENGTH}) // 4 AS estimated_prompt_tokens FROM w"""
+
+# One changed file a case, with nothing beside it: the same texts with another title and no description.
+_PLAIN_PACKED = _PACKED.replace("'Change ' || k", "'t'").replace("CASE WHEN k % 3 = 1 THEN chr(10) || 'It tidies up.' END, ", "")
+CASE_PACKS = f"""
+WITH it AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, old, p) AS line FROM (
+    SELECT l_orderkey AS k, l_linenumber, l_partkey AS p, 'MAX_' || l_partkey || ' = ' || CAST(floor(l_quantity) AS BIGINT) AS old, l_partkey % 3 = 0 AS off,
+           'MAX_' || l_partkey || ' = ' || CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE CAST(floor(l_quantity) AS BIGINT) END AS new FROM lineitem
+  )
+), ks AS (
+  SELECT k FROM it WHERE FALSE
+), pr AS (
+  SELECT k, 'settings.py' AS path, line AS pos, 1 AS sub, 0 AS nth, printf('%5d %s | %s', line, CASE WHEN off THEN '+' ELSE ' ' END, new) AS row FROM it
+  UNION ALL SELECT k, 'settings.py', line, 0, line, '      - | ' || old FROM it WHERE off
+), {_PLAIN_PACKED.strip()}, {_FACTS.strip()}, ft AS (
+  SELECT k, concat_ws(chr(10), '# NEW NAMES ELSEWHERE', '', {_FACTS_TEXT}, '', string_agg('- `' || subject || '`: ' || statement, chr(10) ORDER BY ord), '') AS facts FROM fo GROUP BY k
+), w AS (
+  SELECT u.k, code_lines, concat_ws(chr(10), user_, facts) AS user_ FROM u LEFT JOIN ft ON ft.k = u.k
+)
+SELECT CAST(k AS VARCHAR) AS case_id, code_lines, (length(user_) + {_SYSTEM_LENGTH}) // 4 AS estimated_prompt_tokens FROM w"""
 
 LOOK_UPS = f"""
 WITH {_ITEMS}, f AS (
@@ -190,8 +217,8 @@ WITH {_DIM}, {_CLAIMS}, lv AS (
   FROM lv GROUP BY k
 )
 SELECT CAST(ks.k AS VARCHAR) AS case_id, ks.k AS pull_id, CAST(coalesce(findings, 0) AS INT) AS findings,
-       sha256(concat_ws(chr(10), {_text(reports.HEADING)}, '', CASE WHEN findings > 0 THEN concat_ws(chr(10), 'To look at: ' || tally, '', '| No. | Level | Kind of defect | Where | Why |', '|--:|---|---|---|---|', rows_)
-         WHEN ks.k % 4 = 3 THEN {_text(reports.NO_SOURCE)} ELSE {_text(reports.NO_FINDINGS)} END, '',
+       sha256(concat_ws(chr(10), '### Change review', '', CASE WHEN findings > 0 THEN concat_ws(chr(10), 'To look at: ' || tally, '', '| No. | Level | Kind of defect | Where | Why |', '|--:|---|---|---|---|', rows_)
+         WHEN ks.k % 4 = 3 THEN {_NO_SOURCE} ELSE {_NO_FINDINGS} END, '',
          '<sub>run / model / lines of ' || left('abc' || ks.k, 12) || '. A program wrote this; check it before you act on it.</sub>')) AS body_sha256
 FROM ks LEFT JOIN ct ON ct.k = ks.k"""
 
@@ -207,6 +234,30 @@ FROM fr f LEFT JOIN lc m ON m.case_id = f.case_id AND m.rank = f.rank LEFT JOIN
 UNION ALL
 SELECT l.case_id, 'missed', l.file, l.s1, l.type, '', l.case_id || '-f' || l.label_ord, FALSE, FALSE, ''
 FROM lb l LEFT JOIN lc m ON m.case_id = l.case_id AND m.label_ord = l.label_ord WHERE l.in_scope AND l.required AND m.rank IS NULL AND CAST(l.case_id AS BIGINT) IN (SELECT k FROM ks)"""
+ORDER = f"""
+WITH {_DIM}, f AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_partkey % 7 = 0 THEN 'lib.py' ELSE 'settings.py' END, n, {_kind('l_partkey')}) - 1 AS INT) AS pos,
+         CASE WHEN l_partkey % 7 = 0 THEN 'lib.py' ELSE 'settings.py' END AS file, CAST(n AS INT) AS line, {_kind('l_partkey')} AS type
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey, l_extendedprice) AS n FROM lineitem)
+)
+SELECT * FROM f"""
+OVERLAID = f"""
+WITH {_ITEMS}
+SELECT CAST(k AS VARCHAR) AS case_id, 'settings.py' AS path, 'head' AS side, sha256(string_agg(new, chr(10) ORDER BY line)) AS text_sha256 FROM it GROUP BY k
+UNION ALL SELECT CAST(k AS VARCHAR), 'notes.txt', 'context', sha256('n') FROM ks"""
+EXAMPLES = f"""
+WITH {_ITEMS}
+SELECT CAST(k AS VARCHAR) AS case_id, 'new_conf/config.py' AS file, CAST(2 AS INT) AS line FROM ks WHERE k % 4 = 1 AND k % 8 <> 1"""
+DETECTED = f"""
+WITH {_ITEMS}, c AS (
+  SELECT k, min(line) AS line FROM it WHERE off GROUP BY k
+)
+SELECT CAST(k AS VARCHAR) AS case_id, 'settings.py' AS file, CAST(line AS INT) AS line, 'unsafe_default' AS type, 0.7::DOUBLE AS confidence, 'stub' AS detector, 'detect' AS stage, new AS quote FROM c JOIN it USING (k, line)"""
+VERIFIED = f"""
+WITH {_ITEMS}
+SELECT CAST(k AS VARCHAR) AS case_id, line AS ord, CASE WHEN p % 2 = 0 THEN 'established' ELSE 'contradicted' END AS claimed_verdict, CASE WHEN p % 2 = 0 THEN 'established' ELSE 'contradicted' END AS verdict,
+       CAST(1 AS INT) AS tool_calls, 'MAX_' || p AS reason
+FROM it WHERE line = 1"""
 SUMMARY = "SELECT count(DISTINCT l_orderkey) AS pull_requests, count(*) AS findings, count(DISTINCT l_orderkey) AS pull_requests_with_findings FROM lineitem"
 
 INGESTED = f"""
@@ -313,12 +364,12 @@ WITH ln AS (
   SELECT doc_id, line_no, text AS whole, generate_subscripts(regexp_extract_all(text, '(?s)[^"]*"[^"]*"|.+'), 1) - 1 AS nth, unnest(regexp_extract_all(text, '(?s)[^"]*"[^"]*"|.+')) AS text FROM ln
 )
 SELECT doc_id, line_no, CAST(nth AS INT) AS nth, sha256(text) AS part_sha256, sha256(whole) AS line_sha256 FROM pt
-WHERE regexp_matches(text, '{_re(rules.SECRET_NAME)}') AND regexp_matches(text, '{_re(rules.SECRET_VALUE)}') AND NOT regexp_matches(text, '{_re(rules.PLACEHOLDER)}')"""
+WHERE regexp_matches(text, '{_re(_SECRET_NAME)}') AND regexp_matches(text, '{_re(_SECRET_VALUE)}') AND NOT regexp_matches(text, '{_re(_PLACEHOLDER)}')"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "diff_files": DIFF_FILES, "restored_files": RESTORED, "deleted_rows": DELETED, "case_rules": CASE_RULES, "claim_excerpts": EXCERPTS, "case_texts": TEXTS, "full_texts": FULL_TEXTS, "name_facts": FACTS, "look_ups": LOOK_UPS, "claim_scope": SCOPE,
+        "diff_files": DIFF_FILES, "restored_files": RESTORED, "deleted_rows": DELETED, "case_rules": CASE_RULES, "claim_excerpts": EXCERPTS, "case_texts": TEXTS, "full_texts": FULL_TEXTS, "case_packs": CASE_PACKS, "report_order": ORDER, "overlaid_files": OVERLAID, "example_files": EXAMPLES, "detected": DETECTED, "verified": VERIFIED, "name_facts": FACTS, "look_ups": LOOK_UPS, "claim_scope": SCOPE,
         "claim_anchors": ANCHORS, "remaining_files": REMAINING, "continued_claims": CONTINUED, "settled_verdicts": SETTLED, "verdict_parse": VERDICT_PARSE, "case_comments": COMMENTS, "report_entries": ENTRIES, "report_summary": SUMMARY,
         "ingested_cases": INGESTED, "ingested_contents": CONTENTS, "parsed_contents": PARSED, "constants_files": CONSTANTS, "ingested_labels": LABELS, "read_predictions": PREDICTIONS, "case_defaults": DEFAULTS, "stranger_cases": STRANGERS, "published": PUBLISHED, "publish_totals": TOTALS, "text_functions": TEXT,
         "quote_places": QUOTES, "quoted_secrets": SECRETS,

@@ -7,6 +7,8 @@ the items alone, without a diff, which is how the oracles say it.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from .functions import answers, text
 from .operators import anchoring, changes, claims as reduce, diff, matching, packs, quotes, rules as content, spans, symbols
 from .plans import reports, stages
 from .queries import _kind, order_findings, order_labels, table
-from .sources import tables
+from .sources import model, tables
 from .sources.scratch import kept
 
 #: Every document is claimed to hold every passage; the passages come in so many blocks.
@@ -256,6 +258,67 @@ def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(missed)
 
 
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each finding stands in its case's report."""
+    labels = order_labels(spark, sf_dir).limit(0)
+    rows = reports.entries(change_cases(spark, sf_dir), item_claims(spark, sf_dir), labels)
+    return rows.select("case_id", F.posexplode("findings").alias("pos", "f")).select("case_id", "pos", "f.file", "f.line", "f.type")
+
+
+def overlaid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of cases that have settings.py on both sides: the changed one counts."""
+    before = F.create_map(F.lit("settings.py"), F.lit("old"), F.lit("notes.txt"), F.lit("n"))
+    cases = change_cases(spark, sf_dir).withColumn("context_files", before).withColumn("head_files", F.map_filter("head_files", lambda p, _: p == "settings.py"))
+    return changes.files_of(changes.split(cases)).select("case_id", "path", "side", _sha("text").alias("text_sha256"))
+
+
+def example_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in added lines; every other new_conf/config.py is called an example, in which none is looked for."""
+    name = F.when(F.col("k") % 8 == 1, "new_conf/config.py.example").otherwise("new_conf/config.py")
+    renamed = lambda p, _: F.when(p == "new_conf/config.py", name).otherwise(p)
+    cases = change_cases(spark, sf_dir).withColumn("head_files", F.transform_keys("head_files", renamed)).withColumn("added_lines", F.transform_keys("added_lines", renamed))
+    return content.run_rules(changes.split(cases), ("secret.literal",)).select("case_id", "file", "line")
+
+
+class FirstNewRow:
+    """A model that accuses the first new row of settings.py, a file that it was not shown, and a row that nobody wrote."""
+
+    name = "stub"
+
+    def complete(self, system: str, user: str, schema: dict | None = None) -> model.Response:
+        row = re.search(r"# FILE settings\.py\n\n```\n(?:.*\n)*? *(\d+) \+ \| (.*)", user)
+        claims = [{"file": "lib.py", "line": 1, "type": "xss", "title": "t", "confidence": 0.9, "quote": "def f():"}, {"file": "settings.py", "line": 1, "type": "xss", "title": "t", "confidence": 0.8, "quote": "no such row"}]
+        if row:
+            claims.append({"file": "settings.py", "line": int(row[1]), "type": "unsafe_default", "title": "t", "confidence": 0.7, "quote": row[2]})
+        # A claim of a line that another one names would be the weaker of the two.
+        return model.Response(text=answers.render_answer(claims if not row or row[1] != "1" else [claims[0], claims[2]]))
+
+    def chat(self, messages: list[dict], tools: list | None = None, schema: dict | None = None, **_: object) -> dict:
+        """Reads settings.py once, then judges by the number in its first row, which it cites."""
+        seen = [m["content"] for m in messages if m["role"] == "tool"]
+        if schema is None and not seen:
+            return {"message": {"tool_calls": [{"function": {"name": "read_file", "arguments": {"path": "settings.py"}}}]}}
+        if schema is None:
+            return {"message": {"content": "seen"}}
+        first = seen[0].split("\n")[1].partition(" | ")[2]
+        name = first.partition(" = ")[0]
+        said = {"needed": "", "evidence": [{"file": "settings.py", "line": 1, "quote": first}], "reason": name, "verdict": "contradicted" if int(name.removeprefix("MAX_")) % 2 else "established"}
+        return {"message": {"content": json.dumps(said)}}
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage with a stub for a model: packs, answers, the strongest claims, scope, anchors."""
+    got = stages.detect(stored_changes(spark, sf_dir), FirstNewRow, detector="stub")
+    return got["predictions"].select("case_id", "file", "line", "type", "confidence", "detector", "stage", "quote")
+
+
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage with the same stub: each case's first claim is asked about, with a look at the repository."""
+    first = item_claims(spark, sf_dir).filter("ord = 1")
+    got = stages.verify(stored_changes(spark, sf_dir), first, lambda: FirstNewRow().chat)
+    return got["verdicts"].select("case_id", "ord", "claimed_verdict", "verdict", "tool_calls", "reason")
+
+
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.entries(change_cases(spark, sf_dir), order_findings(spark, sf_dir), order_labels(spark, sf_dir), 4)
     return reports.summary(rows)
@@ -407,7 +470,7 @@ def quoted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     diff_files, restored_files, deleted_rows, case_rules, claim_excerpts, case_texts, full_texts, name_facts, look_ups, claim_scope, claim_anchors, remaining_files, continued_claims, settled_verdicts, verdict_parse, case_comments,
-    report_entries, report_summary, ingested_cases, ingested_contents, parsed_contents, constants_files, ingested_labels, read_predictions, case_defaults, stranger_cases, published, publish_totals, text_functions, quote_places, quoted_secrets,
+    report_entries, report_order, overlaid_files, example_files, detected, verified, report_summary, ingested_cases, ingested_contents, parsed_contents, constants_files, ingested_labels, read_predictions, case_defaults, stranger_cases, published, publish_totals, text_functions, quote_places, quoted_secrets,
 )
 
 

@@ -1,18 +1,24 @@
 """Findings against labels: admissible pairs in a band of lines, one-to-one assignment, scores.
 
-Pairs are an equi-join on (case, file) with the band as residual, so a case's rows meet in one place; the assignment is a
-fold over the sorted pairs of one case inside Catalyst. All rungs of agreement share the one join.
+Pairs are an equi-join on (case, file) with the band as residual. The assignment takes the nearest pair first. Cases of few pairs are folded inside
+Catalyst, a row each. Larger ones go in rounds of joins: a pair that is the first of both its finding's and its label's pairs is what the sequential order would take, too, since
+nothing before it could have used up either; it is taken, the pairs of its two ends go, and the rest plays the next round. What ROUNDS leave are chains of pairs each of which waits for the next; they
+are followed in order, a case in a task. All rungs of agreement share the one join.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ratio
 from ..kinds import family
+from ..sources.scratch import kept
 
+#: Pairs of a case that are folded in one row, and rounds that larger cases play.
+FOLDED, ROUNDS = 200, 12
 #: rung -> what of the kind must agree
 RUNGS = {"location": "none", "family": "family", "type": "exact"}
 
@@ -47,9 +53,23 @@ def admissible_pairs(findings: DataFrame, labels: DataFrame, tolerance: int | No
     return near.groupBy("case_id", "rank", "type", "label_ord", "label_type", "label_family").agg(F.min("gap").alias("distance"))
 
 
-def assign(pairs: DataFrame) -> DataFrame:
+PAIR = "rung string, case_id string, rank int, label_ord int, distance int"
+_CASE = ["rung", "case_id"]
+
+
+def assign(pairs: DataFrame, folded: int = FOLDED, rounds: int = ROUNDS) -> DataFrame:
     """pairs (rung, case_id, rank, label_ord, distance) -> one-to-one matches: the nearest pair first, ties to the better rank, then the
     earlier label."""
+    typed = kept(pairs.select(*_CASE, *[F.col(c).cast("int").alias(c) for c in ("rank", "label_ord", "distance")]), "pairs")
+    sizes = kept(typed.groupBy(*_CASE).agg(F.count("*").alias("n")).filter(F.col("n") > folded).select(*_CASE), "large-cases")
+    if sizes.isEmpty():
+        return _fold(typed)
+    large = kept(typed.join(sizes, _CASE, "left_semi"), "large-pairs")
+    return _fold(typed.join(sizes, _CASE, "left_anti")).unionByName(_in_rounds(large, rounds))
+
+
+def _fold(pairs: DataFrame) -> DataFrame:
+    """The sequential assignment of a case's sorted pairs, in one row."""
     sorted_pairs = F.array_sort(F.collect_list(F.struct("distance", "rank", "label_ord")))
     start = F.struct(
         F.array().cast("array<int>").alias("ranks"), F.array().cast("array<int>").alias("labels"), F.array().cast("array<struct<distance: int, rank: int, label_ord: int>>").alias("taken")
@@ -64,9 +84,51 @@ def assign(pairs: DataFrame) -> DataFrame:
         )
         return F.when(free, more).otherwise(acc)
 
-    typed = pairs.select("rung", "case_id", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"), F.col("label_ord").cast("int").alias("label_ord"))
-    folded = typed.groupBy("rung", "case_id").agg(F.aggregate(sorted_pairs, start, step, lambda acc: acc["taken"]).alias("taken"))
-    return folded.select("rung", "case_id", F.inline("taken"))
+    folded = pairs.groupBy(*_CASE).agg(F.aggregate(sorted_pairs, start, step, lambda acc: acc["taken"]).alias("taken"))
+    return folded.select(*_CASE, F.inline("taken")).select(*_CASE, "rank", "label_ord", "distance")
+
+
+def _in_rounds(open_: DataFrame, rounds: int) -> DataFrame:
+    matched = []
+    order = F.struct("distance", "rank", "label_ord")
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        of_rank = open_.groupBy(*_CASE, "rank").agg(F.min(order).alias("first"))
+        of_label = open_.groupBy(*_CASE, "label_ord").agg(F.min(order).alias("first"))
+        # The first pair of a finding that is also the first one of its label.
+        taken = of_rank.select(*_CASE, "first").join(of_label.select(*_CASE, "first"), [*_CASE, "first"]).select(*_CASE, "first.rank", "first.label_ord", "first.distance")
+        matched.append(kept(taken, "matched"))
+        open_ = kept(open_.join(matched[-1].select(*_CASE, "rank"), [*_CASE, "rank"], "left_anti").join(matched[-1].select(*_CASE, "label_ord"), [*_CASE, "label_ord"], "left_anti"), "open-pairs")
+    out = open_.groupBy(*_CASE).applyInPandas(_followed, PAIR)
+    for part in matched:
+        out = out.unionByName(part)
+    return out
+
+
+def _followed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The sequential assignment of one case's pairs."""
+    ranks, labels, taken = set(), set(), []
+    for row in frame.sort_values(["distance", "rank", "label_ord"])[["rung", "case_id", "rank", "label_ord", "distance"]].itertuples(index=False):
+        if row.rank not in ranks and row.label_ord not in labels:
+            ranks.add(row.rank)
+            labels.add(row.label_ord)
+            taken.append(row)
+    return pd.DataFrame(taken, columns=["rung", "case_id", "rank", "label_ord", "distance"])
+
+
+def match_all(cases: DataFrame, findings: DataFrame, labels: DataFrame, tolerance: int | None = 10, rungs: dict[str, str] | None = None) -> DataFrame:
+    """One row a rung and case, those without findings, labels or pairs too: rung, case_id, matches (rank, label_ord, distance), unmatched_findings (ranks), unmatched_labels."""
+    rungs = RUNGS if rungs is None else rungs
+    found = match(findings, labels, tolerance, rungs)
+    every = cases.select("case_id", F.explode(F.array(*[F.lit(r) for r in rungs])).alias("rung"))
+    told = found.groupBy(*_CASE).agg(F.array_sort(F.collect_list(F.struct("rank", "label_ord", "distance"))).alias("matches"))
+    ranks = findings.groupBy("case_id").agg(F.collect_list(F.col("rank").cast("int")).alias("ranks"))
+    ords = labels.groupBy("case_id").agg(F.collect_list(F.col("label_ord").cast("int")).alias("ords"))
+    none, empty = F.array().cast("array<int>"), F.array().cast("array<struct<rank: int, label_ord: int, distance: int>>")
+    out = every.join(told, _CASE, "left").join(ranks, "case_id", "left").join(ords, "case_id", "left").withColumn("matches", F.coalesce("matches", empty))
+    left = lambda all_, name: F.array_sort(F.array_except(F.coalesce(all_, none), F.transform("matches", lambda m: m[name])))
+    return out.select(*_CASE, "matches", left("ranks", "rank").alias("unmatched_findings"), left("ords", "label_ord").alias("unmatched_labels"))
 
 
 def match(findings: DataFrame, labels: DataFrame, tolerance: int | None = 10, rungs: dict[str, str] = RUNGS) -> DataFrame:

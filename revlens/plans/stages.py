@@ -167,10 +167,10 @@ def rules(cases: Cases, chosen: tuple[str, ...] = tuple(content.RULES), store: s
 
 def publish(claims: DataFrame, *verdicts: DataFrame, rule_findings: DataFrame | None = None, radius: int = 5, min_confidence: float = 0.6, scope: str = "case") -> DataFrame:
     """What every verifier established, one a site; rule findings where nothing is published; then the floor. Columns of CLAIM; `ord` runs within a case."""
-    published = reduce.one_per_site(reduce.agreed(claims, *verdicts).select(*CLAIM), radius)
+    published = kept(reduce.one_per_site(kept(reduce.agreed(claims, *verdicts).select(*CLAIM), "agreed"), radius), "one-a-site")
     out = published.withColumn("_from", F.lit(0))
     if rule_findings is not None:
-        extra = reduce.fill_gaps(published, rule_findings.select(*CLAIM), radius, scope)
+        extra = reduce.fill_gaps(published, kept(rule_findings.select(*CLAIM), "rule-findings"), radius, scope)
         out = out.unionByName(extra.withColumn("_from", F.lit(1)))
     order = Window.partitionBy("case_id").orderBy("_from", "ord")
     return reduce.above_floor(out, min_confidence).withColumn("ord", F.row_number().over(order).cast("long")).select(*CLAIM)
