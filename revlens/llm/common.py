@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
+from threading import Lock
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,6 +76,29 @@ class Run:
 _RUN: ContextVar[Run | None] = ContextVar("revlens-run", default=None)
 
 
+_LOCK, _CLEANING = Lock(), {"runs": 0, "before": None}
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread writes a table, and as it was afterwards."""
+    with _LOCK:
+        if not _CLEANING["runs"]:
+            _CLEANING["before"] = spark.conf.get(_CLEAN_UP, None)
+        _CLEANING["runs"] += 1
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _CLEANING["runs"] -= 1
+            if not _CLEANING["runs"]:
+                if _CLEANING["before"] is None:
+                    spark.conf.unset(_CLEAN_UP)
+                else:
+                    spark.conf.set(_CLEAN_UP, _CLEANING["before"])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: it cuts the lineage, survives lost executors and
     gives the planner the true size when it decides about a broadcast. The shuffle files behind it go as soon as it is written."""
@@ -81,15 +106,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     if run := _RUN.get():
         run.paths.append(path)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _cleaning_up(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
