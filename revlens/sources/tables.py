@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas
 from ..operators.spans import label_table
@@ -54,16 +55,37 @@ def _write_text(path: str | Path, text: str) -> None:
         out.close()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), value of every line of the text files at path. Each split numbers its own lines; how many stand before it follows from one count a split."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", "first", before.alias("before"))
+    return lines.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line_no, row, bad (the line, if it is no JSON of the schema) of every line that isn't blank."""
+    told = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = numbered_lines(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("row", told)
+    return rows.select("file", "line_no", "row", F.when(F.col("row").isNull() | ~F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.col("row._bad")).alias("bad"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped; a malformed line fails the job and is named by check_jsonl."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Blank lines are skipped; a malformed line fails the job, and the error names it as path:line."""
+    rows = _parsed(spark, path, schema)
+    message = F.concat(F.regexp_replace("file", "^file:/+", "/"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": this line is malformed"))
+    names = [f.name for f in rows.schema["row"].dataType.fields if f.name != "_bad"]
+    # Whoever looks at a field has the line checked, so no later check of the fields can come before.
+    sound = rows.withColumn("row", F.when(F.col("bad").isNull(), F.col("row")).otherwise(F.raise_error(message)))
+    return sound.select(*[F.col("row")[n].alias(n) for n in names])
 
 
 def check_jsonl(spark: SparkSession, path: str, limit: int = 5) -> list[tuple[str, int]]:
-    """(file, line number) of the first malformed lines, found by a scan that numbers lines within each file."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    bad = text.filter(F.trim("line") != "").filter(F.try_parse_json("line").isNull())
-    return [(r["file"], r["at"] + 1) for r in bad.orderBy("file", "at").limit(limit).collect()]
+    """(file, line number) of the first lines that are no JSON."""
+    bad = numbered_lines(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").filter(F.try_parse_json("value").isNull())
+    return [(r["file"], r["line_no"]) for r in bad.orderBy("file", "line_no").limit(limit).collect()]
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
