@@ -62,6 +62,6 @@ def test_stages_keep_columns_and_survive_edges(spark, make_docs, edge_rows, tmp_
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and sum(n.startswith("op") for n in names) == 10 and "pipeline" in names
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] and sum(n.startswith("op") for n in names) == 13 and "pipeline" in names
     assert corpus_pipeline.ORACLE_SQL is None
-    assert {n for n in __spark_entry__.oracle_sql() if n.startswith("op")} == {"op1_mix_sources", "op2_quality_rules", "op4_line_dedup", "op9_decontaminate", "op10_warc_archive"}
+    assert {n for n in __spark_entry__.oracle_sql() if n.startswith("op")} == {"op1_mix_sources", "op2_quality_rules", "op4_line_dedup", "op9_decontaminate", "op10_warc_archive", "op11_ranked_search", "op12_sharding"}
