@@ -11,7 +11,8 @@ shingles that no other set has, the centre of a group of copies), and links of n
 different components after that are all compared, but for those that two exact bounds keep below the limit: the shingles no other set has, and the counts of shingles by FOLD cells.
 
 Defined results: texts without words are equal; repeated rows and ties share a component; of a component the smallest doc_id stays, a row without
-doc_id only if there is no other; an empty table gives an empty result. Sets are exact up to 64-bit hashes.
+doc_id only if there is no other; an empty table gives an empty result. Very long texts are whole sets, a batch of them at a time; all columns pass through packed, so any may have the name of one that is
+used here; ids are integers, and what can't be cast to one fails the job. Sets are exact up to 64-bit hashes.
 """
 
 from __future__ import annotations
