@@ -1,7 +1,7 @@
 """Unified diffs as rows: one tokenizer for every use.
 
 Hunk lengths are counted, so a deleted line that starts with `-- ` is content, and a trailing empty string is not; `\\ No newline`
-lines are skipped. All steps are windows over the lines of one case in order.
+lines are skipped. A diff is cut into the sections of its files inside its row; all further steps are windows over one section, so a long diff is read by many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import numbered, removed, strip
 from .changes import Cases, files_of
 
+_FILE = "diff --git "
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -25,19 +26,34 @@ def _number(group: int):
 ROW = "struct<i: int, hunk: bigint, mark: string, text: string, old_no: int, new_no: int, new_start: int, new_len: int>"
 
 
+def sections(cases: Cases) -> DataFrame:
+    """cases (case_id, diff) -> case_id, block, start (the section's first line in the diff, from 0), part (its lines): one row a file that the diff names, and one with block 0 if
+    lines stand before the first. Linear in the diff; an empty or missing one is a single empty line of block 0."""
+    begins = F.array_compact(F.transform("lines", lambda x, k: F.when(x.startswith(_FILE), k)))
+    cut = cases.select("case_id", F.split(F.coalesce("diff", F.lit("")), "\n").alias("lines")).withColumn("begins", begins)
+
+    def section(block: Column, start: Column) -> Column:
+        # begins[block] is where the next section begins
+        end = F.coalesce(F.get("begins", block), F.size("lines"))
+        return F.struct(block.alias("block"), start.alias("start"), F.slice("lines", start + 1, end - start).alias("part"))
+
+    top = F.filter(F.array(section(F.lit(0), F.lit(0))), lambda s: F.size(s["part"]) > 0)
+    return cut.select("case_id", F.inline(F.concat(top, F.transform("begins", lambda start, k: section(k + 1, start)))))
+
+
 def file_diffs(cases: Cases) -> DataFrame:
     """cases (case_id, diff) -> case_id, block, old_path, path, is_new, is_deleted, rows (ROW, in order): one row a file that the diff names, and one with block 0 for what
-    stands before the first. Everything else about diffs follows from this table. Its windows share one order, so a case's lines are dealt and sorted once."""
-    lines = cases.select("case_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("i", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
-    order = Window.partitionBy("case_id").orderBy("i")
+    stands before the first. Everything else about diffs follows from this table. Sections are dealt to tasks whole and taken apart there: one exchange by (case_id, block),
+    which the windows and the grouping share. No state crosses a section, since a hunk belongs to the file that was named last."""
+    lines = sections(cases).repartition("case_id", "block").select("case_id", "block", "start", F.posexplode("part").alias("at", "line"))
+    lines = lines.select("case_id", "block", (F.col("start") + F.col("at")).alias("i"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+    order = Window.partitionBy("case_id", "block").orderBy("i")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    is_file, is_hunk = F.col("line").startswith("diff --git "), F.col("line").rlike(_HUNK)
+    is_file, is_hunk = F.col("line").startswith(_FILE), F.col("line").rlike(_HUNK)
     at_hunk = {"old_start": _number(1), "old_len": F.coalesce(_number(2), F.lit(1)), "new_start": _number(3), "new_len": F.coalesce(_number(4), F.lit(1))}
     marked = lines.withColumn("is_hunk", is_hunk).withColumn("mark", F.when(is_file | is_hunk, "").when(F.col("line") == "", " ").otherwise(F.left("line", F.lit(1))))
     counted = marked.withColumns(
         {
-            "block": F.count_if(is_file).over(order),
             "hunk": F.count_if("is_hunk").over(order),
             "old_seen": F.coalesce(F.count_if(F.col("mark").isin(" ", "-")).over(before), F.lit(0)),
             "new_seen": F.coalesce(F.count_if(F.col("mark").isin(" ", "+")).over(before), F.lit(0)),
@@ -48,8 +64,8 @@ def file_diffs(cases: Cases) -> DataFrame:
     def since_hunk(name: str) -> Column:
         return F.col(name) - F.last(F.when(F.col("is_hunk"), F.col(name)), ignorenulls=True).over(order)
 
-    placed = counted.withColumns({"hunk_block": F.last(F.when(F.col("is_hunk"), F.col("block")), ignorenulls=True).over(order), "old_seen": since_hunk("old_seen"), "new_seen": since_hunk("new_seen")})
-    inside = (F.col("hunk_block") == F.col("block")) & F.col("mark").isin(" ", "+", "-")
+    placed = counted.withColumns({"old_seen": since_hunk("old_seen"), "new_seen": since_hunk("new_seen")})
+    inside = (F.col("hunk") > 0) & F.col("mark").isin(" ", "+", "-")
     body = F.coalesce(inside & ((F.col("old_seen") < F.col("old_len")) | (F.col("new_seen") < F.col("new_len"))), F.lit(False))
     # A hunk without new lines starts behind the line that it names.
     first = F.when(F.col("new_len") == 0, F.col("new_start") + 1).otherwise(F.greatest(F.col("new_start"), F.lit(1)))
@@ -75,7 +91,7 @@ def _file_columns() -> dict[str, Column]:
     def says(prefix: str) -> Column:
         return F.bool_or(header & line.startswith(prefix))
 
-    own = F.max(F.when(line.startswith("diff --git "), strip(F.regexp_extract(line, r"^diff --git .*? b/(.*)$", 1))))
+    own = F.max(F.when(line.startswith(_FILE), strip(F.regexp_extract(line, r"^diff --git .*? b/(.*)$", 1))))
     return {"own": own, "renamed_to": after("rename to "), "renamed_from": after("rename from "), "minus": after("--- a/"), "is_new": says("new file mode"), "is_deleted": says("deleted file mode")}
 
 

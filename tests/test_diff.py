@@ -84,3 +84,22 @@ def test_excerpt_shows_deleted_lines_in_place(spark):
     assert rows[2] == []
     assert rows[1] == ["   18   | line 18", "   19   | line 19", "      - | line 20", "   20   | line 21", "   21   | line 22", "   22   | line 23"]
     assert file_diff("a", None, "x").startswith("diff --git")
+
+
+def test_a_long_diff_is_read_by_many_tasks(spark):
+    """Sections, not cases, are dealt to tasks: line numbers run on through the whole diff, and what stands before the first file is block 0."""
+    files = 200
+    text = "a preface\n" + "".join(f"diff --git a/f{k}.py b/f{k}.py\n--- a/f{k}.py\n+++ b/f{k}.py\n@@ -1,2 +1,2 @@\n same\n-old {k}\n+new {k}\n" for k in range(files))
+    cases = spark.createDataFrame([("one", text), ("empty", ""), ("none", None)], "case_id string, diff string")
+    plan = diff.file_diffs(cases)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = {(r["case_id"], r["block"]): r for r in plan.collect()}
+    assert set(rows) == {("one", k) for k in range(files + 1)} | {("empty", 0), ("none", 0)}
+    lines = text.split("\n")
+    for k in range(files):
+        body = rows["one", k + 1]["rows"]
+        assert rows["one", k + 1]["path"] == f"f{k}.py" and [(r["mark"], r["text"]) for r in body] == [(" ", "same"), ("-", f"old {k}"), ("+", f"new {k}")]
+        assert all(lines[r["i"]] == r["mark"] + r["text"] for r in body)
+    assert rows["one", 0]["rows"] == [] and rows["one", 0]["path"] is None
+    tasks = diff.sections(cases.filter("case_id = 'one'")).repartition(4, "case_id", "block").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert min(tasks) > 20
