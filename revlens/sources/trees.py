@@ -1,21 +1,26 @@
-"""Repository snapshots in tar.gz archives, one a commit."""
+"""Repository snapshots in tar.gz archives, one a commit: read from front to back, so no more than one member and a buffer are in memory."""
 
 from __future__ import annotations
 
 import gzip
-import io
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text that a task hands on at once, and what is read of an archive at once.
+BATCH_CHARS, BUFFER = 8 << 20, 1 << 20
 
-def tar_members(data: bytes) -> Iterator[tuple[str, str]]:
-    """(path without its top folder, text) of regular files that are UTF-8."""
-    with tarfile.open(fileobj=io.BytesIO(gzip.decompress(data))) as archive:
+
+def tar_members(packed: BinaryIO) -> Iterator[tuple[str, str]]:
+    """(path without its top folder, text) of regular files that are UTF-8, as they come out of the stream. An archive that breaks off fails, at the latest behind its last member."""
+    with gzip.GzipFile(fileobj=packed) as plain, tarfile.open(fileobj=plain, mode="r|", bufsize=BUFFER) as archive:
         for member in archive:
+            archive.members = []  # the archive would keep the headers of all that were read
             path = member.name.partition("/")[2]
             if not member.isfile() or not path:
                 continue
@@ -23,20 +28,37 @@ def tar_members(data: bytes) -> Iterator[tuple[str, str]]:
                 yield path, archive.extractfile(member).read().decode("utf-8")
             except UnicodeDecodeError:
                 continue
+        while plain.read(BUFFER):  # up to the checksum
+            pass
+
+
+def _batches(commit: str, packed: BinaryIO) -> Iterator[pd.DataFrame]:
+    rows, size = [], 0
+    for path, text in tar_members(packed):
+        rows.append((commit, path, text))
+        size += len(text)
+        if size >= BATCH_CHARS:
+            yield pd.DataFrame(rows, columns=["commit", "path", "text"])
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["commit", "path", "text"])
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """archives (commit, content) -> commit, path, text."""
+    """archives (commit, place: where the archive is) -> commit, path, text. Tasks open the archives themselves; their bytes are in no row."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for commit, content in frame.itertuples(index=False):
-                yield pd.DataFrame([(commit, p, t) for p, t in tar_members(bytes(content))], columns=["commit", "path", "text"])
+            for commit, place in frame.itertuples(index=False):
+                store, path = pyarrow.fs.FileSystem.from_uri(place)
+                with store.open_input_file(path) as packed:
+                    yield from _batches(commit, packed)
 
-    return archives.select("commit", "content").mapInPandas(read, "commit string, path string, text string")
+    return archives.select("commit", "place").mapInPandas(read, "commit string, path string, text string")
 
 
 def read_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Archives named <commit>.tar.gz -> commit, path, text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(folder)
-    return unpack(files.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("commit"), "content"))
+    place = F.regexp_replace("path", "^file:/+", "file:///")
+    return unpack(files.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("commit"), place.alias("place")))
