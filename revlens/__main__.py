@@ -10,6 +10,7 @@ import hashlib
 import os
 import sys
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from .plans import reports, stages
 from .session import session
 from .sources import forge, model, tables
 from .sources.answerlog import logged
+from .sources.comments import CALLS_A_MINUTE
 from .sources.scratch import drop_kept, kept
 
 
@@ -51,7 +53,7 @@ def _parser() -> argparse.ArgumentParser:
     command("rules", cases={}, repo={})
     command("publish", agree={}, rules={}, radius={"type": int, "default": 5}, min_confidence={"type": float, "default": 0.6}, **run)
     command("report", tolerance={"type": int, "default": 10}, **run)
-    command("comment", post={"action": "store_true"}, workspace={}, url={}, case={"action": "append"}, **run)
+    command("comment", post={"action": "store_true"}, workspace={}, url={}, calls_a_minute={"type": float, "default": CALLS_A_MINUTE}, case={"action": "append"}, **run)
     return top
 
 
@@ -116,13 +118,11 @@ def fetch(r: Runs) -> int:
     """What a pull request's two commits fix is kept (by commit) beside the cases and not fetched again; each new one is fetched by a task of its own."""
     a, s = r.args, r.spark
     store = f"{tables.DATA}/{a.repo}/fetched"
-    known = s.read.parquet(store) if tables.path_exists(s, store) else None
-    names = "" if known is None else ",".join(sorted({"-".join(map(str, k)) for k in known.select("pull_id", "commit", "destination").distinct().collect()}))  # one a pull request
-    pulls, new = forge.read_pulls(s, a.url, a.workspace, a.repo, a.state, web_url=a.web_url, known=names)
-    pulls = kept(pulls, "pulls")
-    new.write.mode("append").parquet(store)
-    ends = pulls.select(F.col("id").alias("pull_id"), F.col("source.commit.hash").alias("commit"), F.col("destination.commit.hash").alias("destination"))
-    files = s.read.parquet(store).join(ends, ["pull_id", "commit", "destination"], "left_semi")
+    pulls = kept(forge.read_pulls(s, a.url, a.workspace, a.repo, a.state), "pulls")
+    ends = forge.pull_ends(pulls)
+    new = ends.join(s.read.parquet(store).select(*forge.ENDS).distinct(), list(forge.ENDS), "left_anti") if tables.path_exists(s, store) else ends
+    forge.pull_files(new, a.url, a.workspace, a.web_url).write.mode("append").parquet(store)
+    files = s.read.parquet(store).join(ends, list(forge.ENDS), "left_semi")
     keys = tables.load_answer_key(s, a.answer_key or tables.answer_key_file(a.repo))
     for row in stages.unknown_keys(keys, pulls).collect():
         print(f"only the answer key has pull request {row['pull_id']}", file=sys.stderr)
@@ -226,14 +226,9 @@ def comment(r: Runs) -> int:
         cases = cases.filter(F.col("case_id").isin(*a.case))
     wanted = reports.comments(cases, found, a.run, manifest.get("model"))
     existing = r.spark.createDataFrame([], "pull_id long, id long, raw string, inline boolean, deleted boolean")
-    client, heads = None, None
-    if a.post:
-        client = forge.ForgeClient(a.url, os.environ.get(forge.USER, ""), os.environ.get(forge.SECRET, ""))
-        now = [(row["pull_id"], client.pull_request(a.workspace, manifest["repository"], row["pull_id"])["source"]["commit"]["hash"]) for row in wanted.filter("pull_id IS NOT NULL").select("pull_id").collect()]
-        heads = r.spark.createDataFrame(now, "pull_id long, current string")
-    plan = kept(reports.comment_plan(wanted, existing, heads, tables.complete(manifest)), "comments")
+    plan = kept(reports.comment_plan(wanted, existing, None, tables.complete(manifest)), "comments")
     plan.filter("pull_id IS NOT NULL").select("case_id", "body").repartition("case_id").write.mode("overwrite").partitionBy("case_id").text(f"{r.folder}/comments.txt")
-    log = reports.apply_plan(plan, client, a.workspace, manifest.get("repository"), a.post)
+    log = reports.apply_plan(plan, a.url, a.workspace, manifest.get("repository"), a.post, f"{r.folder}/posts/{uuid4().hex}", calls_a_minute=a.calls_a_minute)
     r.save({"posted": a.post, "log": log}, comments=plan)
     for row in reports.action_counts(r.spark.createDataFrame([(x["action"],) for x in log], "action string")).collect():
         print(f"{row['pulls']} {row['action']}")

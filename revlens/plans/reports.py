@@ -9,6 +9,7 @@ from ..functions.text import cell, lines_of, location, short, strip
 from ..kinds import LEVELS, level_rank, with_kind
 from ..operators import matching
 from ..operators.changes import Cases, touches_code
+from ..sources.comments import posted
 
 HEADING = "### Change review"
 #: Actions that make the forge's comment what it should be.
@@ -172,19 +173,10 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return with_kind(findings).groupBy("severity").agg(F.count("*").alias("findings"))
 
 
-def apply_plan(plan: DataFrame, client, workspace: str, repo: str, post: bool = False) -> list[dict]:
-    """Runs the plan on the driver, one pull request at a time, only with `post`; one failure doesn't stop the others, a refused credential does."""
-    from ..sources.forge import ForgeError, upsert
-
-    log = []
-    for r in plan.toLocalIterator():
-        row = {"case_id": r["case_id"], "pull_request": r["pull_id"], "findings": r["findings"], "action": r["action"]}
-        if post and r["action"] in POSTED:
-            try:
-                row["action"], row["comment_id"] = upsert(client, workspace, repo, r["pull_id"], r["body"], is_ours)
-            except ForgeError as e:
-                if e.status in (401, 403):
-                    raise
-                row |= {"action": "failed", "error": str(e)}
-        log.append(row)
-    return log
+def apply_plan(plan: DataFrame, url: str | None, workspace: str, repo: str, post: bool = False, log: str | None = None, **pace) -> list[dict]:
+    """What became of each row of the plan, in the order of case ids; with `post`, what is to be posted goes through the sink of comments first (logged under `log`)."""
+    rows = plan.select("case_id", F.col("pull_id").alias("pull_request"), "findings", "action")
+    if post:
+        done = posted(plan.filter(F.col("action").isin(*POSTED)), url, workspace, repo, is_ours, log, **pace).select("case_id", F.col("action").alias("_done"), "comment_id", "error")
+        rows = rows.join(done, "case_id", "left").withColumn("action", F.coalesce("_done", "action")).drop("_done")
+    return [{k: v for k, v in r.asDict().items() if k not in ("comment_id", "error") or v} for r in rows.orderBy("case_id").toLocalIterator()]

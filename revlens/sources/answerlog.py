@@ -46,7 +46,7 @@ class Asker:
     answer: Answer = _told
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as tasks on other machines have to know it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     whole = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(folder).toString()
@@ -115,7 +115,7 @@ def _log_questions(questions: DataFrame, path: str, answer: Answer, schema: str,
             return _Writer(self.options["path"], answer, arrow, rows)
 
     spark.dataSource.register(AnswerLog)
-    questions.write.format(format_).option("path", _qualified(spark, path)).mode("append").save()
+    questions.write.format(format_).option("path", qualified(spark, path)).mode("append").save()
 
 
 def logged(spark: SparkSession, log: str, schema: str) -> DataFrame:

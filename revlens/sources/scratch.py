@@ -42,3 +42,19 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     path = f"{_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+class Owned:
+    """Tables that one piece of work keeps and drops, whatever else keeps tables at the time."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{_folder(spark)}/owned-{uuid.uuid4().hex}"
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -32,16 +32,17 @@ def tar_members(packed: BinaryIO) -> Iterator[tuple[str, str]]:
             pass
 
 
-def _batches(commit: str, packed: BinaryIO) -> Iterator[pd.DataFrame]:
+def batched(members: Iterator[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+    """Members in lists of some megabytes."""
     rows, size = [], 0
-    for path, text in tar_members(packed):
-        rows.append((commit, path, text))
+    for path, text in members:
+        rows.append((path, text))
         size += len(text)
         if size >= BATCH_CHARS:
-            yield pd.DataFrame(rows, columns=["commit", "path", "text"])
+            yield rows
             rows, size = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=["commit", "path", "text"])
+        yield rows
 
 
 def unpack(archives: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def unpack(archives: DataFrame) -> DataFrame:
             for commit, place in frame.itertuples(index=False):
                 store, path = pyarrow.fs.FileSystem.from_uri(place)
                 with store.open_input_file(path) as packed:
-                    yield from _batches(commit, packed)
+                    for rows in batched(tar_members(packed)):
+                        yield pd.DataFrame([(commit, path, text) for path, text in rows], columns=["commit", "path", "text"])
 
     return archives.select("commit", "place").mapInPandas(read, "commit string, path string, text string")
 
