@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 from .answerlog import Asker
 from .web import Call, Policy, WebError
 
+#: Answers of one batch.
+TOLD_ROWS = 256
+
 
 @dataclass(frozen=True)
 class Response:
@@ -151,7 +155,9 @@ def told(wanted: DataFrame, asker: Asker, schema: str) -> DataFrame:
     names, arrow, answer = [c.split()[0] for c in schema.split(", ")], to_arrow_schema(StructType.fromDDL(schema)), asker.answer
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in answer(batches):
-            yield pa.RecordBatch.from_pylist([row], arrow).select(names)
+        # Nothing is seen of these answers before all are written, so they leave in batches: one a row costs more than a quick answer itself.
+        rows = answer(batches)
+        while some := list(islice(rows, TOLD_ROWS)):
+            yield pa.RecordBatch.from_pylist(some, arrow).select(names)
 
     return asker.prepare(wanted).mapInArrow(ask, schema)
