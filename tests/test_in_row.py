@@ -1,8 +1,12 @@
-"""Cases that have their files keep them in their row: what is asked about files neither meets contents by digest nor is exchanged."""
+"""Cases that have their files keep them in their row: what is asked about files neither meets contents by digest nor is exchanged; contents that many cases share are dealt over tasks."""
 
 from __future__ import annotations
 
-from revlens.operators import anchoring, changes, diff
+from collections import Counter
+
+import pytest
+
+from revlens.operators import anchoring, changes, diff, symbols
 from tests.cases import frame, make_case
 
 LIB = "_one = 1\nTWO = 2\n\n\ndef f():\n    return _one\n"
@@ -34,6 +38,15 @@ def test_long_diffs_of_cases_with_files(spark, monkeypatch):
     assert short == [sorted(map(repr, read(stored).collect())) for read in (diff.base_revision, lambda c: diff.file_views(c, True))]
 
 
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_a_shared_content_is_dealt(spark, monkeypatch, hot):
+    monkeypatch.setattr(symbols, "HOT", hot)
+    rows = symbols.symbols(changes.files_of(_cases(spark)))
+    got = Counter((r["case_id"], r["path"], r["name"], r["role"], r["walk_ord"]) for r in rows.collect())
+    assert got == Counter((f"c{k}", p, n, role, walk) for k in range(6) for p, t in AFTER.items() for n, role, _, _, walk, *_ in symbols.symbols_of(t) if role not in symbols.ABOUT)
+    assert ("_part" in _plan(rows)) == (hot == 2)
+
+
 def test_one_pass_over_a_section():
     out = diff._Rows()
     lines = ["diff --git a/old b.py b/ new b.py ", "--- a/x.py", "@@ -3 +0,0 @@", "-a\r", "--- a/y.py", "@@ not a hunk", "@@ -9,0 +5,2 @@", "+b", "", "+c", "rename to late.py"]
