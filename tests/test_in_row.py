@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from revlens.operators import anchoring, changes, diff, symbols
+from revlens.operators import anchoring, changes, diff, symbols, workspace
 from tests.cases import frame, make_case
 
 LIB = "_one = 1\nTWO = 2\n\n\ndef f():\n    return _one\n"
@@ -52,3 +52,20 @@ def test_one_pass_over_a_section():
     lines = ["diff --git a/old b.py b/ new b.py ", "--- a/x.py", "@@ -3 +0,0 @@", "-a\r", "--- a/y.py", "@@ not a hunk", "@@ -9,0 +5,2 @@", "+b", "", "+c", "rename to late.py"]
     assert diff._read(lines, 10, out) == ("y.py", "late.py", False, False)
     assert list(zip(*out.columns, strict=True)) == [(13, 1, "-", "a", 3, 1, 1, 0), (17, 2, "+", "b", 9, 5, 5, 2), (18, 2, " ", "", 9, 6, 5, 2)]
+
+
+def test_names_are_read_when_they_are_asked_for(monkeypatch):
+    read, plain = [], workspace.names_of
+    monkeypatch.setattr(workspace, "names_of", lambda head: read.extend(head) or plain(head))
+    space = workspace.Workspace({"b.py": "def f():\n    return g\n", "a.py": "g = f()\nf()\n", "c.py": "other = 1\n", "d.txt": "f"}, {}, {})
+    assert space.read_file("a.py", 1, 1) and not read
+    assert space.find_definition("f") == "b.py:1: def f():" and space.find_usages("f") == "a.py:1: g = f()\na.py:2: f()" and space.find_definition("g") == "a.py:1: g = f()"
+    assert sorted(read) == ["a.py", "b.py", "d.txt"]
+
+
+def test_columns_ride_along_with_a_diff(spark, monkeypatch):
+    cases = _cases(spark, 2)
+    short = sorted(map(repr, diff.parse_diff(cases, "pr_title").collect()))
+    assert len(short) == 2 and "A change" in short[0] and "Exchange" not in _plan(diff.parse_diff(cases.filter("length(diff) < 9999"), "pr_title")).partition("Union")[0]
+    monkeypatch.setattr(diff, "LONG", -1)
+    assert short == sorted(map(repr, diff.parse_diff(cases, "pr_title").collect()))
