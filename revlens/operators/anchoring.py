@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_path, normalise
@@ -33,11 +33,16 @@ def shown_texts(cases: Cases, with_deletions: bool = False) -> DataFrame:
 
 def quote_hits(quoted: DataFrame, min_quote: int = MIN_QUOTE) -> DataFrame:
     """Rows with _quote and a file's text, with _found (lines that hold the quote) and _gone (the place of the first deleted line that does)."""
-    quote, known = F.col("_quote"), F.char_length("_quote") >= min_quote
+    return quoted.withColumns(hits_of(F.col("_quote"), min_quote))
+
+
+def hits_of(quote: Column, min_quote: int) -> dict[str, Column]:
+    """_found and _gone of a quote in the file of the row."""
+    known = F.char_length(quote) >= min_quote
     # A quote holds no line feed, so one search through the file's text tells whether any line has it; only then are the lines looked at.
     found = F.when(known & F.col("_said").contains(quote), F.array_compact(F.transform(F.split("_said", "\n"), lambda x, k: F.when(x.contains(quote), k + 1))))
     lost = F.when(known & (F.size("_lost") > 0), F.get(F.filter("_lost", lambda x: x["said"].contains(quote)), F.lit(0)))
-    return quoted.withColumns({"_found": found, "_gone": lost["at"]})
+    return {"_found": found, "_gone": lost["at"]}
 
 
 def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_deletions: bool = False) -> DataFrame:
@@ -45,7 +50,7 @@ def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_del
 
     anchored: the quote is the line named; snapped: it is exactly one other line; ambiguous: several; deleted-line: a line that the change
     deleted (if those are shown); unchecked: too short, or the file isn't shown; unsupported: nowhere. A claim meets its file as one row, and its quote is looked for
-    inside it; quotes.anchor_shared is for few quotes that are claimed of many files.
+    inside it; quotes.anchor_shared and anchor_every are for few quotes that are claimed of many files.
     """
     shown = shown_texts(cases, with_deletions)
     quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).join(shown, ["case_id", "file"], "left")

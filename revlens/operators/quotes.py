@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise
 from ..sources.scratch import kept
-from .anchoring import MIN_QUOTE, decided, quote_hits, shown_texts
+from .anchoring import MIN_QUOTE, decided, hits_of, quote_hits, shown_texts
 from .changes import Cases
 
 GRAM, WINDOW, SHORT = 8, 24, 4
@@ -114,3 +114,20 @@ def anchor_shared(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, w
     place = [quoted["case_id"] == lines["case_id"], quoted["file"] == lines["file"], quoted["line"].eqNullSafe(lines["_line"])]
     joined = quoted.join(lines, place, "left").drop(lines["case_id"], lines["file"], lines["_line"])
     return decided(joined.join(hits, ["case_id", "file", "_quote"], "left"), claims.columns, min_quote)
+
+
+def anchor_every(places: DataFrame, asked: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_deletions: bool = False) -> DataFrame:
+    """As anchoring.anchor, for claims that every quote of asked (ord, quote) is at every one of places (case_id, file, line). What may hold which quotes is settled in one row a place, and the
+    quotes, few as they are, go to every task: claims, of which there are as many as places times quotes, are made where they leave, and nothing of theirs is exchanged."""
+    shown = kept(shown_texts(cases, with_deletions), "shown-texts")
+    names = asked.withColumn("_quote", normalise(F.coalesce("quote", F.lit(""))))
+    everything = shown.select("case_id", "file", F.concat_ws("\n", "_said", F.array_join(F.transform("_lost", lambda x: x["said"]), "\n")).alias("text"))
+    pairs = candidates(names.filter(F.char_length("_quote") >= min_quote).select(F.col("_quote").alias("quote")).distinct(), everything)
+    perhaps = pairs.groupBy("case_id", "file").agg(F.collect_set("quote").alias("_perhaps"))
+    met = places.join(shown, ["case_id", "file"], "left").join(perhaps, ["case_id", "file"], "left")
+    hits = F.filter(F.transform("_perhaps", lambda q: F.struct(q.alias("_quote"), *(c.alias(n) for n, c in hits_of(q, min_quote).items()))), lambda h: (F.size(h["_found"]) > 0) | h["_gone"].isNotNull())
+    there = F.when(F.col("line").between(1, F.col("_top")), F.split_part("_said", F.lit("\n"), F.greatest(F.col("line"), F.lit(1))))
+    rows = met.select("case_id", "file", "line", "_top", there.alias("_there"), F.coalesce(hits, F.expr("array()")).alias("_all"))
+    own = F.when(F.size("_all") > 0, F.get(F.filter("_all", lambda h: h["_quote"] == F.col("_quote")), F.lit(0)))
+    claimed = rows.crossJoin(F.broadcast(names)).withColumn("_own", own).withColumns({"_found": F.col("_own._found"), "_gone": F.col("_own._gone")})
+    return decided(claimed, ["case_id", "ord", "file", "line", "quote"], min_quote)

@@ -56,6 +56,26 @@ def test_equals_looking_into_every_text(spark):
     assert quotes.anchor_shared(claims.limit(0), cases).count() == 0
 
 
+def test_every_quote_at_every_place(spark):
+    r = random.Random(11)
+    before = {f"f{k}.py": texts(r, 9) for k in range(4)}
+    after = {p: "\n".join(t.split("\n")[2:]) + "\nnew = 1\n" for p, t in before.items()} | {"blank.py": "\n\n"}
+    cases = frame(spark, [make_case("one", before, after), make_case("two", before, dict(list(after.items())[:2]))])
+    lines = [x for t in before.values() for x in t.split("\n")]
+    said = [r.choice(lines)[: r.randint(0, 90)] for _ in range(15)] + [None, "", "x", "new = 1", "new = 1", "nowhere to be found", before["f0.py"].split("\n")[0]]
+    asked = spark.createDataFrame(list(enumerate(said)), "ord long, quote string")
+    at = [(c, f, line) for c in ("one", "two", "three") for f in ("f0.py", "f3.py", "blank.py", "missing.py") for line in (None, 1, 2, 9)] + [("one", "f0.py", 1)]
+    places = spark.createDataFrame(at, "case_id string, file string, line int")
+    claims = places.crossJoin(asked).select("case_id", "ord", "file", "line", "quote")
+    for form in (cases, changes.split(cases)):
+        for deletions in (False, True):
+            got = quotes.anchor_every(places, asked, form, with_deletions=deletions)
+            assert rows_of(got) == rows_of(anchoring.anchor(claims, form, with_deletions=deletions).select(got.columns))
+    # Claims come to be behind the last exchange.
+    above, crossed, _ = got._jdf.queryExecution().executedPlan().toString().partition("BroadcastNestedLoopJoin")
+    assert crossed and "Exchange" not in above
+
+
 def test_few_texts_are_looked_into(spark):
     texts_ = spark.createDataFrame([(str(k), "t.py", f"document number {k} speaks of nothing but its own number, which is {k * 7919}") for k in range(500)], "case_id string, file string, text string")
     asked = spark.createDataFrame([("speaks of nothing but its own number, which is 39595",), ("document number 77 speaks of nothing",), ("nobody says this anywhere in the five hundred texts",), ("7919",)], "quote string")
