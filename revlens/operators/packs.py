@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..definitions import definitions
 from ..functions.text import estimated_tokens, strip
-from .changes import Cases
-from .diff import file_views
-from .symbols import facts
+from .changes import Cases, split, with_maps
+from .diff import case_views, file_views, is_small
+from .symbols import OF_CASE, facts, facts_of_row, read_symbols
 
 DELETED = "How to read the listings: `+` is a new row, `-` one that is gone (shown at its old place, without a number), all others are as before."
 FACTS = "Names that the change introduces, looked up in every file. What is said here is measured; whether it matters is for you to judge."
@@ -33,22 +33,59 @@ def _rows(*texts: str | Column) -> Column:
 
 
 def packs(cases: Cases, with_facts: bool = False, with_deletions: bool = False, store: str | None = None) -> DataFrame:
-    """case_id, code_lines (numbered rows shown), system, user, estimated_prompt_tokens: one call a case."""
-    none = F.array().cast("array<string>")
-    shown = F.size(F.filter("printed", lambda r: r["line_no"].isNotNull()))
-    blocks = file_views(cases, with_deletions).select(
-        "case_id",
-        "path",
-        shown.alias("shown"),
-        (F.size("printed") - shown).alias("gone"),
-        F.flatten(F.array(_rows(F.concat(F.lit("# FILE "), "path"), "", "```"), F.transform("printed", lambda r: r["row"]), _rows("```", ""))).alias("block"),
-    )
+    """case_id, code_lines (numbered rows shown), system, user, estimated_prompt_tokens: one call a case. Small cases that have their files become texts in their row; others are put
+    together by joins, as are all whose symbols come from a store."""
+    rows = with_maps(cases)
+    if rows is None or (with_facts and store is not None):
+        return _texts(_met_by_join(cases, with_facts, with_deletions, store))
+    short = _met_in_row(rows.filter(is_small()), with_facts, with_deletions)
+    return _texts(short).unionByName(_texts(_met_by_join(split(rows.filter(~is_small())), with_facts, with_deletions, None)))
+
+
+def _block(path: Column, printed: Column) -> Column:
+    """A file as it is shown."""
+    return F.flatten(F.array(_rows(F.concat(F.lit("# FILE "), path), "", "```"), F.transform(printed, lambda r: r["row"]), _rows("```", "")))
+
+
+def _shown(printed: Column) -> Column:
+    """How many numbered rows are printed."""
+    return F.size(F.filter(printed, lambda r: r["line_no"].isNotNull()))
+
+
+def _fact(x: Column) -> Column:
+    return F.concat(F.lit("- `"), x["subject"], F.lit("`: "), x["statement"])
+
+
+def _met_in_row(rows: DataFrame, with_facts: bool, with_deletions: bool) -> DataFrame:
+    """case_id, pr_title, pr_description, body (rows, or null), code_lines, gone, facts (rows, or null), of cases with files and short diffs."""
+    more = ("pr_title", "pr_description", *(["context_files"] if with_facts else []))
+    views = case_views(rows, with_deletions, *more, *(["added_lines"] if with_facts else []), **({"then": read_symbols, "adds": OF_CASE} if with_facts else {}))
+    count = lambda of: F.aggregate(F.transform("views", of), F.lit(0).cast("long"), lambda n, k: n + k)
+    said = F.transform(facts_of_row(), _fact) if with_facts else F.lit(None).cast("array<string>")
+    return views.select(
+        "case_id", "pr_title", "pr_description", F.flatten(F.transform("views", lambda v: _block(v["path"], v["printed"]))).alias("body"), count(lambda v: _shown(v["printed"])).alias("code_lines"),
+        count(lambda v: F.size(v["printed"]) - _shown(v["printed"])).alias("gone"), said.alias("facts"),
+    )
+
+
+def _met_by_join(cases: Cases, with_facts: bool, with_deletions: bool, store: str | None) -> DataFrame:
+    """As _met_in_row."""
+    shown, printed = _shown(F.col("printed")), F.col("printed")
+    blocks = file_views(cases, with_deletions).select("case_id", "path", shown.alias("shown"), (F.size(printed) - shown).alias("gone"), _block(F.col("path"), printed).alias("block"))
     bodies = blocks.groupBy("case_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "block"))), lambda x: x["block"])).alias("body"),
         F.sum("shown").alias("code_lines"),
         F.sum("gone").alias("gone"),
     )
     out = cases.select("case_id", "pr_title", "pr_description").join(bodies, "case_id", "left")
+    if not with_facts:
+        return out.withColumn("facts", F.lit(None).cast("array<string>"))
+    said = facts(cases, store=store).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "subject", "statement"))), _fact).alias("facts"))
+    return out.join(said, "case_id", "left")
+
+
+def _texts(met: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
     title, text = strip(F.coalesce("pr_title", F.lit(""))), strip(F.coalesce("pr_description", F.lit("")))
     head = F.flatten(
         F.array(
@@ -58,15 +95,8 @@ def packs(cases: Cases, with_facts: bool = False, with_deletions: bool = False,
             F.when(F.coalesce("gone", F.lit(0)) > 0, _rows(DELETED, "")).otherwise(none),
         )
     )
-    tail = none
-    if with_facts:
-        said = facts(cases, store=store).groupBy("case_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "subject", "statement"))), lambda x: F.concat(F.lit("- `"), x["subject"], F.lit("`: "), x["statement"])).alias("facts")
-        )
-        out = out.join(said, "case_id", "left")
-        tail = F.when(F.col("facts").isNull(), none).otherwise(F.flatten(F.array(_rows("# NEW NAMES ELSEWHERE", "", FACTS, ""), F.col("facts"), _rows(""))))
-    system = system_prompt()
-    out = out.withColumn("user", _joined(head, F.coalesce("body", none), tail)).withColumn("system", F.lit(system))
+    tail = F.when(F.size("facts") > 0, F.flatten(F.array(_rows("# NEW NAMES ELSEWHERE", "", FACTS, ""), F.col("facts"), _rows("")))).otherwise(none)
+    out = met.withColumn("user", _joined(head, F.coalesce("body", none), tail)).withColumn("system", F.lit(system_prompt()))
     return out.select("case_id", F.coalesce("code_lines", F.lit(0)).alias("code_lines"), "system", "user", estimated_tokens(F.col("system"), F.col("user")).alias("estimated_prompt_tokens"))
 
 

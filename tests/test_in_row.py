@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from revlens.operators import anchoring, changes, diff, symbols, workspace
+from revlens.operators import anchoring, changes, diff, packs, symbols, workspace
 from tests.cases import frame, make_case
 
 LIB = "_one = 1\nTWO = 2\n\n\ndef f():\n    return _one\n"
@@ -31,6 +31,20 @@ def test_files_are_read_where_they_stand(spark):
         assert sorted(map(repr, read(stored).collect())) == sorted(map(repr, read(joined).collect()))
 
 
+def test_texts_and_facts_of_small_cases_stay_in_their_row(spark, monkeypatch):
+    twice = "_new = TWO_TOO = 2\nold = 2\n\n\ndef _lone():\n    return None\n\n\nclass __C:\n    _new = 7\n"
+    more = [make_case("twins", BEFORE, AFTER | {"a.py": twice, "z.py": "".join(f"N{k} = 2\r\n" for k in range(20)), "bad.py": "def (", "_x.txt": "q"}), make_case("none", {"d.md": "x"}, {"d.md": "y"})]
+    stored = changes.split(_cases(spark, 2).unionByName(frame(spark, more)))
+    assert "Exchange" not in _plan(packs._met_in_row(stored.rows, True, True))
+    reads = (symbols.facts, *(lambda c, f=f, d=d: packs.packs(c, f, d) for f in (False, True) for d in (False, True)))
+    in_row = [sorted(map(repr, read(stored).collect())) for read in reads]
+    assert len(in_row[0]) > 12 and any("equals (as 2)" in x for x in in_row[0])
+    joined = changes.Changes(stored.cases, stored.files, stored.blobs)
+    assert in_row == [sorted(map(repr, read(joined).collect())) for read in reads]
+    monkeypatch.setattr(diff, "LONG", 500)  # some of the cases are small
+    assert in_row == [sorted(map(repr, read(stored).collect())) for read in reads]
+
+
 def test_long_diffs_of_cases_with_files(spark, monkeypatch):
     stored = changes.split(_cases(spark))
     short = [sorted(map(repr, read(stored).collect())) for read in (diff.base_revision, lambda c: diff.file_views(c, True))]
