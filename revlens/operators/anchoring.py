@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_path, normalise
-from .changes import Cases, files_of, touches_code
-from .diff import base_revision, file_views
+from .changes import Cases, files_of, touches_code, with_maps
+from .diff import base_revision, shown_files
 
 MIN_QUOTE = 4
 SLACK = 3
@@ -15,7 +15,11 @@ SLACK = 3
 
 def scope(claims: DataFrame, cases: Cases) -> DataFrame:
     """claims with `kept` and `detail`: a claim must be about a file that its change touches, and the change must touch code."""
-    facts = cases.select("case_id", "changed_files").join(touches_code(cases).withColumnRenamed("code", "_code"), "case_id", "left")
+    rows = with_maps(cases)
+    if rows is None:
+        facts = cases.select("case_id", "changed_files").join(touches_code(cases).withColumnRenamed("code", "_code"), "case_id", "left")
+    else:
+        facts = rows.select("case_id", "changed_files", F.exists(F.map_keys("head_files"), lambda p: p.endswith(".py")).alias("_code"))
     joined = claims.join(facts, "case_id", "left")
     inside = F.coalesce(F.array_contains("changed_files", F.col("file")), F.lit(False))
     code = F.coalesce("_code", F.lit(False))
@@ -25,10 +29,14 @@ def scope(claims: DataFrame, cases: Cases) -> DataFrame:
 
 def shown_texts(cases: Cases, with_deletions: bool = False) -> DataFrame:
     """One row a file that is shown: case_id, file, _said (its normalised lines, from 1 on without a gap), _top (how many), _lost (deleted lines: i, at, said)."""
-    views = file_views(cases, with_deletions)
-    said = F.array_join(F.transform(F.filter("printed", lambda r: r["line_no"].isNotNull()), lambda r: normalise(r["text"])), "\n")
-    gone = F.transform(F.filter("printed", lambda r: r["line_no"].isNull()), lambda r: F.struct(r["nth"].alias("i"), r["at"].alias("at"), normalise(r["text"]).alias("said")))
-    return views.select("case_id", F.col("path").alias("file"), said.alias("_said"), F.size(F.filter("printed", lambda r: r["line_no"].isNotNull())).alias("_top"), F.array_sort(gone).alias("_lost"))
+    files = shown_files(cases, with_deletions)
+    top = F.greatest(F.col("last"), F.lit(0))
+    said = F.array_join(F.transform(F.slice("lines", F.lit(1), top), normalise), "\n")
+    lost = F.array().cast("array<struct<i: int, at: int, said: string>>")
+    if with_deletions:
+        gone = F.transform("gone", lambda r: F.struct(r["i"].alias("i"), r["new_no"].alias("at"), normalise(r["text"]).alias("said")))
+        lost = F.coalesce(F.array_sort(gone), lost)
+    return files.select("case_id", F.col("path").alias("file"), said.alias("_said"), top.alias("_top"), lost.alias("_lost"))
 
 
 def quote_hits(quoted: DataFrame, min_quote: int = MIN_QUOTE) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..definitions import definitions
 from ..functions.text import estimated_tokens, strip
+from ..sources.scratch import kept
 from .changes import Cases, split, with_maps
 from .diff import case_views, file_views, is_small
 from .symbols import OF_CASE, facts, facts_of_row, read_symbols
@@ -38,8 +39,11 @@ def packs(cases: Cases, with_facts: bool = False, with_deletions: bool = False,
     rows = with_maps(cases)
     if rows is None or (with_facts and store is not None):
         return _texts(_met_by_join(cases, with_facts, with_deletions, store))
-    short = _met_in_row(rows.filter(is_small()), with_facts, with_deletions)
-    return _texts(short).unionByName(_texts(_met_by_join(split(rows.filter(~is_small())), with_facts, with_deletions, None)))
+    short, large = _met_in_row(rows.filter(is_small()), with_facts, with_deletions), rows.filter(~is_small())
+    if with_facts:
+        # The joins read them many times, and all cases to find them.
+        large = kept(large.select("case_id", "pr_title", "pr_description", "added_lines", "head_files", "context_files", "diff"), "large-cases")
+    return _texts(short).unionByName(_texts(_met_by_join(split(large), with_facts, with_deletions, None)))
 
 
 def _block(path: Column, printed: Column) -> Column:

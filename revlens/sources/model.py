@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
@@ -138,16 +138,16 @@ def resolve_client(stub: str | None = None, model: str | None = None, dry_run: b
     return ChatServer(model, **options)
 
 
-def pack_asker(make_client: Callable[[], object], schema: dict) -> Asker:
-    """packs (case_id, system, user) -> responses, one call a row. The partitions bound how many calls run at once."""
+def pack_asker(make_client: Callable[[], object], schema: dict, system: str | None = None) -> Asker:
+    """packs (case_id, system, user) -> responses, one call a row. The partitions bound how many calls run at once. A system text that all packs have goes along once, not with each row."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         client = make_client()
         for batch in batches:
             for row in batch.to_pylist():
-                yield {"case_id": row["case_id"], **asdict(client.complete(row["system"], row["user"], schema))}
+                yield {"case_id": row["case_id"], **vars(client.complete(row["system"] if system is None else system, row["user"], schema))}
 
-    return Asker(lambda packs: packs.select("case_id", "system", "user"), answer)
+    return Asker(lambda packs: packs.select("case_id", *(["system"] if system is None else []), "user"), answer)
 
 
 def told(wanted: DataFrame, asker: Asker, schema: str) -> DataFrame:
