@@ -87,3 +87,21 @@ def test_deleted_lines_that_came_back_are_cancelled_one_by_one():
                 if back[key] < 0:
                     left.append(("f.py", k + 4, r[1:]))
         assert [(p, i, t) for p, _, i, t in diff._gone_from(text)] == left
+
+
+def test_names_that_nothing_can_be_said_of_are_not_shipped():
+    of = lambda text, added: symbols._asked_of_case({"a.py": text}, [("l.py", "def f():\n    INNER = 2\nTWO = 2\n")], {"a.py": added})
+    assert of("ONE = 1\nONE = 1\n", [1, 2]) == of("TWO = 2\n", [1]) == of("T = f()\n", [1]) == []
+    assert len(of("ONE = 1\nTOO = 2\nONE = 2\n", [1])) == 0
+    assert {x[2] for x in of("def g():\n    IN = 2\n", [2])} == {"IN", "TWO"}
+    assert {x[2] for x in of("ONE = 1\nTOO = 2\nONE = 2\n", [1, 2])} == {"ONE", "TOO", "TWO"}
+
+
+def test_rows_are_numbered_as_a_format_would(spark):
+    from pyspark.sql import functions as F
+
+    from revlens.functions.text import numbered
+
+    rows = spark.createDataFrame([(n, a, t) for n in (1, 12345, 99_999, 100_000, 1_234_567) for a in (True, False, None) for t in ("", " x | y")], "n int, a boolean, t string")
+    for r in rows.select("n", "a", "t", numbered(F.col("n"), F.col("a"), F.col("t")).alias("row")).collect():
+        assert r["row"] == "%5d %s | %s" % (r["n"], "+" if r["a"] else " ", r["t"])
