@@ -75,19 +75,30 @@ def _entries(found: Column) -> Column:
     return F.transform(F.try_variant_get(found, "$", "array<variant>"), one)
 
 
-def _claim(e: Column) -> Column:
-    item = e["item"]
-    number = F.try_variant_get(item, "$.confidence", "double")
-    missing = F.try_variant_get(item, "$.confidence", "variant").isNull()
-    return F.struct(
-        e["ord"].alias("ord"),
-        e["file"].alias("file"),
-        e["line"].alias("line"),
-        strip(_text(item, "type")).alias("type"),
-        strip(_text(item, "title")).alias("title"),
-        F.when(missing, 1.0).otherwise(clamp(number)).alias("confidence"),
-        _text(item, "quote").alias("quote"),
-    )
+#: An entry as it is read at once. A field of another type is null, and so is an entry that is no object.
+_ENTRY = "struct<file: string, line: int, type: string, title: string, confidence: variant, quote: string>"
+
+
+def claims_of(text: Column) -> Column:
+    """The claims of an answer: an array of (ord, file, line, type, title, confidence, quote), null or empty if it lists nothing that can be read. The list is taken out of the answer in one go."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+
+    def claim(x: Column, k: Column, file: Column) -> Column:
+        number = F.try_variant_get(x["confidence"], "$", "double")
+        made = F.struct(
+            k.cast("long").alias("ord"),
+            file.alias("file"),
+            x["line"].alias("line"),
+            strip(said(x["type"])).alias("type"),
+            strip(said(x["title"])).alias("title"),
+            F.when(x["confidence"].isNull(), 1.0).otherwise(clamp(number)).alias("confidence"),
+            said(x["quote"]).alias("quote"),
+        )
+        return F.when((x["line"] >= 1) & (file != ""), made)
+
+    whole = F.when(text.startswith("{") & text.endswith("}"), text).otherwise(strip(said(text)))
+    listed = F.try_variant_get(F.try_parse_json(whole), "$.findings", f"array<{_ENTRY}>")
+    return F.array_compact(F.transform(listed, lambda x, k: let(F.translate(strip(said(x["file"])), "\\", "/"), lambda file: claim(x, k, file))))
 
 
 def parse_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +106,8 @@ def parse_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A missing confidence is 1, a null or unreadable one 0. Duplicate keys and NaN make an answer unreadable.
     """
-    fine = lambda found: F.transform(F.filter(_entries(found), lambda e: e["stage"].isNull()), _claim)
-    claimed = _read(F.col("text"), lambda t, doc, kind, found: F.when(_fault(t, doc, kind, found).isNull(), fine(found)))
     # The outer form makes no filter, which would make the array once more.
-    claims = answers.select("case_id", F.inline_outer(claimed)).filter("ord IS NOT NULL")
+    claims = answers.select("case_id", F.inline_outer(claims_of(F.col("text")))).filter("ord IS NOT NULL")
 
     odd = lambda found: F.transform(F.filter(_entries(found), lambda e: e["stage"].isNotNull()), lambda e: F.struct(e["stage"].alias("stage"), e["detail"].alias("detail"), F.left(F.to_json(e["item"]), F.lit(200)).alias("payload")))
     rejected = _read(F.col("text"), lambda t, doc, kind, found: let(_fault(t, doc, kind, found), lambda fault: F.when(fault.isNull(), odd(found)).otherwise(F.array(fault))))
@@ -126,7 +135,11 @@ def parse_verdicts(answers: DataFrame) -> DataFrame:
     )
 
 
+#: A writer that is made once; json.dumps makes one for each answer.
+_WRITER = json.JSONEncoder(ensure_ascii=False)
+
+
 def render_answer(claims: list[dict]) -> str:
     """Claims as an answer's text, for stubs."""
     rows = [{k: c[k] for k in FIELD_ORDER if k != "quote" or c.get("quote")} for c in claims]
-    return json.dumps({"findings": rows}, ensure_ascii=False)
+    return _WRITER.encode({"findings": rows})

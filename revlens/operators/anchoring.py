@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_path, normalise
+from ..functions.text import clean_path, let, normalise, normalised_text
 from .changes import Cases, files_of, touches_code, with_maps
-from .diff import base_revision, shown_files
+from .diff import base_revision, last_line, lines_of_text, shown_files
 
 MIN_QUOTE = 4
 SLACK = 3
@@ -20,23 +20,67 @@ def scope(claims: DataFrame, cases: Cases) -> DataFrame:
         facts = cases.select("case_id", "changed_files").join(touches_code(cases).withColumnRenamed("code", "_code"), "case_id", "left")
     else:
         facts = rows.select("case_id", "changed_files", F.exists(F.map_keys("head_files"), lambda p: p.endswith(".py")).alias("_code"))
-    joined = claims.join(facts, "case_id", "left")
+    return _scoped(claims.join(facts, "case_id", "left")).drop("_code", "changed_files")
+
+
+def _scoped(claims: DataFrame) -> DataFrame:
+    """claims with changed_files and _code (is code changed?) of their case -> the same with kept and detail."""
     inside = F.coalesce(F.array_contains("changed_files", F.col("file")), F.lit(False))
     code = F.coalesce("_code", F.lit(False))
     detail = F.when(~code, "no code file is changed").when(~inside, F.concat(F.lit("unchanged file: "), "file")).otherwise("")
-    return joined.withColumn("kept", code & inside).withColumn("detail", detail).drop("_code", "changed_files")
+    return claims.withColumn("kept", code & inside).withColumn("detail", detail)
 
 
 def shown_texts(cases: Cases, with_deletions: bool = False) -> DataFrame:
     """One row a file that is shown: case_id, file, _said (its normalised lines, from 1 on without a gap), _top (how many), _lost (deleted lines: i, at, said)."""
     files = shown_files(cases, with_deletions)
-    top = F.greatest(F.col("last"), F.lit(0))
-    said = F.array_join(F.transform(F.slice("lines", F.lit(1), top), normalise), "\n")
-    lost = F.array().cast("array<struct<i: int, at: int, said: string>>")
-    if with_deletions:
-        gone = F.transform("gone", lambda r: F.struct(r["i"].alias("i"), r["new_no"].alias("at"), normalise(r["text"]).alias("said")))
-        lost = F.coalesce(F.array_sort(gone), lost)
-    return files.select("case_id", F.col("path").alias("file"), said.alias("_said"), top.alias("_top"), lost.alias("_lost"))
+    return files.select("case_id", F.col("path").alias("file"), *_said_of(F.col("lines"), F.col("last"), F.col("gone") if with_deletions else None))
+
+
+def _said_of(lines: Column, last: Column, gone: Column | None) -> list[Column]:
+    """_said, _top and _lost of a file."""
+    top = F.greatest(last, F.lit(0))
+    said = F.array_join(F.transform(F.slice(lines, F.lit(1), top), normalise), "\n")
+    return [said.alias("_said"), top.alias("_top"), _lost_of(gone).alias("_lost")]
+
+
+def _lost_of(gone: Column | None) -> Column:
+    none = F.array().cast("array<struct<i: int, at: int, said: string>>")
+    if gone is None:
+        return none
+    rows = F.transform(gone, lambda r: F.struct(r["i"].alias("i"), r["new_no"].alias("at"), normalise(r["text"]).alias("said")))
+    return F.coalesce(F.sort_array(rows), none)
+
+
+def met_in_row(rows: DataFrame, claims: Column) -> DataFrame:
+    """rows: case_id, changed_files, head_files, all_gone (array of GONE) of small cases; claims: an array of theirs -> one row a claim: case_id, its fields, changed_files, _code, and _shown (what
+    shown_texts has of its file, or null). Nothing is joined: a claim stands beside its case's files."""
+
+    def shown(e: Column, gone: Column) -> Column:
+        own = F.filter(gone, lambda r: r["path"] == e["key"])
+        made = lambda *said: F.struct(e["key"].alias("path"), *said)
+        by_line = let(lines_of_text(e["value"]), lambda lines: let(last_line(lines), lambda last: made(*_said_of(lines, last, own))))
+        top = lambda text: F.when(text == "", 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1)
+        whole = let(normalised_text(F.coalesce(e["value"], F.lit(""))), lambda text: made(text.alias("_said"), top(text).alias("_top"), _lost_of(own).alias("_lost")))
+        return F.when(e["value"].contains("| "), by_line).otherwise(whole)
+
+    head = F.coalesce("head_files", F.create_map().cast("map<string, string>"))
+    claimed = F.filter(F.map_entries(head), lambda e: e["key"].endswith(".py") & F.exists("_claims", lambda c: c["file"] == e["key"]))
+    code = F.exists(F.map_keys(head), lambda p: p.endswith(".py"))
+    cases = rows.withColumn("_claims", claims).select("case_id", "_claims", "changed_files", code.alias("_code"), F.transform(claimed, lambda e: shown(e, F.col("all_gone"))).alias("_files"))
+    one = cases.select("case_id", F.inline_outer("_claims"), "changed_files", "_code", "_files").filter("ord IS NOT NULL")
+    return one.withColumn("_shown", F.get(F.filter("_files", lambda s: s["path"] == F.col("file")), F.lit(0))).drop("_files")
+
+
+def scope_in_row(met: DataFrame) -> DataFrame:
+    """scope of the claims of met_in_row, which keep what they have met."""
+    return _scoped(met)
+
+
+def anchor_in_row(scoped: DataFrame, columns: list[str], min_quote: int = MIN_QUOTE) -> DataFrame:
+    """anchor (with deletions) of claims of met_in_row."""
+    quoted = scoped.select(*columns, normalise(F.coalesce("quote", F.lit(""))).alias("_quote"), *[F.col("_shown")[c].alias(c) for c in ("_said", "_top", "_lost")])
+    return _anchored(quoted, columns, min_quote)
 
 
 def quote_hits(quoted: DataFrame, min_quote: int = MIN_QUOTE) -> DataFrame:
@@ -62,8 +106,14 @@ def anchor(claims: DataFrame, cases: Cases, min_quote: int = MIN_QUOTE, with_del
     """
     shown = shown_texts(cases, with_deletions)
     quoted = claims.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).join(shown, ["case_id", "file"], "left")
+    return _anchored(quoted, claims.columns, min_quote)
+
+
+def _anchored(quoted: DataFrame, columns: list[str], min_quote: int) -> DataFrame:
     there = F.when(F.col("line").between(1, F.col("_top")), F.split_part("_said", F.lit("\n"), F.greatest(F.col("line"), F.lit(1))))
-    return decided(quote_hits(quoted, min_quote).withColumn("_there", there), claims.columns, min_quote)
+    told = F.struct("_quote", "_top", there.alias("_there"), *[c.alias(n) for n, c in hits_of(F.col("_quote"), min_quote).items()])
+    # No filter on a verdict goes back through a generator, where it would look for the quote several times more.
+    return decided(quoted.select(*columns, F.inline_outer(F.array(told))), columns, min_quote)
 
 
 def decided(rows: DataFrame, columns: list[str], min_quote: int = MIN_QUOTE) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
@@ -144,12 +145,36 @@ def pack_asker(make_client: Callable[[], object], schema: dict, system: str | No
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         client = make_client()
         for batch in batches:
-            for row in batch.to_pylist():
-                yield {"case_id": row["case_id"], **vars(client.complete(row["system"] if system is None else system, row["user"], schema))}
+            for case_id, user, *own in zip(*(batch.column(c).to_pylist() for c in ("case_id", "user", *(["system"] if system is None else []))), strict=True):
+                yield {"case_id": case_id, **vars(client.complete(own[0] if system is None else system, user, schema))}
 
     return Asker(lambda packs: packs.select("case_id", *(["system"] if system is None else []), "user"), answer)
 
 
+def told_beside(wanted: DataFrame, asker: Asker, schema: str, beside: Sequence[str]) -> DataFrame:
+    """As told, for an asker that gives an answer a row, in order: columns of the questions stay beside their answers."""
+    rows, arrow, answer = asker.prepare(wanted), to_arrow_schema(StructType.fromDDL(schema)), asker.answer
+    names, questions = arrow.names, rows.columns
+    both = StructType([*StructType.fromDDL(schema), *(wanted.schema[c] for c in beside)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, TOLD_ROWS):
+                    waiting.append(whole.slice(at, TOLD_ROWS))
+                    yield waiting[-1].select(questions)
+
+        answers = answer(seen())
+        for first in answers:  # a batch is waiting for its answers now
+            batch = waiting.popleft()
+            some = pa.RecordBatch.from_pylist([first, *islice(answers, batch.num_rows - 1)], arrow)
+            yield pa.RecordBatch.from_arrays([*some.select(names).columns, *(batch.column(c) for c in beside)], names=both.names)
+
+    return wanted.select(*dict.fromkeys([*questions, *beside])).mapInArrow(ask, both)
+
+
 def told(wanted: DataFrame, asker: Asker, schema: str) -> DataFrame:
     """The answers as a DataFrame without a log. Write it before using it twice, or the calls repeat."""
     names, arrow, answer = [c.split()[0] for c in schema.split(", ")], to_arrow_schema(StructType.fromDDL(schema)), asker.answer

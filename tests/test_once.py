@@ -105,3 +105,80 @@ def test_rows_are_numbered_as_a_format_would(spark):
     rows = spark.createDataFrame([(n, a, t) for n in (1, 12345, 99_999, 100_000, 1_234_567) for a in (True, False, None) for t in ("", " x | y")], "n int, a boolean, t string")
     for r in rows.select("n", "a", "t", numbered(F.col("n"), F.col("a"), F.col("t")).alias("row")).collect():
         assert r["row"] == "%5d %s | %s" % (r["n"], "+" if r["a"] else " ", r["t"])
+
+
+def test_plain_settings_are_read_without_the_parser(monkeypatch):
+    rng = random.Random(5)
+    pieces = ["A = 1", "_b = 20", "C = 'x'", 'D = "a b\'c"', 'E = ""', "", "F = 0", "_g = 007", "H = 1_0", "if = 2", "I = 3 # no", " J = 1", "K: int = 1", "_b = 20", "L = -1", 'M = "\\n"', "N  = 1", "__o = 2", "P = 1; Q = 2"]
+    for _ in range(300):
+        text = "\n".join(rng.choices(pieces, k=rng.randrange(5)))
+        plain = symbols._asked_plainly(text)
+        with monkeypatch.context() as m:
+            m.setattr(symbols, "_asked_plainly", lambda _: None)
+            parsed = symbols._asked.__wrapped__(text)
+        assert plain is None or plain == parsed
+    assert len(symbols._asked_plainly('_a = 1\n\nB = "x"\n')) == 3 and symbols._asked_plainly("x = f()") is None
+    with monkeypatch.context() as m:
+        m.setattr(symbols, "parsed", lambda _: 1 / 0)
+        assert symbols._asked.__wrapped__("ONE = 1\n") == [("ONE", "assign", 1, 1, True, "int", "1")]
+
+
+def test_files_that_hold_no_answer_are_not_parsed(monkeypatch):
+    rng = random.Random(7)
+    lines = ["x = 1", "_y = 1", "(z) = 1", "def _f():", "    w = _y", "    pass", "class K:", "    assert 3", "import os; v = 2", "u = \\", "  2", "t = [", "]", '"""', "@deco", "# _y = 1", "print(_y)", "s = r = 2.5", "é = 1"]
+    cases = [{p: "\n".join(rng.choices(lines, k=rng.randrange(1, 7))) for p in ("a.py", "b.py")} for _ in range(2000)]
+    added = [{"a.py": rng.sample(range(1, 8), 3)} for _ in cases]
+    of = lambda: [sorted(symbols._asked_of_case({"a.py": c["a.py"]}, [("b.py", c["b.py"])], n)) for c, n in zip(cases, added, strict=True)]
+    found = of()
+    monkeypatch.setattr(symbols, "_may_define", lambda *_: True)
+    monkeypatch.setattr(symbols, "_may_answer", lambda *_: True)
+    assert found == of() and sum(map(bool, found)) > 60
+    monkeypatch.undo()
+    monkeypatch.setattr(symbols, "_asked", lambda _: 1 / 0)
+    assert symbols._asked_of_case({"test_a.py": "def test_a():\n    assert 7\n"}, [], {"test_a.py": [2]}) == []
+
+
+def test_claims_are_chosen_in_their_row_as_by_windows(spark):
+    from pyspark.sql import functions as F
+
+    from revlens.operators import claims as reduce
+
+    rng = random.Random(9)
+    rows = [(f"c{c}", k, rng.choice("ab"), rng.randrange(1, 5), rng.choice([0.1, 0.5, 0.5, 1.0])) for c in range(30) for k in range(rng.randrange(12))]
+    table = spark.createDataFrame(rows, "case_id string, ord long, file string, line int, confidence double")
+    by_case = table.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ord", "file", "line", "confidence"))).alias("claims"))
+    for limit in (0, 3):
+        chosen = by_case.select("case_id", F.inline(reduce.chosen(F.col("claims"), limit))).collect()
+        assert sorted(chosen) == sorted(reduce.cap(reduce.best_per_line(table), limit).select("case_id", "ord", "file", "line", "confidence").collect())
+
+
+class _Accuser:
+    """Quotes what it is shown, and other things."""
+
+    name = "stub"
+
+    def complete(self, system, user, schema=None):
+        rows = [x.partition(" | ")[2] for x in user.split("\n") if " | " in x]
+        said = [{"file": f, "line": n % 5 + 1, "type": "xss", "title": "t", "confidence": 0.5 + n % 3 / 10, "quote": q} for n, q in enumerate([*rows, "no such row", "ab"]) for f in ("a.py", "b.md", "l.py", "g.py")]
+        return model.Response(text=answers.render_answer(said) if "quiet" not in user else "nope")
+
+
+def test_claims_are_held_to_the_change_beside_their_answers(spark, monkeypatch):
+    texts = ["x = 1\n\ty  =  2 \n\n", "| a = 1\n  12 + | long\n  3 | \n \n", "a = '\\\\\\\\d'\r\nstraße = Σ  1 \r\n", "", "one()\ntwo()\n" * 4, "\n\n  deep = 1"]
+    made = [make_case(f"c{k}", {"a.py": old, "b.md": "b", "l.py": "def f(): pass"}, {"a.py": new, "b.md": "c", "g.py": "new_one = 1\n", "l.py": "def f(): pass"}) for k, (old, new) in enumerate((o, n) for o in texts for n in texts if o != n)]
+    made.append(make_case("quiet", {"a.py": "quiet = 1"}, {"a.py": "quiet = 2"}, pr_title="quiet"))
+    stored = changes.split(frame(spark, made))
+    joined = changes.Changes(stored.cases, stored.files, stored.blobs)
+    parts = ("packs", "responses", "rejects", "claims", "scope", "anchors", "predictions")
+    for limit in (0, 6):
+        plain = stages.detect(joined, _Accuser, limit)
+        want = {p: sorted(map(repr, plain[p].collect())) for p in parts}
+        assert len(want["predictions"]) > 50 and len(want["rejects"]) == 1
+        got = stages.detect(stored, _Accuser, limit)
+        assert "Exchange" not in got["anchors"]._jdf.queryExecution().executedPlan().toString() and "Join" not in got["scope"]._jdf.queryExecution().executedPlan().toString()
+        for p in parts:
+            assert sorted(map(repr, got[p].select(*plain[p].columns).collect())) == want[p], p
+    monkeypatch.setattr(diff, "LONG", 150)  # some of the cases are small
+    got = stages.detect(stored, _Accuser)
+    for p in parts[1:]:
+        assert sorted(map(repr, got[p].select(*plain[p].columns).collect())) == want[p], p
