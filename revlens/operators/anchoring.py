@@ -154,13 +154,28 @@ def cited(evidence: DataFrame, cases: Cases, slack: int = SLACK) -> DataFrame:
     items = evidence.withColumn("_quote", normalise(F.coalesce("quote", F.lit("")))).withColumn("path", clean_path(F.coalesce("file", F.lit(""))))
     texts = files_of(cases).select("case_id", "path", "text").unionByName(base_revision(cases))
     named = items.filter(F.char_length("_quote") >= MIN_QUOTE).select("case_id", "claim", "nth", "path", "line", "_quote")
-    near = F.slice(F.split("text", "\n"), F.greatest(F.col("line") - slack, F.lit(1)), F.greatest(F.col("line") + slack - F.greatest(F.col("line") - slack, F.lit(1)) + 1, F.lit(0)))
-    said = F.transform(near, normalise)
-    hit = F.exists(said, lambda x: x.contains(F.col("_quote")) | ((x != "") & F.col("_quote").contains(x)))
-    found = named.join(texts, ["case_id", "path"]).filter(hit).select("case_id", "claim", "nth").distinct().withColumn("found", F.lit(True))
+    found = named.join(texts, ["case_id", "path"]).filter(_holds(F.col("text"), F.col("line"), F.col("_quote"), slack)).select("case_id", "claim", "nth").distinct().withColumn("found", F.lit(True))
     return items.join(found, ["case_id", "claim", "nth"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("_quote", "path")
 
 
+def _holds(text: Column, line: Column, quote: Column, slack: int) -> Column:
+    """Is the quote, or a line that it contains, within `slack` lines of the line named?"""
+    first = F.greatest(line - slack, F.lit(1))
+    near = F.slice(F.split(text, "\n"), first, F.greatest(line + slack - first + 1, F.lit(0)))
+    return F.exists(F.transform(near, normalise), lambda x: x.contains(quote) | ((x != "") & quote.contains(x)))
+
+
+def settle_in_row(verdicts: DataFrame, slack: int = SLACK) -> DataFrame:
+    """settle of verdicts that stand beside `_texts`, the path and text of their case's files after the change and before it: nothing is joined."""
+
+    def checked(e: Column) -> Column:
+        hit = lambda path, quote: F.exists("_texts", lambda t: (t["path"] == path) & F.coalesce(_holds(t["text"], e["line"], quote, slack), F.lit(False)))
+        place = clean_path(F.coalesce(e["file"], F.lit("")))
+        return let(normalise(F.coalesce(e["quote"], F.lit(""))), lambda quote: let(place, lambda path: (F.char_length(quote) >= MIN_QUOTE) & hit(path, quote)))
+
+    return _settled(verdicts.withColumn("evidence_checked", F.transform("evidence", checked)).drop("_texts"))
+
+
 def settle(verdicts: DataFrame, cases: Cases) -> DataFrame:
     """verdicts (case_id, ord, verdict, evidence) with claimed_verdict, evidence_checked, and verdict `unsettled` unless some evidence exists."""
     items = verdicts.select("case_id", F.col("ord").alias("claim"), F.posexplode("evidence").alias("nth", "e")).select("case_id", "claim", "nth", "e.file", "e.line", "e.quote")
@@ -168,6 +183,10 @@ def settle(verdicts: DataFrame, cases: Cases) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("nth", "found"))), lambda x: x["found"]).alias("evidence_checked")
     )
     out = verdicts.join(checked, ["case_id", "ord"], "left").withColumn("evidence_checked", F.coalesce("evidence_checked", F.array().cast("array<boolean>")))
+    return _settled(out)
+
+
+def _settled(out: DataFrame) -> DataFrame:
     stands = (F.col("verdict") == "unsettled") | F.exists("evidence_checked", lambda x: x)
     return out.withColumn("claimed_verdict", F.col("verdict")).withColumn("verdict", F.when(stands, F.col("verdict")).otherwise("unsettled"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -158,12 +158,17 @@ def continuation_packs(first: DataFrame, claims: DataFrame, remaining: DataFrame
 def questions(claims: DataFrame, named: bool = True) -> DataFrame:
     """claims with `rows` (an excerpt) and `definition` -> the same with `user`: the claim put by its kind (named) or only by its own sentence; a claim without a
     sentence is always put by its kind."""
-    sentence = strip(F.coalesce(F.nullif("message", F.lit("")), F.lit("")))
-    rows = F.when(F.size("rows") > 0, F.col("rows")).otherwise(_rows("(the file is not among those shown)"))
-    place = F.concat(F.lit("`"), "file", F.lit("`, line "), F.col("line").cast("string"), F.lit(": "), sentence)
-    kind = F.concat(F.lit("It is said to be `"), "type", F.lit("`: "), F.coalesce("definition", F.lit("")))
+    return claims.withColumn("user", question({c: F.col(c) for c in ("message", "file", "line", "type", "definition")}, F.col("rows"), named))
+
+
+def question(claim: Mapping[str, Column] | Column, rows: Column, named: bool) -> Column:
+    """What is asked about a claim (columns, or a struct) with the rows of its excerpt."""
+    sentence = strip(F.coalesce(F.nullif(claim["message"], F.lit("")), F.lit("")))
+    rows = F.when(F.size(rows) > 0, rows).otherwise(_rows("(the file is not among those shown)"))
+    place = F.concat(F.lit("`"), claim["file"], F.lit("`, line "), claim["line"].cast("string"), F.lit(": "), sentence)
+    kind = F.concat(F.lit("It is said to be `"), claim["type"], F.lit("`: "), F.coalesce(claim["definition"], F.lit("")))
     ask_kind = "Is it so, and is it this change that makes it so? Name what would settle it, find that in the code, and give your verdict."
     ask_place = "Is the sentence true of this place, and is it this change that makes it true? Other faults don't count. Name what would settle it, find that in the code, and give your verdict."
     by_kind = _joined(_rows("# CLAIM", "", place, "", kind, "", "# CODE THERE", "", "```"), rows, _rows("```", "", ask_kind))
     by_place = _joined(_rows("# CLAIM", "", place, "", "# CODE THERE", "", "```"), rows, _rows("```", "", ask_place))
-    return claims.withColumn("user", by_kind if named else F.when(sentence == "", by_kind).otherwise(by_place))
+    return by_kind if named else F.when(sentence == "", by_kind).otherwise(by_place)
