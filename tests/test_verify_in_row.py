@@ -86,3 +86,11 @@ def test_files_before_the_change_and_excerpts_of_one_case(spark):
         gone = [x for x in diff._gone_from(c["diff"]) if x[0] == r["file"]]
         shown = diff.excerpt_of(c["head_files"][r["file"]], c["added_lines"].get(r["file"]), gone, r["line"], 3) if r["file"] in c["head_files"] and r["file"].endswith(".py") else []
         assert shown == r["rows"]
+
+
+def test_sites_are_chosen_when_they_are_asked_for(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(stages.reduce, "one_per_site", lambda rows: found.append(rows) or rows)
+    got = stages.verify(_cases(spark, 1), _claims(spark), lambda: _Looker().chat)
+    assert got["verdicts"].count() > 0 and not found
+    assert got["predictions"] is got["predictions"] is got["established"] and len(found) == 1
